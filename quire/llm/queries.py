@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import read_table
+from quire.llm.exact_dedup import exact_duplicates
 from quire.llm.packing import pack_documents
 
 #: The word tokenizer of operators 3 and 10, and its end id.
@@ -22,11 +23,32 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path(WORD_TOKENIZER), window=2048, end_id=END_ID)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("row_id")
+
+
+OP5_SQL = r"""
+WITH normal AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+), best AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM normal
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM best
+"""
+
+
 def queries() -> dict:
     return {
         "op3_packing": op3_packing,
+        "op5_exact_dedup": op5_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_exact_dedup": OP5_SQL,
+    }
