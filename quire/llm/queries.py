@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.common import read_table
 from quire.llm.exact_dedup import exact_duplicates
 from quire.llm.packing import pack_documents
+from quire.llm.secrets import labelled_samples, secret_report, train
 
 #: The word tokenizer of operators 3 and 10, and its end id.
 WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -18,6 +19,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def secret_model(spark: SparkSession):
+    return train(labelled_samples(spark))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read_table(spark, sf_dir, "documents"), secret_model(spark))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pack_documents(docs, tokenizer_path(WORD_TOKENIZER), window=2048, end_id=END_ID)
@@ -43,6 +52,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM b
 
 def queries() -> dict:
     return {
+        "op2_secret_scan": op2_secret_scan,
         "op3_packing": op3_packing,
         "op5_exact_dedup": op5_exact_dedup,
     }
