@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import read_table
 from quire.llm.exact_dedup import exact_duplicates
+from quire.llm.near_dedup import NearParams, near_duplicates
 from quire.llm.packing import pack_documents
 from quire.llm.secrets import labelled_samples, secret_report, train
 
@@ -36,6 +37,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), NearParams(words=3, percent=85))
+
+
 OP5_SQL = r"""
 WITH normal AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -55,6 +60,7 @@ def queries() -> dict:
         "op2_secret_scan": op2_secret_scan,
         "op3_packing": op3_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op8_near_dedup": op8_near_dedup,
     }
 
 
