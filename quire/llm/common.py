@@ -105,10 +105,12 @@ class Memo(dict):
         self.fill, self.limit = fill, limit
 
     def learn(self, words) -> None:
-        new = [w for w in set(words) if w not in self]
+        words = set(words)
+        new = words - self.keys()
         if not new:
             return
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = list(set(words))
+            new = words
+        new = list(new)
         self.update(zip(new, self.fill(new)))

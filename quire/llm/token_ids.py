@@ -11,13 +11,15 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 from quire.llm.common import Memo
 
-#: Words that need no normalisation but lower case: Latin letters, then end marks.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Words of these letters, end marks aside, need no normalisation but lower case.
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = ".,;:!?"
 _WORDS_PER_CALL = 4000
 
 
@@ -74,39 +76,42 @@ class TextEncoder:
             found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in found]
         split = [t.split() for t in texts]
-        self.memo.learn(w for words in split for w in words)
+        self.memo.learn(chain.from_iterable(split))
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words by the library's own pipeline."""
+        return [
+            np.asarray(e.ids, dtype=self.dtype).tobytes()
+            for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        ]
+
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        held: dict[bytes, bytes] = {}
-        parts: list[tuple[bytes, ...]] = []
-        for w in words:
-            m = self.plain and _PLAIN.fullmatch(w.decode())
-            if m:
-                core, tail = m[1].lower().encode(), m[2].encode()
-                parts.append((core, tail) if tail else (core,))
-                held[core] = self.memo.get(core, b"")
-                if tail:
-                    held[tail] = self.memo.get(tail, b"")
-            else:
-                parts.append((w,))
-                held[w] = b""
-        wanted = [w for w, ids in held.items() if not ids]
-        plain = [w for w in wanted if self.plain and _PLAIN.fullmatch(w.decode()) and w[-1:] not in b".,;:!?"]
-        known = set(plain)
-        self._encode_plain(plain, held)
-        rest = [w for w in wanted if w not in known]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-            held[w] = np.asarray(e.ids, dtype=self.dtype).tobytes()
-        return [b"".join(held[p] for p in part) for part in parts]
-
-    def _encode_plain(self, words: list[bytes], held: dict[bytes, bytes]) -> None:
+        if not self.plain:
+            return self._ids([w.decode() for w in words])
+        lower = b" ".join(words).decode().lower().split(" ")
+        cores = [w.rstrip(_MARKS) for w in lower]
+        tails = [w[len(c) :] for w, c in zip(lower, cores)]
+        plain = [c for c in set(cores) if c.isalpha() and (c.isascii() or _LATIN.fullmatch(c))]
+        held = dict(zip(plain, map(self.memo.get, map(str.encode, plain))))
+        self._encode_plain([c for c, ids in held.items() if ids is None], held)
+        marks = list(set(tails) - {""})
+        after = dict(zip(marks, self._ids(marks))) | {"": b""}
+        out = [held[c] + after[t] if c in held else None for c, t in zip(cores, tails)]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._ids([words[k].decode() for k in rest])):
+            out[k] = ids
+        return out
+
+    def _encode_plain(self, words: list[str], held: dict[str, bytes | None]) -> None:
         """Many words in one call; the end-of-word tokens tell them apart."""
         wide = self.dtype.itemsize
         for k in range(0, len(words), _WORDS_PER_CALL):
             some = words[k : k + _WORDS_PER_CALL]
-            joined = b" ".join(some).decode("latin-1").translate(self.alphabet)
+            joined = " ".join(some)
+            if not joined.isascii():
+                joined = joined.encode().decode("latin-1").translate(self.alphabet)
             ids = np.asarray(self.plain.encode(joined, add_special_tokens=False).ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):
