@@ -9,6 +9,7 @@ from quire.llm.exact_dedup import exact_duplicates
 from quire.llm.near_dedup import NearParams, near_duplicates
 from quire.llm.packing import pack_documents
 from quire.llm.secrets import labelled_samples, secret_report, train
+from quire.llm.token_files import token_file_report
 
 #: The word tokenizer of operators 3 and 10, and its end id.
 WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -41,6 +42,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), NearParams(words=3, percent=85))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return token_file_report(docs, tokenizer_path(WORD_TOKENIZER), end_id=END_ID)
+
+
 OP5_SQL = r"""
 WITH normal AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -61,6 +67,7 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_near_dedup": op8_near_dedup,
+        "op10_token_files": op10_token_files,
     }
 
 

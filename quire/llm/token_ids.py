@@ -56,7 +56,8 @@ class TextEncoder:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
-        self.dtype = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
+        self.size = max(vocab.values(), default=0) + 1
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.local = word_local(spec)
         self.memo = Memo(self._encode_words)
         suffix = spec["model"].get("end_of_word_suffix")
@@ -66,7 +67,7 @@ class TextEncoder:
             self.plain = Tokenizer.from_file(path)
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends = np.zeros(self.size, dtype=bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
             self.alphabet = byte_alphabet() | {0x20: " "}
 
