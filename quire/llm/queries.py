@@ -10,6 +10,7 @@ from quire.llm.near_dedup import NearParams, near_duplicates
 from quire.llm.packing import pack_documents
 from quire.llm.secrets import labelled_samples, secret_report, train
 from quire.llm.token_files import token_file_report
+from quire.llm.toxicity import toxicity_report
 
 #: The word tokenizer of operators 3 and 10, and its end id.
 WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -38,6 +39,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), NearParams(words=3, percent=85))
 
@@ -66,6 +71,7 @@ def queries() -> dict:
         "op2_secret_scan": op2_secret_scan,
         "op3_packing": op3_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_near_dedup": op8_near_dedup,
         "op10_token_files": op10_token_files,
     }
