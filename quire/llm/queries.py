@@ -10,6 +10,7 @@ from quire.llm.near_dedup import NearParams, near_duplicates
 from quire.llm.packing import pack_documents
 from quire.llm.secrets import labelled_samples, secret_report, train
 from quire.llm.token_files import token_file_report
+from quire.llm.topk_search import top_k_of_sample
 from quire.llm.toxicity import toxicity_report
 
 #: The word tokenizer of operators 3 and 10, and its end id.
@@ -47,6 +48,26 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), NearParams(words=3, percent=85))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_of_sample(read_table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
+OP9_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS terms
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.terms, c.terms) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_file_report(docs, tokenizer_path(WORD_TOKENIZER), end_id=END_ID)
@@ -73,6 +94,7 @@ def queries() -> dict:
         "op5_exact_dedup": op5_exact_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_near_dedup": op8_near_dedup,
+        "op9_topk_search": op9_topk_search,
         "op10_token_files": op10_token_files,
     }
 
@@ -80,4 +102,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": OP5_SQL,
+        "op9_topk_search": OP9_SQL,
     }
