@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import read_table
 from quire.llm.exact_dedup import exact_duplicates
+from quire.llm.language_id import language_report
 from quire.llm.near_dedup import NearParams, near_duplicates
 from quire.llm.packing import pack_documents
 from quire.llm.secrets import labelled_samples, secret_report, train
@@ -36,6 +37,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path(WORD_TOKENIZER), window=2048, end_id=END_ID)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(read_table(spark, sf_dir, "documents"), folds=4, held=2)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("row_id")
 
@@ -91,6 +96,7 @@ def queries() -> dict:
     return {
         "op2_secret_scan": op2_secret_scan,
         "op3_packing": op3_packing,
+        "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_near_dedup": op8_near_dedup,
