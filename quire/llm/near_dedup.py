@@ -139,7 +139,7 @@ def star_edges(classes: DataFrame) -> DataFrame:
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n"))
     return (
-        members.join(stars.filter("n > 1").select("bucket", "centre"), "bucket")
+        members.join(stars.filter("n > 1").select("bucket", "centre").hint("merge"), "bucket")
         .filter("rep <> centre")
         .select(F.col("rep").alias("a"), F.col("centre").alias("b"))
         .distinct()
@@ -160,25 +160,51 @@ def _blocks(classes: DataFrame, coarse: DataFrame, p: NearParams) -> DataFrame:
     )
 
 
-_SETS = "doc_id long, comp long, blocks int, block int, shingles binary"
+#: The bits of the table that keeps most texts without candidates out of the second pass.
+_SLOTS = 1 << 26
+
+
+def _slot(doc_id: str):
+    return F.pmod(F.xxhash64(doc_id), F.lit(_SLOTS))
+
+
+def _slot_table(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of each doc_id: 8 MB at every size of the corpus, at most 2**20 rows."""
+    slots = ids.select(_slot("rep").alias("slot"))
+    words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")
+    )
+    rows = words.toPandas()
+    table = np.zeros(_SLOTS // 64, dtype=np.uint64)
+    table[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return table
 
 
 def _member_sets(docs: DataFrame, blocks: DataFrame, p: NearParams) -> DataFrame:
-    """The full sets of the members, from their texts."""
-    wanted = blocks.withColumnRenamed("rep", "doc_id")
+    """The full sets of the members, from a second pass over the texts.
+
+    The table of bits lets through every member and, by chance, few others; the join is exact.
+    Sets are shuffled, texts are not.
+    """
+    spark = docs.sparkSession
+    table = spark.sparkContext.broadcast(_slot_table(blocks))
 
     def build(batches):
+        bits = table.value
         for b in batches:
-            sets = [s.tobytes() for s in shingle_sets(utf8(b["text"]), p.words)]
-            same = [xxhash.xxh3_128_digest(s) == sig for s, sig in zip(sets, b["sig"].to_pylist())]
-            out = pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["comp"], b["blocks"], b["block"], pa.array(sets, pa.binary())],
-                ["doc_id", "comp", "blocks", "block", "shingles"],
-            )
-            yield out.filter(pa.array(same, pa.bool_()))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    return rows.select("doc_id", "text", "comp", "blocks", "block", "sig").mapInArrow(build, _SETS)
+            slot = b["slot"].to_numpy()
+            hit = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            b = b.filter(pa.array(hit))
+            if b.num_rows:
+                sets = [s.tobytes() for s in shingle_sets(utf8(b["text"]), p.words)]
+                sigs = [xxhash.xxh3_128_digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [b["doc_id"], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "sig", "shingles"]
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    sets = rows.withColumn("slot", _slot("doc_id")).mapInArrow(build, "doc_id long, sig binary, shingles binary")
+    return sets.join(blocks.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "sig"])
 
 
 def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
