@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.common import read_table
 from quire.llm.exact_dedup import exact_duplicates
 from quire.llm.language_id import language_report
+from quire.llm.lm_scoring import score_documents
 from quire.llm.near_dedup import NearParams, near_duplicates
 from quire.llm.packing import pack_documents
 from quire.llm.secrets import labelled_samples, secret_report, train
@@ -45,6 +46,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -98,6 +103,7 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_toxicity": op7_toxicity,
         "op8_near_dedup": op8_near_dedup,
         "op9_topk_search": op9_topk_search,
