@@ -11,6 +11,7 @@ from quire.llm.lm_scoring import score_documents
 from quire.llm.near_dedup import NearParams, near_duplicates
 from quire.llm.packing import pack_documents
 from quire.llm.secrets import labelled_samples, secret_report, train
+from quire.llm.sentencepiece_codec import codec_report
 from quire.llm.token_files import token_file_report
 from quire.llm.topk_search import top_k_of_sample
 from quire.llm.toxicity import toxicity_report
@@ -25,6 +26,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The model of operator 1.
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_report(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), threads=2)
+
+
 def secret_model(spark: SparkSession):
     return train(labelled_samples(spark))
 
@@ -99,6 +108,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM b
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_secret_scan": op2_secret_scan,
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
