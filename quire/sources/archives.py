@@ -35,7 +35,7 @@ class Budget:
         setattr(self, what, left)
 
 
-_OPEN = {"gz": gzip.GzipFile, "bz2": bz2.BZ2File, "xz": lzma.LZMAFile}
+_OPEN = {"gz": lambda f: gzip.GzipFile(fileobj=f), "bz2": bz2.BZ2File, "xz": lzma.LZMAFile}
 
 
 def expand(payload: bytes, codec: str, budget: Budget) -> bytes:

@@ -26,7 +26,7 @@ def parse_files(files: DataFrame, schema: str, parse: Callable[[str, bytes], Ite
     """
     own = StructType.fromDDL(schema)
     full = StructType.fromDDL(f"path string, source_sha256 string, error string, {schema}")
-    arrow = to_arrow_schema(full, timezone="UTC")
+    arrow = to_arrow_schema(full)
     width = len(own.fields)
 
     def run(batches):
