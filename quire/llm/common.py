@@ -97,20 +97,31 @@ class Memo(dict):
     """A word cache that lives as long as its Python worker, of bounded size.
 
     ``fill(words)`` returns the values of words that are not held. ``limit`` bounds the
-    entries: at the bound the cache starts anew, which costs time and changes no result.
+    entries: at the bound the cache starts anew, which costs time and changes no result. A
+    worker holds one cache at a time: when another begins to learn, the last is emptied.
     """
 
+    _active: dict | None = None
+
     def __init__(self, fill, limit: int = 1_000_000):
         super().__init__()
         self.fill, self.limit = fill, limit
 
     def learn(self, words) -> None:
+        alone(self)
         words = set(words)
-        new = words - self.keys()
+        new = [w for w in words if w not in self]
         if not new:
             return
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = words
-        new = list(new)
+            new = list(words)
         self.update(zip(new, self.fill(new)))
+
+
+def alone(cache: dict) -> None:
+    """Make ``cache`` the one that this worker holds."""
+    if Memo._active is not cache:
+        if Memo._active is not None:
+            Memo._active.clear()
+        Memo._active = cache

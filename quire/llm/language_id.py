@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_mod, materialize, mix64, text_batches, utf8
+from quire.llm.common import alone, crc_mod, materialize, mix64, text_batches, utf8
 
 ORDER = 5
 UNKNOWN = "und"
@@ -202,13 +202,14 @@ class Scorer:
         return out
 
     def _learn(self, words: set[bytes]) -> None:
-        new = words - self.place.keys()
+        alone(self.place)
+        new = [w for w in words if w not in self.place]
         if not new:
             return
         if len(self.place) + len(new) > self.LIMIT:
             self.place.clear()
-            new = words
-        new, n = list(new), len(self.place)
+            new = list(words)
+        n = len(self.place)
         while n + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[n : n + len(new)] = self._score(new)

@@ -87,20 +87,23 @@ class _Model:
         self.at2 = (a * 0x2F0B4F35 + b * 0x1B873593 >> 9) & self.mask
         self.at1 = a
         self.e2, self.e1 = self.second[self.at2], self.first[a]
-        self.base = ((self.e2 & 7) * 8 + (self.e1 & 7)) * 3
+        self.sure2, self.sure1 = self.e2 & 7, self.e1 & 7
+        self.base = (self.sure2 * 8 + self.sure1) * 3
         self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
 
     def learn(self, ids: np.ndarray, flag: np.ndarray) -> None:
         n = len(ids)
-        for table, at, e, p in ((self.second, self.at2, self.e2, self.p2), (self.first, self.at1, self.e1, self.p1)):
-            sure = e & 7
-            right = p == ids
-            new = np.where(right, e + (sure < _CONFIDENT), np.where(sure > 0, e - 1, ids << 3 | 1))
-            table[at] = new
+        fresh = ids << 3 | 1
+        for table, at, e, sure, p in (
+            (self.second, self.at2, self.e2, self.sure2, self.p2),
+            (self.first, self.at1, self.e1, self.sure1, self.p1),
+        ):
+            table[at] = np.where(p == ids, e + (sure < _CONFIDENT), np.where(sure > 0, e - 1, fresh))
         self.flags += np.bincount(self.base + flag, minlength=192).reshape(64, 3)
         if self.step & 7 == 0:
             self.flags = np.where(self.flags.sum(axis=1, keepdims=True) > 1 << 16, self.flags * 0.5, self.flags)
-        self._weights()
+        if self.step < 16 or self.step & 3 == 0:
+            self._weights()
         self.prior[1][:n] = self.prior[0][:n]
         self.prior[0][:n] = ids
         self.recent.append(ids)
@@ -135,7 +138,6 @@ def encode_ids(ids: np.ndarray, vocab: int) -> bytes:
         x, low, rng = grid[t, :k], all_low[:k], all_range[:k]
         model.predict(k)
         flag = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, 2))
-        flag[(flag < 2) & (((model.e2 & 7 == 0) & (flag == 0)) | ((model.e1 & 7 == 0) & (flag == 1)))] = 2
         at = model.base + flag
         r = rng >> _U(_FLAG_BITS)
         low += model.flag_cum[at] * r

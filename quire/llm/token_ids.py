@@ -17,9 +17,9 @@ import numpy as np
 
 from quire.llm.common import Memo
 
-#: Words of these letters, end marks aside, need no normalisation but lower case.
+#: Words of these letters, marks at their end aside, need no normalisation but lower case.
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = ".,;:!?"
+_MARKS = ".,;:!?$%&*#@+=~^|<>()[]{}\"/\\-_"
 _WORDS_PER_CALL = 4000
 
 
@@ -59,7 +59,7 @@ class TextEncoder:
         self.size = max(vocab.values(), default=0) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.local = word_local(spec)
-        self.memo = Memo(self._encode_words)
+        self.memo = Memo(self._encode_words, limit=1_400_000)
         suffix = spec["model"].get("end_of_word_suffix")
         lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.plain = None
