@@ -44,11 +44,13 @@ class FitParams:
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """Sorted word hashes with their weights, and the thresholds between grades."""
+    """Sorted feature hashes with their weights, the thresholds between grades, and the probability of
+    any severity from which a document counts as toxic."""
 
     keys: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5
 
 
 #: The lengths of a word's beginnings that are features.
@@ -136,7 +138,20 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, p: FitParams) -> Ord
         w -= rate * (move_w / (1 - 0.9**t)) / (np.sqrt(scale_w / (1 - 0.99**t)) + 1e-8)
         thresholds -= rate * (move_b / (1 - 0.9**t)) / (np.sqrt(scale_b / (1 - 0.99**t)) + 1e-8)
         thresholds = np.maximum.accumulate(thresholds)
-    return OrdinalModel(keys[keep], w, thresholds)
+    margin = np.bincount(owner, weights=w[column], minlength=n)
+    return OrdinalModel(keys[keep], w, thresholds, best_cut(_sigmoid(margin - thresholds[0]), toxic > 0))
+
+
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the gap between probabilities where the F1 measure of the fit is highest."""
+    values, inverse = np.unique(np.round(p, 6), return_inverse=True)
+    if len(values) < 2:
+        return 0.5
+    hits = np.bincount(inverse, weights=toxic, minlength=len(values))[::-1].cumsum()[::-1]
+    taken = np.bincount(inverse, minlength=len(values))[::-1].cumsum()[::-1]
+    f1 = 2 * hits / (taken + toxic.sum())
+    best = 1 + int(f1[1:].argmax())
+    return float((values[best - 1] + values[best]) / 2)
 
 
 def train(docs: DataFrame, grades: DataFrame, p: FitParams = FitParams()) -> OrdinalModel:
@@ -170,13 +185,14 @@ def train(docs: DataFrame, grades: DataFrame, p: FitParams = FitParams()) -> Ord
         table = table.sort_by([("doc_id", "ascending"), ("words", "ascending")])
         sets = [np.frombuffer(x, dtype="<u8") for x in table["words"].to_pylist()]
         m = fit_ordinal(sets, table["grade"].to_numpy(), p)
-        return pa.table({"keys": [m.keys.tobytes()], "weights": [m.weights.tobytes()], "thresholds": [m.thresholds.tobytes()]})
+        packed = {"keys": m.keys.tobytes(), "weights": m.weights.tobytes(), "thresholds": m.thresholds.tobytes(), "cut": m.cut}
+        return pa.table({k: [v] for k, v in packed.items()})
 
-    one = sets.groupBy().applyInArrow(fit, "keys binary, weights binary, thresholds binary").collect()
+    one = sets.groupBy().applyInArrow(fit, "keys binary, weights binary, thresholds binary, cut double").collect()
     if not one:
         return fit_ordinal([], np.empty(0), p)
     r = one[0]
-    return OrdinalModel(*(np.frombuffer(bytes(x), dtype=t) for x, t in zip(r, ("<u8", "<f8", "<f8"))))
+    return OrdinalModel(*(np.frombuffer(bytes(x), dtype=t) for x, t in zip(r, ("<u8", "<f8", "<f8"))), r["cut"])
 
 
 _GRADED = "expected_severity double, severity int, toxic boolean, p_toxic double"
@@ -185,8 +201,8 @@ _GRADED = "expected_severity double, severity int, toxic boolean, p_toxic double
 def grade_documents(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with expected_severity, severity, toxic and p_toxic.
 
-    ``severity`` is the highest grade that is more likely reached than not; ``toxic`` marks
-    grades over 0. Null text has no features and is graded by the thresholds alone; rows are
+    ``toxic`` marks documents whose probability of any severity exceeds the model's cut, and
+    ``severity`` is then the highest grade that is more likely reached than not, 1 at least. Null text has no features and is graded by the thresholds alone; rows are
     independent. The model, bounded by ``max_features``, is broadcast with the function.
     """
     text_batches(docs.sparkSession)
@@ -207,9 +223,10 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, text: str = "text") ->
             get = memo.__getitem__
             margin = np.array([math.fsum(map(get, s)) for s in split])
             p = _sigmoid(margin[:, None] - thresholds[None, :])
-            severity = (p > 0.5).sum(axis=1).astype(np.int32)
+            toxic = (p[:, :1] > model.cut).any(axis=1)
+            severity = np.where(toxic, 1 + (p[:, 1:] > 0.5).sum(axis=1), 0).astype(np.int32)
             out = [
-                pa.array(p.sum(axis=1)), pa.array(severity), pa.array(severity > 0),
+                pa.array(p.sum(axis=1)), pa.array(severity), pa.array(toxic),
                 pa.array(p[:, 0] if len(thresholds) else np.zeros(len(split))),
             ]
             yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *added])
