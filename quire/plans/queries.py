@@ -797,3 +797,117 @@ def structure_gate(spark, sf_dir):
     )).alias("x")
     inv = o.select(F.col("o_orderkey").alias("doc"), F.when(F.col("o_orderkey") % 2 == 0, "skipped").otherwise("checked").alias("status"), rows)
     return structure.passed(inv.select("doc", "status", "x.passed"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    """Text items of the pages, by the lenient reader."""
+    from quire.sources.items import text_items
+
+    p = table(spark, sf_dir, "pages")
+    files = p.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return text_items(files, "lenient").select("path", "error", "ordinal", "source_locator", "text")
+
+
+@query("""
+WITH s AS (SELECT *, least(length(text), 5000) AS size FROM documents),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+g AS (SELECT *, CAST(greatest(0, least(size, 30000 - before)) AS BIGINT) AS granted FROM b)
+SELECT source AS file, CAST(doc_id AS INTEGER) AS page, substr(text, 1, granted) AS text, granted AS char_count, granted < length(text) AS truncated,
+  length(trim(text, E' \\t\\n\\r')) < 20 AS ocr_required FROM g
+""")
+def clipped_pages(spark, sf_dir):
+    from quire.sources.pages import clipped_pages as clip
+    from quire.sources.pages import normalize_pages
+
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("Source_File"), F.col("doc_id").alias("Page_Number"), F.col("text").alias("Extracted_Text"))
+    return clip(normalize_pages(d), per_page=5000, total=30000)
+
+
+@query("""
+SELECT 'n' || n_nationkey AS source_sha256, 'csv' AS kind, CAST(0 AS BIGINT) AS start, 'COUNT_MISMATCH' AS code FROM nation WHERE n_nationkey % 5 = 0
+UNION ALL SELECT 'n' || n_nationkey, 'csv', 0, 'CURSOR_NOT_AT_END' FROM nation WHERE n_nationkey % 7 = 0
+""")
+def range_violations(spark, sf_dir):
+    from quire.operators.projections import range_violations as violations
+
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    rows = n.select(
+        F.concat(F.lit("n"), key.cast("string")).alias("source_sha256"), F.lit("csv").alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(10).cast("long").alias("end"),
+        F.when(key % 5 == 0, 9).otherwise(10).cast("long").alias("returned"), F.when(key % 7 == 0, 11).otherwise(10).cast("long").alias("next_start"),
+        F.lit(20).cast("long").alias("known_total"), F.lit("partial_known").alias("disposition"),
+    )
+    return violations(rows)
+
+
+@query("""
+WITH c(section, req) AS (VALUES ('name', 'a'), ('comment', 'zzqq')),
+b AS (SELECT r_regionkey AS doc, 'name' AS section, 'region ' || r_name AS body FROM region WHERE r_regionkey <> 2)
+SELECT d.doc, c.section, CASE WHEN body IS NULL THEN 'section_missing' ELSE 'required_keywords_missing' END AS "check", CASE WHEN body IS NULL THEN '' ELSE req END AS missing
+FROM (SELECT DISTINCT doc FROM b) d CROSS JOIN c LEFT JOIN b ON b.doc = d.doc AND b.section = c.section
+WHERE body IS NULL OR NOT contains(lower(body), req)
+""")
+def checklist_audit(spark, sf_dir):
+    from quire.operators.checklist import audit
+
+    r = table(spark, sf_dir, "region").filter("r_regionkey <> 2")
+    bodies = r.select(F.col("r_regionkey").alias("doc"), F.lit("name").alias("section"), F.concat(F.lit("region "), "r_name").alias("body"))
+    wanted = spark.createDataFrame(
+        [("name", "N", ["region"], ["a"]), ("comment", "C", None, ["zzqq"])], "section string, title string, keywords array<string>, required_keywords array<string>"
+    )
+    return audit(bodies, wanted, ["to be done"]).select("doc", "section", "check", "missing")
+
+
+@query("""
+WITH c AS (SELECT n_name AS id, n_regionkey FROM nation)
+SELECT 'R' || n_regionkey AS id, 'DUPLICATE_ID' AS issue FROM c GROUP BY n_regionkey HAVING count(*) > 1
+UNION ALL SELECT 'R' || n_regionkey, 'UNKNOWN_MODE' FROM c WHERE substr(id, 1, 1) = 'I'
+""")
+def config_issues(spark, sf_dir):
+    from quire.operators.checklist import config_issues as issues
+
+    n = table(spark, sf_dir, "nation")
+    mode = F.when(F.substring("n_name", 1, 1) == "I", "odd").otherwise("replace")
+    return issues(n.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("id"), F.col("n_name").alias("heading"), mode.alias("mode")), ["replace", "append"])
+
+
+@query("""
+SELECT doc_id AS doc, CAST((CAST(contains(lower(lang || ' ' || source), 'en') AS INTEGER) + CAST(contains(lower(lang || ' ' || source), 'src1') AS INTEGER)) / 2.0 AS DOUBLE) AS compliance FROM documents
+""")
+def transformation_compliance(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    targets = spark.createDataFrame([("EN",), ("src1",)], "target string")
+    return scoring.transformation_compliance(d.select(F.col("doc_id").alias("doc"), F.concat_ws(" ", "lang", "source").alias("json")), targets)
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'MEDIA_TYPE_NOT_ALLOWED' WHEN strlen(text) > 5000 THEN 'ARTIFACT_TOO_LARGE' WHEN doc_id % 3 = 0 THEN 'ARTIFACT_NOT_FOUND'
+  WHEN doc_id % 7 = 0 THEN 'ARTIFACT_DIGEST_MISMATCH' ELSE 'RESOLVED' END AS code FROM documents
+""")
+def resolve_artifacts(spark, sf_dir):
+    from quire.sinks.artifacts import resolve
+
+    d = table(spark, sf_dir, "documents").withColumn("content", F.encode("text", "UTF-8"))
+    uri = F.concat(F.lit("artifact://"), F.col("doc_id").cast("string"))
+    sha = F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("content", 256))
+    wanted = d.select("doc_id", uri.alias("uri"), sha.alias("sha256"), F.octet_length("content").alias("size_bytes"), F.when(F.col("doc_id") % 5 == 0, "image/png").otherwise("text/plain").alias("media_type"))
+    store = d.filter("doc_id % 3 <> 0").select(uri.alias("uri"), "content")
+    return resolve(wanted, store, 5000, ["text/plain"]).select("doc_id", "code")
+
+
+@query("""
+SELECT conv_id AS doc, turn AS block, count(*) OVER (PARTITION BY conv_id, turn) * 0 AS n_rows, CAST(strlen(text) AS BIGINT) AS n_bytes,
+  CAST(0 AS BIGINT) AS total_rows, CAST(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS total_bytes FROM conversations
+""")
+def block_metrics(spark, sf_dir):
+    from quire.operators import blocks
+
+    c = table(spark, sf_dir, "conversations")
+    content = F.struct(
+        F.lit("paragraphs").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("name"),
+        F.array("text").alias("paragraphs"), F.lit(None).cast("array<struct<label:string,value:string>>").alias("pairs"),
+        F.lit(None).cast("int").alias("header_rows"), F.lit(None).cast("array<array<string>>").alias("rows"),
+    )
+    out = blocks.block_metrics(c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("block"), content.alias("content")), ["doc"])
+    return out.withColumn("n_rows", F.col("n_rows").cast("long"))
