@@ -57,6 +57,11 @@ def test_checklist(spark):
 
 
 def test_formulas(spark):
-    text = "Formula composition\nDecoy 1 2\nINCI name  %  CAS  Function\nAlcohol denat. 40,5 64-17-5 Solvent\n2. Aqua 50 % 7732-18-5\nParfum 9.5\nTotal 100\nGlycerin 3"
+    text = (
+        "Composizione\nMaterie prime % Ingredienti CAS#\n-- 80,0 Alcohol denat. 64-17-5\nPresentazione degli ingredienti (INCI)\n"
+        "Ingredienti % CAS# Funzioni\n1. Alcohol denat. 72,50 64-17-5 200-578-6 Solvent Annex III\n2. Parfum 25,0\n3. Aqua 3 7732-18-5 Solvent\nTotale 100\nX 1 50-00-0 y\n"
+    )
     rows = formulas.formulas(spark.createDataFrame([(1, text), (2, None)], "id long, text string")).collect()
-    assert [(r.name, r.percent, r.cas) for r in rows] == [("Alcohol denat.", 40.5, "64-17-5"), ("Aqua", 50.0, "7732-18-5"), ("Parfum", 9.5, "-")]
+    assert [(r.name, r.percent, r.cas, r.function) for r in rows] == [
+        ("Alcohol denat.", 72.5, "64-17-5", "200-578-6 Solvent"), ("Parfum", 25.0, "-", "Perfuming"), ("Aqua", 3.0, "7732-18-5", "Solvent"),
+    ]

@@ -153,8 +153,8 @@ def test_csv_relation(spark):
 
 def test_pages(spark):
     text = spark.createDataFrame([("=== A.pdf | Page 1 ===\nhello\n=== A.pdf | Page 2 ===\n world \n",)], "text string")
-    assert [tuple(r) for r in pages.delimited_pages(text).collect()] == [("A.pdf", 1, "hello", 5), ("A.pdf", 2, "world", 5)]
-    other = spark.createDataFrame([("D", "doc.pdf", 3, "hello")], "Document_ID string, Source_File string, Page_Number int, Extracted_Text string")
+    assert [tuple(r) for r in pages.delimited_pages(text).collect()] == [("A.pdf", 1, "hello", 5), ("A.pdf", 2, " world ", 7)]
+    other = spark.createDataFrame([("doc.pdf", "in/x.pdf", 3, "hello")], "Document_ID string, Source_File string, Page_Number int, Extracted_Text string")
     assert tuple(pages.normalize_pages(other).first()) == ("doc.pdf", 3, "hello", 5)
     clip = pages.clipped_pages(spark.createDataFrame([("f", 1, "x" * 30), ("f", 2, "y" * 30)], "file string, page int, text string"), 25, 40)
     assert [(r.char_count, r.truncated, r.ocr_required) for r in clip.orderBy("page").collect()] == [(25, True, False), (15, True, False)]
