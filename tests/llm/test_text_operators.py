@@ -78,6 +78,9 @@ def test_redaction(spark, documents, model):
     assert secrets.redact_secrets(docs, model).columns == docs.columns
     assert out[0].text == "[SECRET]\" and Token = abc" and out[0].n_chars == len(out[0].text)
     assert out[len(SECRETS)].text is None and out[len(SECRETS) + 1].text == "clean"
+    clash = docs.withColumn("base", F.lit("b")).withColumn("added", F.lit(1))
+    assert secrets.redact_secrets(clash, model).columns == clash.columns
+    assert {r.base for r in secrets.redact_secrets(clash, model).collect()} == {"b"}
 
 
 # Operator 5
@@ -299,8 +302,8 @@ def test_filter_holds_quantised_counts():
     counts = np.floor(np.exp(rng.uniform(0, 9, len(keys))))
     q = lm_scoring.quantised(counts)
     width = -(-10 * int(q.sum()) // 64) * 64
-    f = lm_scoring.LogFrequencyFilter(np.frombuffer(lm_scoring.region(keys, counts, 0, 1, width, 7), np.uint8), 1, width, 7)
+    f = lm_scoring.LogFrequencyFilter(np.frombuffer(lm_scoring.region(keys, counts, 1, width, 4), np.uint8), 1, width, 4)
     found = f.levels(keys)
-    assert (found >= q).all() and (found == q).mean() > 0.98
+    assert (found >= q).all() and (found == q).mean() > 0.95
     other = rng.integers(0, 2**63, 3000).astype(np.uint64)
     assert (f.levels(other) > 0).mean() < 0.03
