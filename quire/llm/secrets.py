@@ -178,6 +178,8 @@ def find_secrets(docs: DataFrame, model: MarkovModel) -> DataFrame:
     ``added`` holds what only the models find: candidates that touch no base span. Null text is
     empty and has no spans; rows are independent, so repeated rows repeat their spans.
     """
+    if clash := {"base", "added"} & set(docs.columns):
+        raise ValueError(f"docs has columns of the result: {sorted(clash)}")
     kinds = [*KINDS, MARKOV]
     rows = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     rows = rows.withColumns({f"__hit_{k}": F.regexp_extract_all("__text", F.lit(PATTERNS[k]), F.lit(0)) for k in kinds})
@@ -223,7 +225,8 @@ def redact_secrets(docs: DataFrame, model: MarkovModel, mark: str = "[SECRET]")
 
     Overlapping spans are replaced as one. Texts without spans, and null, stay as they are.
     """
-    found = find_secrets(docs, model).withColumn("__all", F.array_sort(F.concat("base", "added")))
+    columns = {c: "text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
+    found = find_secrets(docs.toDF(*columns.values()), model).withColumn("__all", F.array_sort(F.concat("base", "added")))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
@@ -237,6 +240,6 @@ def redact_secrets(docs: DataFrame, model: MarkovModel, mark: str = "[SECRET]")
     done = F.aggregate("__all", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
     hit = F.size("__all") > 0
     out = found.withColumn("text", F.when(hit, done).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    if size := columns.get("n_chars"):
+        out = out.withColumn(size, F.when(hit, F.length("text").cast("long")).otherwise(F.col(size)))
+    return out.select(*(F.col(own).alias(c) for c, own in columns.items()))
