@@ -103,14 +103,16 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, p: FitParams) -> Ord
     if len(rows) == 0 or len(levels) < 2:
         return none
     n, sizes = len(rows), np.array([len(r) for r in rows])
-    owner, flat = np.repeat(np.arange(n), sizes), np.concatenate(rows)
-    keys, column = np.unique(flat, return_inverse=True)
+    keys, column = np.unique(np.concatenate(rows), return_inverse=True)
+    column = column.astype(np.int32)
     toxic = (grades > levels[0]).astype(float)
     share = toxic.mean()
-    pair = np.unique(owner * len(keys) + column)
-    has_owner, has = np.divmod(pair, len(keys))
-    total = np.bincount(has, minlength=len(keys))
-    among = np.bincount(has, weights=toxic[has_owner], minlength=len(keys))
+    total, among = np.zeros(len(keys), dtype=np.int32), np.zeros(len(keys), dtype=np.int32)
+    for bad, end, size in zip(toxic > 0, np.cumsum(sizes), sizes):
+        has = np.unique(column[end - size : end])
+        total[has] += 1
+        if bad:
+            among[has] += 1
     spread = np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
     score = np.abs(among - total * share) / spread
     keep = np.flatnonzero((score > p.z) & (total >= p.least_docs))
@@ -119,7 +121,8 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, p: FitParams) -> Ord
     place = np.full(len(keys), -1)
     place[keep] = np.arange(len(keep))
     column = place[column]
-    owner, column = owner[column >= 0], column[column >= 0]
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[column >= 0]
+    column = column[column >= 0]
     w, thresholds = np.zeros(len(keep)), np.array([-np.log((m := np.clip((grades > k).mean(), 1e-6, 1 - 1e-6)) / (1 - m)) for k in levels[:-1]])
     above = (grades[:, None] > levels[None, :-1]).astype(float)
     move_w, move_b = np.zeros_like(w), np.zeros_like(thresholds)
