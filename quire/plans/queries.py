@@ -102,7 +102,7 @@ def table_totals(spark, sf_dir):
 
 @query("""
 WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey AS doc, CASE WHEN l_orderkey % 7 = 0 AND n >= 2 THEN 1 ELSE 0 END AS n_findings,
+SELECT l_orderkey AS doc, CAST(CASE WHEN l_orderkey % 7 = 0 AND n >= 2 THEN 1 ELSE 0 END AS BIGINT) AS n_findings,
   CASE WHEN l_orderkey % 7 = 0 AND n >= 2 THEN 'high' ELSE 'none' END AS worst,
   NOT (l_orderkey % 7 = 0 AND n >= 2) AS passed FROM n
 """)
@@ -609,7 +609,7 @@ def conformance(spark, sf_dir):
 
 
 @query("""
-SELECT n_regionkey AS table_id, n_name AS cell_id, min(n_nationkey // 5) AS top, min(n_nationkey % 5) AS left, max(n_nationkey // 5) AS bottom, max(n_nationkey % 5) AS right
+SELECT n_regionkey AS table_id, n_name AS cell_id, CAST(min(n_nationkey // 5) AS BIGINT) AS top, min(n_nationkey % 5) AS left, CAST(max(n_nationkey // 5) AS BIGINT) AS bottom, max(n_nationkey % 5) AS right
 FROM (SELECT n_regionkey, substr(n_name, 1, 1) AS n_name, n_nationkey FROM nation) GROUP BY 1, 2 HAVING count(*) > 1
 """)
 def merge_ranges(spark, sf_dir):
