@@ -307,3 +307,17 @@ def test_filter_holds_quantised_counts():
     assert (found >= q).all() and (found == q).mean() > 0.95
     other = rng.integers(0, 2**63, 3000).astype(np.uint64)
     assert (f.levels(other) > 0).mean() < 0.03
+
+
+def test_filter_reads_high_counts_level_by_level():
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
+    counts = np.floor(np.exp(rng.uniform(0, 9, len(keys))))
+    q = lm_scoring.quantised(counts)
+    n = lm_scoring.HASHES
+    width = -(-lm_scoring.BITS * int(q.sum()) // 64) * 64
+    f = lm_scoring.LogFrequencyFilter(np.frombuffer(lm_scoring.region(keys, counts, 1, width, n), np.uint8), 1, width, n)
+    found = f.levels(keys)
+    assert n == 7 and (found >= q).all() and (found == q).mean() > 0.98
+    # A false positive adds a level or two, never a jump to the next power of two.
+    assert (found - q).max() <= 2
