@@ -364,8 +364,21 @@ SELECT l_orderkey AS id, '/lines/@' || l_linenumber || '/q' AS path, 'changed' A
 UNION ALL SELECT l_orderkey, '/lines/@' || l_linenumber || f, 'removed' FROM l, (VALUES ('/q'), ('/n')) AS x(f) WHERE l_orderkey % 50 = 0 AND l_linenumber = 3
 """)
 def keyed_array_diff(spark, sf_dir):
-    """Arrays of lines compared by their number, not their place."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0")
+    """Arrays of lines compared by their number, not their place, of every fiftieth order."""
+    return _line_array_diff(table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL)
+SELECT l_orderkey AS id, '/lines/@' || l_linenumber || '/q' AS path, 'changed' AS kind FROM l WHERE l_linenumber = 2
+UNION ALL SELECT l_orderkey, '/lines/@' || l_linenumber || f, 'removed' FROM l, (VALUES ('/q'), ('/n')) AS x(f) WHERE l_linenumber = 3
+""")
+def keyed_array_diff_all(spark, sf_dir):
+    """Arrays of lines compared by their number, of all orders."""
+    return _line_array_diff(table(spark, sf_dir, "lineitem"))
+
+
+def _line_array_diff(lines):
     lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
 
     def profile(rows, q, descending: bool):

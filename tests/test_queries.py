@@ -40,3 +40,11 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, DATA).columns
+
+
+def test_keyed_array_diff_all_reads_every_order(spark, duck):
+    want = set()
+    for order, line in duck.execute("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber IN (2, 3)").fetchall():
+        want |= {(order, "/lines/@2/q", "changed")} if line == 2 else {(order, f"/lines/@3/{f}", "removed") for f in "qn"}
+    got = [tuple(r) for r in QUERIES["keyed_array_diff_all"](spark, DATA).collect()]
+    assert len(got) == len(want) and set(got) == want and any(r[0] % 50 for r in got)
