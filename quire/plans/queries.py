@@ -138,8 +138,21 @@ SELECT l_orderkey AS doc, l_linenumber AS idx, '壹佰零伍' AS words, CAST(105
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_orderkey % 10 = 0 AND l_linenumber IN (2, 3)
 """)
 def nearest_number(spark, sf_dir):
-    """Amounts in words against the nearest number, over sentences made from line numbers."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0 and l_linenumber in (1, 2, 3)")
+    """Amounts in words against the nearest number, over sentences made from the first lines of every tenth order."""
+    return _line_amounts(table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0 and l_linenumber in (1, 2, 3)"))
+
+
+@query("""
+SELECT l_orderkey AS doc, l_linenumber AS idx, '壹佰零伍' AS words, CAST(105 AS BIGINT) AS words_value,
+  CAST(CASE WHEN l_linenumber = 2 THEN 106 ELSE 99 END AS DOUBLE) AS number_value
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_linenumber <> 1
+""")
+def nearest_number_all(spark, sf_dir):
+    """Amounts in words against the nearest number, over a sentence for every line of every order."""
+    return _line_amounts(table(spark, sf_dir, "lineitem"))
+
+
+def _line_amounts(lines):
     lines = lines.select("l_orderkey", "l_linenumber").distinct()
     near = F.when(F.col("l_linenumber") == 1, "105").when(F.col("l_linenumber") == 2, "106").otherwise("99")
     text = F.concat(F.lit("9,999 and much further on the price is 壹佰零伍 元 ("), near, F.lit(") and 7"))

@@ -48,3 +48,9 @@ def test_keyed_array_diff_all_reads_every_order(spark, duck):
         want |= {(order, "/lines/@2/q", "changed")} if line == 2 else {(order, f"/lines/@3/{f}", "removed") for f in "qn"}
     got = [tuple(r) for r in QUERIES["keyed_array_diff_all"](spark, DATA).collect()]
     assert len(got) == len(want) and set(got) == want and any(r[0] % 50 for r in got)
+
+
+def test_nearest_number_all_reads_every_line(spark, duck):
+    lines = duck.execute("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <> 1").fetchall()
+    got = [(r.doc, r.idx, r.number_value) for r in QUERIES["nearest_number_all"](spark, DATA).collect()]
+    assert sorted(got) == sorted((o, n, 106.0 if n == 2 else 99.0) for o, n in lines) and any(n > 3 for _, n, _ in got)
