@@ -14,11 +14,12 @@ BLOCK = (
 )
 
 
-def flatten_paragraphs(blocks: DataFrame, key: list[str], limit: int = MAX_ITEMS) -> DataFrame:
-    """(key..., block, sub, text, ordinal): a text item for each paragraph that isn't blank, in order."""
+def flatten_paragraphs(blocks: DataFrame, key: list[str], limit: int | None = MAX_ITEMS) -> DataFrame:
+    """(key..., block, sub, text, ordinal): a text item for each paragraph that isn't blank, in order; all if ``limit`` is None."""
     items = blocks.select(*key, "block", F.posexplode("paragraphs").alias("sub", "text")).filter(F.trim("text") != "")
     order = W.partitionBy(*key).orderBy("block", "sub")
-    return items.withColumn("ordinal", F.row_number().over(order).cast("long")).filter(F.col("ordinal") <= limit)
+    numbered = items.withColumn("ordinal", F.row_number().over(order).cast("long"))
+    return numbered if limit is None else numbered.filter(F.col("ordinal") <= limit)
 
 
 def flatten_blocks(blocks: DataFrame, key: list[str], limit: int = MAX_ITEMS) -> DataFrame:

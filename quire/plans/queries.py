@@ -303,7 +303,7 @@ def flatten_items(spark, sf_dir):
     from quire.operators.blocks import flatten_paragraphs
 
     c = table(spark, sf_dir, "conversations")
-    return flatten_paragraphs(c.select("conv_id", F.col("turn").alias("block"), F.split("text", r"\. ").alias("paragraphs")), ["conv_id"])
+    return flatten_paragraphs(c.select("conv_id", F.col("turn").alias("block"), F.split("text", r"\. ").alias("paragraphs")), ["conv_id"], None)
 
 
 @query("""

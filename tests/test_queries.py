@@ -54,3 +54,9 @@ def test_nearest_number_all_reads_every_line(spark, duck):
     lines = duck.execute("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <> 1").fetchall()
     got = [(r.doc, r.idx, r.number_value) for r in QUERIES["nearest_number_all"](spark, DATA).collect()]
     assert sorted(got) == sorted((o, n, 106.0 if n == 2 else 99.0) for o, n in lines) and any(n > 3 for _, n, _ in got)
+
+
+def test_flatten_items_keeps_long_conversations_whole(spark, tmp_path):
+    spark.sql("SELECT 'hot' AS conv_id, id AS turn, 'one. two. three' AS text FROM range(1000)").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["flatten_items"](spark, str(tmp_path)).collect()
+    assert sorted(r.ordinal for r in got) == list(range(1, 3001))
