@@ -1,11 +1,11 @@
-"""Operator 9: exact top-k search by inner product, by MaxScore over shards.
+"""Operator 9: exact top-k search by inner product, by bounds of terms over shards.
 
 A component of a vector is a term, and a shard of the vectors is that term's postings. In a
 shard the largest product that a query's term can have with any posting bounds its score.
-Sorted by these bounds, the terms whose bounds together cannot lift a vector over the query's
-threshold are non-essential: the essential postings are traversed first, and the others are
-probed, term by term, only for vectors whose score so far plus the bounds of what is left is
-still competitive. Shards return their best k for each query and are merged.
+As vectors are dense, every term has postings for every vector, and MaxScore's split into essential
+and non-essential terms degenerates to pruning: all vectors are scored in chunks of terms, those of
+the widest bounds first, and a vector is left out once its score so far plus the bounds of what is
+left is no longer competitive. Shards return their best k for each query and are merged.
 
 Queries and shards meet in cells: a cell is one block of queries and one shard, both of
 bounded size, so no task holds all queries or all vectors.
