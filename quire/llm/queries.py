@@ -73,15 +73,15 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS terms
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS terms
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.terms, c.terms) AS BIGINT) AS score
-  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.row_id AS query, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.terms, c.terms) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.row_id <> c.row_id
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM scored
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
