@@ -1,14 +1,15 @@
 """Operator 5: exact deduplication by a tree-merge of sorted digest runs.
 
 Every partition digests its texts and makes one sorted run: a row for each distinct digest
-with its best row and its count. The runs then meet in rounds: partitions are numbered with
-the digits of a small radix, and in round r those whose numbers differ in digit r alone
-exchange what they hold, each taking the digests whose own digit r is its own. A round with
-radix 2 is the binomial exchange; a larger radix merges more runs at once in fewer rounds.
-Each level merges its runs in sorted order, streaming, and keeps of equal digests the best
-identifier, verified by a second digest and the length of the text. After the last round each
-partition holds a slice of all digests, so no task's share grows with the corpus, and a group
+with its best row and its count. The runs then meet in binomial rounds: in round r the partitions
+whose numbers differ in bit r alone exchange what they hold, each taking the digests whose own
+bit r is its own. Each level merges its runs in sorted order, streaming, and keeps of equal digests
+the best identifier, verified by a second digest and the length of the text. After the last round
+each partition holds a slice of all digests, so no task's share grows with the corpus, and a group
 of copies enters a round with one row for each partition that held it.
+
+The cost is log2(partitions) shuffles of at most one row, about 90 bytes, for each distinct digest
+of each partition.
 """
 
 from __future__ import annotations
@@ -25,22 +26,20 @@ from quire.llm.common import materialize, partitions_of, text_batches, utf8
 
 #: The bytes that the comparison ignores: [\x20\x09-\x0D].
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-#: The widest merge of one round.
-MAX_RADIX = 16
+#: A group of copies is hot from this share of all rows on, so there are at most as many hot groups as its inverse.
+HOT_SHARE = 1 / 1000
 
 _RUN = "sha binary, check long, size long, n_chars long, doc_id long, row_id long, n long, node int, home int"
 _KEY = ("sha", "check", "size")
 
 
-def _mesh(parts: int) -> tuple[int, int]:
-    """Radix and rounds, so that radix ** rounds is at least ``parts``."""
-    rounds = max(1, math.ceil(math.log(max(parts, 2), MAX_RADIX) - 1e-9))
-    radix = max(2, math.ceil(parts ** (1 / rounds) - 1e-9))
-    return radix, rounds
+def binomial_rounds(parts: int) -> int:
+    """The rounds of the binomial exchange: the least r with 2 ** r >= parts."""
+    return max(0, parts - 1).bit_length()
 
 
 def digest_table(docs: DataFrame, nodes: int) -> DataFrame:
-    """One row for each document with the digests of its normalised text; written."""
+    """One row for each document (row_id, doc_id, text) with the digests of its normalised text; written."""
     text_batches(docs.sparkSession)
 
     def digest(batches):
@@ -67,7 +66,7 @@ def digest_table(docs: DataFrame, nodes: int) -> DataFrame:
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
         "doc_id",
         "text",
-        F.monotonically_increasing_id().alias("row_id"),
+        "row_id",
         (F.spark_partition_id() % nodes).cast("int").alias("node"),
     )
     return materialize(rows.mapInArrow(digest, _RUN), "digests")
@@ -99,53 +98,71 @@ def _merged(runs: DataFrame) -> DataFrame:
     return runs.sortWithinPartitions(*best_first).mapInArrow(fold, _RUN)
 
 
-def _target(radix: int, r: int) -> Column:
-    """The node whose digit r is the digest's and whose other digits are the holder's."""
-    step = radix**r
-
-    def digit(c: str) -> Column:
-        return F.floor(F.col(c) / step).cast("int") % radix
+def _target(r: int) -> Column:
+    """The node whose bit r is the digest's and whose other bits are the holder's."""
+    return F.col("node").bitwiseXOR(F.col("node").bitwiseXOR(F.col("home")).bitwiseAND(F.lit(1 << r)))
 
-    return (F.col("node") + (digit("home") - digit("node")) * step).cast("int")
 
-
-def tree_merge(digests: DataFrame, radix: int, rounds: int) -> DataFrame:
-    """All distinct digests with their best row and count, spread over radix ** rounds partitions."""
-    nodes, runs = radix**rounds, _merged(digests)
+def tree_merge(digests: DataFrame, rounds: int) -> DataFrame:
+    """All distinct digests with their best row and count, spread over 2 ** rounds partitions."""
+    runs = _merged(digests)
     for r in range(rounds):
-        runs = runs.withColumn("node", _target(radix, r)).repartitionById(nodes, F.col("node"))
+        runs = runs.withColumn("node", _target(r)).repartitionById(1 << rounds, F.col("node"))
         runs = _merged(runs)
-    return runs
+    return runs if rounds else _merged(runs.coalesce(1))
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """Which rows repeat the text of another, white space aside; a row for each row of ``docs``.
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
 
-    Texts are equal when they are identical without the characters of [\\x20\\x09-\\x0D]; null
-    counts as empty. Of equal texts the row with the most code points stays, then the smallest
-    doc_id (null last), then the first in the input, so of repeated rows exactly one stays.
-    Returns doc_id, keep_id, group_size, kept, text_sha256, and row_id, which
-    ``monotonically_increasing_id()`` over the same table gives again. An empty table gives no
-    rows; columns besides doc_id and text are ignored.
-    """
-    radix, rounds = _mesh(partitions_of(docs))
-    digests = digest_table(docs, radix**rounds)
-    groups = materialize(tree_merge(digests, radix, rounds).filter("n > 1"), "groups").select(
+
+def _verdicts(rows: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, sha, row_id) of each of the rows (row_id, doc_id, text)."""
+    rounds = binomial_rounds(parts)
+    digests = digest_table(rows, 1 << rounds)
+    groups = materialize(tree_merge(digests, rounds).filter("n > 1"), "groups").select(
         *_KEY, F.col("doc_id").alias("keep_id"), F.col("row_id").alias("keep_row"), F.col("n").alias("group_size")
     )
+    # The copies of a hot group meet its one row by broadcast, not in one task.
+    hot = F.col("group_size") > F.lit(max(1, int(digests.count() * HOT_SHARE)))
+    few = F.broadcast(groups.filter(hot))
+    found = digests.join(few, list(_KEY)).unionByName(
+        digests.join(few, list(_KEY), "left_anti").join(groups.filter(~hot), list(_KEY), "left"), allowMissingColumns=True
+    )
     alone = F.col("group_size").isNull()
-    return digests.join(groups, list(_KEY), "left").select(
+    return found.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (alone | (F.col("row_id") == F.col("keep_row"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+        "sha",
         "row_id",
     )
 
 
+def exact_duplicates(docs: DataFrame) -> DataFrame:
+    """Which rows repeat the text of another, white space aside; a row for each row of ``docs``.
+
+    Texts are equal when they are identical without the characters of [\\x20\\x09-\\x0D]; null
+    counts as empty. Of equal texts the row with the most code points stays, then the smallest
+    doc_id (null last), then the first in the input, so of repeated rows exactly one stays.
+    Returns doc_id, keep_id, group_size, kept, text_sha256. An empty table gives no rows; columns
+    besides doc_id and text are ignored.
+    """
+    found = _verdicts(_numbered(docs), partitions_of(docs))
+    return found.withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha", "row_id")
+
+
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ``docs`` is a stable scan."""
-    row = "__row_id"
-    dropped = exact_duplicates(docs).filter(~F.col("kept")).select(F.col("row_id").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti").drop(row)
+    """The rows of ``docs`` that stay, with all their columns.
+
+    The rows are numbered once and written so, as another run of the same plan might number them
+    otherwise. Columns may have any names.
+    """
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names).withColumn("row_id", F.monotonically_increasing_id())
+    numbered = materialize(plain, "numbered")
+    texts = numbered.select(F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text"), "row_id")
+    dropped = _verdicts(texts, partitions_of(numbered)).filter(~F.col("kept")).select("row_id")
+    kept = numbered.join(dropped, "row_id", "left_anti")
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

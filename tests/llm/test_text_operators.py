@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 from tests_llm_data import ODD
 
-from quire.llm import language_id, lm_scoring, near_dedup, secrets, toxicity
+from quire.llm import exact_dedup, language_id, lm_scoring, near_dedup, secrets, toxicity
 from quire.llm.components import components
-from quire.llm.exact_dedup import _mesh, drop_exact_duplicates, exact_duplicates
+from quire.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from quire.llm.near_dedup import FIVE_WORDS, NearParams, drop_near_duplicates, near_duplicates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,10 +86,29 @@ def test_redaction(spark, documents, model):
 # Operator 5
 
 
-def test_mesh_covers_all_partitions():
-    for parts in (1, 2, 12, 49, 211, 5000, 100_000):
-        radix, rounds = _mesh(parts)
-        assert parts <= radix**rounds and radix <= 16
+@pytest.mark.parametrize("parts", [1, 2, 3, 4, 8])
+def test_binomial_rounds(spark, parts):
+    rounds = exact_dedup.binomial_rounds(parts)
+    assert 2**rounds >= parts > 2**rounds // 2
+    docs = spark.createDataFrame([(i, f"t{i % 5}", i) for i in range(40)], "doc_id long, text string, row_id long").repartition(parts)
+    merged = exact_dedup.tree_merge(exact_dedup.digest_table(docs, 2**rounds), rounds)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == rounds
+    got = merged.collect()
+    assert sorted((r.doc_id, r.n) for r in got) == [(i, 8) for i in range(5)]
+    # In the end every digest is at its own node.
+    if rounds:
+        assert all(r.node == r.home for r in got)
+
+
+def test_dropping_from_a_joined_input(spark, documents):
+    left = documents([(i, f"text {i % 30}") for i in range(90)], 5)
+    right = spark.createDataFrame([(i, i % 7) for i in range(90)], "doc_id long, row_id long")
+    for hint in ("broadcast", "merge", "shuffle_hash"):
+        joined = left.join(right.hint(hint), "doc_id").repartition(6)
+        out = drop_exact_duplicates(joined)
+        assert out.columns == joined.columns
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == [(i, f"text {i}") for i in range(30)]
 
 
 def test_exact_duplicates(spark, documents):
