@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch of whole texts; bounds what a Python worker holds at once.
 TEXT_ROWS_PER_BATCH = 500
+#: What a word cache holds in words and values, besides some 150 bytes an entry, and from what length a word isn't kept.
+MEMO_BYTES, LONG_WORD = 64 << 20, 256
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -99,9 +101,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Memo(dict):
     """A word cache that lives as long as its Python worker, of bounded size.
 
-    ``fill(words)`` returns the values of words that are not held. ``limit`` bounds the
-    entries: at the bound the cache starts anew, which costs time and changes no result. A
-    worker holds one cache at a time: when another begins to learn, the last is emptied.
+    ``fill(words)`` returns the values of words that are not held. ``limit`` bounds the entries and
+    ``MEMO_BYTES`` their words' and values' bytes: at a bound the cache starts anew, which costs time
+    and changes no result. Words of over ``LONG_WORD`` bytes are held for the call that needs them
+    alone. A worker holds one cache at a time: when another begins to learn, the last is emptied.
     """
 
     _active: dict | None = None
@@ -109,17 +112,31 @@ class Memo(dict):
     def __init__(self, fill, limit: int = 1_000_000):
         super().__init__()
         self.fill, self.limit = fill, limit
+        self.bytes, self.long = 0, []
+
+    def clear(self) -> None:
+        super().clear()
+        self.bytes, self.long = 0, []
 
     def learn(self, words) -> None:
         alone(self)
         words = set(words)
+        for w in self.long:
+            self.pop(w, None)
         new = [w for w in words if w not in self]
+        self.long = [w for w in new if len(w) > LONG_WORD]
         if not new:
             return
-        if len(self) + len(new) > self.limit:
+        size = sum(map(len, new))
+        if self and (len(self) + len(new) > self.limit or self.bytes + size > MEMO_BYTES):
             self.clear()
             new = list(words)
-        self.update(zip(new, self.fill(new)))
+            self.long = [w for w in new if len(w) > LONG_WORD]
+            size = sum(map(len, new))
+        values = self.fill(new)
+        self.update(zip(new, values))
+        self.bytes += size - sum(map(len, self.long))
+        self.bytes += sum(len(x) for w, x in zip(new, values) if len(w) <= LONG_WORD) if new and isinstance(values[0], bytes) else 0
 
 
 def alone(cache: dict) -> None:

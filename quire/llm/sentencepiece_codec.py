@@ -6,8 +6,13 @@ dummy prefix), the pieces with their scores as a unigram model, or as the merges
 ranked by score, byte fallback, and the decoder. Where no piece holds a mark after another
 character and the normaliser leaves characters alone, a space parts what can't be merged:
 then every distinct word is encoded once by each worker, by several threads in batches, and its
-ids are compared with the sentencepiece library's own. Other models encode whole texts, and
-compare whole texts.
+ids are compared with the sentencepiece library's own; as no piece reaches across a space, the
+words' ids are the text's. Texts with spaces that may merge, and other models', are encoded and
+compared whole.
+
+In a text only normal and user-defined pieces may match. Merges reach no others; a rebuilt unigram
+model holds them (control, unknown, unused, byte) under names that no text has, and byte fallback
+is done on the surfaces of its unknown tokens.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from pyspark.sql import DataFrame
 from quire.llm.common import Memo, text_batches, utf8
 
 MARK = "▁"
+#: Fixed value: what an unknown id decodes to.
+UNKNOWN_TEXT = " \u2047 "
 UNIGRAM, BPE = 1, 2
 # The kinds of pieces in the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -126,28 +133,46 @@ def merges_of(m: PieceModel) -> list[tuple[str, str]]:
     return [(p[:k], p[k:]) for p in ranked for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
 
 
-def build_tokenizer(m: PieceModel):
-    """The tokenizers pipeline that stands for a model."""
+def hidden(m: PieceModel, i: int) -> str:
+    """The name of piece ``i`` where no text may match it: it holds a space, and spaces are replaced before the match.
+
+    Only in models that leave spaces alone could a text match the name, by two noncharacters.
+    """
+    return f" {i} " if m.escape_spaces else f"\ufdd0{i}\ufdd1"
+
+
+def build_tokenizer(m: PieceModel, decoding: bool = False):
+    """The tokenizers pipeline that stands for a model: its encoder, or its decoder with all pieces' own names."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.remove_extra_spaces:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if m.add_dummy_prefix:
         steps.append(normalizers.Prepend(MARK if m.escape_spaces else " "))
     if m.escape_spaces:
         steps.append(normalizers.Replace(" ", MARK))
+    if m.remove_extra_spaces:
+        # Marks of the text's own at its end go too.
+        steps.append(normalizers.Replace(Regex(f"{MARK if m.escape_spaces else ' '}+$"), ""))
+    usual = [s for _, s, kind in m.pieces if kind == NORMAL]
+    least = min(usual, default=0.0)
+    if decoding:
+        pieces = [(UNKNOWN_TEXT if kind == UNKNOWN else p, s) for p, s, kind in m.pieces]
+    elif m.model_type == UNIGRAM:
+        pieces = [(p, s) if kind in (NORMAL, USER_DEFINED) else (hidden(m, i), least) for i, (p, s, kind) in enumerate(m.pieces)]
+    else:
+        pieces = [(p, s) for p, s, _ in m.pieces]
     if m.model_type == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
+        model = models.Unigram(pieces, m.unk_id, False)
     else:
-        vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
-        model = models.BPE(vocab, merges_of(m), unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+        vocab = {p: i for i, (p, _) in enumerate(pieces)}
+        model = models.BPE(vocab, merges_of(m), unk_token=pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback)
     t = Tokenizer(model)
     t.normalizer = normalizers.Sequence(steps)
-    tail = [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
+    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
     own = [AddedToken(p, normalized=False) for p, _, kind in m.pieces if kind == USER_DEFINED]
-    if own:
+    if own and not decoding:
         t.add_tokens(own)
     return t
 
@@ -159,56 +184,95 @@ def parted_by_spaces(m: PieceModel) -> bool:
     return plain and not inner and m.model_type == BPE and all(kind != USER_DEFINED for _, _, kind in m.pieces)
 
 
+class _Words(Memo):
+    """A word cache that forgets a word's verdict only together with the word."""
+
+    def __init__(self, fill, unlike: set[bytes]):
+        super().__init__(fill)
+        self.unlike = unlike
+
+    def clear(self) -> None:
+        super().clear()
+        self.unlike.clear()
+
+
 class PieceCodec:
     """Encodes and decodes with one model; keeps a bounded cache of words."""
 
-    def __init__(self, path: str, threads: int = 2):
+    def __init__(self, path: str | bytes, threads: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
 
-        with open(path, "rb") as f:
-            data = f.read()
-        self.model = parse_model(data)
-        self.tokenizer = build_tokenizer(self.model)
+        data = path
+        if isinstance(path, str):
+            with open(path, "rb") as f:
+                data = f.read()
+        m = self.model = parse_model(data)
+        self.tokenizer, self.decoder = build_tokenizer(m), build_tokenizer(m, decoding=True)
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.by_word = parted_by_spaces(self.model)
-        self.memo = Memo(self._words)
+        self.by_word = parted_by_spaces(m)
         self.unlike: set[bytes] = set()
-
-    def _both(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of texts; those whose ids differ from the sentencepiece library's are noted."""
+        self.memo = _Words(self._words, self.unlike)
+        # Fixed value: the names of byte pieces.
+        bytes_at = {p: i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
+        self.byte_ids = [bytes_at.get(f"<0x{b:02X}>", m.unk_id) for b in range(256)] if m.byte_fallback else None
+        self.silent = np.array([kind == CONTROL for _, _, kind in m.pieces])
+        self.marked = [kind != UNKNOWN and p.startswith(MARK) for p, _, kind in m.pieces]
+        self.bare = {i for i, (p, _, _) in enumerate(m.pieces) if p == MARK and m.remove_extra_spaces}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts; a unigram model's unknown token stands for the bytes of its surface, with byte fallback."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.model.model_type == UNIGRAM and self.byte_ids:
+            unknown, of = self.model.unk_id, self.byte_ids.__getitem__
+            some = [k for k, x in enumerate(ids) if unknown in x]
+            # Only the slower call keeps the surfaces.
+            for k, e in zip(some, self.tokenizer.encode_batch([texts[k] for k in some], add_special_tokens=False)):
+                ids[k] = [x for i, t in zip(e.ids, e.tokens) for x in ([i] if i != unknown else map(of, t.encode()))]
+        return ids
+
+    def _both(self, texts: list[bytes]) -> tuple[list[bytes], list[bool]]:
+        """Packed ids of texts, and whether each text's are the sentencepiece library's own."""
         some = [t.decode() for t in texts]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        if len(self.unlike) > 100_000:
-            self.unlike.clear()
-        self.unlike.update(t for t, a, b in zip(texts, ids, self.own.encode(some, num_threads=1)) if a != b)
-        return [np.asarray(x, dtype="<u4").tobytes() for x in ids]
+        ids = self._ids(some)
+        agree = [a == b for a, b in zip(ids, self.own.encode(some, num_threads=1))]
+        return [np.asarray(x, dtype="<u4").tobytes() for x in ids], agree
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        return self._both(words)
+        ids, agree = self._both(words)
+        self.unlike.update(w for w, same in zip(words, agree) if not same)
+        return ids
 
     def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[bool]]:
         """The packed ids of each text, and whether both libraries agree on it."""
         if not self.by_word:
-            ids = self._both(texts)
-            return ids, [t not in self.unlike for t in texts]
+            return self._both(texts)
         out, agree = [], []
         split = [t.split(b" ") for t in texts]
         self.memo.learn(w for words in split if b"" not in words for w in words)
         get = self.memo.__getitem__
         for t, words in zip(texts, split):
             if b"" in words:  # several spaces in a row, or at an end: marks may merge
-                out += self._both([t]) if t else [b""]
-                agree.append(t not in self.unlike)
+                ids, same = self._both([t]) if t else ([b""], [True])
+                out += ids
+                agree += same
             else:
                 out.append(b"".join(map(get, words)))
                 agree.append(not self.unlike or self.unlike.isdisjoint(words))
         return out, agree
 
     def decode(self, packed: list[bytes]) -> list[str]:
-        """The texts of packed ids."""
-        return self.tokenizer.decode_batch([np.frombuffer(x, dtype="<u4").tolist() for x in packed], skip_special_tokens=False)
+        """The texts of packed ids; control pieces have none."""
+        some = [np.frombuffer(x, dtype="<u4") for x in packed]
+        some = [(x[~self.silent[x]] if len(x) else x).tolist() for x in some]
+        if self.bare:
+            some = [x[next((k for k, i in enumerate(x) if i not in self.bare), len(x)) :] for x in some]
+        texts = self.decoder.decode_batch(some, skip_special_tokens=False)
+        if not (self.model.add_dummy_prefix or self.model.remove_extra_spaces):
+            return texts
+        # The mark of the first piece stands for the beginning, not for a space.
+        return [t[1:] if x and self.marked[x[0]] else t for x, t in zip(some, texts)]
 
 
 @lru_cache(maxsize=2)

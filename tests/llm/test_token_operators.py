@@ -1,12 +1,13 @@
 """Operators 1, 3 and 10 against the libraries' own results."""
 
+import struct
 import zlib
 
 import numpy as np
 import pytest
 from tests_llm_data import ODD
 
-from quire.llm import token_files
+from quire.llm import common, token_files
 from quire.llm.packing import pack_documents
 from quire.llm.queries import PIECE_MODEL, WORD_TOKENIZER, tokenizer_path
 from quire.llm.sentencepiece_codec import PieceCodec, codec_report, decode_documents, encode_documents, merges_of, parse_model, wire_fields
@@ -132,3 +133,77 @@ def test_piece_documents(spark, documents):
     back = {(r.doc_id, r.text) for r in decode_documents(encoded, PIECES).collect()}
     assert back == {(i, t or "") for i, t in ODD if i is not None}
     assert codec_report(documents([]), PIECES).count() == 0
+
+
+def _field(number, value):
+    """One field of a protobuf message, by its Python type."""
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_model(byte_fallback, spaces=False):
+    """A small unigram model file, written by hand: plain letters, some words, and pieces that no text may match."""
+    letters = "abcdefghijklmnopqrstuvwxyzé0123456789<>/x"
+    words = ["▁the", "▁hello", "he", "llo", "an", "and", "▁", "▁a", "s>", "<0", "unk", "ing", "▁word", "or", "un"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("gone", -1.0, 5)]
+    if byte_fallback:
+        pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    pieces += [(w, -2.0 - k / 7, 1) for k, w in enumerate(words)] + [(c, -6.0 - k / 9, 1) for k, c in enumerate(dict.fromkeys(letters))]
+    body = b"".join(_field(1, _field(1, p) + _field(2, s) + (_field(3, k) if k != 1 else b"")) for p, s, k in pieces)
+    body += _field(2, _field(3, 1) + _field(35, int(byte_fallback)) + _field(40, 0) + _field(41, 1) + _field(42, 2))
+    return body + _field(3, _field(1, "identity") + _field(3, 1) + _field(4, int(spaces)) + _field(5, 1))
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+@pytest.mark.parametrize("spaces", [False, True])
+def test_unigram_codec_parity(byte_fallback, spaces):
+    c = PieceCodec(unigram_model(byte_fallback, spaces))
+    texts = [
+        *TRICKY[:5], "<s> hello </s>", "a<0x41>b", "<unk>x", "gone <0xE4>", "the hello and  the   word ", " lead", "é中文😀ÿ", "中", "﷐1﷑ a",
+        "the hello and unhelloing wordor", "a" * 400, "▁mark▁", "tab\tand\nline",
+    ]
+    ids, agree = c.encode([t.encode() for t in texts])
+    assert not c.by_word
+    for t, x, same in zip(texts, ids, agree):
+        own = np.frombuffer(x, "<u4").tolist()
+        assert own == c.own.encode(t) and same, t
+        assert c.decode([x])[0] == c.own.decode(own)
+
+
+def test_decoding_of_control_and_unknown_ids():
+    for c in (PieceCodec(unigram_model(False)), PieceCodec(PIECES)):
+        ids = [1, *c.own.encode("hello and"), 0, *c.own.encode("the"), 2]
+        assert c.decode([np.array(ids, "<u4").tobytes()])[0] == c.own.decode(ids)
+        assert c.decode([b""]) == [""]
+
+
+def test_a_mismatch_stays_one():
+    c = PieceCodec(PIECES)
+    c.memo.limit = 5
+    encode = c.own.encode
+    c.own = type("Other", (), {"encode": lambda self, some, num_threads=1: [[7] if t == "odd" else ids for t, ids in zip(some, encode(some))]})()
+    for words in ([b"odd a"], [b"b c", b"odd"], [b"d e f g h", b"x y", b"odd z"], [b"odd"], [b"odd  spaces", b"plain"]):
+        _, agree = c.encode(words)
+        assert agree == [b"odd" not in w.split() or b"  " in w for w in words]
+    # More words than the old bound of noted mismatches.
+    c.memo.limit = 300_000
+    c.encode([b"w%d" % k for k in range(100_010)])
+    assert c.encode([b"odd", b"w1"])[1] == [False, True]
+
+
+def test_word_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(common, "MEMO_BYTES", 1000)
+    memo = common.Memo(lambda words: [w[:4] for w in words])
+    for k in range(200):
+        words = [b"%d-%d" % (k, i) * 3 for i in range(20)] + [b"x%d" % k * 400]
+        memo.learn(words)
+        assert [memo[w] for w in words] == [w[:4] for w in words]
+        assert sum(map(len, memo)) < 1000 + 2000 and sum(len(w) > common.LONG_WORD for w in memo) == 1
