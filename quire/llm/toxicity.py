@@ -7,8 +7,9 @@ between them. A document's expected severity is the sum of these probabilities.
 Features are the distinct words of the whole text, lower-cased and stripped of punctuation,
 and their beginnings of three to seven letters (stems under changing endings), hashed to 64 bits
 and counted. Only features are kept whose frequency among the fit's documents differs between
-grades by more than chance allows, so the weights are few and reach every worker by broadcast:
-``max_features`` bounds them.
+grades by more than ``z`` standard deviations; the bound is low, so that few labels suffice, and the
+penalty on the weights keeps what is there by chance small. The weights reach every worker by broadcast;
+``max_features`` bounds them. The cut between toxic and other documents is chosen out of fold.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ _MARKS = b"\"'`.,;:!?()[]{}<>*#$%&@^~|/\\-_+="
 @dataclass(frozen=True)
 class FitParams:
     """``sample`` bounds the labelled documents that the fit reads, about that many; the bound is on the
-    fit alone, and which documents it takes depends on the hash of their doc_id."""
+    fit alone, and which documents it takes depends on the hash of their doc_id. ``z`` is the bound of
+    chance, ``folds`` part the documents for the choice of the cut, ``l2`` is the penalty."""
 
     sample: int = 4_000
-    least_docs: int = 8
-    z: float = 5.0
+    z: float = 2.0
+    folds: int = 4
     max_features: int = 20_000
-    l2: float = 0.02
-    steps: int = 300
+    l2: float = 2.0
+    steps: int = 200
 
 
 @dataclass(frozen=True)
@@ -96,65 +98,94 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+class _Sample:
+    """The labelled documents of a fit: their features as columns of a sparse table."""
+
+    def __init__(self, rows: list[np.ndarray], grades: np.ndarray):
+        self.n, sizes = len(rows), np.array([len(r) for r in rows])
+        self.keys, column = np.unique(np.concatenate(rows), return_inverse=True)
+        self.grades, self.levels = grades, np.unique(grades)
+        self.toxic = grades > self.levels[0]
+        # A document's column once, and how often its words have it.
+        pair = np.repeat(np.arange(self.n), sizes) * len(self.keys) + column
+        pair, self.times = np.unique(pair, return_counts=True)
+        self.owner, self.column = np.divmod(pair, max(1, len(self.keys)))
+
+    def surprise(self, use: np.ndarray) -> np.ndarray:
+        """How far each feature's share of toxic documents, of those in ``use``, is from all documents' in standard deviations."""
+        mine = use[self.owner]
+        column, toxic = self.column[mine], self.toxic[self.owner[mine]]
+        total, among = (np.bincount(column, weights=w, minlength=len(self.keys)) for w in (None, toxic.astype(float)))
+        share = self.toxic[use].mean()
+        return np.where(total >= 2, np.abs(among - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9)), 0)
+
+    def fit(self, use: np.ndarray, p: FitParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(features, weights, thresholds) from the documents in ``use``, by gradient steps with momentum on the penalised likelihood."""
+        surprise = self.surprise(use)
+        keep = np.flatnonzero(surprise > p.z)
+        if len(keep) > p.max_features:
+            keep = np.sort(keep[np.argsort(-surprise[keep], kind="stable")[: p.max_features]])
+        place = np.full(len(self.keys), -1)
+        place[keep] = np.arange(len(keep))
+        mine = use[self.owner] & (place[self.column] >= 0)
+        row = np.cumsum(use) - 1
+        owner, column, times = row[self.owner[mine]], place[self.column[mine]], self.times[mine].astype(float)
+        grades, n = self.grades[use], int(use.sum())
+        above = (grades[:, None] > self.levels[None, :-1]).astype(float)
+        mean = np.clip(above.mean(axis=0), 1e-6, 1 - 1e-6)
+        w, thresholds = np.zeros(len(keep)), np.log((1 - mean) / mean)
+        moves = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, thresholds)]
+        for t in range(1, p.steps + 1):
+            margin = np.bincount(owner, weights=w[column] * times, minlength=n)
+            error = _sigmoid(margin[:, None] - thresholds[None, :]) - above
+            gw = np.bincount(column, weights=error.sum(axis=1)[owner] * times, minlength=len(w)) / n + p.l2 * w / n
+            for x, g, (move, scale) in zip((w, thresholds), (gw, -error.mean(axis=0)), moves):
+                move += 0.1 * (g - move)
+                scale += 0.01 * (g * g - scale)
+                x -= 0.3 / (1 + t / 100) * (move / (1 - 0.9**t)) / (np.sqrt(scale / (1 - 0.99**t)) + 1e-8)
+            thresholds = np.maximum.accumulate(thresholds, out=thresholds)
+        return keep, w, thresholds
+
+    def p_toxic(self, some: np.ndarray, keep: np.ndarray, w: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+        """The probability of any severity of the documents in ``some``."""
+        weights = np.zeros(len(self.keys))
+        weights[keep] = w
+        mine = some[self.owner]
+        margin = np.bincount(self.owner[mine], weights=weights[self.column[mine]] * self.times[mine], minlength=self.n)
+        return _sigmoid(margin[some] - thresholds[0])
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, p: FitParams) -> OrdinalModel:
-    """Fit weights and thresholds by gradient steps with momentum on the penalised likelihood."""
-    none = OrdinalModel(np.empty(0, np.uint64), np.empty(0), np.empty(0))
-    levels = np.unique(grades)
-    if len(rows) == 0 or len(levels) < 2:
-        return none
-    n, sizes = len(rows), np.array([len(r) for r in rows])
-    keys, column = np.unique(np.concatenate(rows), return_inverse=True)
-    column = column.astype(np.int32)
-    toxic = (grades > levels[0]).astype(float)
-    share = toxic.mean()
-    total, among = np.zeros(len(keys), dtype=np.int32), np.zeros(len(keys), dtype=np.int32)
-    for bad, end, size in zip(toxic > 0, np.cumsum(sizes), sizes):
-        has = np.unique(column[end - size : end])
-        total[has] += 1
-        if bad:
-            among[has] += 1
-    spread = np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
-    score = np.abs(among - total * share) / spread
-    keep = np.flatnonzero((score > p.z) & (total >= p.least_docs))
-    if len(keep) > p.max_features:
-        keep = np.sort(keep[np.argsort(-score[keep], kind="stable")[: p.max_features]])
-    place = np.full(len(keys), -1)
-    place[keep] = np.arange(len(keep))
-    column = place[column]
-    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[column >= 0]
-    column = column[column >= 0]
-    w, thresholds = np.zeros(len(keep)), np.array([-np.log((m := np.clip((grades > k).mean(), 1e-6, 1 - 1e-6)) / (1 - m)) for k in levels[:-1]])
-    above = (grades[:, None] > levels[None, :-1]).astype(float)
-    move_w, move_b = np.zeros_like(w), np.zeros_like(thresholds)
-    scale_w, scale_b = np.zeros_like(w), np.zeros_like(thresholds)
-    for t in range(1, p.steps + 1):
-        margin = np.bincount(owner, weights=w[column], minlength=n)
-        error = _sigmoid(margin[:, None] - thresholds[None, :]) - above
-        gw = np.bincount(column, weights=error.sum(axis=1)[owner], minlength=len(w)) / n + p.l2 * w / n
-        gb = -error.mean(axis=0)
-        for g, move, scale in ((gw, move_w, scale_w), (gb, move_b, scale_b)):
-            move *= 0.9
-            move += 0.1 * g
-            scale *= 0.99
-            scale += 0.01 * g * g
-        rate = 0.3 / (1 + t / 100)
-        w -= rate * (move_w / (1 - 0.9**t)) / (np.sqrt(scale_w / (1 - 0.99**t)) + 1e-8)
-        thresholds -= rate * (move_b / (1 - 0.9**t)) / (np.sqrt(scale_b / (1 - 0.99**t)) + 1e-8)
-        thresholds = np.maximum.accumulate(thresholds)
-    margin = np.bincount(owner, weights=w[column], minlength=n)
-    return OrdinalModel(keys[keep], w, thresholds, best_cut(_sigmoid(margin - thresholds[0]), toxic > 0))
-
-
-def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the gap between probabilities where the F1 measure of the fit is highest."""
+    """The model of all rows, with the cut that serves best out of fold.
+
+    A model fitted without each fold is read on it; the cut parts toxic from other documents best,
+    by F1, in these readings.
+    """
+    if len(rows) == 0 or len(np.unique(grades)) < 2:
+        return OrdinalModel(np.empty(0, np.uint64), np.empty(0), np.empty(0))
+    s = _Sample(rows, grades)
+    # Folds deal out the documents of each grade in turn.
+    fold = np.empty(s.n, dtype=np.int64)
+    fold[np.argsort(grades, kind="stable")] = np.arange(s.n) % p.folds
+    read = np.full(s.n, 0.5)
+    for f in range(p.folds):
+        use = fold != f
+        if not use.all() and len(np.unique(grades[use])) == len(s.levels):
+            read[~use] = s.p_toxic(~use, *s.fit(use, p))
+    keep, w, thresholds = s.fit(np.ones(s.n, dtype=bool), p)
+    return OrdinalModel(s.keys[keep], w, thresholds, best_cut(read, s.toxic)[0])
+
+
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """The middle of the gap between probabilities where F1 is highest, the highest such gap where some tie, and that F1."""
     values, inverse = np.unique(np.round(p, 6), return_inverse=True)
     if len(values) < 2:
-        return 0.5
+        return 0.5, 0.0
     hits = np.bincount(inverse, weights=toxic, minlength=len(values))[::-1].cumsum()[::-1]
     taken = np.bincount(inverse, minlength=len(values))[::-1].cumsum()[::-1]
     f1 = 2 * hits / (taken + toxic.sum())
-    best = 1 + int(f1[1:].argmax())
-    return float((values[best - 1] + values[best]) / 2)
+    best = len(values) - 1 - int(f1[1:][::-1].argmax())
+    return float((values[best - 1] + values[best]) / 2), float(f1[best])
 
 
 def train(docs: DataFrame, grades: DataFrame, p: FitParams = FitParams()) -> OrdinalModel:

@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -242,9 +244,41 @@ def test_toxicity_without_labels(spark, documents):
     assert len(got) == len(ODD) and not any(r.toxic or r.expected_severity for r in got)
 
 
+def test_toxicity_of_no_documents(spark, documents):
+    lab = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    empty = documents([])
+    assert toxicity.toxicity_report(empty, lab).count() == 0 and toxicity.drop_toxic(empty, lab).columns == empty.columns
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_labelled_toxic_documents_are_caught(sf):
+    """Some labelled documents of the tables hold nothing toxic any more (junk replaced their text), so not all can be."""
+    docs, labels = f"/root/testdata/{sf}/documents.parquet", f"/root/testdata/{sf}/labels.parquet"
+    if not os.path.exists(docs):
+        pytest.skip("no test tables")
+    rows = duckdb.sql(
+        f"""SELECT coalesce(any_value(text), ''), max(CASE WHEN toxic = 0 THEN 0 WHEN quality = 0 THEN 2 ELSE 1 END)
+        FROM '{docs}' JOIN '{labels}' USING (doc_id) WHERE toxic IN (0, 1) GROUP BY doc_id ORDER BY doc_id"""
+    ).fetchall()
+    sets, grades = toxicity.features([t.encode() for t, _ in rows]), np.array([g for _, g in rows])
+    m = toxicity.fit_ordinal(sets, grades, toxicity.FitParams())
+    w = dict(zip(m.keys.tolist(), m.weights.tolist()))
+    p = 1 / (1 + np.exp(m.thresholds[0] - np.array([sum(w.get(k, 0.0) for k in s.tolist()) for s in sets])))
+    toxic, hit = grades > 0, p > m.cut
+    assert (hit & toxic).sum() >= 0.98 * toxic.sum() and (hit & ~toxic).sum() <= 0.005 * (~toxic).sum()
+
+
+def test_cut_breaks_ties_upwards():
+    assert toxicity.best_cut(np.array([0.1, 0.4, 0.4, 0.8]), np.array([0, 0, 1, 1]) > 0)[0] == pytest.approx(0.25)
+    # Above 0.3 and above 0.9 are equally good; the higher cut is taken.
+    cut, f1 = toxicity.best_cut(np.array([0.2, 0.4, 0.4, 0.4, 0.9, 0.95]), np.array([0, 1, 0, 0, 0, 1]) > 0)
+    assert cut == pytest.approx(0.925) and f1 == pytest.approx(2 / 3)
+    assert toxicity.best_cut(np.array([0.5, 0.5]), np.array([True, False])) == (0.5, 0.0)
+
+
 def test_thresholds_share_weights():
     rows = [np.array([k], np.uint64) for k in (1, 2, 3)] * 60
-    m = toxicity.fit_ordinal(rows, np.array([0, 1, 2] * 60), toxicity.FitParams(z=1.0))
+    m = toxicity.fit_ordinal(rows, np.array([0, 1, 2] * 60), toxicity.FitParams(z=1.0, l2=0.02))
     assert list(m.thresholds) == sorted(m.thresholds) and len(m.thresholds) == 2
     w = dict(zip(m.keys.tolist(), m.weights.tolist()))
     assert w.get(1, 0) < w.get(2, 0) < w.get(3, 0)
