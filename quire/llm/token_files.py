@@ -3,14 +3,18 @@
 A block holds some whole documents' ids and is coded by itself: its model starts afresh and
 its checksums cover both the coded bytes and the ids. Inside a block the ids form many lanes
 of equal length that are coded side by side, one id of every lane in a step, so that numpy
-does each step for all lanes at once; all lanes teach one model. An id's probability mixes
+does each step for all lanes at once; all lanes teach one model. An id's probability is the mixture of
 
 * order 2: the id that last followed the two ids before it (a hashed table),
 * order 1: the id that last followed the id before it,
-* order 0: the frequencies of all ids so far, brought up to date from time to time,
+* order 0: the frequencies of the ids so far after an id of the same group, in lanes of the same
+  class and in all lanes (ids form two groups: those that end a word, where the tokenizer has such),
 
-with weights that adapt to how often predictions of such confidence were right. Each lane has
-a carryless range coder of 64 bits that puts out words of 16.
+with weights that adapt to the share that each prediction of such confidence had in the
+probabilities of the ids that came. A lane's class is found before coding (a few rounds of
+clustering lanes by their ids, most often by language) and written with the block, as are the groups and
+which ids occur at all: the model numbers those alone. Each lane has a carryless range coder of 64 bits that puts out words of 16. All of the model is in integers, so that
+every machine decodes alike.
 
 The files are Parquet, as the container that every Spark store can commit and split: a row is
 a block (part, block, local_start, n_docs, n_ids, payload), rows are in ascending doc_id.
@@ -27,90 +31,151 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions_of, table_path, text_batches, utf8
+from quire.llm.common import mix64, partitions_of, table_path, text_batches, utf8
 from quire.llm.token_ids import encoder
 
 BLOCK_IDS = 1 << 20
-MAX_LANES, LANE_IDS = 8192, 128
-_MAGIC = b"QTB1"
+MAX_LANES, LANE_IDS = 4096, 128
+_MAGIC = b"QTB2"
 _HEAD = struct.Struct("<4sIIIII")
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 40)
 _W16, _W48 = _U(16), _U(48)
-#: Bits of the mixing weights and of the order-0 frequencies.
-_FLAG_BITS, _ZERO_BITS = 12, 20
+#: Bits of the mixing weights; those of the order-0 frequencies follow the distinct ids, up to a bound.
+_MIX_BITS, _MAX_ZERO_BITS = 12, 20
 _CONFIDENT = 7
+#: Classes of lanes, the ids of a lane that clustering reads, and its rounds.
+CLASSES, _CLASS_IDS, _CLASS_ROUNDS = 6, 24, 5
+_TABLES = 2 * CLASSES
+
+
+def lane_classes(grid: np.ndarray) -> np.ndarray:
+    """The class of each lane of (steps, lanes): hard clustering by the ids' frequencies."""
+    some = grid[:: max(1, len(grid) // _CLASS_IDS)][:_CLASS_IDS]
+    lanes = some.shape[1]
+    # Neighbours most often belong to one document, so they begin in one class.
+    of = (mix64(np.arange(lanes, dtype=_U) // _U(4)) >> _U(33)).astype(np.int64) % CLASSES
+    values, at = np.unique(some, return_inverse=True)
+    at, width = at.reshape(some.shape), len(values)
+    prior = 0.5 * np.bincount(at.ravel(), minlength=width) / at.size
+    for _ in range(_CLASS_ROUNDS):
+        counts = np.bincount((of * width + at).ravel(), minlength=CLASSES * width).reshape(CLASSES, width)
+        share = np.log(0.5 * counts / np.maximum(1, counts.sum(axis=1, keepdims=True)) + prior)
+        of = np.stack([share[c][at].sum(axis=0) for c in range(CLASSES)]).argmax(axis=0)
+    return of.astype(np.uint8)
 
 
 class _Model:
-    """The adaptive predictions of one block; coder and decoder drive it in the same way."""
-
-    def __init__(self, n_ids: int, vocab: int, lanes: int):
-        self.vocab = vocab
-        self.mask = (1 << max(10, min(18, n_ids.bit_length()))) - 1
-        self.second = np.zeros(self.mask + 1, dtype=np.int64)  # id << 3 | confidence
-        self.first = np.zeros(vocab, dtype=np.int64)
+    """The adaptive predictions of one block, of ids numbered from 0; coder and decoder drive it in the same way."""
+
+    def __init__(self, n_ids: int, vocab: int, of: np.ndarray, groups: np.ndarray):
+        self.vocab, self.of, lanes = vocab, of.astype(np.int64) * 2, len(of)
+        self.groups = groups.astype(np.int64)
+        self.bits = min(_MAX_ZERO_BITS, max(12, (vocab * 24).bit_length()))
+        self.one = 1 << self.bits
+        if 2 * vocab > self.one:
+            raise ValueError(f"a block has more than {self.one // 2} distinct ids")
+        self.mask = (1 << max(10, min(20, n_ids.bit_length()))) - 1
+        self.second = np.zeros(self.mask + 1, dtype=np.int64)  # check << 40 | id << 3 | confidence
+        self.first = np.zeros(vocab, dtype=np.int64)  # id << 3 | confidence
         self.prior = [np.zeros(lanes, dtype=np.int64) for _ in range(2)]  # the last id, the one before
-        self.flags = np.tile(np.array([2.0, 1.0, 8.0]), (64, 1))
-        self.counts = np.zeros(vocab, dtype=np.int64)
+        self.shares = np.tile(np.array([2, 1, 16], dtype=np.int64) << 10, (128, 1))
+        self.counts = np.zeros((_TABLES, vocab), dtype=np.int64)
         self.recent: list[np.ndarray] = []
         self.step, self.due = 0, 1
         self._weights()
         self._zero()
 
     def _weights(self) -> None:
-        total = self.flags.sum(axis=1, keepdims=True)
-        f = 1 + np.floor(self.flags * ((1 << _FLAG_BITS) - 3) / total).astype(np.int64)
-        f[:, 2] += (1 << _FLAG_BITS) - f.sum(axis=1)
-        c = np.cumsum(f, axis=1) - f
-        self.flag_freq, self.flag_cum = f.astype(_U).ravel(), c.astype(_U).ravel()
-        self.edge1, self.edge2 = c[:, 1].astype(_U), c[:, 2].astype(_U)
+        total = self.shares.sum(axis=1, keepdims=True)
+        f = 1 + self.shares * ((1 << _MIX_BITS) - 3) // total
+        f[:, 2] += (1 << _MIX_BITS) - f.sum(axis=1)
+        self.w2, self.w1, self.w0 = (np.ascontiguousarray(f[:, k]) for k in range(3))
 
     def _zero(self) -> None:
-        room, total = (1 << _ZERO_BITS) - self.vocab, max(1, int(self.counts.sum()))
-        f = 1 + self.counts * room // total
-        f[int(f.argmax())] += (1 << _ZERO_BITS) - int(f.sum())
-        self.zero_freq = f.astype(_U)
-        self.zero_cum = (np.cumsum(f) - f).astype(_U)
+        every = self.counts.reshape(CLASSES, 2, self.vocab).sum(axis=0)
+        room = self.one - self.vocab
+        general = np.tile(every * (room >> 3) // np.maximum(1, every.sum(axis=1, keepdims=True)), (CLASSES, 1))
+        own = np.maximum(1, self.counts.sum(axis=1, keepdims=True))
+        f = 1 + general + self.counts * (room - (room >> 3)) // own
+        f[np.arange(_TABLES), f.argmax(axis=1)] += self.one - f.sum(axis=1)
+        self.zero_freq = f.ravel()
+        self.zero_cum = (np.cumsum(f, axis=1) - f).ravel()
         self._slots = None
 
     @property
     def slots(self) -> np.ndarray:
-        """The id of each value of the order-0 range."""
+        """The id of each value of each class's order-0 range."""
         if self._slots is None:
-            self._slots = np.repeat(np.arange(self.vocab), self.zero_freq.astype(np.int64))
+            self._slots = np.repeat(np.tile(np.arange(self.vocab, dtype=np.int32), _TABLES), self.zero_freq)
         return self._slots
 
-    def predict(self, n: int):
-        """For the first ``n`` lanes: both tables' entries, their places, and the weights' context."""
+    def predict(self, n: int) -> None:
+        """For the first ``n`` lanes: both tables' entries and their places, and the weights."""
         a, b = self.prior[0][:n], self.prior[1][:n]
-        self.at2 = (a * 0x2F0B4F35 + b * 0x1B873593 >> 9) & self.mask
+        h = a * 0x2F0B4F35 + b * 0x1B873593
+        self.at2, self.check = h >> 9 & self.mask, (h >> 29 & 0x3FFF) << 40
         self.at1 = a
         self.e2, self.e1 = self.second[self.at2], self.first[a]
-        self.sure2, self.sure1 = self.e2 & 7, self.e1 & 7
-        self.base = (self.sure2 * 8 + self.sure1) * 3
-        self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
-
-    def learn(self, ids: np.ndarray, flag: np.ndarray) -> None:
-        n = len(ids)
-        fresh = ids << 3 | 1
-        for table, at, e, sure, p in (
-            (self.second, self.at2, self.e2, self.sure2, self.p2),
-            (self.first, self.at1, self.e1, self.sure1, self.p1),
-        ):
-            table[at] = np.where(p == ids, e + (sure < _CONFIDENT), np.where(sure > 0, e - 1, fresh))
-        self.flags += np.bincount(self.base + flag, minlength=192).reshape(64, 3)
+        known = self.e2 >> 40 == self.check >> 40
+        self.sure2, self.sure1 = np.where(known, self.e2 & 7, 0), self.e1 & 7
+        self.p2, self.p1 = self.e2 >> 3 & 0xFFFFFFFF, self.e1 >> 3
+        self.base = (self.sure2 * 8 + self.sure1) * 2 + (self.p2 == self.p1)
+        # Weights of the spikes, on the scale of the mixture's whole range.
+        self.s2, self.s1, self.s0 = self.w2[self.base] << self.bits, self.w1[self.base] << self.bits, self.w0[self.base]
+        self.table = self.of[:n] + self.groups[a]
+        self.row = self.table * self.vocab
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each id's part of the range begins, and its size."""
+        at = self.row + x
+        low = self.s0 * self.zero_cum[at] + np.where(x > self.p2, self.s2, 0) + np.where(x > self.p1, self.s1, 0)
+        self.part0 = self.s0 * self.zero_freq[at]
+        self.part2, self.part1 = np.where(x == self.p2, self.s2, 0), np.where(x == self.p1, self.s1, 0)
+        return low, self.part0 + self.part1 + self.part2
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids in whose parts the values lie."""
+        swap = self.p1 < self.p2
+        a, b = np.where(swap, self.p1, self.p2), np.where(swap, self.p2, self.p1)
+        sa, sb = np.where(swap, self.s1, self.s2), np.where(swap, self.s2, self.s1)
+        at_a, at_b = self.row + a, self.row + b
+        # Both spikes may stand on one id; the second is then empty to all that follows.
+        sa, sb = np.where(a == b, sa + sb, sa), np.where(a == b, 0, sb)
+        low_a = self.s0 * self.zero_cum[at_a]
+        low_b = self.s0 * self.zero_cum[at_b] + sa
+        past_a = v >= low_a + self.s0 * self.zero_freq[at_a] + sa
+        past_b = v >= low_b + self.s0 * self.zero_freq[at_b] + sb
+        past_b &= past_a & (a != b)
+        rest = v - np.where(past_a, sa, 0) - np.where(past_b, sb, 0)
+        slot = np.minimum(rest // self.s0, self.one - 1)
+        x = self.slots[(self.table << self.bits) + np.maximum(slot, 0)].astype(np.int64)
+        x = np.where((v >= low_a) & ~past_a, a, x)
+        return np.where(past_a & (a != b) & (v >= low_b) & ~past_b, b, x)
+
+    def learn(self, x: np.ndarray) -> None:
+        """Take up the ids for which ``interval`` was last called."""
+        n = len(x)
+        e2 = np.where(self.p2 == x, self.e2 + (self.sure2 < _CONFIDENT), self.e2 - 1)
+        self.second[self.at2] = np.where(self.sure2 > 0, e2, np.where(self.e2 & 7 > 1, self.e2 - 1, self.check | x << 3 | 1))
+        e1 = np.where(self.p1 == x, self.e1 + (self.sure1 < _CONFIDENT), self.e1 - 1)
+        self.first[self.at1] = np.where(self.sure1 > 0, e1, x << 3 | 1)
+        whole = self.part0 + self.part1 + self.part2
+        for k, part in enumerate((self.part2, self.part1, self.part0)):
+            # Sums of small integers are exact in doubles.
+            self.shares[:, k] += np.bincount(self.base, weights=(part << 8) // whole, minlength=128).astype(np.int64)
         if self.step & 7 == 0:
-            self.flags = np.where(self.flags.sum(axis=1, keepdims=True) > 1 << 16, self.flags * 0.5, self.flags)
+            much = self.shares.sum(axis=1, keepdims=True) > 1 << 24
+            self.shares = np.where(much, self.shares >> 1, self.shares)
         if self.step < 16 or self.step & 3 == 0:
             self._weights()
         self.prior[1][:n] = self.prior[0][:n]
-        self.prior[0][:n] = ids
-        self.recent.append(ids)
+        self.prior[0][:n] = x
+        self.recent.append(self.row + x)
         self.step += 1
         if self.step == self.due:
-            self.due += min(self.due, 32)
-            self.counts += np.bincount(np.concatenate(self.recent), minlength=self.vocab)
+            self.due += min(self.due, 64)
+            self.counts += np.bincount(np.concatenate(self.recent), minlength=_TABLES * self.vocab).reshape(_TABLES, self.vocab)
             self.recent = []
             self._zero()
 
@@ -119,17 +184,24 @@ def _shape(n: int) -> tuple[int, int]:
     """Lanes and steps for ``n`` ids."""
     lanes = max(1, min(MAX_LANES, n // LANE_IDS))
     steps = -(-n // lanes)
-    return -(-n // steps) if n else 0, steps
+    return -(-n // steps), steps
 
 
-def encode_ids(ids: np.ndarray, vocab: int) -> bytes:
-    """Code a block of ids below ``vocab``."""
+def encode_ids(ids: np.ndarray, vocab: int, groups: np.ndarray | None = None) -> bytes:
+    """Code a block of ids below ``vocab``; ``groups`` marks the ids of the second group."""
     n = len(ids)
+    if not n:
+        return b""
+    occurs = np.bincount(ids, minlength=vocab) > 0
+    present = np.flatnonzero(occurs)
+    groups = np.zeros(len(present), dtype=bool) if groups is None else groups[present]
+    number = np.cumsum(occurs) - 1
     lanes, steps = _shape(n)
     grid = np.zeros(lanes * steps, dtype=np.int64)
-    grid[:n] = ids
+    grid[:n] = number[ids]
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = _Model(n, vocab, lanes)
+    of = lane_classes(grid)
+    model = _Model(n, len(present), of, groups)
     all_low, all_range = np.zeros(lanes, dtype=_U), np.full(lanes, ~_U(0), dtype=_U)
     out_lane: list[np.ndarray] = []
     out_word: list[np.ndarray] = []
@@ -137,16 +209,10 @@ def encode_ids(ids: np.ndarray, vocab: int) -> bytes:
         k = -(-(n - t) // steps)
         x, low, rng = grid[t, :k], all_low[:k], all_range[:k]
         model.predict(k)
-        flag = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, 2))
-        at = model.base + flag
-        r = rng >> _U(_FLAG_BITS)
-        low += model.flag_cum[at] * r
-        rng[:] = model.flag_freq[at] * r
-        m = np.flatnonzero(flag == 2)
-        xm = x[m]
-        r = rng[m] >> _U(_ZERO_BITS)
-        low[m] += model.zero_cum[xm] * r
-        rng[m] = model.zero_freq[xm] * r
+        begin, part = model.interval(x)
+        r = rng >> _U(_MIX_BITS + model.bits)
+        low += begin.astype(_U) * r
+        rng[:] = part.astype(_U) * r
         idx = None
         while True:
             a, b = (low, rng) if idx is None else (low[idx], rng[idx])
@@ -161,21 +227,27 @@ def encode_ids(ids: np.ndarray, vocab: int) -> bytes:
             out_word.append((a >> _W48).astype("<u2"))
             low[idx] = a << _W16
             rng[idx] = b << _W16
-        model.learn(x, flag)
-    if n:
-        last = (all_low + _U(0xFFFFFFFF)) >> _U(32)
-        for word in (last >> _W16, last & _U(0xFFFF)):
-            out_lane.append(np.arange(lanes))
-            out_word.append(word.astype("<u2"))
-    lane = np.concatenate(out_lane) if out_lane else np.empty(0, np.int64)
-    words = np.concatenate(out_word)[np.argsort(lane, kind="stable")] if out_word else np.empty(0, "<u2")
+        model.learn(x)
+    last = (all_low + _U(0xFFFFFFFF)) >> _U(32)
+    for word in (last >> _W16, last & _U(0xFFFF)):
+        out_lane.append(np.arange(lanes))
+        out_word.append(word.astype("<u2"))
+    lane = np.concatenate(out_lane)
+    words = np.concatenate(out_word)[np.argsort(lane, kind="stable")]
     sizes = np.bincount(lane, minlength=lanes).astype("<u4").tobytes()
-    return sizes + words.tobytes()
+    side = zlib.compress(of.tobytes() + np.packbits(occurs).tobytes() + np.packbits(groups).tobytes())
+    return struct.pack("<I", len(side)) + side + sizes + words.tobytes()
 
 
 def decode_ids(coded: bytes, n: int, vocab: int) -> np.ndarray:
     """The ids of a block."""
+    if not n:
+        return np.empty(0, dtype=np.int64)
     lanes, steps = _shape(n)
+    (size,) = struct.unpack_from("<I", coded)
+    side, coded = np.frombuffer(zlib.decompress(coded[4 : 4 + size]), dtype=np.uint8), coded[4 + size :]
+    of, present = side[:lanes], np.flatnonzero(np.unpackbits(side[lanes:], count=vocab))
+    groups = np.unpackbits(side[lanes + -(-vocab // 8) :], count=len(present))
     sizes = np.frombuffer(coded, dtype="<u4", count=lanes).astype(np.int64)
     words = np.concatenate([np.frombuffer(coded, dtype="<u2", offset=4 * lanes), np.zeros(4, "<u2")]).astype(_U)
     ends = np.cumsum(sizes)
@@ -191,28 +263,19 @@ def decode_ids(coded: bytes, n: int, vocab: int) -> np.ndarray:
     all_code = np.zeros(lanes, dtype=_U)
     for _ in range(4):
         all_code = all_code << _W16 | take(every)
-    model = _Model(n, vocab, lanes)
+    model = _Model(n, len(present), of, groups)
     all_low, all_range = np.zeros(lanes, dtype=_U), np.full(lanes, ~_U(0), dtype=_U)
     grid = np.zeros((steps, lanes), dtype=np.int64)
     for t in range(steps):
         k = -(-(n - t) // steps)
         low, rng, code = all_low[:k], all_range[:k], all_code[:k]
         model.predict(k)
-        r = rng >> _U(_FLAG_BITS)
-        v = (code - low) // r
-        c = model.base // 3
-        flag = (v >= model.edge1[c]).astype(np.int64) + (v >= model.edge2[c])
-        at = model.base + flag
-        low += model.flag_cum[at] * r
-        rng[:] = model.flag_freq[at] * r
-        x = np.where(flag == 0, model.p2, model.p1)
-        m = np.flatnonzero(flag == 2)
-        r = rng[m] >> _U(_ZERO_BITS)
-        v = np.minimum((code[m] - low[m]) // r, _U((1 << _ZERO_BITS) - 1))
-        xm = model.slots[v.astype(np.int64)]
-        x[m] = xm
-        low[m] += model.zero_cum[xm] * r
-        rng[m] = model.zero_freq[xm] * r
+        r = rng >> _U(_MIX_BITS + model.bits)
+        v = np.minimum((code - low) // r, _U((1 << _MIX_BITS + model.bits) - 1)).astype(np.int64)
+        x = model.find(v)
+        begin, part = model.interval(x)
+        low += begin.astype(_U) * r
+        rng[:] = part.astype(_U) * r
         grid[t, :k] = x
         idx = None
         while True:
@@ -227,16 +290,16 @@ def decode_ids(coded: bytes, n: int, vocab: int) -> np.ndarray:
             low[idx] = a << _W16
             rng[idx] = b << _W16
             code[idx] = code[idx] << _W16 | take(idx)
-        model.learn(x, flag)
-    return grid.T.reshape(-1)[:n]
+        model.learn(x)
+    return present[grid.T.reshape(-1)[:n]]
 
 
-def pack_block(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, vocab: int) -> bytes:
+def pack_block(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, vocab: int, groups: np.ndarray | None = None) -> bytes:
     """A block: header, the documents' ids and lengths, the coded ids."""
     docs = np.array([(-1 if d is None else d) for d in doc_ids], dtype="<i8").tobytes()
     null = np.packbits([d is None for d in doc_ids]).tobytes()
     table = zlib.compress(docs + null + np.array(counts, dtype="<u4").tobytes())
-    body = struct.pack("<I", len(table)) + table + encode_ids(ids, vocab)
+    body = struct.pack("<I", len(table)) + table + encode_ids(ids, vocab, groups)
     check = zlib.crc32(ids.astype("<u4").tobytes())
     return _HEAD.pack(_MAGIC, vocab, len(doc_ids), len(ids), check, zlib.crc32(body)) + body
 
@@ -272,6 +335,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
     def code(batches):
         e = encoder(tokenizer)
+        groups = e.ends | (np.arange(e.size) == end_id)
         end = int(end_id).to_bytes(e.dtype.itemsize, "little")
         part = TaskContext.get().partitionId()
         held_docs, held_ids, held, before, block = [], [], 0, 0, 0
@@ -280,7 +344,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             nonlocal held_docs, held_ids, held, before, block
             counts = [len(x) // e.dtype.itemsize for x in held_ids]
             ids = np.frombuffer(b"".join(held_ids), dtype=e.dtype)
-            row = [part, block, before, len(counts), len(ids), pack_block(held_docs, counts, ids, e.size)]
+            row = [part, block, before, len(counts), len(ids), pack_block(held_docs, counts, ids, e.size, groups)]
             before, block = before + len(ids), block + 1
             held_docs, held_ids, held = [], [], 0
             return pa.RecordBatch.from_pylist([dict(zip(_NAMES, row))], schema=_SCHEMA)

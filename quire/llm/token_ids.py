@@ -63,12 +63,13 @@ class TextEncoder:
         suffix = spec["model"].get("end_of_word_suffix")
         lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.plain = None
+        # The ids that end a word, where the vocabulary marks them.
+        self.ends = np.zeros(self.size, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         if self.local and suffix and lower and spec["model"]["type"] == "BPE":
             self.plain = Tokenizer.from_file(path)
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            self.ends = np.zeros(self.size, dtype=bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
             self.alphabet = byte_alphabet() | {0x20: " "}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:

@@ -1,8 +1,10 @@
 """Operators 1, 3 and 10 against the libraries' own results."""
 
+import os
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from tests_llm_data import ODD
@@ -73,8 +75,42 @@ def test_coder_round_trip(ids):
 def test_coder_random_round_trip_and_size():
     rng = np.random.default_rng(3)
     ids = rng.zipf(1.3, 60_000) % 49408
-    coded = token_files.encode_ids(ids, 49408)
-    assert (token_files.decode_ids(coded, len(ids), 49408) == ids).all() and len(coded) < 2 * len(ids)
+    groups = rng.random(49408) < 0.5
+    for g in (None, groups):
+        coded = token_files.encode_ids(ids, 49408, g)
+        assert (token_files.decode_ids(coded, len(ids), 49408) == ids).all()
+    f = np.bincount(ids) / len(ids)
+    # Independent ids: not much above their own entropy, learned as it goes.
+    assert len(token_files.encode_ids(ids, 49408)) < 1.35 * len(ids) * -(f[f > 0] * np.log2(f[f > 0])).sum() / 8
+
+
+def test_classes_and_contexts_are_used():
+    rng = np.random.default_rng(4)
+    # Stretches in one of three vocabularies, where an odd id is followed by an even one.
+    parts = []
+    for k in range(120):
+        x = rng.integers(0, 500, 2000) * 2 + 1000 * (k % 3)
+        x[1::2] += 1
+        parts.append(x)
+    ids = np.concatenate(parts)
+    plain = len(token_files.encode_ids(ids, 4096)) / len(ids)
+    grouped = len(token_files.encode_ids(ids, 4096, np.arange(4096) % 2 == 1)) / len(ids)
+    order0 = np.log2(1500 * 2) / 8
+    # The class saves log2(3) bits, the group one more.
+    assert plain < order0 - 0.05 and grouped < plain - 0.05
+    assert (token_files.decode_ids(token_files.encode_ids(ids, 4096), len(ids), 4096) == ids).all()
+    followed = np.tile(rng.integers(0, 4000, 40_000), 3)[:100_000]
+    assert len(token_files.encode_ids(followed, 4096)) < 0.9 * len(followed) * 12 / 8
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no test tables")
+def test_size_on_the_test_documents():
+    rows = duckdb.sql("SELECT coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
+    e = encoder(WORDS)
+    ids = np.concatenate([np.append(np.frombuffer(x, e.dtype), 1) for x in e.encode([t.encode() for (t,) in rows])]).astype(np.int64)
+    coded = token_files.encode_ids(ids, e.size, e.ends | (np.arange(e.size) == 1))
+    assert len(coded) < 0.86 * len(ids)
+    assert (token_files.decode_ids(coded, len(ids), e.size) == ids).all()
 
 
 def test_block_checksums():
@@ -89,7 +125,7 @@ def test_block_checksums():
 
 
 def test_token_files(spark, documents, tmp_path):
-    rows = [(i, t) for i, t in ODD if i is not None]
+    rows = ODD
     path = str(tmp_path / "files")
     token_files.write_token_files(documents(rows), WORDS, path, block_ids=50)
     got = token_files.read_token_files(spark, path).collect()
@@ -99,7 +135,7 @@ def test_token_files(spark, documents, tmp_path):
         ids = next(ids for i, t in rows if i == r.doc_id and len(ids := ids_of(t)) == r.n_tokens)
         assert (r.start, r.ids_crc32) == (at, zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += r.n_tokens
-    ordered = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    ordered = [-1 if r.doc_id is None else r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert ordered == sorted(ordered)
     token_files.write_token_files(documents([]), WORDS, str(tmp_path / "none"))
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
