@@ -10,7 +10,7 @@ from quire.llm.language_id import language_report
 from quire.llm.lm_scoring import score_documents
 from quire.llm.near_dedup import NearParams, near_duplicates
 from quire.llm.packing import pack_documents
-from quire.llm.secrets import labelled_samples, secret_report, train
+from quire.llm.secrets import ASSIGN_LEAST, KINDS, PATTERNS, labelled_samples, secret_report, train
 from quire.llm.sentencepiece_codec import codec_report
 from quire.llm.token_files import token_file_report
 from quire.llm.topk_search import top_k_of_sample
@@ -35,13 +35,45 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_model(spark: SparkSession):
-    return train(labelled_samples(spark))
+    return train(labelled_samples(spark, seed=11), labelled_samples(spark, seed=23))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"), secret_model(spark))
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 2's result that SQL can express: the base spans."""
+    return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def _placed_sql(kind: str, pattern: str) -> str:
+    """SQL for (doc_id, kind, start, end, hit) of a pattern's matches: pieces between them and matches in turn."""
+    return f"""
+  SELECT doc_id, row_id, '{kind}' AS kind, {list(KINDS).index(kind)} AS rank, hits[i] AS hit,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT doc_id, row_id, regexp_extract_all(text, {pattern}) AS hits, string_split_regex(text, {pattern}) AS gaps FROM texts) AS m,
+       unnest(range(1, len(hits) + 1)) AS n(i)"""
+
+
+SECRET_BASE_SQL = rf"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents),
+placed AS ({" UNION ALL ".join(_placed_sql(k, "'" + PATTERNS[k].replace("'", "''") + "'") for k in KINDS)}
+), spans AS (
+  SELECT row_id, kind, rank, CAST(start AS BIGINT) AS start, CAST(start + length(hit) AS BIGINT) AS stop FROM placed
+  WHERE kind <> 'assign' OR length(regexp_extract(hit, '{PATTERNS["assign"].replace("'", "''")}', 2)) >= {ASSIGN_LEAST}
+), listed AS (
+  SELECT row_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+         count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS joined
+  FROM spans GROUP BY row_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(joined, '')) AS base_sha256
+FROM texts LEFT JOIN listed USING (row_id)
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pack_documents(docs, tokenizer_path(WORD_TOKENIZER), window=2048, end_id=END_ID)
@@ -110,6 +142,7 @@ def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_secret_scan": op2_secret_scan,
+        "secret_base": secret_base,
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
@@ -123,6 +156,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "secret_base": SECRET_BASE_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op9_topk_search": OP9_SQL,
     }

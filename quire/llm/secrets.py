@@ -6,8 +6,9 @@ matches and of the matches themselves add up to the places, in code points.
 
 The method adds what the patterns miss. Two character Markov models of first order, one of
 random strings and one of ordinary identifiers, are trained from labelled samples; a string
-of the alphabet of secrets is a finding when the mean log-likelihood ratio of its
-transitions, random against ordinary, exceeds a threshold.
+of the alphabet of secrets is a finding when the log-likelihood ratio of its transitions, random
+against ordinary, exceeds a threshold. The threshold is calibrated on labelled samples that the
+models were not trained on: it is the least that lets through a given share of ordinary ones.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ PATTERNS = {
 }
 ASSIGN_LEAST = 6
 
-#: A candidate of the method: a whole run of these with a digit and a letter.
-MARKOV = "markov"
-PATTERNS[MARKOV] = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: A candidate of the method: a whole run of these, of at least so many, with a digit and a letter.
+MARKOV, MARKOV_LEAST = "markov", 12
+PATTERNS[MARKOV] = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{%d,}" % MARKOV_LEAST
+#: The share of ordinary samples that calibration lets through.
+FALSE_SHARE = 0.002
 
 #: The alphabet of the models; every other character counts as one more symbol.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
@@ -54,7 +57,7 @@ PARTS = (
 
 @dataclass(frozen=True)
 class MarkovModel:
-    """Log-likelihood ratios of transitions, row by row, and the threshold of their mean."""
+    """Log-likelihood ratios of transitions, row by row, and the threshold of a string's sum of them."""
 
     ratios: tuple[float, ...]
     threshold: float
@@ -63,8 +66,9 @@ class MarkovModel:
 def labelled_samples(spark: SparkSession, n: int = 3000, seed: int = 11) -> DataFrame:
     """``n`` labelled strings of each kind, made by rule: (sample string, random boolean).
 
-    Random: digests in lower-case hex, base64 and mixed letters. Ordinary: two to five parts of
-    names joined in the usual ways, often with a number, or numbers, dates and hyphened words.
+    Random: 12 to 32 characters of lower-case hex, base64 and mixed letters. Ordinary: two to five parts of
+    names joined in the usual ways, often with a number, or numbers, dates and hyphened words. Another
+    ``seed`` gives other samples.
     """
     i = F.col("id")
     h = F.sha2(F.concat(F.lit(f"{seed}:"), i.cast("string")), 256)
@@ -77,8 +81,10 @@ def labelled_samples(spark: SparkSession, n: int = 3000, seed: int = 11) -> Data
         return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 99))
 
     number = F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(10_000)).cast("string")
-    base64 = F.substring(F.regexp_replace(F.base64(F.unhex(h)), "=", ""), 1, 32)
-    rand = F.when(i % 3 == 0, F.substring(h, 1, 32)).when(i % 3 == 1, base64).otherwise(F.regexp_replace(base64, "[+/]", ""))
+    base64 = F.regexp_replace(F.base64(F.unhex(h)), "=", "")
+    size = (F.pmod(F.xxhash64(i, F.lit(seed + 9)), F.lit(21)) + 12).cast("int")
+    rand = F.when(i % 3 == 0, h).when(i % 3 == 1, base64).otherwise(F.regexp_replace(base64, "[+/]", ""))
+    rand = F.substr(rand, F.lit(1), size)
     plain = (
         F.when(i % 6 == 0, F.concat_ws("_", part(1), part(2), part(3), number))
         .when(i % 6 == 1, F.concat(part(1), up(part(2)), up(part(3)), number))
@@ -109,12 +115,12 @@ def _pairs(text: Column) -> Column:
     )
 
 
-def train(samples: DataFrame, threshold: float = 0.35, smoothing: float = 0.5) -> MarkovModel:
-    """Fit both models from labelled strings (``sample``, ``random``).
+def train(samples: DataFrame, held: DataFrame, smoothing: float = 0.5) -> MarkovModel:
+    """Fit both models from labelled strings (``sample``, ``random``) and calibrate on ``held`` ones.
 
     What reaches the driver is one row for each transition of the alphabet that occurs, so at
-    most the square of its size. Null and one-character samples teach nothing; with no samples
-    every ratio is 0 and nothing exceeds the threshold.
+    most the square of its size, and one number. Null and one-character samples teach nothing; with no
+    samples every ratio is 0, and without ordinary ones in ``held`` nothing exceeds the threshold.
     """
     counted = (
         samples.filter(F.length("sample") > 1)
@@ -133,15 +139,16 @@ def train(samples: DataFrame, threshold: float = 0.35, smoothing: float = 0.5) -
         rows = [t[a * size : (a + 1) * size] for t in tables]
         sums = [sum(r) for r in rows]
         ratios += [math.log(x / sums[0]) - math.log(y / sums[1]) for x, y in zip(*rows)]
-    return MarkovModel(tuple(round(x, 4) for x in ratios), threshold)
+    ratios = tuple(round(x, 4) for x in ratios)
+    ordinary = held.filter("not random").select(log_ratio(F.col("sample"), ratios).alias("score"))
+    least = ordinary.agg(F.percentile("score", F.lit(1 - FALSE_SHARE))).first()[0]
+    return MarkovModel(ratios, math.inf if least is None else round(max(0.0, least), 4))
 
 
-def mean_ratio(text: Column, model: MarkovModel) -> Column:
-    """The mean log-likelihood ratio of a string's transitions; 0 for fewer than two characters."""
-    table = F.split(F.lit(",".join(map(str, model.ratios))), ",").cast("array<double>")
-    pairs = _pairs(text)
-    total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.get(table, p))
-    return F.when(F.size(pairs) > 0, total / F.size(pairs)).otherwise(F.lit(0.0))
+def log_ratio(text: Column, ratios: tuple[float, ...]) -> Column:
+    """The log-likelihood ratio of a string's transitions; 0 for fewer than two characters."""
+    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
+    return F.aggregate(_pairs(text), F.lit(0.0), lambda acc, p: acc + F.get(table, p))
 
 
 def _placed(kind: str) -> Column:
@@ -193,7 +200,7 @@ def find_secrets(docs: DataFrame, model: MarkovModel) -> DataFrame:
     )
     free = F.filter(f"__at_{MARKOV}", lambda c: ~F.exists("base", lambda s: _overlaps(s, c)))
     rows = rows.withColumn("__free", free)
-    rows = rows.withColumn("added", F.filter("__free", lambda c: mean_ratio(c["hit"], model) > model.threshold))
+    rows = rows.withColumn("added", F.filter("__free", lambda c: log_ratio(c["hit"], model.ratios) > F.lit(model.threshold)))
     return rows.drop("__text", "__free", *(f"__{w}_{k}" for w in ("hit", "at") for k in kinds))
 
 
@@ -206,7 +213,7 @@ def _joined(spans: Column) -> Column:
 def secret_report(docs: DataFrame, model: MarkovModel) -> DataFrame:
     """A row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov.
 
-    ``spans`` lists kind:start:end of all spans by start, then kind as listed, joined by commas;
+    ``spans`` lists kind:start:end of all spans, the models' as markov, by start, then kind as listed, joined by commas;
     ``base_sha256`` digests the same list of base spans alone. Ends are exclusive.
     """
     found = find_secrets(docs.select("doc_id", "text"), model)

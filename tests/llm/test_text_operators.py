@@ -16,6 +16,7 @@ from tests_llm_data import ODD
 from quire.llm import exact_dedup, language_id, lm_scoring, near_dedup, secrets, toxicity
 from quire.llm.components import components
 from quire.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+from quire.llm.queries import SECRET_BASE_SQL, secret_model
 from quire.llm.near_dedup import FIVE_WORDS, NearParams, drop_near_duplicates, near_duplicates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -30,19 +31,64 @@ def words_of(text):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return secrets.train(secrets.labelled_samples(spark))
+    return secret_model(spark)
 
 
 def test_models_tell_held_out_samples_apart(spark, model):
-    held = secrets.labelled_samples(spark, 500, seed=77)
-    found = held.withColumn("hit", secrets.mean_ratio(F.col("sample"), model) > model.threshold)
+    held = secrets.labelled_samples(spark, 2000, seed=77)
+    found = held.withColumn("hit", secrets.log_ratio(F.col("sample"), model.ratios) > model.threshold)
     rate = {r.random: r.rate for r in found.groupBy("random").agg(F.avg(F.col("hit").cast("int")).alias("rate")).collect()}
-    assert rate[True] > 0.99 and rate[False] < 0.01
+    assert rate[True] > 0.95 and rate[False] < 0.01
+    # Short ones too.
+    short = found.filter("random and length(sample) < 20").agg(F.avg(F.col("hit").cast("int"))).first()[0]
+    assert short > 0.9
+
+
+def test_log_ratio_equals_a_plain_model(spark):
+    """Counts, smoothing and ratios against a plain dictionary."""
+    rows = [(w, r) for r, words in ((True, ["a1b2", "zz9x"]), (False, ["user", "use_r"])) for w in words]
+    m = secrets.train(spark.createDataFrame(rows, "sample string, random boolean"), spark.createDataFrame([("usr1", False)], "sample string, random boolean"))
+    size = len(secrets.ALPHABET) + 1
+
+    def logp(text, random):
+        pairs = [p for w, r in rows if r == random for p in zip(w, w[1:])]
+        return sum(math.log((pairs.count(p) + 0.5) / (sum(q[0] == p[0] for q in pairs) + 0.5 * size)) for p in zip(text, text[1:]))
+
+    texts = ["a1b2user", "use", "x", "", "é1"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.log_ratio(F.col("t"), m.ratios).alias("s")).collect()
+    for r in got:
+        assert r.s == pytest.approx(logp(r.t, True) - logp(r.t, False), abs=1e-3)
+    assert m.threshold == pytest.approx(max(0, logp("usr1", True) - logp("usr1", False)), abs=1e-3)
 
 
 def test_no_samples_find_nothing(spark):
     empty = spark.createDataFrame([], "sample string, random boolean")
-    assert set(secrets.train(empty).ratios) == {0.0}
+    m = secrets.train(empty, empty)
+    assert set(m.ratios) == {0.0} and m.threshold == math.inf
+
+
+def test_short_random_strings_are_added(spark, documents, model):
+    """Random strings that no pattern finds, of 12 characters and more, among ordinary words with digits."""
+    rng = np.random.default_rng(21)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, where = [], {}
+    for i in range(150):
+        key = "".join(rng.choice(list(letters), 12 + i % 8)) + "7Qx"
+        text = f"the update_customer_table_2 of server/config/report12 and chapter-12-section-3 in é {key} end"
+        rows.append((i, text))
+        where[i] = (text.index(key), text.index(key) + len(key))
+    got = {r.doc_id: r.spans for r in secrets.secret_report(documents(rows), model).collect()}
+    caught = sum("markov:%d:%d" % where[i] in got[i].split(",") for i in where)
+    other = sum(len([s for s in got[i].split(",") if s and s != "markov:%d:%d" % where[i]]) for i in where)
+    assert caught >= 0.95 * len(rows) and other <= 0.02 * len(rows)
+
+
+def test_base_spans_equal_their_sql(spark, documents):
+    rows = [*ODD, *((100 + i, t) for i, t in enumerate(SECRETS))]
+    docs = documents(rows)
+    want = duckdb.sql(SECRET_BASE_SQL.replace("FROM documents", "FROM '%s/*.parquet'" % docs.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://"))).fetchall()
+    got = secrets.secret_report(docs, secret_model(spark)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want) and len(got) == len(rows)
 
 
 SECRETS = [
