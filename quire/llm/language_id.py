@@ -29,8 +29,12 @@ from quire.llm.common import alone, crc_mod, materialize, mix64, text_batches, u
 
 ORDER = 5
 UNKNOWN = "und"
-#: Labelled documents for each language that a fit reads, about so many.
-SAMPLE_DOCS = 1500
+#: Labelled documents and characters for each language that a fit reads, about so many at most.
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 12_000_000
+#: A language of fewer labelled documents is fitted from all of them and not calibrated.
+FEW_DOCS = 50
+#: The models are broadcast; more values of ``lang`` than this are refused.
+MAX_LANGUAGES = 200
 #: Symbols that the lowest order shares its probability among.
 _SYMBOLS = 1000
 _RUNS = re.compile(r"[^\W\d_]+")
@@ -269,20 +273,30 @@ def _posterior(entropies: np.ndarray, temperature: float) -> np.ndarray:
 def train(docs: DataFrame, learn_from: Column, sample_docs: int = SAMPLE_DOCS) -> LanguageModels:
     """Fit a model for each non-null ``lang`` of the rows that ``learn_from`` selects.
 
-    About ``sample_docs`` whole documents of each language are read, chosen by the hash of their
-    doc_id with a share that follows from the language's count, four fifths of them for the fit
-    and the rest for calibration. A language needs a letter to be learned.
+    About ``sample_docs`` whole documents of each language, and about SAMPLE_CHARS characters, are read,
+    chosen by the hash of their doc_id with a share that follows from the language's counts, four fifths of
+    them for the fit and the rest for calibration; all serve the fit where a language has fewer than
+    FEW_DOCS. A language needs a letter to be learned.
     """
     spark = docs.sparkSession
     text_batches(spark)
     usable = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("share"))
+    chars = F.greatest(F.sum(F.octet_length("text")), F.lit(1))
+    shares = materialize(
+        usable.groupBy("lang").agg(
+            F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count(F.lit(1)), F.lit(float(SAMPLE_CHARS)) / chars).alias("share"),
+            (F.count(F.lit(1)) < FEW_DOCS).alias("few"),
+        ),
+        "shares",
+    )
+    if shares.count() > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values: set others to null before learning")
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = materialize(
         usable.select("doc_id", "lang", "text", draw.alias("draw"))
         .join(F.broadcast(shares), "lang")
         .filter("draw < share")
-        .select("lang", "text", (F.col("draw") < F.col("share") * 0.8).alias("fits")),
+        .select("lang", "text", (F.col("few") | (F.col("draw") < F.col("share") * 0.8)).alias("fits")),
         "languages",
     )
 
@@ -316,6 +330,7 @@ def _calibrate(models: LanguageModels, held: DataFrame) -> None:
     index = {x: i for i, x in enumerate(models.languages)}
     rows = [r for r in rows if r["lang"] in index]
     models.thresholds = [float("inf")] * len(models.languages)
+    # A language without a letter in its sample has no model, and one that could spare nothing no threshold.
     if not rows:
         return
     h, y = np.array([r["h"] for r in rows]), np.array([index[r["lang"]] for r in rows])
@@ -368,7 +383,10 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
 def language_report(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """Learn from the documents outside one fold, by crc32 of the doc_id, and predict all.
 
-    A null doc_id belongs to no fold: it isn't learned from, and ``held_out`` is null.
+    A null doc_id belongs to no fold: it isn't learned from, and ``held_out`` is null. Of languages that
+    tie the first by name is predicted; repeated rows repeat their results, and a very long text is
+    summed over its words like any other. An empty table gives no rows. Columns besides doc_id, text and
+    lang are ignored, whatever their names.
     """
     fold = crc_mod(F.col("doc_id"), folds)
     models = train(docs, fold != held)

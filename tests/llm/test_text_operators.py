@@ -359,18 +359,47 @@ def test_language(spark, documents):
 
 
 def test_kneser_ney_sums_to_one():
-    words = {"banana": 3, "bandana": 2, "cab": 1}
-    m = language_id.fit(words)
-    letters = [chr(c) for c in range(97, 123)]
-    total = 0.0
-    for c in [*letters, "\0"]:
-        word = "ban" + ("" if c == "\0" else c)
-        flat, starts = language_id._codes([word])
-        keys, _ = language_id._gram_keys(flat, starts)
-        p = language_id.log_probabilities(m, keys, language_id._context_keys(flat, starts))
-        total += math.exp(p[3])
-    # The alphabet here is 27 of the symbols that the lowest order shares its probability among.
-    assert 0.9 < total < 1.0
+    m = language_id.fit({"banana": 3, "bandana": 2, "cab": 1})
+    # The lowest order shares its probability among so many symbols: the end, the letters and others.
+    symbols = ["\0", *(chr(c) for c in range(97, 123)), *(chr(0x4E00 + k) for k in range(language_id._SYMBOLS - 27))]
+    for stem in ("ban", "b", "", "zq", "banan"):
+        words = [stem + ("" if c == "\0" else c) for c in symbols]
+        total = 0.0
+        for w in words:
+            flat, starts = language_id._codes([w])
+            p = language_id.log_probabilities(m, language_id._gram_keys(flat, starts)[0], language_id._context_keys(flat, starts))
+            total += math.exp(p[len(stem)])
+        assert total == pytest.approx(1.0, abs=0.002)
+
+
+def test_rejection(spark, documents):
+    """Texts of no learned language are rejected, those of a learned one aren't; the prediction stays a learned value."""
+    rows = language_rows(900)
+    rng = np.random.default_rng(6)
+    strange = [(5000 + k, " ".join("".join(rng.choice(list("бвгджзклмнпрст"), 7)) for _ in range(20)), None) for k in range(30)]
+    noise = [(6000 + k, " ".join("".join(rng.choice(list("qxzjkvw"), 8)) for _ in range(20)), None) for k in range(30)]
+    clash = documents([*rows, *strange, *noise, rows[0], rows[0]]).withColumns({c: F.lit(True) for c in ("held_out", "rejected", "h", "share", "few", "fits", "draw")})
+    got = language_id.language_report(clash).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) + 62 and len({tuple(r) for r in got if r.doc_id == rows[0][0]}) == 1
+    assert all(by[i].rejected and by[i].lang_pred in SAMPLES for i in [*range(5000, 5030), *range(6000, 6030)])
+    assert sum(by[i].rejected for i, _, _ in rows) <= 0.02 * len(rows)
+
+
+def test_a_language_of_one_document_is_learned(spark, documents):
+    rows = language_rows(200)
+    for i in range(7000, 7012):
+        if zlib.crc32(str(i).encode()) % 4 == 2:
+            continue
+        got = language_id.language_report(documents([*rows, (i, "жбан щука", "xx"), (8000, "щука жбан", None)])).collect()
+        assert {r.lang_pred for r in got if r.doc_id == 8000} == {"xx"}
+        break
+
+
+def test_too_many_languages_are_refused(spark, documents, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        language_id.language_report(documents(language_rows(60)))
 
 
 # Operator 6
