@@ -129,41 +129,44 @@ class _Model:
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each id's part of the range begins, and its size."""
         at = self.row + x
-        low = self.s0 * self.zero_cum[at] + np.where(x > self.p2, self.s2, 0) + np.where(x > self.p1, self.s1, 0)
+        low = self.s0 * self.zero_cum[at] + (x > self.p2) * self.s2 + (x > self.p1) * self.s1
+        self.hit2, self.hit1 = x == self.p2, x == self.p1
         self.part0 = self.s0 * self.zero_freq[at]
-        self.part2, self.part1 = np.where(x == self.p2, self.s2, 0), np.where(x == self.p1, self.s1, 0)
-        return low, self.part0 + self.part1 + self.part2
+        return low, self.part0 + self.hit2 * self.s2 + self.hit1 * self.s1
 
     def find(self, v: np.ndarray) -> np.ndarray:
         """The ids in whose parts the values lie."""
-        swap = self.p1 < self.p2
-        a, b = np.where(swap, self.p1, self.p2), np.where(swap, self.p2, self.p1)
-        sa, sb = np.where(swap, self.s1, self.s2), np.where(swap, self.s2, self.s1)
-        at_a, at_b = self.row + a, self.row + b
-        # Both spikes may stand on one id; the second is then empty to all that follows.
-        sa, sb = np.where(a == b, sa + sb, sa), np.where(a == b, 0, sb)
-        low_a = self.s0 * self.zero_cum[at_a]
-        low_b = self.s0 * self.zero_cum[at_b] + sa
-        past_a = v >= low_a + self.s0 * self.zero_freq[at_a] + sa
-        past_b = v >= low_b + self.s0 * self.zero_freq[at_b] + sb
-        past_b &= past_a & (a != b)
-        rest = v - np.where(past_a, sa, 0) - np.where(past_b, sb, 0)
-        slot = np.minimum(rest // self.s0, self.one - 1)
-        x = self.slots[(self.table << self.bits) + np.maximum(slot, 0)].astype(np.int64)
-        x = np.where((v >= low_a) & ~past_a, a, x)
-        return np.where(past_a & (a != b) & (v >= low_b) & ~past_b, b, x)
+        at2, at1 = self.row + self.p2, self.row + self.p1
+        low2, low1 = self.s0 * self.zero_cum[at2], self.s0 * self.zero_cum[at1]
+        past2 = v >= low2 + (self.p2 > self.p1) * self.s1
+        past1 = v >= low1 + (self.p1 > self.p2) * self.s2
+        # Without the spikes that begin before it, a value lies in the order-0 range, or short of a spike's end.
+        rest = v - past2 * self.s2 - past1 * self.s1
+        in2 = past2 & (rest < low2 + self.s0 * self.zero_freq[at2])
+        in1 = past1 & (rest < low1 + self.s0 * self.zero_freq[at1])
+        spike = np.maximum(in2 * (self.p2 + 1), in1 * (self.p1 + 1)) - 1
+        free = np.flatnonzero(spike < 0)
+        slot = np.minimum(rest[free].view(_U) // self.s0[free].view(_U), _U(self.one - 1)).view(np.int64)
+        spike[free] = self.slots[(self.table[free] << self.bits) + slot]
+        return spike
 
     def learn(self, x: np.ndarray) -> None:
         """Take up the ids for which ``interval`` was last called."""
         n = len(x)
-        e2 = np.where(self.p2 == x, self.e2 + (self.sure2 < _CONFIDENT), self.e2 - 1)
-        self.second[self.at2] = np.where(self.sure2 > 0, e2, np.where(self.e2 & 7 > 1, self.e2 - 1, self.check | x << 3 | 1))
-        e1 = np.where(self.p1 == x, self.e1 + (self.sure1 < _CONFIDENT), self.e1 - 1)
-        self.first[self.at1] = np.where(self.sure1 > 0, e1, x << 3 | 1)
-        whole = self.part0 + self.part1 + self.part2
-        for k, part in enumerate((self.part2, self.part1, self.part0)):
-            # Sums of small integers are exact in doubles.
-            self.shares[:, k] += np.bincount(self.base, weights=(part << 8) // whole, minlength=128).astype(np.int64)
+        fresh = x << 3 | 1
+        e2 = self.e2 + np.where(self.hit2, self.sure2 < _CONFIDENT, -1)
+        self.second[self.at2] = np.where(self.sure2 > 0, e2, np.where(self.e2 & 7 > 1, self.e2 - 1, self.check | fresh))
+        e1 = self.e1 + np.where(self.hit1, self.sure1 < _CONFIDENT, -1)
+        self.first[self.at1] = np.where(self.sure1 > 0, e1, fresh)
+        # An id that no spike stands on is all order 0's; sums of small integers are exact in doubles.
+        hit = self.hit2 | self.hit1
+        some = np.flatnonzero(hit)
+        self.shares[:, 2] += np.bincount(self.base[~hit], minlength=128) << 8
+        base, part0 = self.base[some], self.part0[some]
+        parts = self.hit2[some] * self.s2[some], self.hit1[some] * self.s1[some], part0
+        whole = parts[0] + parts[1] + part0
+        for k, part in enumerate(parts):
+            self.shares[:, k] += np.bincount(base, weights=(part << 8) // whole, minlength=128).astype(np.int64)
         if self.step & 7 == 0:
             much = self.shares.sum(axis=1, keepdims=True) > 1 << 24
             self.shares = np.where(much, self.shares >> 1, self.shares)
