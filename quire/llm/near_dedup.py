@@ -6,12 +6,16 @@
    first bin with a shingle along its own fixed random order of all bins.
 2. Documents with equal sets form a class, and the class's smallest doc_id represents it.
 3. In every bucket the smallest representative is the centre of a star: k members give k - 1
-   candidate edges. The components of these edges hold all pairs that share a bucket.
-4. Members of a component meet in blocks of bounded size, each pair of blocks in one group of
-   rows, where full sets are intersected exactly; a group returns a spanning forest of its
-   links. So a large group of copies costs edges in proportion to its members, spreads over
-   many tasks, and no link between members is lost to the choice of a centre.
-5. The components of the links are the classes of near-duplicates.
+   candidate edges, which are verified on full sets, a centre with a bounded block of its members
+   at a time. Their components are most of the result: a group of near copies falls together.
+4. What a star leaves open is a bucket whose members are still in several components. Its
+   members meet in blocks of bounded size, each pair of blocks in one group of rows, and are intersected
+   exactly; buckets of the same members count once. So every pair of documents that share a bucket is
+   verified, or already connected, and no link is lost to the choice of a centre.
+5. The components of all links are the classes of near-duplicates.
+
+Copies of sets that are moved: one for each distinct edge of a star, and k * ceil(k / block_docs)
+for a bucket of k members that is left open; members that chains of buckets connect never meet.
 """
 
 from __future__ import annotations
@@ -134,60 +138,83 @@ def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
     return materialize(docs.select("doc_id", "text").mapInArrow(sign, _SIGNED), "signatures")
 
 
-def star_edges(classes: DataFrame) -> DataFrame:
-    """From each bucket's members to its smallest: (a, b)."""
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """(bucket, rep, n_shingles, centre) of all buckets with two members and more; the centre is the smallest."""
+    members = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n"))
-    return (
-        members.join(stars.filter("n > 1").select("bucket", "centre").hint("merge"), "bucket")
-        .filter("rep <> centre")
-        .select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-        .distinct()
+    return members.join(stars.filter("n > 1").select("bucket", "centre").hint("merge"), "bucket")
+
+
+def _block_of(n: str, shingles: str, p: NearParams):
+    """How many blocks hold so many members with so many shingles."""
+    return F.greatest(F.ceil(F.col(n) / p.block_docs), F.ceil(F.col(shingles) / p.block_shingles), F.lit(1)).cast("int")
+
+
+def star_groups(members: DataFrame, p: NearParams) -> DataFrame:
+    """(group, i, j, rep): each star's members in blocks, its centre in every block."""
+    edges = members.filter("rep <> centre").select("centre", "rep", "n_shingles").distinct()
+    sizes = edges.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    sizes = sizes.select("centre", _block_of("n", "shingles", p).alias("blocks"))
+    own = edges.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("i"), "rep")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
+    centres = sizes.select("centre", every).withColumn("rep", F.col("centre"))
+    return own.unionByName(centres).select(F.col("centre").alias("group"), "i", F.col("i").alias("j"), "rep")
+
+
+def open_groups(members: DataFrame, links: DataFrame, p: NearParams) -> DataFrame:
+    """(group, i, j, rep): the members of buckets that the links (v, label) don't connect, in pairs of blocks."""
+    held = members.select("bucket", "rep", "n_shingles").join(links.withColumnRenamed("v", "rep"), "rep", "left")
+    found = held.groupBy("bucket").agg(
+        F.min(F.coalesce("label", "rep")).alias("low"),
+        F.max(F.coalesce("label", "rep")).alias("high"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("n_shingles").alias("shingles"),
+        F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("a"),
+        F.sum(F.xxhash64(F.lit(7), "rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("b"),
+        F.min("rep").alias("least"),
     )
-
-
-def _blocks(classes: DataFrame, coarse: DataFrame, p: NearParams) -> DataFrame:
-    """(rep, sig, comp, blocks, block): the block of each member of a candidate component."""
-    members = classes.select("rep", "sig", "n_shingles").join(
-        coarse.select(F.col("v").alias("rep"), F.col("label").alias("comp")), "rep"
-    )
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.greatest(
-        F.ceil(F.col("n") / p.block_docs), F.ceil(F.col("shingles") / p.block_shingles), F.lit(1)
-    ).cast("int")
-    return members.join(sizes.select("comp", blocks.alias("blocks")), "comp").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    # Buckets of the same members, told by their number, least one and two sums of hashes, are one group.
+    once = found.filter("low <> high").groupBy("n", "a", "b", "least").agg(F.min("bucket").alias("bucket"), F.first("shingles").alias("shingles"))
+    sizes = once.select("bucket", _block_of("n", "shingles", p).alias("blocks"))
+    rows = members.select("bucket", "rep").join(sizes.hint("merge"), "bucket")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return (
+        rows.withColumn("other", other)
+        .filter((F.col("blocks") == 1) | (F.col("other") != F.col("block")))
+        .select(F.col("bucket").alias("group"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep")
     )
 
 
-#: The bits of the table that keeps most texts without candidates out of the second pass.
-_SLOTS = 1 << 26
+#: Bits of the table that keeps most texts without candidates out of the second pass: so many for each member, within bounds.
+_BITS_EACH, _LEAST_BITS, _MOST_BITS = 16, 1 << 16, 1 << 27
 
 
-def _slot(doc_id: str):
-    return F.pmod(F.xxhash64(doc_id), F.lit(_SLOTS))
+def _slot(doc_id: str, slots: int):
+    return F.pmod(F.xxhash64(doc_id), F.lit(slots))
 
 
 def _slot_table(ids: DataFrame) -> np.ndarray:
-    """A bit for the hash of each doc_id: 8 MB at every size of the corpus, at most 2**20 rows."""
-    slots = ids.select(_slot("rep").alias("slot"))
-    words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(
+    """A bit for the hash of each member's doc_id: 16 MB and 2**21 rows at most. Beyond that bound more texts pass, all of them needlessly."""
+    slots = min(_MOST_BITS, max(_LEAST_BITS, 1 << (_BITS_EACH * ids.count()).bit_length()))
+    words = ids.select(_slot("rep", slots).alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")
     )
     rows = words.toPandas()
-    table = np.zeros(_SLOTS // 64, dtype=np.uint64)
+    table = np.zeros(slots // 64, dtype=np.uint64)
     table[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     return table
 
 
-def _member_sets(docs: DataFrame, blocks: DataFrame, p: NearParams) -> DataFrame:
-    """The full sets of the members, from a second pass over the texts.
+def _member_sets(docs: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
+    """(rep, shingles): the full sets of the representatives (rep, sig), from a second pass over the texts; written.
 
     The table of bits lets through every member and, by chance, few others; the join is exact.
     Sets are shuffled, texts are not.
     """
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(_slot_table(blocks))
+    bits = _slot_table(reps)
+    table = spark.sparkContext.broadcast(bits)
 
     def build(batches):
         bits = table.value
@@ -199,12 +226,14 @@ def _member_sets(docs: DataFrame, blocks: DataFrame, p: NearParams) -> DataFrame
                 sets = [s.tobytes() for s in shingle_sets(utf8(b["text"]), p.words)]
                 sigs = [xxhash.xxh3_128_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "sig", "shingles"]
+                    [b["doc_id"], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["rep", "sig", "shingles"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    sets = rows.withColumn("slot", _slot("doc_id")).mapInArrow(build, "doc_id long, sig binary, shingles binary")
-    return sets.join(blocks.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "sig"])
+    sets = rows.withColumn("slot", _slot("doc_id", 64 * len(bits))).mapInArrow(build, "rep long, sig binary, shingles binary")
+    # Rows that repeat a representative have one set.
+    own = sets.join(reps.hint("merge"), ["rep", "sig"]).groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    return materialize(own, "sets")
 
 
 def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -239,14 +268,9 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
         label = least
 
 
-def verified_links(sets: DataFrame, p: NearParams, parts: int) -> DataFrame:
-    """(a, b): links confirmed on full sets, a spanning forest of each group of rows."""
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = (
-        sets.withColumn("other", other)
-        .filter((F.col("blocks") == 1) | (F.col("other") != F.col("block")))
-        .select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "shingles")
-    )
+def verified_links(groups: DataFrame, sets: DataFrame, p: NearParams, parts: int) -> DataFrame:
+    """(a, b): links confirmed on full sets, a spanning forest of each (group, i, j); written."""
+    keyed = groups.join(sets.hint("merge"), "rep")
 
     def verify(batches):
         key, ids, held, found = None, [], [], []
@@ -261,11 +285,11 @@ def verified_links(sets: DataFrame, p: NearParams, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = (batch[c].to_pylist() for c in ("comp", "i", "j", "doc_id", "shingles"))
-            for comp, i, j, doc, s in zip(*cols):
-                if (comp, i, j) != key:
+            cols = (batch[c].to_pylist() for c in ("group", "i", "j", "rep", "shingles"))
+            for group, i, j, doc, s in zip(*cols):
+                if (group, i, j) != key:
                     close()
-                    key, ids, held = (comp, i, j), [], []
+                    key, ids, held = (group, i, j), [], []
                 ids.append(doc)
                 held.append(np.frombuffer(s, dtype=np.uint64))
             if len(found) > 10_000:
@@ -274,7 +298,8 @@ def verified_links(sets: DataFrame, p: NearParams, parts: int) -> DataFrame:
         if found:
             yield flush()
 
-    return keyed.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(verify, "a long, b long")
+    dealt = keyed.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return materialize(dealt.mapInArrow(verify, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
@@ -293,9 +318,12 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
         "classes",
     )
-    coarse = components(star_edges(classes))
-    blocks = materialize(_blocks(classes, coarse, p), "blocks")
-    links = components(verified_links(_member_sets(docs, blocks, p), p, parts))
+    members = materialize(bucket_members(classes), "members")
+    reps = classes.select("rep", "sig").join(members.select("rep").distinct(), "rep", "left_semi")
+    sets = _member_sets(docs, reps, p)
+    edges = verified_links(star_groups(members, p), sets, p, parts)
+    left = open_groups(members, components(edges), p)
+    links = components(edges.unionAll(verified_links(left, sets, p, parts)))
     found = classes.select("sig", "rep").join(links.withColumnRenamed("v", "rep"), "rep", "left")
     found = found.select("sig", F.coalesce("label", "rep").alias("component_id"))
     return signed.drop("bands").join(found, "sig", "left").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.common import read_table
 from quire.llm.exact_dedup import exact_duplicates
@@ -16,6 +17,9 @@ from quire.llm.token_files import token_file_report
 from quire.llm.topk_search import top_k_of_sample
 from quire.llm.toxicity import toxicity_report
 
+#: A-Z and nothing else is lower-cased.
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 #: The word tokenizer of operators 3 and 10, and its end id.
 WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 1
 
@@ -91,6 +95,36 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), folds=7, held=2)
 
 
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 6's result that SQL can express: counts and the base score, rounded as sums differ in order."""
+    scored = op6_lm_scoring(spark, sf_dir)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+#: crc32 isn't a function of this SQL, so the training documents are found by the bits of its polynomial.
+LM_BASE_SQL = rf"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS UBIGINT) AS c FROM documents
+  UNION ALL
+  SELECT doc_id, s, i + 1, list_reduce([xor(c, CAST(ord(substr(s, i + 1, 1)) AS UBIGINT)), 1, 2, 3, 4, 5, 6, 7, 8],
+      lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END))
+  FROM crc WHERE i < length(s)
+), fold AS (
+  SELECT doc_id, xor(c, CAST(4294967295 AS UBIGINT)) % 7 = 2 AS held_out FROM crc WHERE i = length(s)
+), tokens AS (
+  SELECT doc_id, unnest(list_append(regexp_extract_all(lowered, '[^\x20\x09-\x0D]+'), chr(10))) AS token
+  FROM (SELECT doc_id, {_LOWER_SQL} AS lowered FROM documents) AS t
+), counted AS (
+  SELECT token, count(*) AS c FROM tokens JOIN fold USING (doc_id) WHERE NOT held_out GROUP BY token
+), totals AS (
+  SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM counted
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens,
+       round(sum(log10((coalesce(c, 0) + 1) / (n + 1 * (v + 1)))), 4) AS base_score
+FROM tokens JOIN fold USING (doc_id) LEFT JOIN counted USING (token), totals GROUP BY doc_id, held_out
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -99,6 +133,27 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), NearParams(words=3, percent=85))
 
 
+OP8_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS n(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reach AS (
+  SELECT doc_id, doc_id AS seen FROM documents
+  UNION
+  SELECT r.doc_id, l.seen FROM reach r JOIN (SELECT a, b AS seen FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.seen
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_of_sample(read_table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
 
@@ -147,6 +202,7 @@ def queries() -> dict:
         "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_lm_scoring": op6_lm_scoring,
+        "lm_base": lm_base,
         "op7_toxicity": op7_toxicity,
         "op8_near_dedup": op8_near_dedup,
         "op9_topk_search": op9_topk_search,
@@ -158,5 +214,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "secret_base": SECRET_BASE_SQL,
         "op5_exact_dedup": OP5_SQL,
+        "lm_base": LM_BASE_SQL,
+        "op8_near_dedup": OP8_SQL,
         "op9_topk_search": OP9_SQL,
     }
