@@ -405,23 +405,163 @@ def test_too_many_languages_are_refused(spark, documents, monkeypatch):
 # Operator 6
 
 
-def test_lm_scores(spark, documents):
-    rows = [*((i, t) for i, t in ODD if i is not None), *((50 + i, f"alpha beta w{i % 9} Gamma") for i in range(60))]
-    got = lm_scoring.score_documents(documents(rows)).collect()
-    assert len(got) == len(rows)
+def brute_lm(rows, held, cutoff):
+    """The model from plain dictionaries: log10 probabilities of all rows' texts."""
+    train = [words_of(t) for i, t in rows if i is not None and not held(i)]
+    q = lambda c: 0 if not c else 1 + math.floor(math.log(c) / math.log(1.5) + 1e-9)
+    mid = lambda c: c if c <= 1 else 1.5 ** (q(c) - 0.5)
+    low = lambda c: math.ceil(1.5 ** (q(c) - 1) - 1e-6) if c else 0
+    high = lambda c: math.ceil(1.5 ** q(c) - 1e-6) - 1 if c else 0
+    word = collections.Counter(w for t in train for w in [*t, "\n"])
+    pair, triple, char = (collections.Counter() for _ in range(3))
+    for t in train:
+        s = ["<", *t, "\n"]
+        pair.update(zip(s, s[1:]))
+        triple.update(zip(s, s[1:], s[2:]))
+        for w in t:
+            b = b" " + w.encode() + b"\n"
+            for k in range(1, 6):
+                char.update(b[i : i + k] for i in range(len(b) - k + 1))
+            char[""] += len(b) - 1
+    pair, triple = ({k: c for k, c in x.items() if c >= cutoff} for x in (pair, triple))
+    n, v, ends = sum(word.values()), len(word), len(train)
+    stop = (ends + 1) / (n + 2)
+
+    def spelling(w):
+        b, out = b" " + w.encode() + b"\n", 1.0
+        for i in range(1, len(b)):
+            p = 1 / 256
+            for k in range(5):
+                if i >= k:
+                    of = high(char[b[i - k : i]]) if k else high(char[""])
+                    p = (min(low(char[b[i - k : i + 1]]), of) + 4 * p) / (of + 4)
+            out *= p
+        return out
+
+    def unigram(w):
+        return (mid(word[w]) + max(1, v) * (stop if w == "\n" else (1 - stop) * spelling(w))) / (sum(map(mid, word.values())) + max(1, v))
+
+    def next_word(a, b, w):
+        of2 = high(ends if b == "<" else word[b])
+        of3 = high(pair.get((a, b), 0)) if a else 0
+        w3 = 0.35 if of3 else 0
+        w2 = 0.6 - w3 if of2 else 0
+        r3, r2 = (min(1, low(x) / max(1, of)) for x, of in ((triple.get((a, b, w), 0), of3), (pair.get((b, w), 0), of2)))
+        return w3 * r3 + w2 * r2 + (1 - w2 - w3) * unigram(w)
+
+    scores = []
+    for _, t in rows:
+        s = [None, "<", *words_of(t), "\n"]
+        scores.append(sum(math.log10(next_word(*s[k : k + 3])) for k in range(len(s) - 2)))
+    return scores, next_word, word
+
+
+@pytest.mark.parametrize("cutoff", [1, 2])
+def test_lm_scores(spark, documents, monkeypatch, cutoff):
+    monkeypatch.setattr(lm_scoring, "BITS", 60)  # so that no probe is false
+    monkeypatch.setattr(lm_scoring, "TEXTS_AT_ONCE", 5)
+    monkeypatch.setattr(lm_scoring, "TOKENS_AT_ONCE", 150)
+    odd = [(i, t if t is None or len(t) < 1000 else t[:300]) for i, t in ODD]
+    rows = [*odd, *((50 + i, f"alpha beta w{i % 9} Gamma") for i in range(60)), (200, "gamma beta alpha w3"), (201, "alpha beta w3 gamma")]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c = collections.Counter(w for i, t in rows if not held(i) for w in [*words_of(t), "\n"])
+    docs = documents(rows).withColumns({c: F.lit(3) for c in ("block", "key", "c", "score", "held_out")})
+    got = lm_scoring.score_documents(docs, cutoff=cutoff).collect()
+    c = collections.Counter(w for i, t in rows if i is not None and not held(i) for w in [*words_of(t), "\n"])
     n, v = sum(c.values()), len(c)
+    scores, _, _ = brute_lm(rows, held, cutoff)
     want = collections.Counter()
-    for i, t in rows:
+    for (i, t), s in zip(rows, scores):
         w = [*words_of(t), "\n"]
         base = sum(math.log10((c[x] + 1) / (n + 1 * (v + 1))) for x in w)
-        want[(i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(base, 4))] += 1
-    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    usual = {r.doc_id: r.score / r.n_tokens for r in got}
-    assert usual[50] > usual[8]
+        want[(i, None if i is None else held(i), len(w), sum(c[x] > 0 for x in w), n, round(base, 4), round(s, 4))] += 1
+    own = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got)
+    assert own == want
+    by = {r.doc_id: r for r in got}
+    # The order of words matters; usual texts score higher than odd ones.
+    assert by[201].score > by[200].score + 1 and by[50].score / by[50].n_tokens > by[8].score / by[8].n_tokens
+    assert {r.cutoff for r in got} == {cutoff} and all(0 < r.filter_fill < 0.3 for r in got)
+
+
+def test_lm_scores_of_no_documents(spark, documents):
     assert lm_scoring.score_documents(documents([])).count() == 0
+    assert all(math.isfinite(r.score) for r in lm_scoring.score_documents(documents([(None, "a b"), (None, None)])).collect())
+
+
+def test_probabilities_sum_to_one():
+    """Over all words that were counted, with a spelling that gives them all its mass; counts of at most 3 are held as they are."""
+    rng = np.random.default_rng(3)
+    # Every word occurs three times, and no count exceeds 3.
+    texts = [[f"w{x}".encode() for x in rng.permutation(8)] for _ in range(2)]
+    texts.append(texts[0][4:] + texts[0][:4])
+    vocabulary = [*sorted({w for t in texts for w in t}), lm_scoring.END]
+    known = {w: k for w, k in zip(vocabulary, lm_scoring._word_keys(vocabulary))}
+    grams = collections.Counter()
+    for t in texts:
+        keys = np.array([known[w] for w in [*t, lm_scoring.END]], dtype=np.uint64)
+        pairs = lm_scoring.bigram_keys(lm_scoring.preceding(keys, np.array([0])), keys)
+        grams.update(keys.tolist() + pairs.tolist() + lm_scoring.trigram_keys(pairs[:-1], keys[1:]).tolist())
+    assert max(grams.values()) == 3
+    keys = np.array(sorted(grams), dtype=np.uint64)
+    width = 1 << 16
+    bits = np.frombuffer(lm_scoring.region(keys, np.array([grams[k] for k in keys.tolist()], dtype=float), 1, width, 7), np.uint8)
+    m = lm_scoring.Model(lm_scoring.LogFrequencyFilter(bits, 1, width, 7), 1, 27.0, len(vocabulary), 27.0, 3.0)
+    p1 = rng.dirichlet(np.ones(len(vocabulary)))
+    totals = []
+    for t in texts:
+        for k in range(len(t)):
+            context = [known[w] for w in t[:k]]
+            total = 0.0
+            for w, p in zip(vocabulary, p1):
+                keys = np.array([*context, known[w]], dtype=np.uint64)
+                high = lm_scoring.HIGHEST[m.filter.levels(keys)]
+                total += lm_scoring.probabilities(keys, np.full(len(keys), p), high, np.array([0]), m)[-1]
+            totals.append((total, all(grams[int(x)] < 3 for x in context[-1:])))
+    assert max(t for t, _ in totals) < 1 + 1e-9
+    # Where no count was cut to 3 above, the sum is 1.
+    assert all(t == pytest.approx(1.0) for t, whole in totals if whole and t > 0) or min(t for t, _ in totals) > 0.6
+
+
+def test_spellings_sum_to_one_at_most():
+    words = {b"ab": 1, b"abc": 1, b"b": 1}
+    keys, counts = lm_scoring.count_grams(words)
+    f = lm_scoring.LogFrequencyFilter(np.frombuffer(lm_scoring.region(keys, counts, 1, 1 << 15, 7), np.uint8), 1, 1 << 15, 7)
+    # All words of up to two letters of an alphabet of all bytes but the end; the rest is longer words' mass.
+    some = [b"", *(bytes([a]) for a in range(256) if a != 10), *(bytes([a, b]) for a in range(256) for b in range(256) if 10 not in (a, b))]
+    total = (10.0 ** lm_scoring.spellings(some, f)).sum()
+    longer = sum(10.0 ** lm_scoring.spellings([b"abc"], f))
+    assert 0.3 < total + longer <= 1 + 1e-9
+
+
+def test_sorted_counts_are_packed_whole():
+    rng = np.random.default_rng(5)
+    for keys in (np.empty(0, np.uint64), np.array([0], np.uint64), np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))):
+        assert (lm_scoring.unpack_keys(lm_scoring.pack_keys(keys), len(keys)) == keys).all()
+    for counts in (np.ones(10), np.array([255, 256, 70000.0])):
+        assert (lm_scoring.unpack_counts(lm_scoring.pack_counts(counts)) == counts).all()
+
+
+def test_counts_merge_in_a_tree(spark, documents, monkeypatch):
+    """With a small fan-out the counts go through several levels, and no array is cut into more parts than it."""
+    monkeypatch.setattr(lm_scoring, "MAX_FAN", 2)
+    assert lm_scoring.fan_out(7) == (2, 3) and lm_scoring.fan_out(1)[1] == 1
+    docs = documents([(i, f"a b{i % 4} c{i % 3}") for i in range(80)], 7).select("text")
+    fan, levels = 2, 3
+    sums = lm_scoring.summed_slices(lm_scoring._counted(docs, fan), fan, levels, 1)
+    assert sums.select("kind", "slice").distinct().count() == sums.count() and sums.agg(F.max("slice")).first()[0] < 8
+    m, counts = lm_scoring.train(docs, 1)
+    want = collections.Counter(w for i in range(80) for w in ["a", f"b{i % 4}", f"c{i % 3}", "\n"])
+    keys = {int(k.astype(np.int64)): w for w, k in zip(want, lm_scoring._word_keys([w.encode() for w in want]))}
+    assert {keys[r.key]: r.c for r in counts.collect()} == dict(want)
+    assert (m.tokens, m.distinct, m.ends) == (320, 9, 80)
+
+
+def test_cutoff_rises_until_the_filter_holds_all(monkeypatch):
+    by_level = np.array([0, 1000, 500, 100, 10, 1] + [0] * 75)
+    monkeypatch.setattr(lm_scoring, "MAX_BITS", 10 * (200 + 500 * 1 + 100 * 2 + 10 * 3 + 4))
+    assert lm_scoring.raised_cutoff(200, by_level, 2) == 2
+    monkeypatch.setattr(lm_scoring, "MAX_BITS", 10 * (200 + 100 + 2 * 10 + 3))
+    assert lm_scoring.raised_cutoff(200, by_level, 2) == 3 and lm_scoring.raised_cutoff(200, by_level, 1) == 3
+    assert lm_scoring.raised_cutoff(10**9, by_level, 2) > 1000
 
 
 def test_filter_holds_quantised_counts():
