@@ -151,22 +151,24 @@ def _block_of(n: str, shingles: str, p: NearParams):
 
 
 def star_groups(members: DataFrame, p: NearParams) -> DataFrame:
-    """(group, i, j, rep): each star's members in blocks, its centre in every block."""
+    """(group, i, j, rep, label): each star's members in blocks, its centre in every block; each is its own label."""
     edges = members.filter("rep <> centre").select("centre", "rep", "n_shingles").distinct()
     sizes = edges.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     sizes = sizes.select("centre", _block_of("n", "shingles", p).alias("blocks"))
     own = edges.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("i"), "rep")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
     centres = sizes.select("centre", every).withColumn("rep", F.col("centre"))
-    return own.unionByName(centres).select(F.col("centre").alias("group"), "i", F.col("i").alias("j"), "rep")
+    rows = own.unionByName(centres)
+    return rows.select(F.col("centre").alias("group"), "i", F.col("i").alias("j"), "rep", F.col("rep").alias("label"))
 
 
 def open_groups(members: DataFrame, links: DataFrame, p: NearParams) -> DataFrame:
-    """(group, i, j, rep): the members of buckets that the links (v, label) don't connect, in pairs of blocks."""
+    """(group, i, j, rep, label): the members of buckets that the links (v, label) don't connect, in pairs of blocks."""
     held = members.select("bucket", "rep", "n_shingles").join(links.withColumnRenamed("v", "rep"), "rep", "left")
+    held = held.withColumn("label", F.coalesce("label", "rep"))
     found = held.groupBy("bucket").agg(
-        F.min(F.coalesce("label", "rep")).alias("low"),
-        F.max(F.coalesce("label", "rep")).alias("high"),
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
         F.count(F.lit(1)).alias("n"),
         F.sum("n_shingles").alias("shingles"),
         F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("a"),
@@ -176,13 +178,13 @@ def open_groups(members: DataFrame, links: DataFrame, p: NearParams) -> DataFram
     # Buckets of the same members, told by their number, least one and two sums of hashes, are one group.
     once = found.filter("low <> high").groupBy("n", "a", "b", "least").agg(F.min("bucket").alias("bucket"), F.first("shingles").alias("shingles"))
     sizes = once.select("bucket", _block_of("n", "shingles", p).alias("blocks"))
-    rows = members.select("bucket", "rep").join(sizes.hint("merge"), "bucket")
+    rows = held.select("bucket", "rep", "label").join(sizes.hint("merge"), "bucket")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return (
         rows.withColumn("other", other)
         .filter((F.col("blocks") == 1) | (F.col("other") != F.col("block")))
-        .select(F.col("bucket").alias("group"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep")
+        .select(F.col("bucket").alias("group"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "label")
     )
 
 
@@ -237,7 +239,10 @@ def _member_sets(docs: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
 
 
 def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some documents: each with the smallest it reaches."""
+    """A spanning forest of the links among some documents: each with the smallest it reaches.
+
+    Documents with one id are connected already; no edge is given for what connects them.
+    """
     order = sorted(range(len(ids)), key=ids.__getitem__)
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
     k = len(ids)
@@ -258,19 +263,20 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
             m[owner[a:z], column[a:z] - low] = 1
             inter += m @ m.T
     link = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
-    np.fill_diagonal(link, True)
+    own = np.array(ids)
+    link |= own[:, None] == own[None, :]
     label = np.arange(k)
     while True:
         least = np.where(link, label[None, :], k).min(axis=1)
         least = np.minimum(least, least[least])
         if (least == label).all():
-            return [(ids[i], ids[j]) for i, j in enumerate(label.tolist()) if i != j and ids[i] != ids[j]]
+            return sorted({(ids[i], ids[j]) for i, j in enumerate(label.tolist()) if ids[i] != ids[j]})
         label = least
 
 
 def verified_links(groups: DataFrame, sets: DataFrame, p: NearParams, parts: int) -> DataFrame:
-    """(a, b): links confirmed on full sets, a spanning forest of each (group, i, j); written."""
-    keyed = groups.join(sets.hint("merge"), "rep")
+    """(a, b): links between labels, confirmed on full sets, a spanning forest of each (group, i, j); written."""
+    keyed = groups.join(sets.hint("merge"), "rep").drop("rep")
 
     def verify(batches):
         key, ids, held, found = None, [], [], []
@@ -285,7 +291,7 @@ def verified_links(groups: DataFrame, sets: DataFrame, p: NearParams, parts: int
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = (batch[c].to_pylist() for c in ("group", "i", "j", "rep", "shingles"))
+            cols = (batch[c].to_pylist() for c in ("group", "i", "j", "label", "shingles"))
             for group, i, j, doc, s in zip(*cols):
                 if (group, i, j) != key:
                     close()

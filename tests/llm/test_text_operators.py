@@ -226,6 +226,53 @@ def test_near_duplicates_odd_rows(spark, documents):
     assert {r.doc_id for r in left.collect()} == {1, 2, 3, 4, 6, 8, 9, 10, None}
 
 
+def chain_rows(n, step=10, size=110):
+    """Documents that share most shingles with the next in a chain, and are linked with none at 85 of 100."""
+    return [(1000 + i, " ".join(f"c{k}" for k in range(i * step, i * step + size))) for i in range(n)]
+
+
+def moved_sets(docs, p):
+    """Copies of sets that the two verifications move, and the members of candidate buckets."""
+    signed = near_dedup.signatures(docs, p)
+    classes = signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    members = near_dedup.bucket_members(classes)
+    none = docs.sparkSession.createDataFrame([], "v long, label long")
+    stars, left = near_dedup.star_groups(members, p).count(), near_dedup.open_groups(members, none, p).count()
+    return stars + left, members.select("rep").distinct().count()
+
+
+def test_a_giant_component_of_unlinked_members(spark, documents):
+    """A chain of buckets connects all documents, none are linked; what is moved grows with the documents, not with their square."""
+    p = NearParams(block_docs=4)
+    docs = documents(chain_rows(160))
+    got = near_duplicates(docs, p).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got) and len(got) == 160
+    few, n = moved_sets(documents(chain_rows(80)), p)
+    many, m = moved_sets(docs, p)
+    # All blocks of one component would take 160 * 40 copies; here each document is in few buckets.
+    assert n > 70 and m > 150 and many < 2.5 * few and many < 160 * 25
+
+
+def test_links_that_a_centre_would_lose(spark, documents):
+    """Members of one bucket that are linked with each other and not with its smallest, the centre of the star."""
+    base = [f"b{k}" for k in range(200)]
+    changed = lambda at: [f"x{at}-{k}" if at <= k < at + 12 else w for k, w in enumerate(base)]
+    other = changed(30)
+    rows = [(1, " ".join(base[:186] + [f"y{k}" for k in range(14)])), (2, " ".join(other)), (3, " ".join(other[:199]))]
+    rows += [(10 + k, " ".join(changed(40 + 5 * k))) for k in range(6)]
+    sets, label = brute_components(rows, 3, 85)
+    assert label[3] == 2 and label[2] != 1
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(rows), NearParams(block_docs=2)).collect()}
+    assert got == label
+
+
+def test_connected_members_give_no_edge():
+    sets = [np.arange(100, dtype=np.uint64), np.arange(1, 101, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64), np.arange(2, 102, dtype=np.uint64)]
+    assert near_dedup.linked([7, 7, 7, 9], sets, 85) == [(9, 7)]
+    assert near_dedup.linked([7, 7, 9, 9], [sets[0], sets[2], sets[1], sets[3]], 85) == [(9, 7)]
+    assert near_dedup.linked([1, 2, 3, 4], sets, 85) == [(2, 1), (4, 1)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7)]
     got = {r.v: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
