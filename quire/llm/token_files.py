@@ -45,7 +45,7 @@ _W16, _W48 = _U(16), _U(48)
 _MIX_BITS, _MAX_ZERO_BITS = 12, 20
 _CONFIDENT = 7
 #: Classes of lanes, the ids of a lane that clustering reads, and its rounds.
-CLASSES, _CLASS_IDS, _CLASS_ROUNDS = 6, 24, 5
+CLASSES, _CLASS_IDS, _CLASS_ROUNDS = 5, 24, 5
 _TABLES = 2 * CLASSES
 
 
@@ -75,7 +75,7 @@ class _Model:
         self.one = 1 << self.bits
         if 2 * vocab > self.one:
             raise ValueError(f"a block has more than {self.one // 2} distinct ids")
-        self.mask = (1 << max(10, min(20, n_ids.bit_length()))) - 1
+        self.mask = (1 << max(10, min(19, n_ids.bit_length()))) - 1
         self.second = np.zeros(self.mask + 1, dtype=np.int64)  # check << 40 | id << 3 | confidence
         self.first = np.zeros(vocab, dtype=np.int64)  # id << 3 | confidence
         self.prior = [np.zeros(lanes, dtype=np.int64) for _ in range(2)]  # the last id, the one before
@@ -158,15 +158,16 @@ class _Model:
         self.second[self.at2] = np.where(self.sure2 > 0, e2, np.where(self.e2 & 7 > 1, self.e2 - 1, self.check | fresh))
         e1 = self.e1 + np.where(self.hit1, self.sure1 < _CONFIDENT, -1)
         self.first[self.at1] = np.where(self.sure1 > 0, e1, fresh)
-        # An id that no spike stands on is all order 0's; sums of small integers are exact in doubles.
-        hit = self.hit2 | self.hit1
-        some = np.flatnonzero(hit)
-        self.shares[:, 2] += np.bincount(self.base[~hit], minlength=128) << 8
-        base, part0 = self.base[some], self.part0[some]
-        parts = self.hit2[some] * self.s2[some], self.hit1[some] * self.s1[some], part0
-        whole = parts[0] + parts[1] + part0
-        for k, part in enumerate(parts):
-            self.shares[:, k] += np.bincount(base, weights=(part << 8) // whole, minlength=128).astype(np.int64)
+        if self.step < 32 or self.step & 3 == 0:
+            # An id that no spike stands on is all order 0's; sums of small integers are exact in doubles.
+            hit = self.hit2 | self.hit1
+            some = np.flatnonzero(hit)
+            self.shares[:, 2] += np.bincount(self.base[~hit], minlength=128) << 8
+            base, part0 = self.base[some], self.part0[some]
+            parts = self.hit2[some] * self.s2[some], self.hit1[some] * self.s1[some], part0
+            whole = parts[0] + parts[1] + part0
+            for k, part in enumerate(parts):
+                self.shares[:, k] += np.bincount(base, weights=(part << 8) // whole, minlength=128).astype(np.int64)
         if self.step & 7 == 0:
             much = self.shares.sum(axis=1, keepdims=True) > 1 << 24
             self.shares = np.where(much, self.shares >> 1, self.shares)
