@@ -11,16 +11,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 _DECIDED = "session string, request_id string, cost long, running long, status string"
 
 
-def reservations(stream: DataFrame, limit: int) -> DataFrame:
+def reservations(stream: DataFrame, limit: int, idle_ms: int = 86_400_000) -> DataFrame:
     """Decide reservations (session, request_id, cost) of a stream against each session's limit.
 
-    State per session: the running total, whether it is blocked, and the requests seen, so a
-    replayed request is answered but never counted twice.
+    State per session: what was granted, what was asked, whether it is blocked, and the requests seen, so a
+    replayed request is answered but never counted twice. It goes when the session was idle for ``idle_ms``.
     """
 
     def decide(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, blocked, seen = state.get if state.exists else (0, False, "")
-        known = set(seen.split("\n")) - {""}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        total, blocked, seen = state.get if state.exists else (0, False, [])
+        known = set(seen)
         out = []
         for frame in frames:
             for request, cost in zip(frame["request_id"], frame["cost"]):
@@ -32,11 +35,12 @@ def reservations(stream: DataFrame, limit: int) -> DataFrame:
                     status, total = "granted", total + int(cost)
                 known.add(request)
                 out.append((key[0], request, int(cost), total, status))
-        state.update((total, blocked, "\n".join(sorted(known))))
+        state.update((total, blocked, sorted(known)))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _DECIDED.split(", ")])
 
     return stream.groupBy("session").applyInPandasWithState(
-        decide, _DECIDED, "total long, blocked boolean, seen string", "append", GroupStateTimeout.NoTimeout
+        decide, _DECIDED, "total long, blocked boolean, seen array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

@@ -113,9 +113,9 @@ def test_artifacts(spark):
 def test_ledger(spark):
     e = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 3, "c")], "key string, revision int, state string")
     chain = ledger.chained(e, ["key"], "revision", F.col("state"))
-    assert ledger.broken_chain(chain, ["key"], "revision").count() == 0
+    assert ledger.broken_chain(chain, ["key"], "revision", F.col("state")).count() == 0
     forged = chain.withColumn("digest", F.when(F.col("revision") == 2, "x").otherwise(F.col("digest")))
-    assert [r.revision for r in ledger.broken_chain(forged, ["key"], "revision").collect()] == [3]
+    assert [r.revision for r in ledger.broken_chain(forged, ["key"], "revision", F.col("state")).collect()] == [2, 3]
     c = spark.createDataFrame([("k", 1, 4), ("k", 2, 7), ("k", 3, 1)], "key string, n int, cost int")
     assert [r.granted for r in ledger.reserve(c, ["key"], "n", "cost", 10).orderBy("n").collect()] == [True, False, False]
 
