@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 # Chinese numerals.
 DIGITS = {c: n for n, cs in enumerate(["零〇", "一壹", "二貳两兩", "三參叁", "四肆", "五伍", "六陸", "七柒", "八捌", "九玖"]) for c in cs}
@@ -17,16 +19,24 @@ MYRIADS = {"萬": 10**4, "万": 10**4, "億": 10**8, "亿": 10**8}
 
 
 def numeral_value(text: str) -> int:
-    """The value of Chinese numerals; a myriad closes what stands before it."""
-    closed = open_part = digit = 0
-    for c in text:
-        if c in MYRIADS:
-            closed, open_part, digit = closed + (open_part + digit) * MYRIADS[c], 0, 0
-        elif c in UNITS:
-            open_part, digit = open_part + (digit or 1) * UNITS[c], 0
-        else:
-            digit = DIGITS.get(c, digit)
-    return closed + open_part + digit
+    """The value of Chinese numerals: each myriad closes what stands before it, which is a sum of digits times units.
+
+    Characters that are no numerals are passed over; a unit without a digit counts once, and of digits
+    without a unit between them the last counts.
+    """
+    parts = re.split("([" + "".join(MYRIADS) + "])", text)
+
+    def value(part: str) -> int:
+        rest = _DIGIT.findall(_BY_UNIT.sub("", part))
+        closed = sum(((DIGITS[d[-1]] if d else 0) or 1) * UNITS[u] for d, u in _BY_UNIT.findall(part))
+        return closed + (DIGITS[rest[-1]] if rest else 0)
+
+    return sum(value(part) * MYRIADS.get(myriad, 1) for part, myriad in zip(parts[::2], [*parts[1::2], ""]))
+
+
+_DIGIT = re.compile("[" + "".join(DIGITS) + "]")
+#: Digits, perhaps parted by other characters, and the unit that closes them.
+_BY_UNIT = re.compile("((?:[^" + "".join(UNITS) + "]*[" + "".join(DIGITS) + "])?)[^" + "".join(UNITS) + "]*([" + "".join(UNITS) + "])")
 
 
 @F.pandas_udf(LongType())
@@ -49,6 +59,22 @@ def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else x.casefold())
 
 
+@F.pandas_udf(StructType([StructField("micros", LongType()), StructField("zoned", BooleanType())]))
+def iso_instant(s: pd.Series) -> pd.DataFrame:
+    """The instant of an ISO 8601 date or time in microseconds, and whether it names a zone; null for other text."""
+
+    def one(text):
+        try:
+            t = datetime.fromisoformat(text.replace("Z", "+00:00"))
+        except (AttributeError, ValueError):
+            return None, None
+        gap = (t if t.tzinfo else t.replace(tzinfo=UTC)) - datetime(1970, 1, 1, tzinfo=UTC)
+        return (gap.days * 86_400 + gap.seconds) * 1_000_000 + gap.microseconds, t.tzinfo is not None
+
+    rows = [one(x) for x in s]
+    return pd.DataFrame({"micros": pd.array([r[0] for r in rows], dtype="Int64"), "zoned": pd.array([r[1] for r in rows], dtype="boolean")})
+
+
 def strict_json(text: str):
     """Parse JSON that has no duplicate keys and no non-finite numbers."""
 
@@ -83,7 +109,6 @@ def canonical_digest(s: pd.Series) -> pd.Series:
 
 def values_equal(predicted, gold, tolerance: float = 1e-6) -> bool:
     """Equal as numbers within a tolerance, element by element, or as normalised text."""
-    import re
 
     def number(v):
         if isinstance(v, bool) or not isinstance(v, (int, float, str)):

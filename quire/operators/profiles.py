@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import collapse, strip
@@ -80,6 +81,45 @@ def shred(value, path: str = "", depth: int = 0, keyed: dict[str, str] | None =
         yield path, type(value).__name__, json.dumps(value, ensure_ascii=False) if not isinstance(value, str) else value
 
 
+def resolves(value, path: str) -> bool:
+    """Whether a key path leads to an array; ``*`` stands for any row of an array above it."""
+    held = [value]
+    for part in [p.replace("~1", "/").replace("~0", "~") for p in path.split("/")[1:]]:
+        held = [x for v in held for x in (v if part == "*" and isinstance(v, list) else [v[part]] if isinstance(v, dict) and part in v else [])]
+    return any(isinstance(v, list) for v in held)
+
+
+def unresolved_keys(pairs: DataFrame, keyed: dict[str, str]) -> DataFrame:
+    """(id, path): declared key paths that lead to an array on neither side of pairs (id, before, after)."""
+
+    @F.pandas_udf("array<string>")
+    def missing(a: pd.Series, b: pd.Series) -> pd.Series:
+        def load(text):
+            try:
+                return json.loads(text)
+            except (TypeError, ValueError):
+                return None
+
+        sides = ((load(x), load(y)) for x, y in zip(a, b))
+        return pd.Series([[p for p in keyed if not resolves(x, p) and not resolves(y, p)] for x, y in sides])
+
+    return pairs.select("id", F.explode(missing("before", "after")).alias("path"))
+
+
+def limited_changes(changes: DataFrame, key: list[str], limit: int = 500) -> DataFrame:
+    """(key..., total, truncated, changes): at most ``limit`` changes of each group in order of their paths, with the exact number of all.
+
+    A group's list is bounded: what is beyond the limit is dropped before the lists are made, and counted.
+    """
+    nth = F.row_number().over(W.partitionBy(*key).orderBy("path", "kind"))
+    ranked = changes.withColumn("__n", nth).filter(F.col("__n") <= limit)
+    one = F.struct("path", "kind", "before_value", "after_value")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__n", one.alias("c")))), lambda x: x["c"])
+    lists = ranked.groupBy(*key).agg(listed.alias("changes"))
+    totals = changes.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
+    return totals.join(lists, key).select(*key, "total", (F.col("total") > limit).alias("truncated"), "changes")
+
+
 def shred_profiles(profiles: DataFrame, keyed: dict[str, str] | None = None) -> DataFrame:
     """Leaves (id, path, type, value, error) of profiles (id, json), by an Arrow UDF and explode."""
     kind = "struct<leaves:array<struct<path:string,type:string,value:string>>,error:string>"

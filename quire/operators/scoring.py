@@ -3,16 +3,23 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.python import nfkc
 from quire.functions.text import collapse, plain_float
 
 ACCEPT = 0.95
+#: Rename targets of one configuration.
+MAX_TARGETS = 1000
+
+
+def normalized_text(value: Column) -> Column:
+    """Text for comparison: compatibility forms (full-width digits and letters, ligatures) as plain ones, white space collapsed; null is empty."""
+    return collapse(nfkc(F.coalesce(value, F.lit(""))))
 
 
 def equal_values(predicted: Column, gold: Column, tolerance: float = 1e-6) -> Column:
-    """Scalar texts: as plain numbers within a tolerance, else as collapsed text; null is empty."""
+    """Scalar texts: as plain numbers within a tolerance, else as normalised text; null is empty."""
     a, b = plain_float(predicted), plain_float(gold)
-    empty = lambda c: collapse(F.coalesce(c, F.lit("")))
-    return F.coalesce(F.abs(a - b) <= tolerance, empty(predicted) == empty(gold))
+    return F.coalesce(F.abs(a - b) <= tolerance, normalized_text(predicted) == normalized_text(gold))
 
 
 def score_fields(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -23,7 +30,7 @@ def score_fields(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def hallucinations(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Predicted fields with a value that the golden record doesn't have."""
-    some = predicted.filter(collapse(F.coalesce("predicted", F.lit(""))) != "")
+    some = predicted.filter(normalized_text(F.col("predicted")) != "")
     return some.join(gold.select("doc", "field"), ["doc", "field"], "left_anti")
 
 
@@ -44,10 +51,17 @@ def acceptance(scored: DataFrame, invented: DataFrame, key: list[str]) -> DataFr
 
 
 def transformation_compliance(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc, compliance): the share of rename targets (target) found in a record's JSON text, case aside."""
-    low = records.select("doc", F.lower(collapse(F.col("json"))).alias("blob"))
-    hit = F.contains(F.col("blob"), F.lower(collapse(F.col("target")))) & (collapse(F.col("target")) != "")
-    return low.crossJoin(F.broadcast(targets)).groupBy("doc").agg(F.avg(hit.cast("double")).alias("compliance"))
+    """(doc, compliance): the share of rename targets (target) found in a record's JSON text, case aside, to four places.
+
+    The targets are a configuration of its author, taken to the driver: at most MAX_TARGETS. Without any, it is null.
+    """
+    names = [r[0] for r in targets.select(F.lower(normalized_text(F.col("target")))).limit(MAX_TARGETS + 1).collect()]
+    if len(names) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
+    low = records.select("doc", F.lower(normalized_text(F.col("json"))).alias("blob"))
+    wanted = F.array(*(F.lit(n) for n in names)).cast("array<string>")
+    hits = F.size(F.filter(wanted, lambda t: (t != "") & F.contains(F.col("blob"), t)))
+    return low.select("doc", F.when(F.size(wanted) > 0, F.bround(hits / F.size(wanted), 4)).alias("compliance"))
 
 
 def review_rows(fields: DataFrame, provenance: DataFrame, confidence: DataFrame) -> DataFrame:

@@ -97,18 +97,42 @@ def docx_marks(payload: bytes):
         if name == "bookmarkStart":
             yield "bookmark", attribute(n, "name")
         elif name == "instrText":
-            for ref in re.findall(r"\b(?:PAGE)?REF\s+(\S+)", n.text or ""):
-                yield "reference", ref
-            if re.match(r"\s*TOC\b", n.text or ""):
+            if m := re.match(r"\s*(?:PAGEREF|NOTEREF|REF)\s+(\S+)", n.text or "", re.I):
+                yield "reference", m[1]
+            if "TOC" in (n.text or "").upper():
                 yield "toc", (n.text or "").strip()
+        elif name == "fldSimple":
+            code = attribute(n, "instr", "") or ""
+            if m := re.match(r"\s*(?:PAGEREF|NOTEREF|REF)\s+(\S+)", code, re.I):
+                yield "reference", m[1]
+            if "TOC" in code:
+                yield "toc", code.strip()
+        elif name == "docPartGallery" and attribute(n, "val") == "Table of Contents":
+            yield "toc", ""
         elif name == "br" and attribute(n, "type") == "page":
             yield "page_break", ""
         elif name == "sectPr":
             yield "section", ""
-        elif name == "drawing":
+        elif name in ("drawing", "pict"):
             yield "image", ""
 
 
+def docx_units(payload: bytes):
+    """(idx, breaks, filled, section) of a body's paragraphs, tables and last section, for pages that explicit breaks part."""
+    package = _open("docx", payload)
+    body = next((n for n in xml(member(package, "word/document.xml")) if local(n.tag) == "body"), None)
+    for i, node in enumerate(n for n in (() if body is None else body) if local(n.tag) in ("p", "tbl", "sectPr")):
+        name = local(node.tag)
+        below = [local(n.tag) for n in node.iter()]
+        if name == "p":
+            text = "".join(n.text or "" for n in node.iter() if local(n.tag) == "t").strip()
+            breaks = sum(local(n.tag) == "br" and attribute(n, "type") == "page" for n in node.iter())
+            ends = any(local(n.tag) == "sectPr" for props in node if local(props.tag) == "pPr" for n in props)
+            yield i, breaks, bool(text) or "drawing" in below or "pict" in below, ends
+        else:
+            yield i, 0, name == "tbl", name == "sectPr"
+
+
 def _serial_date(value: float, epoch_1904: bool) -> str:
     base = datetime.datetime(1904, 1, 1) if epoch_1904 else datetime.datetime(1899, 12, 30)
     stamp = base + datetime.timedelta(milliseconds=round(value * 86_400_000))
@@ -202,6 +226,10 @@ def docx_structure(files: DataFrame) -> DataFrame:
     return parse_files(files, "kind string, name string", lambda n, p: docx_marks(p))
 
 
+def docx_pages(files: DataFrame) -> DataFrame:
+    return parse_files(files, "idx int, breaks int, filled boolean, section boolean", lambda n, p: docx_units(p))
+
+
 def docx_stories(files: DataFrame) -> DataFrame:
     return parse_files(files, "part string, text string", lambda n, p: docx_parts(p))
 
