@@ -80,7 +80,10 @@ def _rels(targets: list[tuple[str, str]]) -> str:
 
 
 def sheet_names(wanted: list[str]) -> list[str]:
-    """At most 31 characters, without what sheets can't be named, each different when case is ignored."""
+    """Names that a workbook may have: at most 31 characters, without what sheets can't be named, each different when case is ignored.
+
+    The names of content blocks follow a rule of their own, see ``quire.sources.blocks.sheet_name``.
+    """
     out, used = [], set()
     for name in wanted:
         base = re.sub(r"[\[\]:*?/\\]", " ", name or "Sheet").strip()[:31] or "Sheet"
@@ -152,18 +155,24 @@ def to_docx(blocks: list[dict]) -> bytes:
     )
 
 
+#: Lines of a written slide.
+SLIDE_LINES = 20
+
+
 def to_pptx(blocks: list[dict]) -> bytes:
-    """A slide for each block; tables as lines of at most 20 rows."""
-    slides = {}
-    for i, b in enumerate(blocks, 1):
+    """A slide for each block, tables as lines; what goes beyond the lines of a slide goes on on further slides of its title."""
+    slides, parted = {}, []
+    for b in blocks:
         lines = [" | ".join(c or "" for c in r) for r in lines_of(b)]
         title = b.get("name") or (lines.pop(0) if b["kind"] in ("heading", "slide") and lines else "")
+        parted += [(title, lines[k : k + SLIDE_LINES]) for k in range(0, max(1, len(lines)), SLIDE_LINES)]
+    for i, (title, lines) in enumerate(parted, 1):
         shape = lambda k, kind, rows: (
             f'<p:sp><p:nvSpPr><p:cNvPr id="{k}" name="{kind}"/><p:cNvSpPr/><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><p:spPr/><p:txBody><a:bodyPr/>'
             + "".join(f"<a:p><a:r><a:t>{escape(x or '')}</a:t></a:r></a:p>" for x in rows or [""])
             + "</p:txBody></p:sp>"
         )
-        tree = shape(2, "title", [title]) + shape(3, "body", lines[:20])
+        tree = shape(2, "title", [title]) + shape(3, "body", lines)
         slides[f"ppt/slides/slide{i}.xml"] = f'<p:sld xmlns:p="{_P}" xmlns:a="{_A}"><p:cSld><p:spTree>{tree}</p:spTree></p:cSld></p:sld>'
     ids = "".join(f'<p:sldId id="{255 + i}" r:id="rId{i}"/>' for i in range(1, len(slides) + 1))
     base = "application/vnd.openxmlformats-officedocument.presentationml"
@@ -178,14 +187,33 @@ def to_pptx(blocks: list[dict]) -> bytes:
     )
 
 
+#: A font that every viewer has for text beyond Latin-1, and its encoding: two bytes a character.
+_CJK = (
+    b"<< /Type /Font /Subtype /Type0 /BaseFont /STSong-Light /Encoding /UniGB-UCS2-H /DescendantFonts [<< /Type /Font /Subtype /CIDFontType0 "
+    b"/BaseFont /STSong-Light /CIDSystemInfo << /Registry (Adobe) /Ordering (GB1) /Supplement 2 >> /DW 1000 >>] >>"
+)
+
+
 def to_pdf(blocks: list[dict], width: int = 95, per_page: int = 56) -> bytes:
-    """Plain pages of text in a built-in font; characters beyond Latin-1 become question marks."""
-    lines = [x for b in blocks for r in lines_of(b) for t in [" | ".join(c or "" for c in r)] for x in (re.findall(f".{{1,{width}}}", t) or [""])]
+    """Plain pages of text in a built-in font: one byte a character, or two where a text goes beyond Latin-1.
+
+    Characters beyond the first plane have no place in either font; a document that holds one is refused.
+    """
+    texts = [" | ".join(c or "" for c in r) for b in blocks for r in lines_of(b)]
+    wide = any(c > "\xff" for t in texts for c in t)
+    if any(c > "\uffff" for t in texts for c in t):
+        raise ValueError("PDF_TEXT_UNSUPPORTED")
+    shown = (lambda x: b"<" + x.encode("utf-16-be").hex().encode() + b">") if wide else (
+        lambda x: b"(" + re.sub(rb"([\\()])", rb"\\\1", x.encode("latin-1")) + b")"
+    )
+    width = width // 2 if wide else width
+    lines = [x for t in texts for x in (re.findall(f".{{1,{width}}}", t) or [""])]
     pages = [lines[i : i + per_page] for i in range(0, len(lines), per_page)] or [[]]
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    font = _CJK if wide else b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", font]
     kids = []
     for page in pages:
-        text = b"".join(b"(" + re.sub(rb"([\\()])", rb"\\\1", x.encode("latin-1", "replace")) + b") Tj T*\n" for x in page)
+        text = b"".join(shown(x) + b" Tj T*\n" for x in page)
         stream = b"BT /F1 10 Tf 13 TL 50 790 Td\n" + text + b"ET"
         objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(stream), stream))
         objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(objects))

@@ -19,17 +19,18 @@ _STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|T\*|T[djJ]|'|\"|TD
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def _literal(token: bytes) -> str:
+def _literal(token: bytes, encoding: str = "cp1252") -> str:
     if token.startswith(b"<"):
         digits = re.sub(rb"\s", b"", token[1:-1])
-        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        return raw.decode("latin-1" if encoding == "cp1252" else encoding, "replace")
     body = re.sub(
         rb"\\([0-7]{1,3}|\r?\n|.)",
         lambda m: _ESCAPES.get(m[1], b"" if m[1] in (b"\n", b"\r\n") else bytes([int(m[1], 8) & 255]) if m[1].isdigit() else m[1]),
         token[1:-1],
         flags=re.S,
     )
-    return body.decode("cp1252", "replace")
+    return body.decode(encoding, "replace")
 
 
 def _stream(body: bytes) -> bytes:
@@ -54,6 +55,10 @@ def pages(name: str, payload: bytes):
     if b"/Encrypt" in payload:
         raise SourceError("PDF_ENCRYPTED")
     objects = {int(m[1]): m[2] for m in _OBJECT.finditer(payload)}
+    # A file whose fonts are all of two bytes a character in Unicode order can be read as well.
+    fonts = [o for o in objects.values() if re.search(rb"/Type\s*/Font\b", o)]
+    two = bool(fonts) and all(re.search(rb"/Encoding\s*/Uni\w+-(UCS2|UTF16)-H", o) for o in fonts)
+    encoding = "utf-16-be" if two else "cp1252"
     found = [o for o in objects.values() if re.search(rb"/Type\s*/Page\b(?!s)", o)]
     tree = next((o for o in objects.values() if re.search(rb"/Type\s*/Pages\b", o) and b"/Kids" in o), b"")
     kids = [int(k) for k in re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/Kids\s*\[(.*?)\]", tree, re.S) or [b"", b""])[1])]
@@ -69,7 +74,7 @@ def pages(name: str, payload: bytes):
         for ref in re.findall(rb"(\d+)\s+\d+\s+R", contents[1] if contents else b""):
             for token in _STRING.findall(_stream(objects.get(int(ref), b""))):
                 if token[:1] in b"(<":
-                    out.append(_literal(token))
+                    out.append(_literal(token, encoding))
                 elif token in (b"T*", b"Td", b"TD", b"'", b'"') and out and out[-1] != "\n":
                     out.append("\n")
         text = "".join(out).strip()
