@@ -61,3 +61,27 @@ def test_registered_queries_cover_their_tables(spark, name):
     else:
         n = spark.read.parquet(f"{DATA}/documents.parquet").count()
         assert out.select("doc_id").distinct().count() == n
+
+
+CLASH = ["row_id", "kept", "sha", "severity", "toxic", "base", "added", "label", "rep", "block", "start", "doc_tokens", "sequence_id"]
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows):
+    """Empty tables, rows that repeat, null keys, and columns with the names of results: every stage keeps the columns."""
+    text = " ".join(f"w{k}" for k in range(60))
+    some = [(1, text), (1, text), (None, text + " more"), (2, None), (3, ""), (None, None)][: 2 * rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASH)
+    data = [(i, t, None, None, None, *range(len(CLASH))) for i, t in some]
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    left = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"{k}"))
+        left.append(docs.count())
+        assert name == "packing" or docs.columns == columns
+    # Of equal texts one row stays, of null and empty ones too; the longer text without a doc_id is no other's copy.
+    assert left == ([0] * 5 if not rows else [6, 3, 3, 3, 3])

@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_data import ODD
 
 from quire.llm import common, token_files
@@ -243,3 +244,23 @@ def test_word_cache_is_bounded_in_bytes(monkeypatch):
         memo.learn(words)
         assert [memo[w] for w in words] == [w[:4] for w in words]
         assert sum(map(len, memo)) < 1000 + 2000 and sum(len(w) > common.LONG_WORD for w in memo) == 1
+
+
+def test_packing_covers_every_id_once(spark, documents):
+    """Pieces of a document follow each other without gap or overlap, sequences are padded to a full length, clashing columns don't matter."""
+    docs = documents([(i, t) for i, t in ODD if i is not None and i != 5]).withColumns({c: F.lit(9) for c in ("start", "length", "offset", "sequence_id", "doc_tokens", "tokens", "part")})
+    rows = pack_documents(docs, WORDS, window=64).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    for parts in by.values():
+        at = 0
+        for start, length, total in sorted(parts):
+            assert start == at and length > 0
+            at += length
+        assert at == total
+    fill = {}
+    for r in rows:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+        assert r.padded_length == 64 or r.padded_length & (r.padded_length - 1) == 0
+    assert all(r.sequence_length == fill[r.sequence_id] <= r.padded_length for r in rows)
