@@ -8,14 +8,14 @@
 3. In every bucket the smallest representative is the centre of a star: k members give k - 1
    candidate edges, which are verified on full sets, a centre with a bounded block of its members
    at a time. Their components are most of the result: a group of near copies falls together.
-4. What a star leaves open is a bucket whose members are still in several components. Its
-   members meet in blocks of bounded size, each pair of blocks in one group of rows, and are intersected
-   exactly; buckets of the same members count once. So every pair of documents that share a bucket is
-   verified, or already connected, and no link is lost to the choice of a centre.
+4. What a star leaves open is a bucket whose members are still in several components. The members outside
+   the largest of them meet each other and those in it, in blocks of bounded size, each pair of blocks in one group
+   of rows, and are intersected exactly; buckets of the same members count once. So every pair of documents that
+   share a bucket is verified, or already connected, and no link is lost to the choice of a centre.
 5. The components of all links are the classes of near-duplicates.
 
-Copies of sets that are moved: one for each distinct edge of a star, and k * ceil(k / block_docs)
-for a bucket of k members that is left open; members that chains of buckets connect never meet.
+Copies of sets that are moved: one for each distinct edge of a star, and about k * ceil(m / block_docs) + m * ceil(k / block_docs)
+for a bucket of k members that is left open by m; members that only chains of buckets connect never meet.
 """
 
 from __future__ import annotations
@@ -163,29 +163,40 @@ def star_groups(members: DataFrame, p: NearParams) -> DataFrame:
 
 
 def open_groups(members: DataFrame, links: DataFrame, p: NearParams) -> DataFrame:
-    """(group, i, j, rep, label): the members of buckets that the links (v, label) don't connect, in pairs of blocks."""
+    """(group, i, j, rep, label): the members of buckets that the links (v, label) don't connect, in pairs of blocks.
+
+    In a bucket the members of its largest component needn't meet each other: what must meet are the others, among themselves
+    and with them. Blocks of the others are numbered from 0; ``j`` is a block of the largest component, or -1 less another's.
+    """
     held = members.select("bucket", "rep", "n_shingles").join(links.withColumnRenamed("v", "rep"), "rep", "left")
     held = held.withColumn("label", F.coalesce("label", "rep"))
-    found = held.groupBy("bucket").agg(
-        F.min("label").alias("low"),
-        F.max("label").alias("high"),
+    parts = held.groupBy("bucket", "label").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("n_shingles").alias("shingles"),
         F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("a"),
         F.sum(F.xxhash64(F.lit(7), "rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("b"),
         F.min("rep").alias("least"),
     )
+    found = parts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("labels"),
+        F.max(F.struct("n", "shingles", "label")).alias("most"),
+        *(F.sum(c).alias(c) for c in ("n", "shingles", "a", "b")),
+        F.min("least").alias("least"),
+    )
     # Buckets of the same members, told by their number, least one and two sums of hashes, are one group.
-    once = found.filter("low <> high").groupBy("n", "a", "b", "least").agg(F.min("bucket").alias("bucket"), F.first("shingles").alias("shingles"))
-    sizes = once.select("bucket", _block_of("n", "shingles", p).alias("blocks"))
-    rows = held.select("bucket", "rep", "label").join(sizes.hint("merge"), "bucket")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return (
-        rows.withColumn("other", other)
-        .filter((F.col("blocks") == 1) | (F.col("other") != F.col("block")))
-        .select(F.col("bucket").alias("group"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "label")
+    once = found.filter("labels > 1").groupBy("n", "a", "b", "least").agg(
+        F.min("bucket").alias("bucket"), F.first("shingles").alias("shingles"), F.first("most").alias("most")
     )
+    sizes = once.select("bucket", F.col("most.label").alias("main"), "most.n", "most.shingles", (F.col("n") - F.col("most.n")).alias("few"), (F.col("shingles") - F.col("most.shingles")).alias("few_shingles"))
+    sizes = sizes.select("bucket", "main", _block_of("n", "shingles", p).alias("wide"), _block_of("few", "few_shingles", p).alias("narrow"))
+    rows = held.select("bucket", "rep", "label").join(sizes.hint("merge"), "bucket")
+    inner = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("rep"), F.when(inner, F.col("wide")).otherwise(F.col("narrow"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    with_main = F.transform(upto(F.col("wide")), lambda j: F.struct(own.alias("i"), j.alias("j")))
+    with_others = F.transform(upto(F.col("narrow")), lambda k: F.struct(F.least(own, k).alias("i"), (F.lit(-1) - F.greatest(own, k)).alias("j")))
+    meets = F.when(inner, F.transform(upto(F.col("narrow")), lambda i: F.struct(i.alias("i"), own.alias("j")))).otherwise(F.concat(with_main, with_others))
+    return rows.select(F.col("bucket").alias("group"), "rep", "label", F.explode(meets).alias("m")).select("group", "m.i", "m.j", "rep", "label")
 
 
 #: Bits of the table that keeps most texts without candidates out of the second pass: so many for each member, within bounds.
