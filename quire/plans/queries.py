@@ -434,7 +434,11 @@ def evidence_equality(spark, sf_dir):
     return evidence.equality(_status_items(spark, sf_dir).drop("date"))
 
 
-@query(_EQUAL.format(ok="VERSIONS_MATCH", bad="VERSION_MISMATCH"))
+@query(f"""
+SELECT check_id, CASE WHEN compared_count < 2 THEN 'error' ELSE status END AS status, CASE WHEN compared_count < 2 THEN 'CHECK_INVALID' ELSE reason END AS reason,
+  expected, CASE WHEN compared_count >= 2 THEN actual END AS actual, CASE WHEN compared_count >= 2 THEN compared_count END AS compared_count
+FROM ({_EQUAL.format(ok="VERSIONS_MATCH", bad="VERSION_MISMATCH")}) AS e
+""")
 def evidence_version(spark, sf_dir):
     return evidence.version_match(_status_items(spark, sf_dir).drop("date"))
 
@@ -453,8 +457,8 @@ def evidence_range(spark, sf_dir):
 
 @query("""
 WITH i AS (SELECT o_custkey AS check_id, CAST(o_orderdate AS DATE) AS d, lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders)
-SELECT check_id, CASE WHEN bool_and(p IS NULL OR p <= d) THEN 'DATE_ORDER_VALID' ELSE 'DATE_ORDER_INVALID' END AS reason,
-  CASE WHEN bool_and(p IS NULL OR p <= d) THEN 'pass' ELSE 'fail' END AS status FROM i GROUP BY check_id
+SELECT check_id, CASE WHEN count(*) < 2 THEN 'CHECK_INVALID' WHEN bool_and(p IS NULL OR p <= d) THEN 'DATE_ORDER_VALID' ELSE 'DATE_ORDER_INVALID' END AS reason,
+  CASE WHEN count(*) < 2 THEN 'error' WHEN bool_and(p IS NULL OR p <= d) THEN 'pass' ELSE 'fail' END AS status FROM i GROUP BY check_id
 """)
 def evidence_date_order(spark, sf_dir):
     items = _status_items(spark, sf_dir).select("check_id", "pos", F.col("date").alias("value"))

@@ -36,11 +36,10 @@ def reservations(stream: DataFrame, limit: int, idle_ms: int = 86_400_000) -> Da
                 known.add(request)
                 out.append((key[0], request, int(cost), total, status))
         state.update((total, blocked, sorted(known)))
-        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _DECIDED.split(", ")])
 
     return stream.groupBy("session").applyInPandasWithState(
-        decide, _DECIDED, "total long, blocked boolean, seen array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        decide, _DECIDED, "total long, blocked boolean, seen array<string>", "append", GroupStateTimeout.NoTimeout
     )
 
 
