@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.collocations import PhraseParams, collocations
 from quire.llm.common import read_table
+from quire.llm.decontamination import OverlapParams, overlap_report
 from quire.llm.exact_dedup import exact_duplicates
+from quire.llm.importance import DrawParams, importance_sample
 from quire.llm.language_id import language_report
 from quire.llm.lm_scoring import score_documents
 from quire.llm.near_dedup import NearParams, near_duplicates
@@ -193,6 +196,123 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM b
 """
 
 
+#: Words of operators 11 and 13.
+_ALNUM_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), OverlapParams(words=10))
+
+
+OP11_SQL = rf"""
+WITH items AS (
+  SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, regexp_extract_all({_LOWER_SQL}, '{_ALNUM_SQL}') AS w FROM benchmark) AS t WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM items, unnest(range(1, len(w) - k + 2)) AS n(i)
+), docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({_LOWER_SQL}, '{_ALNUM_SQL}') AS w FROM documents
+), spots AS (
+  SELECT row_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT * FROM docs, (SELECT DISTINCT k FROM windows) AS lengths) AS d, unnest(range(1, len(w) - k + 2)) AS n(i)
+), found AS (
+  SELECT row_id, i, k, item FROM spots JOIN windows USING (k, s)
+), hit AS (
+  SELECT row_id, count(DISTINCT place) AS n FROM (SELECT DISTINCT row_id, i, k FROM found) AS f, unnest(range(i, i + k)) AS p(place) GROUP BY row_id
+), named AS (
+  SELECT row_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS joined
+  FROM (SELECT DISTINCT row_id, item FROM found WHERE item IS NOT NULL) AS f GROUP BY row_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(joined, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (row_id) LEFT JOIN named USING (row_id)
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"), PhraseParams(words=3, least=10, top=2000))
+
+
+OP12_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER_SQL}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), counted AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT * FROM words, range(1, 4) AS sizes(k)) AS t, unnest(range(1, len(w) - k + 2)) AS n(i) GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang
+), often AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE f >= 10
+), cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, cut, x.f AS l, y.f AS r,
+         CAST(CAST(1000000 AS HUGEINT) * c.f * c.f // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM often WHERE k > 1) AS c
+  JOIN counted AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:cut], ' ')
+  JOIN counted AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts
+), longer AS (
+  SELECT lang, unnest([array_to_string(w[:k - 1], ' '), array_to_string(w[2:], ' ')]) AS phrase, f FROM often WHERE k = 3
+), dropped AS (
+  SELECT DISTINCT o.lang, o.phrase FROM often AS o JOIN longer AS g USING (lang, phrase) WHERE 100 * g.f >= 50 * o.f
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest WHERE place = 1 AND (lang, phrase) NOT IN (SELECT (lang, phrase) FROM dropped)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return importance_sample(docs, target, DrawParams(buckets=10_000, runs=2, least_words=20, percent=25, seed=7))
+
+
+#: crc32 isn't a function of this SQL either: it is taken of each distinct feature, a byte at a time.
+OP13_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({_LOWER_SQL}, '{_ALNUM_SQL}') AS w FROM documents
+), features AS (
+  SELECT row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM docs
+), wanted AS (
+  SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature
+  FROM (SELECT regexp_extract_all({_LOWER_SQL}, '{_ALNUM_SQL}') AS w FROM benchmark) AS t
+), crc_table AS (
+  SELECT list(list_reduce([CAST(n AS UBIGINT), 1, 2, 3, 4, 5, 6, 7, 8],
+      lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END)) ORDER BY n) AS step
+  FROM range(256) AS t(n)
+), plain AS (
+  SELECT feature, hex(encode(feature)) AS h FROM (SELECT feature FROM features UNION SELECT feature FROM wanted) AS f
+), hashed AS (
+  SELECT feature, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, len(h), 2), lambda i: CAST(CAST('0x' || h[i:i + 1] AS INT) AS UBIGINT))),
+      lambda c, b: xor(c >> 8, step[CAST(xor(c, b) & 255 AS INT) + 1])), CAST(4294967295 AS UBIGINT)) % 10000 AS bucket
+  FROM plain, crc_table
+), bucketed AS (
+  SELECT row_id, bucket FROM features JOIN hashed USING (feature)
+), s AS (SELECT bucket, count(*) AS s FROM bucketed GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (feature) GROUP BY bucket
+), sizes AS (
+  SELECT coalesce((SELECT sum(s) FROM s), 0) AS big_s, coalesce((SELECT sum(t) FROM t), 0) AS big_t
+), gains AS (
+  SELECT bucket, CAST(floor(1000.0::DOUBLE * ln(((coalesce(t, 0) + 1)::DOUBLE * (big_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (big_t + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), sizes
+), summed AS (
+  SELECT row_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM bucketed JOIN gains USING (bucket) GROUP BY row_id
+), scored AS (
+  SELECT doc_id, len(w) >= 20 AS fit, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM docs LEFT JOIN summed USING (row_id)
+), noisy AS (
+  SELECT doc_id, fit, n_features, weight, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE fit) OVER () AS n_fit FROM noisy
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * n_fit // 100 THEN place END AS rank FROM placed
+"""
+
+
 def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -207,6 +327,9 @@ def queries() -> dict:
         "op8_near_dedup": op8_near_dedup,
         "op9_topk_search": op9_topk_search,
         "op10_token_files": op10_token_files,
+        "op11_decontamination": op11_decontamination,
+        "op12_collocations": op12_collocations,
+        "op13_importance": op13_importance,
     }
 
 
@@ -217,4 +340,7 @@ def oracle_sql() -> dict[str, str]:
         "lm_base": LM_BASE_SQL,
         "op8_near_dedup": OP8_SQL,
         "op9_topk_search": OP9_SQL,
+        "op11_decontamination": OP11_SQL,
+        "op12_collocations": OP12_SQL,
+        "op13_importance": OP13_SQL,
     }
