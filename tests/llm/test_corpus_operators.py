@@ -105,7 +105,7 @@ def test_decontaminate(spark, documents):
     cut = decontaminate(docs, bench, mark="[x]")
     assert cut.columns == docs.columns
     texts = {r.doc_id: r.text for r in cut.collect()}
-    assert texts[100] == "see: [x] stop" and texts[102] == "[x], and [x]. [x]!" and texts[107] == "short [x] item"
+    assert texts[100] == "see: [x] stop" and texts[102] == "[x], and [x]!" and texts[107] == "short [x] item"
     assert texts[101] == LEAKS[1][1] and texts[1] is None and texts[3] == "clean text stays, as it is!"
     assert not decontaminate(cut, bench).exceptAll(cut).count()
     with pytest.raises(ValueError):
