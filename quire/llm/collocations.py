@@ -40,14 +40,14 @@ class PhraseParams:
     #: Phrases returned of each language.
     top: int = 2000
     #: Words of a shard, and bits of the table of frequent phrases at most.
-    shard_words: int = 1 << 21
+    shard_words: int = 1 << 19
     gate_bits: int = 1 << 28
 
 
 _BORDER = b"\xff"  # no byte of UTF-8
 _TABLE = byte_table({b".,;:!?\x0a\x0b\x0c\x0d": _BORDER, b"\x09": b" "})
 _ROWS = "lang string, size int, phrase string, f long"
-_PART = 4 << 20
+_PART = 1 << 20
 _BATCH = 100_000
 
 
