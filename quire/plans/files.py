@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from quire.functions.text import strip
 from quire.operators import audits, blocks, conformance, contracts, evidence, formulas, reports
 from quire.operators.blocks import BLOCK
 from quire.plans.queries import query
-from quire.session import table
+from quire.session import shared_dir, table
 from quire.sinks import writers
+from quire.sinks.files import write_files
 from quire.sources import blocks as sources
-from quire.sources import ooxml, pdf, ranges, tables, tabular
+from quire.sources import bounded, ooxml, pdf, ranges, tables, tabular
 
 
 def _documents(spark, sf_dir) -> DataFrame:
@@ -48,6 +51,10 @@ def _files(spark, sf_dir, fmt: str) -> DataFrame:
     return written.select(F.concat(F.lit("made/"), F.col("output_name")).alias("path"), "content")
 
 
+def _name() -> F.Column:
+    return F.regexp_extract("path", r"([^/]*)\.[a-z]+$", 1).alias("name")
+
+
 def _items(spark, sf_dir, fmt: str) -> DataFrame:
     found = sources.content_blocks(_files(spark, sf_dir, fmt)).select("path", "block", "content")
     return blocks.flatten_blocks(found, ["path"], limit=None).select("path", "block", "ordinal", "text")
@@ -344,3 +351,42 @@ SELECT 'made/n' || c_nationkey || '-' || lower(c_mktsegment) || '.pdf' AS path,
 """)
 def pdf_page_texts(spark, sf_dir):
     return pdf.pdf_pages(_files(spark, sf_dir, "pdf")).select("path", "page", strip(F.col("text")).alias("text"))
+
+
+_BODY = _NAMED + """, body AS (
+  SELECT DISTINCT name, 1 AS unit, 0 AS line, 'Customers of ' || name AS text FROM d
+  UNION ALL SELECT name, 1 + k, 0, c_name FROM d
+)"""
+
+
+@query(_BODY + """
+SELECT name, CAST(unit AS INTEGER) AS unit, text, CAST(6 AS INTEGER) AS units_parsed FROM body WHERE unit BETWEEN 3 AND 6
+  AND name IN (SELECT name FROM d GROUP BY name HAVING count(*) >= 4)
+""")
+def docx_range(spark, sf_dir):
+    """Body blocks 3 to 6 of each document that has them; parsing stops at the sixth."""
+    found = bounded.bounded_units(_files(spark, sf_dir, "docx"), "docx", 3, 4).filter("units_parsed = 6 and label <> 'table'")
+    return found.select(_name(), "unit", "text", "units_parsed")
+
+
+@query(_NAMED + """, pages AS (
+  SELECT name, 1 + (k - 1) // 56 AS unit, string_agg(c_name, chr(10) ORDER BY k) AS text FROM d GROUP BY 1, 2
+)
+SELECT name, CAST(unit AS INTEGER) AS unit, text, CAST(1 AS INTEGER) AS units_parsed FROM pages WHERE unit = 1
+""")
+def pdf_range(spark, sf_dir):
+    """The first page of each PDF; no other page is inflated."""
+    found = bounded.bounded_units(_files(spark, sf_dir, "pdf"), "pdf", 1, 1)
+    return found.select(_name(), "unit", "text", "units_parsed")
+
+
+@query(_NAMED + """
+SELECT name, CAST(k - 1 AS INTEGER) AS unit, c_custkey || ',' || c_name AS line FROM d WHERE k BETWEEN 3 AND 6
+""")
+def range_source(spark, sf_dir):
+    """Rows 2 to 5 of CSV files in the shared folder, by the data source with the filter pushed into it."""
+    folder = f"{shared_dir(spark)}/quire-files-{uuid.uuid4().hex}"
+    write_files(_files(spark, sf_dir, "csv"), folder).write.format("noop").mode("overwrite").save()
+    bounded.register(spark)
+    found = spark.read.format("quire").option("kind", "csv").load(folder).filter("unit >= 2 and unit < 6")
+    return found.select(_name(), "unit", F.array_join("cells", ",").alias("line"))

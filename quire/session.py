@@ -1,5 +1,7 @@
 """Sessions with the settings that results depend on."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Settings that fix results; everything else is the cluster's business.
@@ -25,3 +27,15 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **more: s
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as named in ``spark.checkpoint.dir``; on one machine without it, a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -16,7 +16,7 @@ MAX_CELL_ROWS, MAX_CELL_COLUMNS = 1_048_576, 16_384
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
 
-def _open(kind: str, payload: bytes):
+def open_kind(kind: str, payload: bytes):
     if len(payload) > MAX_BYTES[kind]:
         raise SourceError("SOURCE_TOO_LARGE")
     return open_package(payload)
@@ -38,7 +38,7 @@ def _run_text(node) -> str:
     return "".join(out)
 
 
-def _styles(package) -> dict[str, str]:
+def styles_of(package) -> dict[str, str]:
     raw = member(package, "word/styles.xml")
     names = {}
     for s in xml(raw) if raw else ():
@@ -55,33 +55,37 @@ def heading_level(style: str) -> int:
     return min(6, max(1, int(digits or 1)))
 
 
+def body_unit(node, styles: dict[str, str]):
+    """(kind, style, level, text, rows) of a paragraph or table of a body."""
+    if local(node.tag) == "p":
+        ref = next((attribute(s, "val") for s in node.iter() if local(s.tag) == "pStyle"), None)
+        style = (styles.get(ref) or ref or "Normal") if ref else "Normal"
+        return "paragraph", style, heading_level(style), _run_text(node), None
+    rows = []
+    for tr in (n for n in node if local(n.tag) == "tr"):
+        cells = []
+        for tc in (n for n in tr if local(n.tag) == "tc"):
+            span = next((int(attribute(g, "val", "1")) for g in tc.iter() if local(g.tag) == "gridSpan"), 1)
+            cells += ["\n".join(_run_text(p) for p in tc.iter() if local(p.tag) == "p")] * max(1, span)
+        rows.append(cells)
+    return "table", None, 0, None, rows
+
+
 def docx_body(payload: bytes):
     """(idx, kind, style, level, text, rows) of a document's body: paragraphs and tables in order."""
-    package = _open("docx", payload)
-    styles = _styles(package)
+    package = open_kind("docx", payload)
+    styles = styles_of(package)
     root = xml(member(package, "word/document.xml"))
     body = next((n for n in root if local(n.tag) == "body"), None)
     if body is None:
         raise SourceError("DOCX_BODY_MISSING")
     for i, node in enumerate((n for n in body if local(n.tag) in ("p", "tbl")), 1):
-        if local(node.tag) == "p":
-            ref = next((attribute(s, "val") for s in node.iter() if local(s.tag) == "pStyle"), None)
-            style = (styles.get(ref) or ref or "Normal") if ref else "Normal"
-            yield i, "paragraph", style, heading_level(style), _run_text(node), None
-        else:
-            rows = []
-            for tr in (n for n in node if local(n.tag) == "tr"):
-                cells = []
-                for tc in (n for n in tr if local(n.tag) == "tc"):
-                    span = next((int(attribute(g, "val", "1")) for g in tc.iter() if local(g.tag) == "gridSpan"), 1)
-                    cells += ["\n".join(_run_text(p) for p in tc.iter() if local(p.tag) == "p")] * max(1, span)
-                rows.append(cells)
-            yield i, "table", None, 0, None, rows
+        yield i, *body_unit(node, styles)
 
 
 def docx_parts(payload: bytes):
     """(part, text) of headers, footers, notes and comments that hold text."""
-    package = _open("docx", payload)
+    package = open_kind("docx", payload)
     for name in sorted(package.namelist()):
         if re.fullmatch(r"word/(header|footer|footnotes|endnotes|comments)\d*\.xml", name):
             text = "\n".join(t for t in (_run_text(p) for p in xml(member(package, name)).iter() if local(p.tag) == "p") if t.strip())
@@ -91,7 +95,7 @@ def docx_parts(payload: bytes):
 
 def docx_marks(payload: bytes):
     """(kind, name) of bookmarks, references, breaks, sections and drawings, for checks of structure."""
-    package = _open("docx", payload)
+    package = open_kind("docx", payload)
     for n in xml(member(package, "word/document.xml")).iter():
         name = local(n.tag)
         if name == "bookmarkStart":
@@ -119,7 +123,7 @@ def docx_marks(payload: bytes):
 
 def docx_units(payload: bytes):
     """(idx, breaks, filled, section) of a body's paragraphs, tables and last section, for pages that explicit breaks part."""
-    package = _open("docx", payload)
+    package = open_kind("docx", payload)
     body = next((n for n in xml(member(package, "word/document.xml")) if local(n.tag) == "body"), None)
     for i, node in enumerate(n for n in (() if body is None else body) if local(n.tag) in ("p", "tbl", "sectPr")):
         name = local(node.tag)
@@ -146,9 +150,8 @@ def _column(ref: str) -> int:
     return n
 
 
-def xlsx_cells(payload: bytes):
-    """(sheet_ix, sheet, visible, row, col, value, formula) of the cells with a value, counted from 1."""
-    package = _open("xlsx", payload)
+def workbook(package):
+    """(sheets, value): the sheets as (name, visibility, part), and what gives a cell's (row, col, value, formula)."""
     book, links = xml(member(package, "xl/workbook.xml")), relations(package, "xl/workbook.xml")
     raw = member(package, "xl/sharedStrings.xml")
     shared = ["".join(t.text or "" for t in si.iter() if local(t.tag) == "t") for si in (xml(raw) if raw else ()) if local(si.tag) == "si"]
@@ -162,58 +165,78 @@ def xlsx_cells(payload: bytes):
             code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", own.get(fmt, "")).lower()
             dates.append(int(fmt) in DATE_FORMATS or (fmt in own and any(c in code for c in "ymdhs")))
     old = any(local(n.tag) == "workbookPr" and attribute(n, "date1904") in ("1", "true") for n in book)
+
+    def cell(c):
+        kind, style, ref = attribute(c, "t", "n"), int(attribute(c, "s", "0")), attribute(c, "r")
+        inner = {local(x.tag): x for x in c}
+        formula = "=" + (inner["f"].text or "") if "f" in inner else None
+        value = inner["v"].text if "v" in inner else None
+        if kind == "s" and value is not None:
+            value = shared[int(value)]
+        elif kind == "inlineStr":
+            value = "".join(t.text or "" for t in c.iter() if local(t.tag) == "t")
+        elif kind == "b":
+            value = "true" if value == "1" else "false"
+        elif kind == "n" and value is not None:
+            number = float(value)
+            if style < len(dates) and dates[style]:
+                value = _serial_date(number, old)
+            else:
+                value = str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
+        return int(re.search(r"\d+", ref)[0]), _column(ref), value, formula
+
     sheets = [s for n in book if local(n.tag) == "sheets" for s in n]
-    for ix, s in enumerate(sheets):
-        part = links.get(attribute(s, "id"))
-        visible = attribute(s, "state", "visible")
-        for c in (c for c in xml(member(package, part or "")).iter() if local(c.tag) == "c"):
-            kind, style, ref = attribute(c, "t", "n"), int(attribute(c, "s", "0")), attribute(c, "r")
-            inner = {local(x.tag): x for x in c}
-            formula = "=" + (inner["f"].text or "") if "f" in inner else None
-            value = inner["v"].text if "v" in inner else None
-            if kind == "s" and value is not None:
-                value = shared[int(value)]
-            elif kind == "inlineStr":
-                value = "".join(t.text or "" for t in c.iter() if local(t.tag) == "t")
-            elif kind == "b":
-                value = "true" if value == "1" else "false"
-            elif kind == "n" and value is not None:
-                number = float(value)
-                if style < len(dates) and dates[style]:
-                    value = _serial_date(number, old)
-                else:
-                    value = str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
+    return [(attribute(s, "name"), attribute(s, "state", "visible"), links.get(attribute(s, "id")) or "") for s in sheets], cell
+
+
+def xlsx_cells(payload: bytes):
+    """(sheet_ix, sheet, visible, row, col, value, formula) of the cells with a value, counted from 1."""
+    package = open_kind("xlsx", payload)
+    sheets, cell = workbook(package)
+    for ix, (name, visible, part) in enumerate(sheets):
+        for c in (c for c in xml(member(package, part)).iter() if local(c.tag) == "c"):
+            row, col, value, formula = cell(c)
             if value is not None or formula:
-                yield ix, attribute(s, "name"), visible, int(re.search(r"\d+", ref)[0]), _column(ref), value, formula
+                yield ix, name, visible, row, col, value, formula
 
 
-def pptx_shapes(payload: bytes):
-    """(slide, shape, kind, text, rows): titles, texts, tables, pictures and notes of each slide, in order."""
-    package = _open("pptx", payload)
+def slide_parts(package) -> list[str]:
+    """The parts of a deck's slides in order."""
     deck, links = xml(member(package, "ppt/presentation.xml")), relations(package, "ppt/presentation.xml")
     order = [attribute(n, "id") for n in deck.iter() if local(n.tag) == "sldId"]
     ids = [v for n in deck.iter() if local(n.tag) == "sldId" for k, v in n.attrib.items() if k.endswith("}id")] or order
-    for number, ref in enumerate(ids, 1):
-        part = links.get(ref)
-        root = xml(member(package, part or ""))
-        text_of = lambda n: "\n".join(_run_text(p) for p in n.iter() if local(p.tag) == "p")
-        shapes = [n for n in root.iter() if local(n.tag) in ("sp", "graphicFrame", "pic")]
-        for k, shape in enumerate(shapes, 1):
-            name = local(shape.tag)
-            holder = next((attribute(p, "type", "body") for p in shape.iter() if local(p.tag) == "ph"), None)
-            table = next((t for t in shape.iter() if local(t.tag) == "tbl"), None)
-            if table is not None:
-                rows = [[text_of(tc) for tc in tr if local(tc.tag) == "tc"] for tr in table if local(tr.tag) == "tr"]
-                yield number, k, "table", None, rows
-            elif name == "pic":
-                yield number, k, "image", None, None
-            elif name == "sp":
-                yield number, k, "title" if holder in ("title", "ctrTitle") else "text", text_of(shape), None
-        notes = [t for t in relations(package, part).values() if "notesSlide" in t]
-        for t in notes:
-            text = "\n".join(x for x in (_run_text(p) for p in xml(member(package, t)).iter() if local(p.tag) == "p") if x.strip())
-            if text:
-                yield number, 0, "notes", text, None
+    return [links.get(ref) or "" for ref in ids]
+
+
+def slide_content(package, part: str):
+    """(shape, kind, text, rows) of a slide's titles, texts, tables, pictures and notes, in order."""
+    root = xml(member(package, part))
+    text_of = lambda n: "\n".join(_run_text(p) for p in n.iter() if local(p.tag) == "p")
+    shapes = [n for n in root.iter() if local(n.tag) in ("sp", "graphicFrame", "pic")]
+    for k, shape in enumerate(shapes, 1):
+        name = local(shape.tag)
+        holder = next((attribute(p, "type", "body") for p in shape.iter() if local(p.tag) == "ph"), None)
+        table = next((t for t in shape.iter() if local(t.tag) == "tbl"), None)
+        if table is not None:
+            rows = [[text_of(tc) for tc in tr if local(tc.tag) == "tc"] for tr in table if local(tr.tag) == "tr"]
+            yield k, "table", None, rows
+        elif name == "pic":
+            yield k, "image", None, None
+        elif name == "sp":
+            yield k, "title" if holder in ("title", "ctrTitle") else "text", text_of(shape), None
+    notes = [t for t in relations(package, part).values() if "notesSlide" in t]
+    for t in notes:
+        text = "\n".join(x for x in (_run_text(p) for p in xml(member(package, t)).iter() if local(p.tag) == "p") if x.strip())
+        if text:
+            yield 0, "notes", text, None
+
+
+def pptx_shapes(payload: bytes):
+    """(slide, shape, kind, text, rows) of all slides."""
+    package = open_kind("pptx", payload)
+    for number, part in enumerate(slide_parts(package), 1):
+        for shape in slide_content(package, part):
+            yield number, *shape
 
 
 def docx_paragraphs(files: DataFrame) -> DataFrame:

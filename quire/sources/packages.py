@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 from quire.sources.base import SourceError
@@ -57,6 +58,38 @@ def xml(raw: bytes | None, what: str = "PACKAGE_PART_MISSING"):
         raise SourceError("XML_INVALID") from None
 
 
+def streamed(package: zipfile.ZipFile, name: str, parent: str, children: tuple[str, ...], what: str = "PACKAGE_PART_MISSING"):
+    """The children of a part's first ``parent``, one after another as the part is inflated.
+
+    What follows the last child that is asked for is neither inflated nor parsed, so damage there isn't seen.
+    """
+    if name not in package.namelist():
+        raise SourceError(what)
+    parser, depth, inside, checked = ElementTree.XMLPullParser(("start", "end")), 0, None, False
+    try:
+        with package.open(name) as part:
+            while chunk := part.read(1 << 15):
+                if not checked and re.search(rb"<!(DOCTYPE|ENTITY)", chunk[:4096]):
+                    raise SourceError("XML_DTD_REFUSED")
+                checked = True
+                parser.feed(chunk)
+                for event, node in parser.read_events():
+                    if event == "start":
+                        depth += 1
+                        if inside is None and local(node.tag) == parent:
+                            inside = depth
+                        continue
+                    depth -= 1
+                    if inside is not None and depth == inside and local(node.tag) in children:
+                        yield node
+                        node.clear()
+        parser.close()
+    except ElementTree.ParseError:
+        raise SourceError("XML_INVALID") from None
+    except (zipfile.BadZipFile, EOFError, NotImplementedError, zlib.error):
+        raise SourceError("PACKAGE_MEMBER_DAMAGED") from None
+
+
 def local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 

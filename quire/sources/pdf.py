@@ -46,8 +46,8 @@ def _stream(body: bytes) -> bytes:
     return raw
 
 
-def pages(name: str, payload: bytes):
-    """(page, text, char_count, ocr_required), pages counted from 1."""
+def page_tree(payload: bytes) -> tuple[dict[int, bytes], list[bytes], str]:
+    """The file's objects, its pages in order, and the encoding of its texts; no page is decoded."""
     if len(payload) > MAX_SOURCE:
         raise SourceError("SOURCE_TOO_LARGE")
     if not payload.startswith(b"%PDF-"):
@@ -58,7 +58,6 @@ def pages(name: str, payload: bytes):
     # A file whose fonts are all of two bytes a character in Unicode order can be read as well.
     fonts = [o for o in objects.values() if re.search(rb"/Type\s*/Font\b", o)]
     two = bool(fonts) and all(re.search(rb"/Encoding\s*/Uni\w+-(UCS2|UTF16)-H", o) for o in fonts)
-    encoding = "utf-16-be" if two else "cp1252"
     found = [o for o in objects.values() if re.search(rb"/Type\s*/Page\b(?!s)", o)]
     tree = next((o for o in objects.values() if re.search(rb"/Type\s*/Pages\b", o) and b"/Kids" in o), b"")
     kids = [int(k) for k in re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/Kids\s*\[(.*?)\]", tree, re.S) or [b"", b""])[1])]
@@ -66,18 +65,28 @@ def pages(name: str, payload: bytes):
         found = [objects[k] for k in kids]
     if not found:
         raise SourceError("PDF_UNSUPPORTED")
+    return objects, found, "utf-16-be" if two else "cp1252"
+
+
+def page_text(objects: dict[int, bytes], page: bytes, encoding: str) -> str:
+    contents = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", page, re.S)
+    out: list[str] = []
+    for ref in re.findall(rb"(\d+)\s+\d+\s+R", contents[1] if contents else b""):
+        for token in _STRING.findall(_stream(objects.get(int(ref), b""))):
+            if token[:1] in b"(<":
+                out.append(_literal(token, encoding))
+            elif token in (b"T*", b"Td", b"TD", b"'", b'"') and out and out[-1] != "\n":
+                out.append("\n")
+    return "".join(out).strip()
+
+
+def pages(name: str, payload: bytes):
+    """(page, text, char_count, ocr_required), pages counted from 1."""
+    objects, found, encoding = page_tree(payload)
     if len(found) > MAX_PAGES:
         raise SourceError("PDF_PAGE_LIMIT")
     for number, page in enumerate(found, 1):
-        contents = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", page, re.S)
-        out: list[str] = []
-        for ref in re.findall(rb"(\d+)\s+\d+\s+R", contents[1] if contents else b""):
-            for token in _STRING.findall(_stream(objects.get(int(ref), b""))):
-                if token[:1] in b"(<":
-                    out.append(_literal(token, encoding))
-                elif token in (b"T*", b"Td", b"TD", b"'", b'"') and out and out[-1] != "\n":
-                    out.append("\n")
-        text = "".join(out).strip()
+        text = page_text(objects, page, encoding)
         yield number, text, len(text), len(text) < 20
 
 

@@ -9,7 +9,7 @@ import re
 from pyspark.sql import DataFrame
 
 from quire.sources.base import SourceError, parse_files
-from quire.sources.ooxml import _open, _run_text, _styles, xlsx_cells
+from quire.sources.ooxml import _run_text, open_kind, styles_of, xlsx_cells
 from quire.sources.packages import attribute, local, member, relations, xml
 
 TABLE = (
@@ -77,8 +77,8 @@ def _profile(table_id, ordinal, anchor, rows, headers, merges, columns, labels,
 
 
 def docx_tables(payload: bytes):
-    package = _open("docx", payload)
-    styles, root = _styles(package), xml(member(package, "word/document.xml"))
+    package = open_kind("docx", payload)
+    styles, root = styles_of(package), xml(member(package, "word/document.xml"))
     body = next((n for n in root if local(n.tag) == "body"), None)
     if body is None:
         raise SourceError("DOCX_BODY_MISSING")
@@ -127,7 +127,7 @@ def _digest(value) -> str:
 
 
 def xlsx_tables(payload: bytes):
-    package = _open("xlsx", payload)
+    package = open_kind("xlsx", payload)
     book, links = xml(member(package, "xl/workbook.xml")), relations(package, "xl/workbook.xml")
     values: dict[int, dict[tuple[int, int], str]] = {}
     for ix, _, _, row, col, value, formula in xlsx_cells(payload):
@@ -161,7 +161,7 @@ def xlsx_tables(payload: bytes):
 
 
 def pptx_tables(payload: bytes):
-    package = _open("pptx", payload)
+    package = open_kind("pptx", payload)
     deck, links = xml(member(package, "ppt/presentation.xml")), relations(package, "ppt/presentation.xml")
     ids = [v for n in deck.iter() if local(n.tag) == "sldId" for k, v in n.attrib.items() if k.endswith("}id")]
     ordinal = 0
