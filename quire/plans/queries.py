@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import audits, binding, clauses, evidence, ordered, profiles, relevance, scoring, structure
+from quire.operators import audits, binding, clauses, evidence, linediff, ordered, profiles, relevance, scoring, structure
 from quire.session import configure, table
 from quire.streaming import ledger, sessions
 
@@ -338,6 +338,45 @@ def version_diff(spark, sf_dir):
     return clauses.change_counts(clauses.version_changes(pairs.filter("new is not null")))
 
 
+@query("""
+WITH l AS (SELECT o_custkey AS pair_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders),
+e AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'd' WHEN k % 11 = 0 THEN 'r' WHEN k % 13 = 0 THEN 'i' ELSE 's' END AS edit FROM l),
+g AS (SELECT *, coalesce(sum(CASE WHEN edit IN ('s', 'i') THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM e),
+c AS (SELECT pair_id, gap, count(*) FILTER (WHERE edit IN ('d', 'r')) AS less, count(*) FILTER (WHERE edit IN ('r', 'i')) AS more FROM g GROUP BY 1, 2)
+SELECT pair_id, count(*) FILTER (WHERE less = 0 AND more > 0) AS added, count(*) FILTER (WHERE less > 0 AND more = 0) AS removed,
+  count(*) FILTER (WHERE less > 0 AND more > 0) AS replaced FROM c WHERE less + more > 0 GROUP BY 1
+""")
+def version_lines(spark, sf_dir):
+    """Each customer's orders as lines against a copy: some removed, some replaced, some with a line before them."""
+    key = F.col("o_orderkey")
+    edited = F.when(key % 7 == 0, None).when(key % 11 == 0, F.concat(F.lit("changed "), key)).when(
+        key % 13 == 0, F.concat(F.lit("inserted "), key, F.lit("\n"), "line")).otherwise(F.col("line"))
+    lines = table(spark, sf_dir, "orders").withColumn("line", F.concat(F.lit("order "), key, F.lit(" of "), "o_orderdate"))
+    kept = F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("line"), edited.alias("edited"))))
+    both = lines.groupBy(F.col("o_custkey").alias("pair_id")).agg(kept.alias("l"))
+    pairs = both.select("pair_id", F.array_join("l.line", "\n").alias("old"), F.array_join("l.edited", "\n").alias("new"))
+    return clauses.change_counts(linediff.line_changes(pairs))
+
+
+@query("""
+WITH d AS (SELECT doc_id AS pair_id, text AS old, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS new FROM documents),
+l AS (SELECT pair_id, side, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM (
+  SELECT pair_id, 'old' AS side, old AS text FROM d WHERE new IS NOT NULL UNION ALL SELECT pair_id, 'new', new FROM d WHERE new IS NOT NULL) AS u),
+c AS (SELECT pair_id, line, count(*) FILTER (WHERE side = 'old') AS o, count(*) FILTER (WHERE side = 'new') AS n FROM l
+  WHERE trim(regexp_replace(line, '\\s', ' ', 'g')) <> '' GROUP BY 1, 2)
+SELECT pair_id, count(*) FILTER (WHERE o = 1 AND n = 1) AS once,
+  CAST(CASE WHEN count(*) FILTER (WHERE o = 1 AND n = 1) > 0 THEN count(*) FILTER (WHERE o = 1 AND n = 1) ELSE sum(least(o, n)) END AS BIGINT) AS candidates
+FROM c GROUP BY 1 HAVING sum(least(o, n)) > 0
+""")
+def version_anchors(spark, sf_dir):
+    """How many lines may be matched in the first round between each document and the next one of its source, and how many surely."""
+    d = table(spark, sf_dir, "documents")
+    pairs = d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("old"), F.lead("text").over(W.partitionBy("source").orderBy("doc_id")).alias("new"))
+    lines = linediff.version_lines(pairs.filter("new is not null")).withColumnRenamed("line", "digest").withColumn("seg", F.lit(0))
+    found = linediff.candidates(lines).groupBy("pair_id")
+    return found.agg(F.count(F.when(F.col("once"), 1)).alias("once"), F.count(F.lit(1)).alias("candidates"))
+
+
 def _part_leaves(spark, sf_dir, changed: bool):
     p = table(spark, sf_dir, "part")
     size = F.when((F.col("p_partkey") % 5 == 0) & F.lit(changed), F.col("p_size") + 1).otherwise(F.col("p_size"))
