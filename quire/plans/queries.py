@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import audits, binding, clauses, evidence, linediff, ordered, profiles, relevance, scoring, structure
-from quire.session import configure, table
-from quire.streaming import ledger, sessions
+from quire.session import configure, shared_dir, table
+from quire.streaming import ledger, reservations, sessions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -800,6 +802,31 @@ def ledger_reserve(spark, sf_dir):
     return ledger.reserve(e, ["user_id"], "event_id", "cost", 20000).select("event_id", "running", "granted")
 
 
+@query("""
+WITH asked AS (
+  SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS cost, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM events
+), decided AS (
+  SELECT *, NOT bool_or(total > 20000) OVER (PARTITION BY user_id ORDER BY event_id) AS granted FROM asked
+)
+SELECT event_id, CAST(coalesce(sum(CASE WHEN granted THEN cost END) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS BIGINT) AS running,
+  CASE WHEN granted THEN 'granted' ELSE 'refused' END AS status FROM decided
+""")
+def ledger_stream(spark, sf_dir):
+    """The reservations of ``ledger_reserve`` as a stream of files in which a user's events are spread and shuffled."""
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session"), seq.alias("seq"), F.col("event_id").cast("string").alias("request_id"),
+        F.round(F.col("value") * 100).cast("long").alias("cost"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    folder = f"{shared_dir(spark)}/quire-stream-{uuid.uuid4().hex}"
+    e.withColumn("seq", F.col("seq").cast("long")).repartition(4, F.xxhash64("request_id")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("session string, seq long, request_id string, cost long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    decided = reservations.reserve_stream(stream, 20000, late="36500 days")
+    sink = decided.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    sink.start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.col("request_id").cast("long").alias("event_id"), "running", "status")
+
+
 @query("SELECT event_id, epoch_us(ts) - epoch_us(ts) % 3600000000 AS issued_us, epoch_us(ts) - epoch_us(ts) % 3600000000 + 3600000000 AS expires_us FROM events")
 def catalog_bucket(spark, sf_dir):
     return ledger.catalog_bucket(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", 3600).drop("ts")
