@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions import schema
 from quire.functions import text as T
-from quire.operators import audits, binding, clauses, evidence, linediff, ordered, profiles, relevance, scoring, structure
+from quire.operators import audits, binding, clauses, evidence, linediff, ordered, profiles, relevance, scoring, structure, templates
 from quire.session import configure, shared_dir, table
 from quire.streaming import ledger, reservations, sessions
 
@@ -827,6 +828,79 @@ def ledger_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select(F.col("request_id").cast("long").alias("event_id"), "running", "status")
 
 
+_EVENT_SCHEMA = {
+    "$defs": {"tag": {"type": "string", "maxLength": 7, "pattern": "^[a-z]+$"}},
+    "type": "object", "required": ["k", "tags"], "additionalProperties": False,
+    "properties": {
+        "k": {"type": "integer", "minimum": 5, "exclusiveMaximum": 90},
+        "kind": {"enum": ["purchase", "signup", "view"]},
+        "tags": {"type": "array", "items": {"$ref": "#/$defs/tag"}, "minItems": 1, "maxItems": 2},
+    },
+}
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+b AS (
+  SELECT event_id, '/k' AS path, CASE WHEN event_id % 17 = 0 THEN 'TYPE_MISMATCH' WHEN k < 5 THEN 'BELOW_MINIMUM' WHEN k >= 90 THEN 'ABOVE_MAXIMUM' END AS code FROM e
+  UNION ALL SELECT event_id, '/kind', CASE WHEN event_type NOT IN ('purchase', 'signup', 'view') THEN 'ENUM_MISMATCH' END FROM e
+  UNION ALL SELECT event_id, '/tags', CASE WHEN event_id % 11 = 0 THEN 'REQUIRED_MISSING' WHEN event_id % 7 = 0 THEN 'TOO_FEW_ITEMS' WHEN event_id % 5 = 0 THEN 'TOO_MANY_ITEMS' END FROM e
+  UNION ALL SELECT event_id, '/tags/0', CASE WHEN event_id % 11 <> 0 AND event_id % 7 <> 0 AND length(event_type) > 7 THEN 'TOO_LONG' END FROM e
+  UNION ALL SELECT event_id, '/tags/1', CASE WHEN event_id % 11 <> 0 AND event_id % 7 <> 0 THEN CASE WHEN user_id % 3 = 0 THEN 'TYPE_MISMATCH' WHEN user_id % 3 = 1 THEN 'PATTERN_MISMATCH' END END FROM e
+  UNION ALL SELECT event_id, '/a~1b', CASE WHEN event_id % 10 = 0 THEN 'ADDITIONAL_PROPERTY' END FROM e
+)
+SELECT event_id, path, code FROM b WHERE code IS NOT NULL AND event_id % 13 <> 0 UNION ALL SELECT event_id, '', 'MALFORMED' FROM e WHERE event_id % 13 = 0
+""")
+def schema_breaches(spark, sf_dir):
+    """Breaches of a schema in texts made of every event, its props, type and user, some of them spoilt."""
+    e, key = table(spark, sf_dir, "events"), F.col("event_id")
+    number = F.get_json_object("props", "$.k")
+    number = F.when(key % 17 == 0, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
+    second = F.when(F.col("user_id") % 3 == 0, F.col("user_id").cast("string")).when(F.col("user_id") % 3 == 1, F.lit('"A b"')).otherwise(F.lit('"tag"'))
+    tags = F.when(key % 7 == 0, F.lit("[]")).otherwise(
+        F.concat(F.lit('["'), "event_type", F.lit('",'), second, F.when(key % 5 == 0, F.lit(',"more"')).otherwise(F.lit("")), F.lit("]"))
+    )
+    parts = F.concat_ws(",", F.concat(F.lit('"k":'), number), F.concat(F.lit('"kind":"'), "event_type", F.lit('"')),
+                        F.when(key % 11 != 0, F.concat(F.lit('"tags":'), tags)), F.when(key % 10 == 0, F.lit('"a/b":null')))
+    text = F.concat(F.lit("{"), parts, F.when(key % 13 == 0, F.lit("")).otherwise(F.lit("}")))
+    return schema.schema_breaches(e.select("event_id", text.alias("json")), "json", _EVENT_SCHEMA)
+
+
+_TEMPLATE = """
+WITH u AS (
+  SELECT c_nationkey AS doc, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS idx, c_custkey % 5 AS sort, c_mktsegment, c_custkey FROM customer
+), w(ord, section, want) AS (VALUES (1, 'cars', 'segmentautomobile'), (2, 'house', 'household'), (3, 'none', 'nowhere'), (4, 'first', 'customer')),
+p AS (SELECT *, CASE WHEN sort = 0 THEN 'segment' || lower(c_mktsegment) ELSE 'customer' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') END AS norm FROM u WHERE sort <> 1),
+hit AS (SELECT doc, ord, norm = want AS exact, idx, sort, row_number() OVER (PARTITION BY doc, ord ORDER BY norm <> want, idx) AS r FROM p JOIN w ON contains(norm, want)),
+best AS (SELECT * FROM hit WHERE r = 1),
+ended AS (SELECT b.*, (SELECT min(idx) FROM u WHERE u.doc = b.doc AND u.sort = 0 AND u.idx > b.idx) AS para_end FROM best b),
+tabled AS (SELECT e.*, (SELECT min(idx) FROM u WHERE u.doc = e.doc AND u.sort = 1 AND u.idx > e.idx AND (e.para_end IS NULL OR u.idx < e.para_end)) AS t FROM ended e)
+SELECT d.doc, CAST(w.ord AS INTEGER) AS ord, w.section, b.idx IS NOT NULL AS found, CASE WHEN b.exact THEN 'exact' WHEN NOT b.exact THEN 'contains' ELSE '' END AS match,
+  b.idx AS para_start, b.para_end, b.t IS NOT NULL AS has_table, u.c_custkey % 7 AS table_rows, u.c_custkey % 4 AS table_cols
+FROM (SELECT DISTINCT doc FROM u) d CROSS JOIN w LEFT JOIN tabled b ON b.doc = d.doc AND b.ord = w.ord LEFT JOIN u ON u.doc = d.doc AND u.idx = b.t
+"""
+
+
+@query(_TEMPLATE)
+def template_profile(spark, sf_dir):
+    """Sections of a body for each nation whose units are its customers: every fifth a heading, every fifth a table, the others paragraphs."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    sort = key % 5
+    segment = F.concat(F.lit("Segment: "), F.initcap("c_mktsegment"))
+    units = c.select(
+        F.col("c_nationkey").alias("doc"), F.row_number().over(W.partitionBy("c_nationkey").orderBy(key)).cast("long").alias("idx"),
+        F.when(sort == 1, "table").otherwise("paragraph").alias("kind"), F.when(sort == 0, "Heading 1").when(sort > 1, "Normal").alias("style"),
+        F.when(sort == 0, segment).when(sort > 1, F.concat(F.lit("Customer "), F.lpad(key.cast("string"), 9, "0"))).alias("text"),
+        (key % 7).alias("n_rows"), (key % 4).alias("n_cols"),
+    )
+    wanted = spark.createDataFrame(
+        [(1, "cars", "SEGMENT Automobile", "table"), (2, "house", "household", ""), (3, "none", "nowhere", ""), (4, "first", "customer", "")],
+        "ord int, section string, heading string, mode string",
+    )
+    found = templates.template_profile(units, wanted, ["Heading 1"])
+    return found.drop("heading", "mode", "heading_style")
+
+
 @query("SELECT event_id, epoch_us(ts) - epoch_us(ts) % 3600000000 AS issued_us, epoch_us(ts) - epoch_us(ts) % 3600000000 + 3600000000 AS expires_us FROM events")
 def catalog_bucket(spark, sf_dir):
     return ledger.catalog_bucket(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", 3600).drop("ts")
