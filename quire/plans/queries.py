@@ -876,7 +876,8 @@ best AS (SELECT * FROM hit WHERE r = 1),
 ended AS (SELECT b.*, (SELECT min(idx) FROM u WHERE u.doc = b.doc AND u.sort = 0 AND u.idx > b.idx) AS para_end FROM best b),
 tabled AS (SELECT e.*, (SELECT min(idx) FROM u WHERE u.doc = e.doc AND u.sort = 1 AND u.idx > e.idx AND (e.para_end IS NULL OR u.idx < e.para_end)) AS t FROM ended e)
 SELECT d.doc, CAST(w.ord AS INTEGER) AS ord, w.section, b.idx IS NOT NULL AS found, CASE WHEN b.exact THEN 'exact' WHEN NOT b.exact THEN 'contains' ELSE '' END AS match,
-  b.idx AS para_start, b.para_end, b.t IS NOT NULL AS has_table, u.c_custkey % 7 AS table_rows, u.c_custkey % 4 AS table_cols
+  coalesce(b.idx, -1) AS para_start, coalesce(b.para_end, -1) AS para_end, b.t IS NOT NULL AS has_table,
+  coalesce(u.c_custkey % 7, -1) AS table_rows, coalesce(u.c_custkey % 4, -1) AS table_cols
 FROM (SELECT DISTINCT doc FROM u) d CROSS JOIN w LEFT JOIN tabled b ON b.doc = d.doc AND b.ord = w.ord LEFT JOIN u ON u.doc = d.doc AND u.idx = b.t
 """
 
@@ -898,7 +899,7 @@ def template_profile(spark, sf_dir):
         "ord int, section string, heading string, mode string",
     )
     found = templates.template_profile(units, wanted, ["Heading 1"])
-    return found.drop("heading", "mode", "heading_style")
+    return found.drop("heading", "mode", "heading_style").fillna(-1, ["para_start", "para_end", "table_rows", "table_cols"])
 
 
 @query("SELECT event_id, epoch_us(ts) - epoch_us(ts) % 3600000000 AS issued_us, epoch_us(ts) - epoch_us(ts) % 3600000000 + 3600000000 AS expires_us FROM events")
