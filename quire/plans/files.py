@@ -15,7 +15,7 @@ from quire.session import shared_dir, table
 from quire.sinks import writers
 from quire.sinks.files import write_files
 from quire.sources import blocks as sources
-from quire.sources import bounded, ooxml, pdf, ranges, tables, tabular
+from quire.sources import bounded, ooxml, pdf, pixels, ranges, tables, tabular
 
 
 def _documents(spark, sf_dir) -> DataFrame:
@@ -390,3 +390,48 @@ def range_source(spark, sf_dir):
     bounded.register(spark)
     found = spark.read.format("quire").option("kind", "csv").load(folder).filter("unit >= 2 and unit < 6")
     return found.select(_name(), "unit", F.array_join("cells", ",").alias("line"))
+
+
+def _images(spark, sf_dir) -> DataFrame:
+    """(path, content): a PNG for each part, of 250 to 299 by 2 to 5 pixels, its rows filtered in turn by none, left, above, mean and Paeth."""
+
+    def draw(batches):
+        import struct
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        for batch in batches:
+            made = []
+            for key in batch["p_partkey"].to_pylist():
+                w, h = 250 + key % 50, 2 + key % 4
+                y, x = np.mgrid[:h, :w]
+                pixels = np.stack([key + 3 * x + 5 * y, 7 * key + x, 11 * y + x], axis=2) % 256
+                left = np.pad(pixels, ((0, 0), (1, 0), (0, 0)))[:, :-1]
+                up = np.pad(pixels, ((1, 0), (0, 0), (0, 0)))[:-1]
+                corner = np.pad(left, ((1, 0), (0, 0), (0, 0)))[:-1]
+                a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                guess = [0 * left, left, up, (left + up) // 2, np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))]
+                rows = b"".join(bytes([k % 5]) + ((pixels[k] - guess[k % 5][k]) % 256).astype(np.uint8).tobytes() for k in range(h))
+                made.append(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+            paths = [f"made/{key}.png" for key in batch["p_partkey"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(made, pa.binary())], ["path", "content"])
+
+    return table(spark, sf_dir, "part").select("p_partkey").repartition(16, "p_partkey").mapInArrow(draw, "path string, content binary")
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, 250 + p_partkey % 50 AS w, 2 + p_partkey % 4 AS h FROM part),
+px AS (
+  SELECT k, w, h, x, y, format('{:02x}{:02x}{:02x}ff', (k + 3 * x + 5 * y) % 256, (7 * k + x) % 256, (11 * y + x) % 256) AS hex
+  FROM (SELECT *, unnest(range(0, h)) AS y FROM p) AS r, unnest(range(0, w)) AS c(x)
+)
+SELECT CAST(k AS VARCHAR) AS name, CAST(x // 256 AS INTEGER) AS tile, CAST(count(DISTINCT x) AS INTEGER) AS width, CAST(any_value(h) AS INTEGER) AS height,
+  sha256(unhex(string_agg(hex, '' ORDER BY y, x))) AS rgba_sha256 FROM px GROUP BY k, x // 256
+""")
+def image_tiles(spark, sf_dir):
+    """Digests of the pixels of every image's tiles."""
+    found = pixels.image_tiles(_images(spark, sf_dir), edge=256)
+    return found.select(_name(), "tile", "width", "height", "rgba_sha256")
