@@ -38,9 +38,11 @@ class Reserver(StatefulProcessor):
     def _held(self) -> list:
         return list(self.head.get()) if self.head.exists() else [self.first, 0, False, 0, 0]
 
-    def _decide(self, session: str, held: list, seq: int) -> Row:
-        request, cost = self.waiting.getValue((seq,))
-        self.waiting.removeKey((seq,))
+    def _waiting(self) -> dict[int, tuple[str, int]]:
+        """All that waits, read at once: a look-up by itself is a call to the state store."""
+        return {k[0]: (v[0], v[1]) for k, v in self.waiting.iterator()}
+
+    def _decide(self, session: str, held: list, seq: int, request: str, cost: int) -> Row:
         held[0] = seq + 1
         if held[2] or held[1] + cost > self.limit:
             status, held[2] = "refused", True
@@ -63,29 +65,40 @@ class Reserver(StatefulProcessor):
         if held[4] and held[4] <= timerValues.getCurrentWatermarkInMs():
             self.handle.deleteTimer(held[4])
             yield from self._expire(session, held)
+        fresh = not self.head.exists()
+        stored = {} if fresh else self._waiting()
+        waiting = dict(stored)
+        decided: set[str] = set()
         for r in sorted(rows, key=lambda r: (r.seq is None, r.seq or 0)):
             if r.ts is not None:
                 held[3] = max(held[3], int(r.ts.replace(tzinfo=r.ts.tzinfo or timezone.utc).timestamp() * 1000))
             if r.seq is None or r.request_id is None or r.cost is None or r.cost < 0:
                 yield _OUT(session, r.seq, r.request_id, r.cost, held[1], "invalid")
                 continue
-            known = self.answers.getValue((r.request_id,)) if self.answers.containsKey((r.request_id,)) else None
+            # A session's first batch has no answers but its own.
+            known = None if fresh and r.request_id not in decided else self.answers.getValue((r.request_id,))
             if known is not None:
                 yield _OUT(session, r.seq, r.request_id, r.cost, known[2], "replayed")
             elif r.seq < held[0]:
                 yield _OUT(session, r.seq, r.request_id, r.cost, held[1], "late")
-            elif self.waiting.containsKey((r.seq,)):
-                status = "pending" if self.waiting.getValue((r.seq,))[0] == r.request_id else "conflict"
+            elif r.seq in waiting:
+                status = "pending" if waiting[r.seq][0] == r.request_id else "conflict"
                 yield _OUT(session, r.seq, r.request_id, r.cost, held[1], status)
             else:
-                self.waiting.updateValue((r.seq,), (r.request_id, r.cost))
-                while self.waiting.containsKey((held[0],)):
-                    yield self._decide(session, held, held[0])
-        self._wake(held, next(iter(self.waiting.keys()), None) is not None)
+                waiting[r.seq] = (r.request_id, r.cost)
+                while held[0] in waiting:
+                    request, cost = waiting.pop(held[0])
+                    decided.add(request)
+                    yield self._decide(session, held, held[0], request, cost)
+        for seq in stored.keys() - waiting.keys():
+            self.waiting.removeKey((seq,))
+        for seq in waiting.keys() - stored.keys():
+            self.waiting.updateValue((seq,), waiting[seq])
+        self._wake(held, bool(waiting))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self._held()
-        waits = next(iter(self.waiting.keys()), None) is not None
+        waits = bool(self._waiting())
         yield from self._expire(key[0], held)
         if waits:
             self._wake(held, False)
@@ -93,12 +106,13 @@ class Reserver(StatefulProcessor):
     def _expire(self, session: str, held: list) -> Iterator[Row]:
         """Decide what waits, over the gaps; a session in which nothing waits is forgotten."""
         held[4] = 0  # this timer is gone
-        gaps = sorted(k[0] for k in self.waiting.keys())
-        for seq in gaps:
-            yield self._decide(session, held, seq)
-        if not gaps:
-            for state in (self.head, self.waiting, self.answers):
-                state.clear()
+        waiting = self._waiting()
+        for seq in sorted(waiting):
+            yield self._decide(session, held, seq, *waiting[seq])
+        self.waiting.clear()
+        if not waiting:
+            self.head.clear()
+            self.answers.clear()
             held[:] = [self.first, 0, False, 0, 0]
 
     def close(self) -> None:
