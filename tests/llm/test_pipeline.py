@@ -58,6 +58,9 @@ def test_registered_queries_cover_their_tables(spark, name):
     if name.startswith("op9"):
         n = spark.read.parquet(f"{DATA}/embeddings.parquet").filter("vec_id % 100 = 0").count()
         assert out.select("query_id").distinct().count() == n
+    elif name.startswith("op12"):  # a row for each phrase: phrases of every language that has some
+        langs = {r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").select("lang").distinct().collect()}
+        assert {r.lang for r in out.select("lang").distinct().collect()} == {x or "und" for x in langs}
     else:
         n = spark.read.parquet(f"{DATA}/documents.parquet").count()
         assert out.select("doc_id").distinct().count() == n
