@@ -45,6 +45,22 @@ def range_violations(ranges: DataFrame) -> DataFrame:
     return ranges.select("source_sha256", "kind", "start", F.explode(codes).alias("code"))
 
 
+# How visible a worksheet may be.
+VISIBILITIES = ("visible", "hidden", "veryHidden")
+
+
+def office_violations(ranges: DataFrame) -> DataFrame:
+    """``range_violations`` of version 2 ranges of CSV and XLSX, which have ``visible`` besides: a worksheet's must be told.
+
+    Other kinds have no version 2 (``UNSUPPORTED_CONTRACT``), and nothing else is said of them.
+    """
+    office = F.coalesce(F.col("kind").isin("csv", "xlsx"), F.lit(False))
+    hidden = ~F.coalesce(F.col("visible").isin(*VISIBILITIES), F.lit(False))
+    own = F.when(~office, "UNSUPPORTED_CONTRACT").when((F.col("kind") == "xlsx") & hidden, "SHEET_VISIBILITY_REQUIRED")
+    told = ranges.withColumn("code", own).filter("code is not null").select("source_sha256", "kind", "start", "code")
+    return range_violations(ranges.filter(office)).unionByName(told)
+
+
 def chain_violations(ranges: DataFrame) -> DataFrame:
     """Ranges of a source that don't follow on from one another: (source_sha256, kind, start, code)."""
     past = W.partitionBy("source_sha256", "kind").orderBy("start")

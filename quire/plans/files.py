@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import strip
-from quire.operators import audits, blocks, conformance, contracts, evidence, formulas, reports
+from quire.operators import audits, blocks, conformance, contracts, evidence, formulas, projections, reports
 from quire.operators.blocks import BLOCK
 from quire.plans.queries import query
 from quire.session import shared_dir, table
@@ -435,3 +435,20 @@ def image_tiles(spark, sf_dir):
     """Digests of the pixels of every image's tiles."""
     found = pixels.image_tiles(_images(spark, sf_dir), edge=256)
     return found.select(_name(), "tile", "width", "height", "rgba_sha256")
+
+
+@query(_NAMED + """, n AS (SELECT name, max(k) + 1 AS rows FROM d GROUP BY name)
+SELECT name, code FROM n, (VALUES ('SHEET_VISIBILITY_REQUIRED'), ('CURSOR_NOT_AT_END'), ('COUNT_MISMATCH')) AS c(code)
+WHERE (code = 'SHEET_VISIBILITY_REQUIRED' AND rows % 3 = 0) OR (code = 'CURSOR_NOT_AT_END' AND rows % 2 = 0 AND rows > 3) OR (code = 'COUNT_MISMATCH' AND rows % 5 = 0)
+""")
+def office_ranges(spark, sf_dir):
+    """Breaches in version 2 ranges of worksheets whose answers are spoilt by the sheet's number of rows."""
+    rows = F.col("known_total")
+    files = _files(spark, sf_dir, "xlsx")
+    _, found = ranges.xlsx_range(ooxml.workbook_cells(files), 0, 1, 3)
+    spoilt = found.withColumn("visible", F.when(rows % 3 != 0, F.col("visible")))
+    spoilt = spoilt.withColumn("next_start", F.when(rows % 2 == 0, F.col("next_start") + 1).otherwise(F.col("next_start")).cast("long"))
+    spoilt = spoilt.withColumn("returned", F.when(rows % 5 == 0, F.col("returned") - 1).otherwise(F.col("returned")))
+    named = files.select(F.sha2("content", 256).alias("source_sha256"), _name())
+    wanted = ("SHEET_VISIBILITY_REQUIRED", "CURSOR_NOT_AT_END", "COUNT_MISMATCH")
+    return projections.office_violations(spoilt).filter(F.col("code").isin(*wanted)).join(named, "source_sha256").select("name", "code")

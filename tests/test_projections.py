@@ -1,4 +1,4 @@
-from quire.operators.projections import chain_violations, messages, range_violations, stale_cursors
+from quire.operators.projections import chain_violations, messages, office_violations, range_violations, stale_cursors
 
 RANGE = "source_sha256 string, kind string, start long, end long, returned long, next_start long, known_total long, disposition string"
 
@@ -27,3 +27,17 @@ def test_cursors_and_messages(spark):
     cat = spark.createDataFrame([("sum_off", "en", "off by {a}"), ("sum_off", "zh", "差 {a}")], "key string, lang string, template string")
     assert {r.message for r in messages(f, cat, "zh").collect()} == {"差 5", "none"}
     assert {r.message for r in messages(f, cat, "fr").collect()} == {"off by 5", "none"}
+
+
+def test_office_version_2(spark):
+    schema = "source_sha256 string, kind string, start long, end long, returned long, next_start long, known_total long, disposition string, visible string"
+    rows = [
+        ("a", "xlsx", 1, 3, 2, None, 2, "complete", "visible"), ("b", "xlsx", 1, 3, 2, None, 2, "complete", None), ("c", "xlsx", 1, 3, 1, None, 2, "complete", "gone"),
+        ("d", "csv", 0, 2, 2, None, 2, "complete", None), ("e", "csv", 0, 2, 2, 2, 2, "partial_known", None), ("f", "docx", 1, 9, 0, None, None, "complete", None),
+        ("g", None, 1, 9, 0, None, None, "complete", None), ("h", "xlsx", 1, 3, 2, None, 2, "complete", "veryHidden"),
+    ]
+    got = {(r.source_sha256, r.code) for r in office_violations(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        ("b", "SHEET_VISIBILITY_REQUIRED"), ("c", "SHEET_VISIBILITY_REQUIRED"), ("c", "COUNT_MISMATCH"), ("e", "CURSOR_AFTER_LAST"),
+        ("f", "UNSUPPORTED_CONTRACT"), ("g", "UNSUPPORTED_CONTRACT"),
+    }
