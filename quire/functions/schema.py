@@ -181,14 +181,18 @@ def compile_schema(schema: dict | bool) -> Callable[[Column], Column]:
     compiler = _Compiler(schema if isinstance(schema, dict) else {})
 
     def check(text: Column) -> Column:
-        v = F.try_parse_json(text)
+        return parsed(F.try_parse_json(text))
+
+    def parsed(v: Column) -> Column:
         bad = F.array(F.struct(F.lit("").alias("path"), F.lit("MALFORMED").alias("code"))).cast(_NONE)
         return F.when(v.isNull(), bad).otherwise(compiler.problems(v, schema, F.lit("")))
 
+    check.parsed = parsed  # for a column that was parsed before, so that no part parses it again
     return check
 
 
 def schema_breaches(rows: DataFrame, text: str, schema: dict) -> DataFrame:
     """The rows with a breach, one for each: all columns but ``text``, and path and code."""
-    found = rows.withColumn("__breaches", compile_schema(schema)(F.col(text)))
+    check = compile_schema(schema)
+    found = rows.withColumn("__value", F.try_parse_json(text)).withColumn("__breaches", check.parsed(F.col("__value")))
     return found.select(*(c for c in rows.columns if c != text), F.explode("__breaches").alias("b")).select("*", "b.path", "b.code").drop("b")
