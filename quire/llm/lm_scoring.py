@@ -7,10 +7,11 @@ the hash range; they are merged by a tree whose fan-out is bounded (``fan_out``)
 with the input alone, and the last level holds each slice's sums.
 
 A count c is quantised to q = 1 + floor(log(c) / log(BASE)), and (gram, 1) to (gram, q) go into a Bloom
-filter, which workers get by broadcast. A count is read by probing levels until one is missing. Word
-n-grams go in from the count ``cutoff`` on. The filter takes BITS bits for each entry and MAX_BITS at most:
-where that doesn't hold all, the cutoff is raised until it does, so its false positives stay as
-they are; ``cutoff`` and ``filter_fill`` are columns of the result.
+filter of BITS bits an entry. A count is read by probing levels until one is missing. Word n-grams go in
+from the count ``cutoff`` on, the same at every size. A filter of MAX_BITS bits at most goes to the workers
+by broadcast. A larger one stays cut in slices: each block of texts sends its distinct grams, sorted and
+packed, to their slices, whose tasks build their part of the filter, probe it and send the levels back
+(``sharded_scores``); the levels are those that a broadcast filter would give.
 
 The model: a word's spelling is the product of its bytes' probabilities, each interpolated over the
 character orders; its unigram interpolates its quantised count with its spelling; and
@@ -21,8 +22,9 @@ where the weight of a context that isn't held goes to the order below. Above a u
 the lower end of their level and contexts' at the upper end: probabilities of all words sum to 1 where
 levels hold one count each (1, 2, 3) and nothing is cut off, and to less elsewhere.
 
-The base score needs exact counts of words: each block's distinct words are joined to the sums by
-key, and go back to the block.
+The base score needs exact counts of words. The most frequent words, HELD_WORDS at most, go to the workers
+with the model; of other words each text's occurrences are joined to the sums by key and summed by text, so
+no text is moved for them.
 """
 
 from __future__ import annotations
@@ -30,15 +32,16 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Memo, crc_mod, materialize, mix64, partitions_of, text_batches, utf8
@@ -51,13 +54,15 @@ CUTOFF = 2
 #: The weight of the lower order in the interpolation of bytes, in counts; and the weights of word orders 2 and 3.
 PRIOR, W2, W3 = 4.0, 0.25, 0.35
 END = b"\n"
-#: Bytes of a file split that make one block.
+#: Bytes of texts that make one block.
 BLOCK_BYTES = 8 << 20
 #: What a task takes up at once: words whose n-grams are counted, documents that are scored, tokens whose n-grams are counted, and
 #: distinct words that are counted.
 WORDS_AT_ONCE, TEXTS_AT_ONCE, TOKENS_AT_ONCE, DISTINCT_AT_ONCE = 40_000, 200, 1_500_000, 250_000
 #: The most parts that one array is cut into, or merged from.
 MAX_FAN = 64
+#: The most words whose exact counts go to the workers.
+HELD_WORDS = 1 << 20
 
 _U = np.uint64
 #: The key before a text's first word.
@@ -117,8 +122,10 @@ def gram_keys(flat: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the sums of their counts."""
-    unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(inverse, weights=counts, minlength=len(unique))
+    order = np.argsort(keys, kind="stable")  # which merges runs that are sorted already
+    keys = keys[order]
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[edges], np.add.reduceat(counts[order], edges) if len(keys) else counts
 
 
 def count_grams(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -416,58 +423,102 @@ def entries_from(by_level: np.ndarray, first: int) -> int:
     return int((by_level * np.maximum(0, np.arange(len(by_level)) - first + 1)).sum())
 
 
-def raised_cutoff(fixed: int, by_level: np.ndarray, cutoff: int) -> int:
-    """The least cutoff of word n-grams, ``cutoff`` at least, with which all entries fit the filter's bound."""
-    q = int(quantised(np.array([cutoff]))[0])
-    while q < MAX_LEVEL and BITS * (fixed + entries_from(by_level, q)) > MAX_BITS:
-        q += 1
-        cutoff = int(LOWEST[q])
-    return cutoff
+@dataclass
+class Shape:
+    """The filter's size: ``slices`` regions of ``width`` bits, for word n-grams from level ``least`` on."""
 
+    slices: int
+    width: int
+    hashes: int
+    least: int
 
-def build_filter(sums: DataFrame, slices: int, cutoff: int) -> tuple[LogFrequencyFilter, int]:
-    """The filter, its regions collected from the slices, MAX_BITS bits at most; and the cutoff that it was built with."""
+    def region(self, kind: int, n: int, keys: bytes, counts: bytes) -> np.ndarray:
+        """The bits of one row of ``summed_slices``."""
+        first = self.least if kind == _NGRAM else 1
+        return np.frombuffer(region(unpack_keys(keys, n), unpack_counts(counts), self.slices, self.width, self.hashes, first), np.uint8)
+
+
+def level_sums(sums: DataFrame) -> dict[int, np.ndarray]:
+    """How many grams of each kind there are of each level."""
     every = F.array(*(F.sum(F.get("by_level", F.lit(q))) for q in range(MAX_LEVEL + 1)))
+    none = np.zeros(MAX_LEVEL + 1, dtype=np.int64)
     found = {r["kind"]: np.array(r["grams"]) for r in sums.groupBy("kind").agg(every.alias("grams")).collect()}
-    fixed = sum(entries_from(found[k], 1) for k in (_WORD, _CHAR) if k in found)
-    ngrams = found.get(_NGRAM, np.zeros(MAX_LEVEL + 1, dtype=np.int64))
-    cutoff = raised_cutoff(fixed, ngrams, cutoff)
+    return {k: found.get(k, none) for k in (_WORD, _CHAR, _NGRAM)}
+
+
+def filter_shape(grams: dict[int, np.ndarray], slices: int, cutoff: int) -> Shape:
+    """BITS bits for each entry, however many there are."""
     least = int(quantised(np.array([cutoff]))[0])
-    entries = fixed + entries_from(ngrams, least)
-    width = -(-max(64 * slices, min(MAX_BITS, BITS * entries)) // (64 * slices)) * 64
-    hashes = max(1, min(HASHES, round(0.693 * width * slices / max(1, entries))))
+    entries = sum(entries_from(n, least if kind == _NGRAM else 1) for kind, n in grams.items())
+    width = -(-max(64 * slices, BITS * entries) // (64 * slices)) * 64
+    return Shape(slices, width, max(1, min(HASHES, round(0.693 * width * slices / max(1, entries)))), least)
+
+
+def build_filter(sums: DataFrame, shape: Shape) -> LogFrequencyFilter:
+    """A filter of MAX_BITS bits at most, its regions collected from the slices."""
 
     def fill(batches):
         for b in batches:
-            out = []
-            for kind, n, k, c in zip(*(b[x].to_pylist() for x in ("kind", "n", "keys", "counts"))):
-                keys, counts = unpack_keys(k, n), unpack_counts(c)
-                out.append(region(keys, counts, slices, width, hashes, least if kind == _NGRAM else 1))
+            columns = (b[x].to_pylist() for x in ("kind", "n", "keys", "counts"))
+            out = [shape.region(*row).tobytes() for row in zip(*columns)]
             yield pa.RecordBatch.from_arrays([b["slice"], pa.array(out, pa.binary())], ["slice", "bits"])
 
-    bits = np.zeros(slices * width // 8, dtype=np.uint8)
+    wide = shape.width // 8
+    bits = np.zeros(shape.slices * wide, dtype=np.uint8)
     few = sums.select("kind", "slice", "n", "keys", "counts")
     for r in few.mapInArrow(fill, "slice int, bits binary").toLocalIterator():
-        a = r["slice"] * width // 8
-        bits[a : a + width // 8] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return LogFrequencyFilter(bits, slices, width, hashes), cutoff
+        bits[r["slice"] * wide : (r["slice"] + 1) * wide] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return LogFrequencyFilter(bits, shape.slices, shape.width, shape.hashes)
+
+
+def fill_of(bits: np.ndarray) -> float:
+    ones = np.array([bin(b).count("1") for b in range(256)])
+    return float(np.bincount(bits, minlength=256) @ ones / max(1, 8 * len(bits)))
+
+
+class Answers:
+    """The levels that a filter in slices gave for a block's grams; stands in for the filter there."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray, fill: float):
+        order = np.argsort(keys)
+        self.keys, self.found, self.fill = keys[order], levels[order], fill
+
+    def levels(self, keys: np.ndarray, first: int = 1) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        if (self.keys[at] != keys).any():
+            raise ValueError(UNSTABLE)
+        return self.found[at].astype(np.int64)
 
 
 @dataclass
 class Model:
-    """What is broadcast: the filter and a few numbers."""
+    """What is broadcast: the filter (None where it stays in slices), a few numbers, and exact counts of frequent words."""
 
-    filter: LogFrequencyFilter
+    filter: LogFrequencyFilter | Answers | None
     cutoff: int
     tokens: float
     distinct: int
     values: float
     ends: float
+    held: np.ndarray = field(default_factory=lambda: np.empty(0, _U))
+    held_counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
     def __post_init__(self):
-        self.digest = xxhash.xxh3_64_hexdigest(self.filter.bits.tobytes())
-        ones = np.array([bin(b).count("1") for b in range(256)])
-        self.fill = float(np.bincount(self.filter.bits, minlength=256) @ ones / (8 * len(self.filter.bits)))
+        bits = getattr(self.filter, "bits", None)
+        self.digest = "" if bits is None else xxhash.xxh3_64_hexdigest(bits.tobytes())
+        self.fill = getattr(self.filter, "fill", 0.0) if bits is None else fill_of(bits)
+
+    @property
+    def whole(self) -> bool:
+        """Whether all words' counts are held, so that another word has none."""
+        return len(self.held) == self.distinct
+
+    def exact(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each word; -1 where it must be looked up."""
+        if not len(self.held):
+            return np.full(len(keys), 0 if self.whole else -1)
+        at = np.minimum(np.searchsorted(self.held, keys), len(self.held) - 1)
+        return np.where(self.held[at] == keys, self.held_counts[at], 0 if self.whole else -1)
 
     @property
     def stop(self) -> float:
@@ -573,94 +624,201 @@ def probabilities(keys: np.ndarray, p1: np.ndarray, high: np.ndarray, starts: np
     return w3 * ratio3 + w2 * ratio2 + (1 - w2 - w3) * p1
 
 
-UNSTABLE = "a block's words differ from those counted: docs must be a stable scan"
+UNSTABLE = "a block's texts differ from those whose grams were looked up: docs must be a stable scan"
 _SCORED = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
-    "cutoff int, filter_fill double"
+    "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, filter_fill double, "
+    "key long, times long"
+)
+_SCORED_SCHEMA = pa.schema(
+    [(n, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for n, t in (c.split() for c in _SCORED.split(", "))]
 )
+
+
 class _ModelIndex(WordIndex):
-    """Words with their unigrams and their counts at the upper end, for one model."""
+    """Words with their unigrams, their counts at the upper end, their exact counts or -1, and those counts' part of the base score."""
 
-    model: Model
+    def __init__(self, model: Model):
+        self.model = model
+        super().__init__()
 
     def columns(self) -> list[str]:
-        return ["u8", "f8", "f8"]
+        return ["u8", "f8", "f8", "i8", "f8"]
 
     def values(self, words: list[bytes]) -> list[np.ndarray]:
-        return [_word_keys(words), *unigrams(words, self.model)]
+        keys = _word_keys(words)
+        c = self.model.exact(keys)
+        return [keys, *unigrams(words, self.model), c, np.log10(np.maximum(c, 0) + 1.0)]
 
 
-@lru_cache(maxsize=1)
-def _modelled_words(digest: str) -> list:
-    """A place for one model's index."""
-    return []
+_modelled_words: dict[str, _ModelIndex] = {}
 
 
 def _words_of(m: Model) -> _ModelIndex:
-    held = _modelled_words(m.digest)
-    if not held:
-        _ModelIndex.model = m
-        held.append(_ModelIndex())
-    return held[0]
+    """The index of the model that a worker used last."""
+    if m.digest not in _modelled_words:
+        _modelled_words.clear()
+        _modelled_words[m.digest] = _ModelIndex(m)
+    return _modelled_words[m.digest]
 
 
-def train(texts: DataFrame, cutoff: int = CUTOFF) -> tuple[Model, DataFrame]:
-    """The model of all training texts, and the exact counts of words (key, c)."""
-    spark = texts.sparkSession
+def train(texts: DataFrame, cutoff: int = CUTOFF) -> tuple[Model, DataFrame, DataFrame, Shape]:
+    """The model of all training texts, the exact counts of words (key, c), the sums of slices and the filter's shape."""
     fan, levels = fan_out(partitions_of(texts))
     slices = fan**levels
     # The slices of the first level are cut further by each level that follows.
     sums = summed_slices(_counted(texts, fan), fan, levels, cutoff)
     words = sums.filter(F.col("kind") == _WORD)
     distinct, tokens, values = words.agg(F.sum("n"), F.sum("total"), F.sum("values")).first()
-    f, cutoff = build_filter(sums, slices, cutoff)
+    grams = level_sums(sums)
+    shape = filter_shape(grams, slices, cutoff)
+    f = build_filter(sums, shape) if shape.width * slices <= MAX_BITS else None
+    # The least level from which on at most HELD_WORDS words lie.
+    frequent = int((np.cumsum(grams[_WORD][::-1])[::-1] > HELD_WORDS).sum())
+
+    def expand(least: int):
+        def rows(batches):
+            for b in batches:
+                for n, k, c in zip(*(b[x].to_pylist() for x in ("n", "keys", "counts"))):
+                    keys, counts = unpack_keys(k, n), unpack_counts(c)
+                    some = quantised(counts) >= least
+                    columns = [pa.array(keys[some].view(np.int64)), pa.array(counts[some].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "c"])
+
+        return words.select("n", "keys", "counts").mapInArrow(rows, "key long, c long")
+
+    counts = expand(1)
+    ends = counts.filter(F.col("key") == int(END_KEY.astype(np.int64))).agg(F.sum("c")).first()[0]
+    held = expand(frequent).toArrow()  # HELD_WORDS rows at most
+    keys = held["key"].to_numpy().view(_U)
+    order = np.argsort(keys)
+    m = Model(
+        f, cutoff, float(tokens or 0), int(distinct or 0), float(values or 0), float(ends or 0), keys[order], held["c"].to_numpy()[order]
+    )
+    return m, counts, sums, shape
+
+
+def scored(some: pa.Table | pa.RecordBatch, index: _ModelIndex, m: Model):
+    """Batches of _SCORED: a row for each text, without what words need that aren't held, and a row for each such word of a text."""
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCORED_SCHEMA], schema=_SCORED_SCHEMA)
+
+    for low in range(0, some.num_rows, TEXTS_AT_ONCE):
+        part = some.slice(low, TEXTS_AT_ONCE)
+        rid, n = part["rid"].to_numpy(zero_copy_only=False) if isinstance(part, pa.RecordBatch) else part["rid"].to_numpy(), part.num_rows
+        tokens, sizes = index.tokens(utf8(part["text"]))
+        starts = np.cumsum(sizes) - sizes
+        keys, p1, high, c, log = (x[tokens] for x in index.arrays)
+        yield batch(
+            n, rid=rid, doc_id=part["doc_id"].to_pylist(), held_out=part["held_out"].to_pylist(), n_tokens=sizes,
+            n_known=np.add.reduceat((c > 0).astype(np.int64), starts), base=np.add.reduceat(log, starts),
+            score=np.add.reduceat(np.log10(probabilities(keys, p1, high, starts, m)), starts), filter_fill=np.full(n, m.fill),
+        )
+        open_ = np.flatnonzero(c < 0)
+        if len(open_):
+            wide = len(index.words)
+            both, times = np.unique(np.repeat(np.arange(n), sizes)[open_] * wide + tokens[open_], return_counts=True)
+            yield batch(len(both), rid=rid[both // wide], key=index.keys_of[both % wide].view(np.int64), times=times)
 
-    def expand(batches):
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """Rows with a block: the texts of one partition that begin within the same BLOCK_BYTES."""
+    schema, size = rows.selectExpr("*", "0L AS block").schema, BLOCK_BYTES
+
+    def number(batches):
+        seen, first = 0, TaskContext.get().partitionId() << 32
         for b in batches:
-            for n, k, c in zip(*(b[x].to_pylist() for x in ("n", "keys", "counts"))):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(unpack_keys(k, n).view(np.int64)), pa.array(unpack_counts(c).astype(np.int64))], ["key", "c"]
-                )
+            ends = seen + np.cumsum(pc.binary_length(b["text"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+            starts = np.concatenate([[seen], ends[:-1]])[: len(ends)]
+            seen = int(ends[-1]) if len(ends) else seen
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + starts // size, pa.int64())], [*b.schema.names, "block"])
+
+    return rows.mapInArrow(number, schema)
+
+
+def block_grams(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct keys of a block: words and their characters, and word n-grams."""
+    words: set[bytes] = set()
+    found: list[np.ndarray] = []
+    for low in range(0, len(texts), TEXTS_AT_ONCE):
+        split = [t.lower().split() for t in texts[low : low + TEXTS_AT_ONCE]]
+        words.update(chain.from_iterable(split))
+        sizes = np.array([len(t) + 1 for t in split])
+        keys = _word_keys(chain.from_iterable((*t, END) for t in split))
+        pairs = bigram_keys(preceding(keys, np.cumsum(sizes) - sizes), keys)
+        found += [pairs, trigram_keys(pairs[:-1], keys[1:])]
+    # The end is a word here and is spelt like one, though its spelling isn't used.
+    listed = [*words, END]
+    upper = [ALL, _word_keys(listed)]
+    for low in range(0, len(listed), WORDS_AT_ONCE):
+        flat, place, _ = gram_positions(listed[low : low + WORDS_AT_ONCE])
+        upper.append(np.unique(np.concatenate(gram_keys(flat, place))))
+    return [np.unique(np.concatenate(upper)), np.unique(np.concatenate(found))]
 
-    counts = words.select("n", "keys", "counts").mapInArrow(expand, "key long, c long")
-    ends = counts.filter(F.col("key") == int(END_KEY.astype(np.int64))).agg(F.sum("c")).first()[0]
-    return Model(f, cutoff, float(tokens or 0), int(distinct or 0), float(values or 0), float(ends or 0)), counts
 
+_ASKED = "block long, slice int, upper boolean, n int, keys binary"
+_ANSWERED = "of_block long, slice int, upper boolean, n int, levels binary, fill double"
 
-def _blocks(docs: DataFrame) -> Column:
-    """The block of each row: a bounded part of a file split."""
-    spark = docs.sparkSession
-    to_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
-    per = max(1, -(-to_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) // BLOCK_BYTES))
-    place = F.monotonically_increasing_id()
-    return F.shiftright(place, 33) * per + F.pmod(place.bitwiseAND(F.lit((1 << 33) - 1)), F.lit(per))
 
+def sharded_scores(rows: DataFrame, sums: DataFrame, shape: Shape, m: Model, parts: int) -> DataFrame:
+    """Scores where the filter is too large for a broadcast: grams go to its slices, levels come back to the blocks.
+
+    A block asks once for each distinct gram, so a gram of all texts is a few bytes of each block. The
+    levels of a block come in the order of its grams and take a byte each.
+    """
 
-def block_words(rows: DataFrame) -> DataFrame:
-    """(block, key): the distinct tokens of each block; a block lies in one partition."""
+    def ask(batches):
+        def requests(block: int, texts: list[bytes]):
+            out = []
+            for upper, keys in zip((True, False), block_grams(texts)):
+                edges = np.searchsorted(_slice_of(keys, shape.slices), np.arange(shape.slices + 1)).tolist()
+                out += [(block, s, upper, z - a, pack_keys(keys[a:z])) for s, (a, z) in enumerate(zip(edges, edges[1:])) if z > a]
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [c.split()[0] for c in _ASKED.split(", ")])
 
-    def keys(batches):
-        index, held = _keyed_words(), {}
+        block, held = None, []
         for b in batches:
-            some, sizes = index.tokens(utf8(b["text"]))
-            block = b["block"].to_numpy()
-            # A token's block and number in one value; each is listed once.
-            first, n = int(block.min(initial=0)), len(index.words)
-            both = np.unique(np.repeat(block - first, sizes) * n + some)
-            of = both // n
-            edges = np.flatnonzero(np.diff(of, prepend=-1))
-            for x, own in zip((of[edges] + first).tolist(), np.split(index.keys_of[both % n], edges[1:])):
-                parts = held.setdefault(x, [])
-                parts.append(own)
-                if len(parts) > 16:
-                    parts[:] = [np.unique(np.concatenate(parts))]
-        for x, parts in held.items():
-            some = np.unique(np.concatenate(parts))
-            for low in range(0, len(some), 100_000):
-                k = some[low : low + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), x)), pa.array(k)], ["block", "key"])
-
-    return rows.select("block", "text").mapInArrow(keys, "block long, key long")
+            for x, text in zip(b["block"].to_pylist(), utf8(b["text"])):
+                if x != block and held:
+                    yield requests(block, held)
+                    held = []
+                block = x
+                held.append(text)
+        if held:
+            yield requests(block, held)
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        bits = np.zeros(shape.width // 8, dtype=np.uint8)
+        for row in zip(*(own[x].to_pylist() for x in ("kind", "n", "keys", "counts"))):
+            bits |= shape.region(*row)
+        f = LogFrequencyFilter(bits, 1, shape.width, shape.hashes)
+        levels = [
+            zlib.compress(f.levels(unpack_keys(k.as_py(), n.as_py()), 1 if u.as_py() else shape.least).astype(np.uint8).tobytes(), 1)
+            for k, n, u in zip(asked["keys"], asked["n"], asked["upper"])
+        ]
+        columns = [asked["block"], asked["slice"], asked["upper"], asked["n"], pa.array(levels, pa.binary()), pa.array([fill_of(bits)] * len(levels), pa.float64())]
+        return pa.table(columns, [c.split()[0] for c in _ANSWERED.split(", ")])
+
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+
+    def score(some: pa.Table, answers: pa.Table) -> pa.Table:
+        some = some.sort_by("rid")
+        grams = block_grams(utf8(some["text"]))
+        levels = []
+        for upper, keys in zip((True, False), grams):
+            own = answers.filter(pc.equal(answers["upper"], upper)).sort_by("slice")
+            levels.append(np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in own["levels"].to_pylist()] or [np.empty(0, np.uint8)]))
+            if len(levels[-1]) != len(keys):
+                raise ValueError(UNSTABLE)
+        found = Answers(np.concatenate(grams), np.concatenate(levels), float(pc.mean(answers["fill"]).as_py()))
+        own = replace(shared.value, filter=found)
+        return pa.Table.from_batches(scored(some, _ModelIndex(own), own), _SCORED_SCHEMA)
+
+    texts = blocked(rows)
+    asked = texts.select("block", "text").mapInArrow(ask, _ASKED).repartition(parts, "slice").groupBy("slice")
+    answers = asked.cogroup(sums.repartition(parts, "slice").groupBy("slice")).applyInArrow(answer, _ANSWERED)
+    blocks = texts.repartition(parts, "block").groupBy("block")
+    return blocks.cogroup(answers.repartition(parts, "of_block").groupBy("of_block")).applyInArrow(score, _SCORED)
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, cutoff: int = CUTOFF) -> DataFrame:
@@ -671,59 +829,42 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, cutoff: int
     probability of the text by the n-gram model. Null text is empty and has its end alone; documents
     without a doc_id are scored and not learned from, and their ``held_out`` is null; rows that repeat
     count each time. An empty table gives no rows; columns besides doc_id and text are ignored.
-    ``docs`` is a stable scan: its splits make the blocks, which is verified.
+    ``docs`` is a stable scan: its splits make the blocks, which is verified where blocks are used.
     """
     spark = docs.sparkSession
     text_batches(spark)
     fold = crc_mod(F.col("doc_id"), folds)
     rows = docs.select(
+        F.monotonically_increasing_id().alias("rid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         (fold == held).alias("held_out"),
         F.coalesce("text", F.lit("")).alias("text"),
-        _blocks(docs).alias("block"),
     )
-    model, counts = train(rows.filter(fold != held), cutoff)
-    shared = spark.sparkContext.broadcast(model)
-
-    def score(some: pa.Table, counted: pa.Table) -> pa.Table:
-        m, n = shared.value, some.num_rows
-        index, own = _words_of(m), counted["key"].to_numpy().view(_U)
-        order = np.argsort(own)
-        own, c = own[order], counted["c"].to_numpy()[order]
-        log = np.log10(c + 1.0)
-        met = np.zeros(len(own), dtype=bool)
-        out = {"n_tokens": [], "n_known": [], "base": [], "score": []}
-        for low in range(0, n, TEXTS_AT_ONCE):
-            tokens, sizes = index.tokens(utf8(some["text"].slice(low, TEXTS_AT_ONCE)))
-            starts = np.cumsum(sizes) - sizes
-            keys, p1, high = (x[tokens] for x in index.arrays)
-            out["score"].append(np.add.reduceat(np.log10(probabilities(keys, p1, high, starts, m)), starts))
-            # Each distinct word is found once among the block's counted words.
-            words = np.flatnonzero(np.bincount(tokens, minlength=len(index.words)))
-            at = np.searchsorted(own, index.keys_of[words])
-            if not len(own) or at.max() >= len(own) or (own[at] != index.keys_of[words]).any():
-                raise ValueError(UNSTABLE)
-            met[at] = True
-            place = np.empty(len(index.words), dtype=np.int64)
-            place[words] = at
-            at = place[tokens]
-            out["n_tokens"].append(sizes)
-            out["n_known"].append(np.add.reduceat((c > 0).astype(np.int64)[at], starts))
-            out["base"].append(np.add.reduceat(log[at], starts))
-        if not met.all():
-            raise ValueError(UNSTABLE)
-        found = {k: np.concatenate(v) for k, v in out.items()}
-        sizes = found["n_tokens"]
-        base = found["base"] - sizes * np.log10(m.tokens + m.distinct + 1)
-        return pa.table(
-            {
-                "doc_id": some["doc_id"], "held_out": some["held_out"], "n_tokens": sizes, "n_known": found["n_known"],
-                "train_tokens": np.full(n, int(m.tokens)), "base_score": base, "score": found["score"],
-                "cutoff": np.full(n, m.cutoff, dtype=np.int32), "filter_fill": np.full(n, m.fill),
-            }
-        )
-
-    words = block_words(rows).join(counts, "key", "left").select(F.col("block").alias("of_block"), "key", F.coalesce("c", F.lit(0)).alias("c"))
-    # As many tasks as the input asks for, so that a task's share doesn't grow with it.
-    parts = 2 * partitions_of(docs)
-    return rows.repartition(parts, "block").groupBy("block").cogroup(words.repartition(parts, "of_block").groupBy("of_block")).applyInArrow(score, _SCORED)
+    model, counts, sums, shape = train(docs.filter(fold != held).select(F.coalesce("text", F.lit("")).alias("text")), cutoff)
+    if model.filter is None:
+        # As many tasks as the input asks for, so that a task's share doesn't grow with it.
+        found = sharded_scores(rows, sums, shape, model, 2 * partitions_of(docs))
+    else:
+        shared = spark.sparkContext.broadcast(model)
+
+        def score(batches):
+            m = shared.value
+            for b in batches:
+                yield from scored(b, _words_of(m), m)
+
+        found = rows.mapInArrow(score, _SCORED)
+    base, known = F.col("base"), F.col("n_known")
+    if not model.whole:
+        found = materialize(found, "scores")
+        exact = F.coalesce("c", F.lit(0))
+        open_words = found.filter("times IS NOT NULL").select("rid", "key", "times").join(counts, "key", "left")
+        by_text = open_words.groupBy("rid").agg(
+            F.sum(F.col("times") * F.log10(exact + 1)).alias("more"), F.sum(F.when(exact > 0, F.col("times")).otherwise(0)).alias("more_known")
+        )
+        found = found.filter("times IS NULL").join(by_text, "rid", "left")
+        base, known = base + F.coalesce("more", F.lit(0.0)), known + F.coalesce("more_known", F.lit(0))
+    each = math.log10(model.tokens + model.distinct + 1)
+    return found.select(
+        "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
+        (base - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score", F.lit(cutoff).alias("cutoff"), "filter_fill",
+    )

@@ -503,8 +503,11 @@ def brute_lm(rows, held, cutoff):
     return scores, next_word, word
 
 
-@pytest.mark.parametrize("cutoff", [1, 2])
-def test_lm_scores(spark, documents, monkeypatch, cutoff):
+@pytest.mark.parametrize(("cutoff", "broadcast", "words"), [(1, 1 << 30, 1 << 20), (2, 1 << 30, 4), (2, 0, 1 << 20), (1, 0, 0)])
+def test_lm_scores(spark, documents, monkeypatch, cutoff, broadcast, words):
+    """The same scores with the filter broadcast or in slices, and with exact counts of all, some or no words held."""
+    monkeypatch.setattr(lm_scoring, "MAX_BITS", broadcast)
+    monkeypatch.setattr(lm_scoring, "HELD_WORDS", words)
     monkeypatch.setattr(lm_scoring, "BITS", 60)  # so that no probe is false
     monkeypatch.setattr(lm_scoring, "TEXTS_AT_ONCE", 5)
     monkeypatch.setattr(lm_scoring, "TOKENS_AT_ONCE", 150)
@@ -595,20 +598,21 @@ def test_counts_merge_in_a_tree(spark, documents, monkeypatch):
     fan, levels = 2, 3
     sums = lm_scoring.summed_slices(lm_scoring._counted(docs, fan), fan, levels, 1)
     assert sums.select("kind", "slice").distinct().count() == sums.count() and sums.agg(F.max("slice")).first()[0] < 8
-    m, counts = lm_scoring.train(docs, 1)
+    m, counts, _, _ = lm_scoring.train(docs, 1)
     want = collections.Counter(w for i in range(80) for w in ["a", f"b{i % 4}", f"c{i % 3}", "\n"])
     keys = {int(k.astype(np.int64)): w for w, k in zip(want, lm_scoring._word_keys([w.encode() for w in want]))}
     assert {keys[r.key]: r.c for r in counts.collect()} == dict(want)
     assert (m.tokens, m.distinct, m.ends) == (320, 9, 80)
 
 
-def test_cutoff_rises_until_the_filter_holds_all(monkeypatch):
+def test_filter_keeps_its_bits_an_entry_at_every_size():
+    """However many grams there are, the cutoff stays and the filter grows."""
     by_level = np.array([0, 1000, 500, 100, 10, 1] + [0] * 75)
-    monkeypatch.setattr(lm_scoring, "MAX_BITS", 10 * (200 + 500 * 1 + 100 * 2 + 10 * 3 + 4))
-    assert lm_scoring.raised_cutoff(200, by_level, 2) == 2
-    monkeypatch.setattr(lm_scoring, "MAX_BITS", 10 * (200 + 100 + 2 * 10 + 3))
-    assert lm_scoring.raised_cutoff(200, by_level, 2) == 3 and lm_scoring.raised_cutoff(200, by_level, 1) == 3
-    assert lm_scoring.raised_cutoff(10**9, by_level, 2) > 1000
+    for times in (1, 10**6):
+        grams = {k: by_level * times for k in range(3)}
+        shape = lm_scoring.filter_shape(grams, 4, 2)
+        entries = times * (2 * (1000 + 2 * 500 + 3 * 100 + 4 * 10 + 5) + 500 + 2 * 100 + 3 * 10 + 4)
+        assert (shape.hashes, shape.least) == (7, 2) and 0 <= 4 * shape.width - lm_scoring.BITS * entries < 256
 
 
 def test_filter_holds_quantised_counts():
@@ -617,9 +621,9 @@ def test_filter_holds_quantised_counts():
     counts = np.floor(np.exp(rng.uniform(0, 9, len(keys))))
     q = lm_scoring.quantised(counts)
     width = -(-10 * int(q.sum()) // 64) * 64
-    f = lm_scoring.LogFrequencyFilter(np.frombuffer(lm_scoring.region(keys, counts, 1, width, 4), np.uint8), 1, width, 4)
+    f = lm_scoring.LogFrequencyFilter(np.frombuffer(lm_scoring.region(keys, counts, 1, width, 7), np.uint8), 1, width, 7)
     found = f.levels(keys)
-    assert (found >= q).all() and (found == q).mean() > 0.95
+    assert (found >= q).all() and (found == q).mean() > 0.98
     other = rng.integers(0, 2**63, 3000).astype(np.uint64)
     assert (f.levels(other) > 0).mean() < 0.03
 
