@@ -473,7 +473,9 @@ def build_filter(sums: DataFrame, shape: Shape) -> LogFrequencyFilter:
 
 def fill_of(bits: np.ndarray) -> float:
     ones = np.array([bin(b).count("1") for b in range(256)])
-    return float(np.bincount(bits, minlength=256) @ ones / max(1, 8 * len(bits)))
+    # In parts, as counting takes eight bytes for each one.
+    held = sum(int(np.bincount(bits[low : low + (1 << 20)], minlength=256) @ ones) for low in range(0, len(bits), 1 << 20))
+    return held / max(1, 8 * len(bits))
 
 
 class Answers:
@@ -505,7 +507,7 @@ class Model:
 
     def __post_init__(self):
         bits = getattr(self.filter, "bits", None)
-        self.digest = "" if bits is None else xxhash.xxh3_64_hexdigest(bits.tobytes())
+        self.digest = "" if bits is None else xxhash.xxh3_64_hexdigest(bits)
         self.fill = getattr(self.filter, "fill", 0.0) if bits is None else fill_of(bits)
 
     @property
