@@ -31,10 +31,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field, replace
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, crc_mod, materialize, mix64, partitions_of, text_batches, utf8
+from quire.llm.common import crc_mod, materialize, mix64, partitions_of, text_batches, utf8
 
 ORDER = 5
 BASE = 1.5
@@ -56,9 +53,9 @@ PRIOR, W2, W3 = 4.0, 0.25, 0.35
 END = b"\n"
 #: Bytes of texts that make one block.
 BLOCK_BYTES = 8 << 20
-#: What a task takes up at once: words whose n-grams are counted, documents that are scored, tokens whose n-grams are counted, and
-#: distinct words that are counted.
-WORDS_AT_ONCE, TEXTS_AT_ONCE, TOKENS_AT_ONCE, DISTINCT_AT_ONCE = 40_000, 200, 1_500_000, 250_000
+#: What a task takes up at once: words whose n-grams are counted, tokens whose n-grams are counted, distinct words of parts
+#: that are summed, and bytes of texts.
+WORDS_AT_ONCE, TOKENS_AT_ONCE, WORDS_HELD, BYTES_AT_ONCE = 40_000, 1_500_000, 1_000_000, 1 << 20
 #: The most parts that one array is cut into, or merged from.
 MAX_FAN = 64
 #: The most words whose exact counts go to the workers.
@@ -69,13 +66,77 @@ _U = np.uint64
 BEGIN = _U(0x9D39247E33776D41)
 
 
+#: A value for each byte, and the base of the polynomial in a byte's place that makes a word's key.
+_BYTE, _BASE = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15)), _U(0xD1342543DE82EF95)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Tokens whose keys are made at once.
+_PART = 1 << 17
+_powers = np.cumprod(np.concatenate([[_U(1)], np.full(1023, _BASE)]), dtype=_U)
+
+
+def _power(place: np.ndarray) -> np.ndarray:
+    global _powers
+    need = int(place.max(initial=0)) + 1
+    if need > len(_powers):
+        # Only a very long word comes here, and its table isn't kept.
+        return np.cumprod(np.concatenate([[_U(1)], np.full(need - 1, _BASE)]), dtype=_U)[place]
+    return _powers[place]
+
+
+@dataclass
+class Words:
+    """Words as parts of an array of bytes."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, words) -> Words:
+        words = list(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        return cls(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, some) -> Words:
+        return Words(self.flat, self.starts[some], self.sizes[some])
+
+    def keys(self) -> np.ndarray:
+        """A 64-bit key of each word's bytes."""
+        keys = np.zeros(len(self), dtype=_U)
+        for low in range(0, len(self), _PART):
+            starts, sizes = self.starts[low : low + _PART], self.sizes[low : low + _PART]
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+            values = _BYTE[self.flat[np.repeat(starts, sizes) + place]] * _power(place)
+            some = np.flatnonzero(sizes)
+            keys[low + some] = np.add.reduceat(values, first[some]) if len(some) else 0
+        return mix64(keys + self.sizes.astype(_U))
+
+
 def _word_keys(words) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=">u8").astype(_U)
+    return Words.of(words).keys()
 
 
 END_KEY = _word_keys([END])[0]
 
 
+def tokens_of(texts: list[bytes]) -> tuple[Words, np.ndarray]:
+    """All tokens of the texts, each text's end after it; and the texts' sizes in tokens. A-Z are lower-cased."""
+    flat = np.frombuffer(b"\n".join([*texts, b""]).lower(), dtype=np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    inside = ~_SPACE[flat]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[ends] = inside[ends] = True
+    starts = np.flatnonzero(first)
+    # An end stands where a line feed is, right behind a word or not.
+    sizes = np.add.reduceat(inside, starts, dtype=np.int64)
+    return Words(flat, starts, sizes), np.diff(np.searchsorted(starts, ends), prepend=-1)
+
+
 def bigram_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return mix64(before * _U(0x9E3779B97F4A7C15) + keys + _U(0x2545F491))
 
@@ -100,12 +161,16 @@ def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
 ALL = mix64(np.array([0x5D0F00D], dtype=_U))
 
 
-def gram_positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_positions(words: Words | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of marked words, each byte's place in its word, and its word's number."""
-    flat = np.frombuffer(b"".join(b" " + w + END for w in words), dtype=np.uint8).astype(_U)
-    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    words = words if isinstance(words, Words) else Words.of(words)
+    sizes = words.sizes + 2
     owner = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    last = place == sizes[owner] - 1
+    marks = (place == 0) | last
+    flat = np.where(last, _U(END[0]), _U(0x20))
+    flat[~marks] = words.flat[words.starts[owner[~marks]] + place[~marks] - 1]
     return flat, place, owner
 
 
@@ -128,15 +193,20 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[edges], np.add.reduceat(counts[order], edges) if len(keys) else counts
 
 
-def count_grams(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def count_grams(words: Words | dict[bytes, int], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of all orders with their counts, weighted by the words' own."""
-    listed, found = list(words), [(np.empty(0, _U), np.empty(0))]
-    for low in range(0, len(listed), WORDS_AT_ONCE):
-        some = listed[low : low + WORDS_AT_ONCE]
-        flat, place, owner = gram_positions(some)
-        weight = np.array([words[w] for w in some], dtype=np.float64)[owner]
+    if isinstance(words, dict):
+        words, counts = Words.of(words), np.fromiter(words.values(), dtype=np.int64)
+    found = [(np.empty(0, _U), np.empty(0))]
+    for low in range(0, len(words), WORDS_AT_ONCE):
+        flat, place, owner = gram_positions(words[low : low + WORDS_AT_ONCE])
+        weight = counts[low : low + WORDS_AT_ONCE].astype(np.float64)[owner]
         keys = gram_keys(flat, place)
-        found += [_summed(keys[k][place >= k], weight[place >= k]) for k in range(ORDER)]
+        # Most words occur once, and counts of equal weight need no order of their own.
+        once = weight == 1
+        found.append(np.unique(np.concatenate([keys[k][once & (place >= k)] for k in range(ORDER)]), return_counts=True))
+        more = [~once & (place >= k) for k in range(ORDER)]
+        found.append(_summed(np.concatenate([keys[k][x] for k, x in enumerate(more)]), np.concatenate([weight[x] for x in more])))
         found.append((ALL, np.array([weight[place > 0].sum()])))
         found = [_summed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))]
     return found[0]
@@ -190,110 +260,78 @@ def fan_out(parts: int) -> tuple[int, int]:
     return max(2, math.ceil(parts ** (1 / levels) - 1e-9)), levels
 
 
-class WordIndex(Memo):
-    """Numbers the words that a worker has met, up to a bound; number 0 is the end of a text.
-
-    ``words`` and ``keys`` go by number. At the bound the numbers start anew, so they hold for one call of ``tokens`` alone.
-    """
-
-    def __init__(self, limit: int = 900_000):
-        super().__init__(self._add, limit)
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.words: list[bytes] = []
-        self.arrays = [np.empty(1 << 12, dtype=t) for t in self.columns()]
-        self._add([END])
-
-    def columns(self) -> list[str]:
-        """The types of what is held by number: the keys, and what a subclass adds."""
-        return ["u8"]
-
-    def values(self, words: list[bytes]) -> list[np.ndarray]:
-        return [_word_keys(words)]
-
-    def _add(self, words: list[bytes]) -> list[bytes]:
-        a = len(self.words)
-        z = a + len(words)
-        if z > len(self.arrays[0]):
-            self.arrays = [np.concatenate([x, np.empty(max(len(x), z - len(x)), dtype=x.dtype)]) for x in self.arrays]
-        for held, own in zip(self.arrays, self.values(words)):
-            held[a:z] = own
-        self.words += words
-        raw = np.arange(a, z, dtype="<u4").tobytes()
-        return [raw[k : k + 4] for k in range(0, len(raw), 4)]
-
-    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all tokens, each text's end after it, joined; and the texts' sizes in tokens."""
-        split = [t.lower().split() for t in texts]
-        if len(self.words) > 1.2 * self.limit:  # words that aren't kept take numbers too
-            self.clear()
-        self.learn(chain.from_iterable(split))
-        get, end = self.__getitem__, bytes(4)
-        packed = b"".join(chain.from_iterable((*map(get, t), end) for t in split))
-        return np.frombuffer(packed, dtype="<u4"), np.array([len(t) + 1 for t in split], dtype=np.int64)
-
-    @property
-    def keys_of(self) -> np.ndarray:
-        return self.arrays[0]
-
-
-@lru_cache(maxsize=1)
-def _keyed_words() -> WordIndex:
-    return WordIndex()
-
-
 def _counted(texts: DataFrame, slices: int) -> DataFrame:
     """Sorted counts of blocks of training texts, cut by slices of the hash range."""
 
     def count(batches):
-        node, index = TaskContext.get().partitionId(), _keyed_words()
-        words: Counter = Counter()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        node = TaskContext.get().partitionId()
+        grams: list[np.ndarray] = []
+        # Distinct words of some texts: their keys, counts and bytes.
+        found: list[tuple[np.ndarray, np.ndarray, Words]] = []
+        n_grams = n_words = 0
 
         def flush():
-            keys = np.concatenate([k for k, _ in held])
-            sizes = np.concatenate([z for _, z in held])
-            starts = np.cumsum(sizes) - sizes
-            pairs = bigram_keys(preceding(keys, starts), keys)
-            inner = np.ones(len(keys), dtype=bool)
-            inner[starts] = False
-            grams = np.concatenate([pairs, trigram_keys(np.concatenate([pairs[:1], pairs[:-1]]), keys)[inner]])
-            yield _blobs(_NGRAM, node, *np.unique(grams, return_counts=True), slices)
-            held.clear()
+            yield _blobs(_NGRAM, node, *np.unique(np.concatenate(grams), return_counts=True), slices)
+            grams.clear()
 
         def flush_words():
-            listed = list(words)
-            counts = np.fromiter(words.values(), dtype=np.int64, count=len(words))
-            yield _blobs(_WORD, node, *_summed(_word_keys(listed), counts), slices)
-            words.pop(END, None)
-            yield _blobs(_CHAR, node, *count_grams(words), slices)
-            words.clear()
-
-        tokens = 0
+            keys, counts = np.concatenate([k for k, _, _ in found]), np.concatenate([c for _, c, _ in found])
+            shift = np.cumsum([0, *(len(w.flat) for _, _, w in found)])
+            words = Words(
+                np.concatenate([w.flat for _, _, w in found]),
+                np.concatenate([w.starts + z for (_, _, w), z in zip(found, shift)]),
+                np.concatenate([w.sizes for _, _, w in found]),
+            )
+            unique, first = np.unique(keys, return_index=True)
+            _, counts = _summed(keys, counts)
+            yield _blobs(_WORD, node, unique, counts, slices)
+            inner = unique != END_KEY
+            yield _blobs(_CHAR, node, *count_grams(words[first[inner]], counts[inner]), slices)
+            found.clear()
+
         for b in batches:
-            texts = utf8(b["text"])
-            some, sizes = index.tokens(texts)
-            times = np.bincount(some, minlength=len(index.words))
-            met = np.flatnonzero(times)
-            for w, c in zip(map(index.words.__getitem__, met.tolist()), times[met].tolist()):
-                words[w] += c
-            held.append((index.keys_of[some], sizes))
-            tokens += len(some)
-            if tokens >= TOKENS_AT_ONCE:
-                yield from flush()
-                tokens = 0
-            if len(words) > DISTINCT_AT_ONCE:
-                yield from flush_words()
-        if held:
+            for some in in_parts(utf8(b["text"])):
+                words, sizes = tokens_of(some)
+                keys = words.keys()
+                starts = np.cumsum(sizes) - sizes
+                pairs = bigram_keys(preceding(keys, starts), keys)
+                inner = np.ones(len(keys), dtype=bool)
+                inner[starts] = False
+                grams += [pairs, trigram_keys(np.concatenate([pairs[:1], pairs[:-1]]), keys)[inner]]
+                unique, first, counts = np.unique(keys, return_index=True, return_counts=True)
+                mine = words[first]
+                # The words' bytes alone, without the texts'.
+                at = np.cumsum(mine.sizes) - mine.sizes
+                raw = mine.flat[np.repeat(mine.starts - at, mine.sizes) + np.arange(int(mine.sizes.sum()))]
+                found.append((unique, counts, Words(raw, at, mine.sizes)))
+                n_grams, n_words = n_grams + len(keys), n_words + len(unique)
+                if n_grams >= TOKENS_AT_ONCE:
+                    yield from flush()
+                    n_grams = 0
+                if n_words > WORDS_HELD:
+                    yield from flush_words()
+                    n_words = 0
+        if grams:
             yield from flush()
-        if words:
+        if found:
             yield from flush_words()
 
     return texts.select("text").mapInArrow(count, _BLOB)
 
 
+def in_parts(texts: list[bytes]):
+    """Texts in parts of BYTES_AT_ONCE; a longer one is a part of its own."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= BYTES_AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _SUMMED = "kind int, slice int, n int, keys binary, counts binary, total double, values double, by_level array<long>"
 
 
@@ -528,13 +566,14 @@ class Model:
         return (self.ends + 1) / (self.tokens + 2)
 
 
-def unigrams(words: list[bytes], m: Model) -> tuple[np.ndarray, np.ndarray]:
+def unigrams(words: Words, keys: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """The probability of each word or end, and its count at the upper end of its level."""
-    if not words:
-        return np.empty(0), np.empty(0)
-    levels = m.filter.levels(_word_keys(words))
-    spelt = (1 - m.stop) * 10.0 ** np.maximum(spellings(words, m.filter), -290)
-    spelt[[w == END for w in words]] = m.stop
+    levels = m.filter.levels(keys)
+    spelt = np.concatenate(
+        [np.empty(0), *(spellings(words[low : low + WORDS_AT_ONCE], m.filter) for low in range(0, len(words), WORDS_AT_ONCE))]
+    )
+    spelt = (1 - m.stop) * 10.0 ** np.maximum(spelt, -290)
+    spelt[keys == END_KEY] = m.stop
     weight = max(1, m.distinct)
     return (middle(levels) + weight * spelt) / (m.values + weight), HIGHEST[levels]
 
@@ -581,7 +620,7 @@ def _recent(f: LogFrequencyFilter, first: int = 1) -> RecentLevels:
     return _latest[first]
 
 
-def spellings(words: list[bytes], f: LogFrequencyFilter) -> np.ndarray:
+def spellings(words: Words | list[bytes], f: LogFrequencyFilter) -> np.ndarray:
     """log10 of the probability of each word's bytes and its end, by the n-grams."""
     flat, place, owner = gram_positions(words)
     # At a word's beginning a longer order has the key of the longest gram there is.
@@ -636,31 +675,44 @@ _SCORED_SCHEMA = pa.schema(
 )
 
 
-class _ModelIndex(WordIndex):
-    """Words with their unigrams, their counts at the upper end, their exact counts or -1, and those counts' part of the base score."""
+class WordValues:
+    """What a model says of the words that a worker met last, by a place for each key: unigrams, counts at the upper end,
+    exact counts or -1, and those counts' part of the base score."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        super().__init__()
+    SLOTS = 1 << 20
 
-    def columns(self) -> list[str]:
-        return ["u8", "f8", "f8", "i8", "f8"]
+    def __init__(self, model: Model, slots: int = SLOTS):
+        self.model, self.mask = model, _U(slots - 1)
+        # As in RecentLevels no key is taken for held before it was met.
+        self.keys = np.arange(1, slots + 1, dtype=_U)
+        self.held = [np.zeros(slots, dtype=t) for t in ("f8", "f8", "i8", "f8")]
 
-    def values(self, words: list[bytes]) -> list[np.ndarray]:
-        keys = _word_keys(words)
-        c = self.model.exact(keys)
-        return [keys, *unigrams(words, self.model), c, np.log10(np.maximum(c, 0) + 1.0)]
+    def of(self, words: Words, keys: np.ndarray) -> list[np.ndarray]:
+        at = (keys & self.mask).astype(np.int64)
+        out = [x[at] for x in self.held]
+        new = np.flatnonzero(self.keys[at] != keys)
+        if len(new):
+            some, first, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
+            c = self.model.exact(some)
+            values = [*unigrams(words[new[first]], some, self.model), c, np.log10(np.maximum(c, 0) + 1.0)]
+            at = at[new[first]]
+            self.keys[at] = some
+            last = self.keys[at] == some
+            for mine, held, v in zip(out, self.held, values):
+                mine[new] = v[inverse]
+                held[at[last]] = v[last]
+        return out
 
 
-_modelled_words: dict[str, _ModelIndex] = {}
+_values: dict[str, WordValues] = {}
 
 
-def _words_of(m: Model) -> _ModelIndex:
-    """The index of the model that a worker used last."""
-    if m.digest not in _modelled_words:
-        _modelled_words.clear()
-        _modelled_words[m.digest] = _ModelIndex(m)
-    return _modelled_words[m.digest]
+def _values_of(m: Model) -> WordValues:
+    """The values of the model that a worker used last."""
+    if m.digest not in _values:
+        _values.clear()
+        _values[m.digest] = WordValues(m)
+    return _values[m.digest]
 
 
 def train(texts: DataFrame, cutoff: int = CUTOFF) -> tuple[Model, DataFrame, DataFrame, Shape]:
@@ -699,28 +751,31 @@ def train(texts: DataFrame, cutoff: int = CUTOFF) -> tuple[Model, DataFrame, Dat
     return m, counts, sums, shape
 
 
-def scored(some: pa.Table | pa.RecordBatch, index: _ModelIndex, m: Model):
+def scored(some: pa.Table, values: WordValues, m: Model):
     """Batches of _SCORED: a row for each text, without what words need that aren't held, and a row for each such word of a text."""
 
     def batch(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCORED_SCHEMA], schema=_SCORED_SCHEMA)
 
-    for low in range(0, some.num_rows, TEXTS_AT_ONCE):
-        part = some.slice(low, TEXTS_AT_ONCE)
-        rid, n = part["rid"].to_numpy(zero_copy_only=False) if isinstance(part, pa.RecordBatch) else part["rid"].to_numpy(), part.num_rows
-        tokens, sizes = index.tokens(utf8(part["text"]))
+    bytes_of = pc.binary_length(some["text"]).to_numpy(zero_copy_only=False) if some.num_rows else np.empty(0)
+    edges = np.flatnonzero(np.diff((np.cumsum(bytes_of) - bytes_of) // BYTES_AT_ONCE, prepend=-1)).tolist()
+    for low, high in zip(edges, [*edges[1:], some.num_rows]):
+        part, n = some.slice(low, high - low), high - low
+        rid = part["rid"].to_numpy()
+        words, sizes = tokens_of(utf8(part["text"]))
         starts = np.cumsum(sizes) - sizes
-        keys, p1, high, c, log = (x[tokens] for x in index.arrays)
+        keys = words.keys()
+        p1, upper, c, log = values.of(words, keys)
         yield batch(
             n, rid=rid, doc_id=part["doc_id"].to_pylist(), held_out=part["held_out"].to_pylist(), n_tokens=sizes,
             n_known=np.add.reduceat((c > 0).astype(np.int64), starts), base=np.add.reduceat(log, starts),
-            score=np.add.reduceat(np.log10(probabilities(keys, p1, high, starts, m)), starts), filter_fill=np.full(n, m.fill),
+            score=np.add.reduceat(np.log10(probabilities(keys, p1, upper, starts, m)), starts), filter_fill=np.full(n, m.fill),
         )
         open_ = np.flatnonzero(c < 0)
         if len(open_):
-            wide = len(index.words)
-            both, times = np.unique(np.repeat(np.arange(n), sizes)[open_] * wide + tokens[open_], return_counts=True)
-            yield batch(len(both), rid=rid[both // wide], key=index.keys_of[both % wide].view(np.int64), times=times)
+            mine, number = np.unique(keys[open_], return_inverse=True)
+            both, times = np.unique(np.repeat(np.arange(n), sizes)[open_] * len(mine) + number, return_counts=True)
+            yield batch(len(both), rid=rid[both // len(mine)], key=mine[both % len(mine)].view(np.int64), times=times)
 
 
 def blocked(rows: DataFrame) -> DataFrame:
@@ -740,21 +795,17 @@ def blocked(rows: DataFrame) -> DataFrame:
 
 def block_grams(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct keys of a block: words and their characters, and word n-grams."""
-    words: set[bytes] = set()
-    found: list[np.ndarray] = []
-    for low in range(0, len(texts), TEXTS_AT_ONCE):
-        split = [t.lower().split() for t in texts[low : low + TEXTS_AT_ONCE]]
-        words.update(chain.from_iterable(split))
-        sizes = np.array([len(t) + 1 for t in split])
-        keys = _word_keys(chain.from_iterable((*t, END) for t in split))
+    upper, found = [ALL], []
+    for some in in_parts(texts):
+        words, sizes = tokens_of(some)
+        keys = words.keys()
         pairs = bigram_keys(preceding(keys, np.cumsum(sizes) - sizes), keys)
         found += [pairs, trigram_keys(pairs[:-1], keys[1:])]
-    # The end is a word here and is spelt like one, though its spelling isn't used.
-    listed = [*words, END]
-    upper = [ALL, _word_keys(listed)]
-    for low in range(0, len(listed), WORDS_AT_ONCE):
-        flat, place, _ = gram_positions(listed[low : low + WORDS_AT_ONCE])
-        upper.append(np.unique(np.concatenate(gram_keys(flat, place))))
+        unique, first = np.unique(keys, return_index=True)
+        upper.append(unique)
+        for low in range(0, len(first), WORDS_AT_ONCE):
+            flat, place, _ = gram_positions(words[first[low : low + WORDS_AT_ONCE]])
+            upper.append(np.unique(np.concatenate(gram_keys(flat, place))))
     return [np.unique(np.concatenate(upper)), np.unique(np.concatenate(found))]
 
 
@@ -814,7 +865,7 @@ def sharded_scores(rows: DataFrame, sums: DataFrame, shape: Shape, m: Model, par
                 raise ValueError(UNSTABLE)
         found = Answers(np.concatenate(grams), np.concatenate(levels), float(pc.mean(answers["fill"]).as_py()))
         own = replace(shared.value, filter=found)
-        return pa.Table.from_batches(scored(some, _ModelIndex(own), own), _SCORED_SCHEMA)
+        return pa.Table.from_batches(scored(some, WordValues(own, 1 << 17), own), _SCORED_SCHEMA)
 
     texts = blocked(rows)
     asked = texts.select("block", "text").mapInArrow(ask, _ASKED).repartition(parts, "slice").groupBy("slice")
@@ -850,9 +901,14 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, cutoff: int
         shared = spark.sparkContext.broadcast(model)
 
         def score(batches):
-            m = shared.value
+            m, held = shared.value, []
             for b in batches:
-                yield from scored(b, _words_of(m), m)
+                held.append(b)
+                if sum(x.nbytes for x in held) >= BYTES_AT_ONCE:
+                    yield from scored(pa.Table.from_batches(held), _values_of(m), m)
+                    held = []
+            if held:
+                yield from scored(pa.Table.from_batches(held), _values_of(m), m)
 
         found = rows.mapInArrow(score, _SCORED)
     base, known = F.col("base"), F.col("n_known")

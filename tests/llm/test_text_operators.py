@@ -509,7 +509,7 @@ def test_lm_scores(spark, documents, monkeypatch, cutoff, broadcast, words):
     monkeypatch.setattr(lm_scoring, "MAX_BITS", broadcast)
     monkeypatch.setattr(lm_scoring, "HELD_WORDS", words)
     monkeypatch.setattr(lm_scoring, "BITS", 60)  # so that no probe is false
-    monkeypatch.setattr(lm_scoring, "TEXTS_AT_ONCE", 5)
+    monkeypatch.setattr(lm_scoring, "BYTES_AT_ONCE", 50)
     monkeypatch.setattr(lm_scoring, "TOKENS_AT_ONCE", 150)
     odd = [(i, t if t is None or len(t) < 1000 else t[:300]) for i, t in ODD]
     rows = [*odd, *((50 + i, f"alpha beta w{i % 9} Gamma") for i in range(60)), (200, "gamma beta alpha w3"), (201, "alpha beta w3 gamma")]
@@ -582,6 +582,19 @@ def test_spellings_sum_to_one_at_most():
     assert 0.3 < total + longer <= 1 + 1e-9
 
 
+def test_tokens_are_words_and_ends():
+    texts = ["", " ", "A b\u00a0C\n", "\x0b\x0cx", "\u2028y Z" * 3, "a" * 5000 + " " * 5000 + "\u00c4"]
+    raw = [t.encode() for t in texts]
+    words, sizes = lm_scoring.tokens_of(raw)
+    want = [[*(w.lower() for w in t.split()), b"\n"] for t in raw]
+    got = [bytes(words.flat[a : a + n]) for a, n in zip(words.starts.tolist(), words.sizes.tolist())]
+    assert got == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+    assert (words.keys() == lm_scoring._word_keys(got)).all()
+    some = {bytes(x) for x in np.random.default_rng(2).integers(97, 100, (50000, 12)).astype(np.uint8)}
+    some |= {w[:k] for w in list(some)[:5000] for k in range(1, 12)}
+    assert len(np.unique(lm_scoring._word_keys(some))) == len(some)
+
+
 def test_sorted_counts_are_packed_whole():
     rng = np.random.default_rng(5)
     for keys in (np.empty(0, np.uint64), np.array([0], np.uint64), np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))):
