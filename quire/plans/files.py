@@ -19,11 +19,14 @@ from quire.sources import bounded, ooxml, pdf, pixels, ranges, tables, tabular
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    """A document for each nation and segment of customers: a heading, a paragraph and a table row for each customer."""
+    """A document for each nation, segment and 450 keys of customers: a heading, a paragraph and a table row for each customer.
+
+    A document's rows are bounded and documents grow in number, so no table comes near the 500 rows that are read of one.
+    """
     c = table(spark, sf_dir, "customer")
-    name = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("-"), F.lower("c_mktsegment"))
+    name = F.concat_ws("-", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.lower("c_mktsegment"), F.expr("c_custkey div 450").cast("string"))
     listed = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name")))
-    return c.groupBy(name.alias("name"), "c_nationkey", "c_mktsegment").agg(listed.alias("rows"))
+    return c.groupBy(name.alias("name")).agg(listed.alias("rows"))
 
 
 def _block(kind: str, **arms) -> F.Column:
@@ -62,8 +65,8 @@ def _items(spark, sf_dir, fmt: str) -> DataFrame:
 
 _NAMED = """
 WITH d AS (
-  SELECT 'n' || c_nationkey || '-' || lower(c_mktsegment) AS name, c_custkey, c_name,
-         row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS k FROM customer
+  SELECT 'n' || c_nationkey || '-' || lower(c_mktsegment) || '-' || c_custkey // 450 AS name, c_custkey, c_name,
+         row_number() OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey // 450 ORDER BY c_custkey) AS k FROM customer
 )"""
 
 
@@ -71,7 +74,7 @@ WITH d AS (
 lines AS (
   SELECT name, 1 AS block, 0 AS pos, 'Customers of ' || name AS text FROM docs
   UNION ALL SELECT name, 2 + (k - 1) // 200, k, c_name FROM d
-  UNION ALL SELECT d.name, 3 + (n - 1) // 200, n + k, c_custkey || ' ' || c_name FROM d JOIN docs USING (name) WHERE k <= 500
+  UNION ALL SELECT d.name, 3 + (n - 1) // 200, n + k, c_custkey || ' ' || c_name FROM d JOIN docs USING (name)
 )
 SELECT 'made/' || name || '.docx' AS path, CAST(block AS INTEGER) AS block, row_number() OVER (PARTITION BY name ORDER BY block, pos) AS ordinal, text FROM lines
 """)
@@ -80,7 +83,7 @@ def docx_text_items(spark, sf_dir):
 
 
 _SHEETS = _NAMED + """, lines AS (
-  SELECT DISTINCT name, 0 AS k, 'key name' AS text FROM d UNION ALL SELECT name, k, c_custkey || ' ' || c_name FROM d WHERE k < 500
+  SELECT DISTINCT name, 0 AS k, 'key name' AS text FROM d UNION ALL SELECT name, k, c_custkey || ' ' || c_name FROM d
 )
 SELECT 'made/' || name || '.{0}' AS path, CAST(1 AS INTEGER) AS block, k + 1 AS ordinal, text FROM lines
 """
@@ -179,7 +182,7 @@ def template_conformance(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT DISTINCT 'n' || c_nationkey || '-' || lower(c_mktsegment) AS name FROM customer), f(format) AS (VALUES ('csv'), ('docx'), ('xlsx'), ('pptx'), ('pdf'))
+WITH c AS (SELECT DISTINCT 'n' || c_nationkey || '-' || lower(c_mktsegment) || '-' || c_custkey // 450 AS name FROM customer), f(format) AS (VALUES ('csv'), ('docx'), ('xlsx'), ('pptx'), ('pdf'))
 SELECT name || '.' || a.format AS path, b.format, CASE WHEN a.format = b.format THEN 'OK' ELSE 'MAGIC_MISMATCH' END AS code FROM c, f a, f b
 """)
 def payload_formats(spark, sf_dir):
@@ -345,9 +348,9 @@ def number_report(spark, sf_dir):
 
 
 @query("""
-SELECT 'made/n' || c_nationkey || '-' || lower(c_mktsegment) || '.pdf' AS path, CAST(1 + (k - 1) // 56 AS INTEGER) AS page,
+SELECT 'made/' || 'n' || c_nationkey || '-' || lower(c_mktsegment) || '-' || c_custkey // 450 || '.pdf' AS path, CAST(1 + (k - 1) // 56 AS INTEGER) AS page,
   string_agg(c_name, chr(10) ORDER BY k) AS text FROM (
-    SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS k FROM customer) GROUP BY ALL
+    SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey // 450 ORDER BY c_custkey) AS k FROM customer) GROUP BY 1, 2
 """)
 def pdf_page_texts(spark, sf_dir):
     return pdf.pdf_pages(_files(spark, sf_dir, "pdf")).select("path", "page", strip(F.col("text")).alias("text"))
