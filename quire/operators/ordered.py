@@ -31,8 +31,9 @@ def running_budget(rows: DataFrame, key: list[str], order: str, size: Column, bu
 
 def next_boundary(rows: DataFrame, key: list[str], order: str, is_boundary: Column) -> DataFrame:
     """The order value of the next boundary row after each row, or null."""
-    after = W.partitionBy(*key).orderBy(order).rowsBetween(1, W.unboundedFollowing)
-    return rows.withColumn("next_boundary", F.first(F.when(is_boundary, F.col(order)), ignorenulls=True).over(after))
+    # From the end on: a frame that ends with the partition is added up again for every row.
+    after = W.partitionBy(*key).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("next_boundary", F.last(F.when(is_boundary, F.col(order)), ignorenulls=True).over(after))
 
 
 def nth_match(rows: DataFrame, key: list[str], order: str, matches: Column, n: int = 1) -> DataFrame:

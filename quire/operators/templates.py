@@ -46,12 +46,13 @@ def template_profile(units: DataFrame, sections: DataFrame, heading_styles: list
                    F.lit(s.mode).cast("string").alias("mode"), F.coalesce(normalize_heading(F.lit(s.heading).cast("string")), F.lit("")).alias("want")) for s in specs)
     ).cast(f"array<{spec}>")
     paragraph, text = F.col("kind") == "paragraph", strip(F.coalesce("text", F.lit("")))
-    ahead = W.partitionBy("doc").orderBy("idx").rowsBetween(1, W.unboundedFollowing)
+    # From the end on: a frame that ends with the partition is added up again for every row.
+    behind = W.partitionBy("doc").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
     heading = paragraph & F.col("style").isin(*heading_styles) & (text != "")
     table = F.when(F.col("kind") == "table", F.struct("idx", "n_rows", "n_cols"))
     looked = units.select(
         "doc", "idx", "kind", "style", text.alias("text"),
-        F.min(F.when(heading, F.col("idx"))).over(ahead).alias("para_end"), F.first(table, ignorenulls=True).over(ahead).alias("t"),
+        F.last(F.when(heading, F.col("idx")), ignorenulls=True).over(behind).alias("para_end"), F.last(table, ignorenulls=True).over(behind).alias("t"),
     ).withColumn("norm", normalize_heading(F.col("text")))
     equal = lambda s: F.col("norm") == s["want"]
     held = lambda s: (F.col("text") != "") & (s["want"] != "") & F.contains(F.col("norm"), s["want"])
