@@ -8,23 +8,29 @@ from quire.functions.python import iso_instant
 from quire.functions.text import strip
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by sorted shuffles: neither side is bounded, and a plan takes a side's size from compressed files and not from what is
+    exploded or made of them, so it would broadcast one of many times its limit."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def check_items(checks: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row for each (check_id, pos) with its evidence; an unknown evidence_id has a null value and known = false."""
     asked = checks.select("check_id", F.posexplode("evidence_ids").alias("pos", "evidence_id"))
     known = evidence.withColumn("known", F.lit(True))
-    return asked.join(known, "evidence_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return shuffled(asked, known, "evidence_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def unknown_evidence(checks: DataFrame, evidence: DataFrame) -> DataFrame:
     """References to evidence that doesn't exist, by an anti join."""
     asked = checks.select("check_id", F.explode("evidence_ids").alias("evidence_id"))
-    return asked.join(evidence.select("evidence_id"), "evidence_id", "left_anti").select("check_id", "evidence_id")
+    return shuffled(asked, evidence.select("evidence_id"), "evidence_id", "left_anti").select("check_id", "evidence_id")
 
 
 def unbound_evidence(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     """Evidence whose document is unknown or whose source digest differs from its document's."""
     bound = documents.select("document_id", F.col("source_sha256").alias("doc_sha256"))
-    joined = evidence.join(bound, "document_id", "left")
+    joined = shuffled(evidence, bound, "document_id", "left")
     reason = F.when(F.col("doc_sha256").isNull(), "UNKNOWN_DOCUMENT").when(
         F.col("doc_sha256") != F.col("source_sha256"), "SOURCE_DIGEST_MISMATCH"
     )
@@ -52,14 +58,14 @@ def equality(items: DataFrame, checks: DataFrame | None = None, reasons=("VALUES
     )
     want = F.col("first")
     if checks is not None:
-        first = first.join(checks.select("check_id", "expected", "has_expected"), "check_id")
+        first = shuffled(first, checks.select("check_id", "expected", "has_expected"), "check_id")
         want = F.when(F.col("has_expected"), F.col("expected")).otherwise(F.col("first"))
     first = first.select("check_id", "first", "compared_count", want.alias("want"))
     off = ~F.col("value").eqNullSafe(F.col("want"))
-    per = items.join(first, "check_id").groupBy("check_id").agg(
+    per = shuffled(items, first, "check_id").groupBy("check_id").agg(
         F.bool_or(off).alias("bad"), F.min_by(F.struct("value"), F.when(off, F.col("pos")))["value"].alias("other")
     )
-    joined = first.join(per, "check_id")
+    joined = shuffled(first, per, "check_id")
     return joined.select(
         "check_id",
         F.when(F.col("bad"), "fail").otherwise("pass").alias("status"),
@@ -78,10 +84,10 @@ def version_match(items: DataFrame, checks: DataFrame | None = None) -> DataFram
     out = equality(items, checks, ("VERSIONS_MATCH", "VERSION_MISMATCH"))
     typed = F.col("value_type").isin("string", "version", "date") if "value_type" in items.columns else F.lit(True)
     per = items.groupBy("check_id").agg(F.bool_and(typed & F.col("value").isNotNull()).alias("texts"))
-    joined = out.join(per, "check_id")
+    joined = shuffled(out, per, "check_id")
     given = F.lit(False)
     if checks is not None:
-        joined = joined.join(checks.select("check_id", "has_expected"), "check_id", "left")
+        joined = shuffled(joined, checks.select("check_id", "has_expected"), "check_id", "left")
         given = F.coalesce("has_expected", F.lit(False))
     lone = (F.col("compared_count") < 2) & ~given
     # Without texts nothing was compared.
@@ -165,7 +171,7 @@ def with_confidence(results: DataFrame, items: DataFrame, minimum: float) -> Dat
     """Turn pass into review where an item's confidence is below the minimum; failures stay."""
     low = items.groupBy("check_id").agg(F.min("confidence").alias("least"))
     review = (F.col("least") < minimum) & (F.col("status") == "pass")
-    return results.join(low, "check_id").withColumn("status", F.when(review, "review").otherwise(F.col("status"))).drop("least")
+    return shuffled(results, low, "check_id").withColumn("status", F.when(review, "review").otherwise(F.col("status"))).drop("least")
 
 
 def overall(results: DataFrame, key: str) -> DataFrame:
@@ -183,7 +189,7 @@ def verify_bundle(documents: DataFrame, evidence: DataFrame, checks: DataFrame)
     bundle itself; with any the results mean nothing. Results are (check_id, kind, status, reasons, expected, actual).
     """
     known = documents.select("document_id", F.col("source_sha256").alias("__sha"), F.col("media_type").alias("__media"))
-    bound = evidence.join(known, "document_id", "left")
+    bound = shuffled(evidence, known, "document_id", "left")
     reason = (
         F.when(F.col("__sha").isNull(), "UNKNOWN_DOCUMENT")
         .when(F.col("__sha") != F.col("source_sha256"), "SOURCE_DIGEST_MISMATCH")
@@ -200,10 +206,10 @@ def verify_bundle(documents: DataFrame, evidence: DataFrame, checks: DataFrame)
         .unionByName(checks.filter((F.col("kind") == "numeric_range") & few).select(F.col("check_id").alias("id"), F.lit("CHECK_INVALID").alias("reason")))
     )
     items = check_items(checks.select("check_id", "evidence_ids"), evidence)
-    of = lambda kind: items.join(checks.filter(F.col("kind") == kind).select("check_id"), "check_id", "left_semi")
+    of = lambda kind: shuffled(items, checks.filter(F.col("kind") == kind).select("check_id"), "check_id", "left_semi")
     wanted = checks.select("check_id", "expected", "has_expected")
     single = of("numeric_range").select("check_id", F.when(F.col("value_type").isin("number", "integer"), F.col("value").try_cast("double")).alias("number"))
-    ranges = numeric_range(single.join(checks.select("check_id", "minimum", "maximum", "minimum_inclusive", "maximum_inclusive"), "check_id"))
+    ranges = numeric_range(shuffled(single, checks.select("check_id", "minimum", "maximum", "minimum_inclusive", "maximum_inclusive"), "check_id"))
     none = F.lit(None).cast("string")
     results = None
     for found in (
@@ -217,7 +223,7 @@ def verify_bundle(documents: DataFrame, evidence: DataFrame, checks: DataFrame)
         rows = found.select("check_id", "status", "reason", *(v.cast("string").alias(c) for c, v in columns.items()))
         results = rows if results is None else results.unionByName(rows)
     least = items.groupBy("check_id").agg(F.min("confidence").alias("least"))
-    joined = checks.select("check_id", "kind", "minimum_confidence").join(results, "check_id").join(least, "check_id", "left")
+    joined = shuffled(shuffled(checks.select("check_id", "kind", "minimum_confidence"), results, "check_id"), least, "check_id", "left")
     low = F.coalesce(F.col("least") < F.col("minimum_confidence"), F.lit(False))
     return errors, joined.select(
         "check_id", "kind",

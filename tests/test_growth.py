@@ -1,6 +1,7 @@
 """Steps whose cost must not grow faster than their input."""
 
 from quire.operators import templates
+from quire.plans import files
 
 
 def plan_of(df):
@@ -18,3 +19,11 @@ def test_template_profile_looks_ahead_in_one_pass(spark):
     assert "unboundedfollowing" not in plan_of(found).lower()
     rows = found.orderBy("ord").select("para_start", "para_end", "has_table", "table_rows").collect()
     assert [tuple(r) for r in rows] == [(3, 6, True, 4), (5, 6, False, None), (8, None, False, None)]
+
+
+def test_evidence_is_never_broadcast(spark, tmp_path):
+    # Files that a plan takes for small, whose rows aren't.
+    spark.range(2000).selectExpr("id AS o_orderkey", "timestamp'2024-01-02' AS o_orderdate", "id * 1.0D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    found = files.evidence_bundle(spark, str(tmp_path))
+    assert found.filter("status = 'pass'").count() == 2800
+    assert "BroadcastExchange" not in plan_of(found)
