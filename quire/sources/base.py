@@ -12,12 +12,22 @@ from pyspark.sql.types import StructType
 
 #: Files in one Arrow batch of rows that a parser yields.
 ROWS_PER_BATCH = 1000
+#: Bytes of an Arrow batch that are taken up as Python objects at once; these are many times larger.
+PIECE_BYTES = 1 << 20
 
 
 class SourceError(ValueError):
     """A file breaks a rule of its format; the message is a stable code."""
 
 
+def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows of about ``size`` bytes, or one row: a batch itself may have ten thousand documents."""
+    for b in batches:
+        rows = max(1, int(b.num_rows * size / max(size, b.nbytes)))
+        for low in range(0, b.num_rows, rows):
+            yield b.slice(low, rows)
+
+
 def parse_files(files: DataFrame, schema: str, parse: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
     """Rows of ``schema`` from files (path, content), each with path, source_sha256 and error.
 
@@ -38,7 +48,7 @@ def parse_files(files: DataFrame, schema: str, parse: Callable[[str, bytes], Ite
             rows.clear()
             return out
 
-        for b in batches:
+        for b in pieces(batches):
             for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
                 raw = content or b""
                 head = (path, hashlib.sha256(raw).hexdigest())
