@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import strip
 from quire.operators.blocks import BLOCK
+from quire.sinks.tables import written
 from quire.sources import ooxml, pdf, tabular
-from quire.sources.catalog import inspect_files
+from quire.sources.catalog import parser_of
 
 # The bounds of blocks, the letters of block ids, and what a sheet's name can't hold.
 MAX_BLOCKS, MAX_ROWS, MAX_COLUMNS, MAX_PARAGRAPHS, MAX_SLIDE_PARAGRAPHS, MAX_TEXT, MAX_NAME = 200, 500, 32, 200, 50, 8192, 64
@@ -181,18 +182,22 @@ def content_blocks(files: DataFrame) -> DataFrame:
     A document that holds nothing gives one block, its title. Files that can't be read, and those of other formats, give none:
     ``block_errors`` lists them.
     """
-    known = inspect_files(files).select("path", F.col("parser").alias("format"))
-    joined = files.select("path", "content").join(known, "path")
+    # Files may be costly to make and blocks to parse, and both are used more than once below.
+    made = written(files.select("path", "content", parser_of().alias("format")).filter(F.col("format").isin(*READERS)), "files")
+    there = {r["format"] for r in made.select("format").distinct().collect()}
     out = None
     for fmt, read in READERS.items():
-        found = read(joined.filter(F.col("format") == fmt).drop("format"))
-        out = found if out is None else out.unionByName(found)
+        if fmt in there or not there:
+            found = read(made.filter(F.col("format") == fmt).drop("format"))
+            out = found if out is None else out.unionByName(found)
+    out = written(out, "blocks")
     title = {"xlsx": _content("sheet", name=F.lit("Sheet"), rows=F.array(F.array(F.lit(""))), header_rows=F.lit(0)), "pptx": _content("slide", text=F.lit("Presentation"))}
     title |= {"docx": _content("heading", level=F.lit(1), text=F.lit("Document")), "pdf": _content("heading", level=F.lit(1), text=clipped(_stem(), 512))}
     default = F.lit(None).cast(BLOCK)
     for fmt, content in title.items():
         default = F.when(F.col("format") == fmt, content).otherwise(default)
-    empty = _readable(joined).join(out.select("path").distinct(), "path", "left_anti").withColumn("content", default).filter("content is not null")
+    # Only what gave no blocks is read again, to tell what holds nothing from what can't be read.
+    empty = _readable(made.join(out.select("path").distinct(), "path", "left_anti")).withColumn("content", default).filter("content is not null")
     letter = F.create_map(*(F.lit(x) for kv in LETTERS.items() for x in kv))[F.col("content.kind")]
     alone = empty.select(*_KEY, "format", F.lit(1).alias("block"), F.concat(letter, F.lit("1")).alias("block_id"), "content", F.lit(False).alias("truncated"))
     return out.unionByName(alone)
@@ -216,8 +221,7 @@ def _readable(files: DataFrame) -> DataFrame:
 
 def block_errors(files: DataFrame) -> DataFrame:
     """(path, error) of the files that give no blocks: what their reader found, or that their format isn't one of the five."""
-    known = inspect_files(files).select("path", F.col("parser").alias("format"))
-    joined = files.select("path", "content").join(known, "path")
+    joined = files.select("path", "content", parser_of().alias("format"))
     bad = _errors(joined).filter("error is not null and error <> 'CSV_EMPTY'").select("path", "error")
     other = joined.filter(~F.coalesce(F.col("format").isin(*READERS), F.lit(False))).select("path", F.lit("FORMAT_NOT_SUPPORTED").alias("error"))
     return bad.unionByName(other)

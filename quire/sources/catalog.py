@@ -1,6 +1,6 @@
 """Which format a file has, by its suffix alone, and what reads it."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PORTABLE = {
@@ -16,6 +16,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", "length")
 
 
+def parser_of(path: str = "path") -> Column:
+    """What reads a file of that name, or null."""
+    parsers = F.create_map(*(F.lit(x) for kv in {**PORTABLE, **PROJECTED, **ARCHIVES}.items() for x in kv))
+    return F.try_element_at(parsers, F.lower(F.regexp_extract(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(\.[^.]*)$", 1)))
+
+
 def inspect_files(files: DataFrame) -> DataFrame:
     """(path, name, size_bytes, source_sha256, suffix, parser, admission); the content isn't judged."""
     known = {**PORTABLE, **PROJECTED, **ARCHIVES}

@@ -1,9 +1,12 @@
 """Steps whose cost must not grow faster than their input."""
 
+import uuid
+
 import pyarrow as pa
 
 from quire.operators import templates
 from quire.plans import files
+from quire.sources import blocks
 from quire.sources.base import pieces
 
 
@@ -45,3 +48,17 @@ def test_batches_are_taken_up_in_pieces():
     found = list(pieces([batch, batch.slice(0, 0)], 1 << 20))
     assert sum(b.num_rows for b in found) == 10 and max(b.num_rows for b in found) == 3
     assert [b.num_rows for b in pieces([batch], 1000)] == [1] * 10
+
+
+def test_content_blocks_make_files_once(spark, tmp_path):
+    def make(batches):
+        for b in batches:
+            for name in b["path"].to_pylist():
+                with open(f"{tmp_path}/{name}.{uuid.uuid4().hex}", "w"):
+                    pass
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array([b"a,b\n"] * b.num_rows, pa.binary())], ["path", "content"])
+
+    made = spark.createDataFrame([("one.csv",), ("two.csv",), ("odd.txt",)], "path string").mapInArrow(make, "path string, content binary")
+    found = blocks.content_blocks(made)
+    assert sorted(r["path"] for r in found.collect()) == ["one.csv", "two.csv"]
+    assert len(list(tmp_path.iterdir())) == 3
