@@ -29,6 +29,7 @@ no text is moved for them.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from dataclasses import dataclass, field, replace
@@ -56,6 +57,8 @@ BLOCK_BYTES = 8 << 20
 #: What a task takes up at once: words whose n-grams are counted, tokens whose n-grams are counted, distinct words of parts
 #: that are summed, and bytes of texts.
 WORDS_AT_ONCE, TOKENS_AT_ONCE, WORDS_HELD, BYTES_AT_ONCE = 40_000, 1_500_000, 1_000_000, 1 << 20
+#: Bytes of training texts whose counts make one node of the merging tree: what a group of it has to hold.
+NODE_BYTES = 16 << 20
 #: The most parts that one array is cut into, or merged from.
 MAX_FAN = 64
 #: The most words whose exact counts go to the workers.
@@ -260,18 +263,30 @@ def fan_out(parts: int) -> tuple[int, int]:
     return max(2, math.ceil(parts ** (1 / levels) - 1e-9)), levels
 
 
-def _counted(texts: DataFrame, slices: int) -> DataFrame:
-    """Sorted counts of blocks of training texts, cut by slices of the hash range."""
+def nodes_of(texts: DataFrame) -> tuple[int, int]:
+    """(nodes, stride): how many nodes the counts of texts are dealt to, and from which one a partition begins.
+
+    Partitions grow with the table, up to the size of a split, so they alone would make groups that grow too.
+    """
+    parts = partitions_of(texts)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    nodes = max(parts, -(-size // NODE_BYTES))
+    return nodes, max(1, nodes // max(1, texts.rdd.getNumPartitions()))
+
+
+def _counted(texts: DataFrame, slices: int, nodes: int = (1 << 31) - 1, stride: int = 1) -> DataFrame:
+    """Sorted counts of blocks of training texts, cut by slices of the hash range and dealt to nodes in turn."""
 
     def count(batches):
-        node = TaskContext.get().partitionId()
+        first = TaskContext.get().partitionId() * stride
+        of_grams, of_words = itertools.count(first), itertools.count(first)
         grams: list[np.ndarray] = []
         # Distinct words of some texts: their keys, counts and bytes.
         found: list[tuple[np.ndarray, np.ndarray, Words]] = []
         n_grams = n_words = 0
 
         def flush():
-            yield _blobs(_NGRAM, node, *np.unique(np.concatenate(grams), return_counts=True), slices)
+            yield _blobs(_NGRAM, next(of_grams) % nodes, *np.unique(np.concatenate(grams), return_counts=True), slices)
             grams.clear()
 
         def flush_words():
@@ -284,6 +299,7 @@ def _counted(texts: DataFrame, slices: int) -> DataFrame:
             )
             unique, first = np.unique(keys, return_index=True)
             _, counts = _summed(keys, counts)
+            node = next(of_words) % nodes
             yield _blobs(_WORD, node, unique, counts, slices)
             inner = unique != END_KEY
             yield _blobs(_CHAR, node, *count_grams(words[first[inner]], counts[inner]), slices)
@@ -717,10 +733,11 @@ def _values_of(m: Model) -> WordValues:
 
 def train(texts: DataFrame, cutoff: int = CUTOFF) -> tuple[Model, DataFrame, DataFrame, Shape]:
     """The model of all training texts, the exact counts of words (key, c), the sums of slices and the filter's shape."""
-    fan, levels = fan_out(partitions_of(texts))
+    nodes, stride = nodes_of(texts)
+    fan, levels = fan_out(nodes)
     slices = fan**levels
     # The slices of the first level are cut further by each level that follows.
-    sums = summed_slices(_counted(texts, fan), fan, levels, cutoff)
+    sums = summed_slices(_counted(texts, fan, nodes, stride), fan, levels, cutoff)
     words = sums.filter(F.col("kind") == _WORD)
     distinct, tokens, values = words.agg(F.sum("n"), F.sum("total"), F.sum("values")).first()
     grams = level_sums(sums)

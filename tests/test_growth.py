@@ -3,6 +3,7 @@
 import uuid
 
 import pyarrow as pa
+import pytest
 
 from quire.operators import templates
 from quire.plans import files
@@ -62,3 +63,15 @@ def test_content_blocks_make_files_once(spark, tmp_path):
     found = blocks.content_blocks(made)
     assert sorted(r["path"] for r in found.collect()) == ["one.csv", "two.csv"]
     assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_counts_are_dealt_by_bytes(spark, monkeypatch):
+    lm_scoring = pytest.importorskip("quire.llm.lm_scoring")
+    monkeypatch.setattr(lm_scoring, "NODE_BYTES", 1000)
+    texts = spark.createDataFrame([("a word " * 1000,)] * 4, "text string").coalesce(2)
+    nodes, stride = lm_scoring.nodes_of(texts)
+    assert (nodes, stride) == (28, 14)
+    fan, levels = lm_scoring.fan_out(nodes)
+    sums = lm_scoring.summed_slices(lm_scoring._counted(texts, fan, nodes, stride), fan, levels, 1)
+    # Words: "a", "word" and the ends.
+    assert sorted(n for r in sums.filter("kind = 0").collect() for n in lm_scoring.unpack_counts(r["counts"]).tolist()) == [4, 4000, 4000]
