@@ -1,7 +1,6 @@
 """Audits of numbers, dates and placeholders; findings are rows."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -56,10 +55,10 @@ def amounts_in_words(paragraphs: DataFrame) -> DataFrame:
         return F.when(F.size(found) > 0, F.arrays_zip(found.alias("hit"), at.alias("at"))).otherwise(F.array())
 
     hinted = paragraphs.filter(F.col("text").rlike(CURRENCY) & F.col("text").rlike(NUMERALS) & F.col("text").rlike(ARABIC))
-    words = hinted.select("doc", "idx", "text", F.posexplode(spans(NUMERALS)).alias("w", "word"))
-    pairs = words.select("doc", "idx", "text", "w", "word", F.explode(spans(ARABIC)).alias("num"))
-    near = W.partitionBy("doc", "idx", "w").orderBy(F.abs(F.col("num.at") - F.col("word.at")), "num.at")
-    nearest = pairs.withColumn("r", F.row_number().over(near)).filter("r = 1")
+    # A paragraph's numbers stay in its row: no shuffle, and nothing sorted.
+    words = hinted.select("doc", "idx", "text", spans(ARABIC).alias("nums"), F.explode(spans(NUMERALS)).alias("word"))
+    gap = lambda n: F.struct(F.abs(n["at"] - F.col("word.at")).alias("gap"), n["at"].alias("at"), n["hit"].alias("hit"))
+    nearest = words.select("doc", "idx", "text", "word", F.array_min(F.transform("nums", gap)).alias("num"))
     valued = nearest.select(
         "doc", "idx", F.col("word.hit").alias("words"), cn_number(F.col("word.hit")).alias("words_value"),
         T.to_number(F.col("num.hit")).alias("number_value"), F.substring(T.strip(F.col("text")), 1, 40).alias("snippet"),

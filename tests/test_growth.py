@@ -2,12 +2,13 @@
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from quire.operators import templates
+from quire.operators import audits, templates
 from quire.plans import files
-from quire.sources import blocks
+from quire.sources import blocks, pixels
 from quire.sources.base import pieces
 
 
@@ -75,3 +76,21 @@ def test_counts_are_dealt_by_bytes(spark, monkeypatch):
     sums = lm_scoring.summed_slices(lm_scoring._counted(texts, fan, nodes, stride), fan, levels, 1)
     # Words: "a", "word" and the ends.
     assert sorted(n for r in sums.filter("kind = 0").collect() for n in lm_scoring.unpack_counts(r["counts"]).tolist()) == [4, 4000, 4000]
+
+
+def test_few_rows_are_unfiltered_without_diagonals(monkeypatch):
+    filters = np.array([4, 3, 1, 0, 2, 4], np.uint8)
+    rows = np.random.default_rng(1).integers(0, 256, (6, 40, 3), dtype=np.uint8)
+    above = rows[0] // 2
+    monkeypatch.setattr(pixels, "_STEPS", 0)
+    wanted = pixels.unfilter(filters, rows, above)
+    monkeypatch.undo()
+    monkeypatch.setattr(np, "select", None)  # what a diagonal ends with
+    assert (pixels.unfilter(filters, rows, above) == wanted).all()
+
+
+def test_nearest_numbers_need_no_shuffle(spark):
+    rows = [(1, 1, "價 12 壹佰零伍 元 105 and 九十九 99"), (1, 2, "價 壹佰零伍 元 (106)")]
+    found = audits.amounts_in_words(spark.createDataFrame(rows, "doc int, idx int, text string"))
+    assert "Exchange" not in plan_of(found) and "Window" not in plan_of(found)
+    assert sorted(tuple(r)[1:5] for r in found.collect()) == [(1, "壹佰零伍", 105, 12.0), (2, "壹佰零伍", 105, 106.0)]
