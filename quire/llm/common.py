@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,17 +43,35 @@ def table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
+#: For rows of megabytes: else Parquet looks at sizes every 100 rows, and its buffers hold so many.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def materialize(df: DataFrame, name: str, options: dict = {}) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back; ``options`` are the writer's.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession, data: np.ndarray) -> str:
+    """Send bytes to the executors as a file for ``shipped``; returns its name."""
+    folder, name = tempfile.mkdtemp(prefix="quire-shipped-"), f"quire-{uuid.uuid4().hex}"
+    data.tofile(os.path.join(folder, name))
+    spark.sparkContext.addFile(os.path.join(folder, name))
+    _written.append((spark, f"file://{folder}"))
+    return name
+
+
+def shipped(name: str) -> np.ndarray:
+    """The bytes of a file that was shipped, mapped: the workers of an executor share its pages, where each holds its own copy of a broadcast."""
+    return np.asarray(np.memmap(SparkFiles.get(name), dtype=np.uint8, mode="r"))
+
+
 @atexit.register
 def _drop_written() -> None:
     """Best effort: delete the written tables when the application ends."""

@@ -9,7 +9,7 @@ with the input alone, and the last level holds each slice's sums.
 A count c is quantised to q = 1 + floor(log(c) / log(BASE)), and (gram, 1) to (gram, q) go into a Bloom
 filter of BITS bits an entry. A count is read by probing levels until one is missing. Word n-grams go in
 from the count ``cutoff`` on, the same at every size. A filter of MAX_BITS bits at most goes to the workers
-by broadcast. A larger one stays cut in slices: each block of texts sends its distinct grams, sorted and
+as a file that they map. A larger one stays cut in slices: each block of texts sends its distinct grams, sorted and
 packed, to their slices, whose tasks build their part of the filter, probe it and send the levels back
 (``sharded_scores``); the levels are those that a broadcast filter would give.
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_mod, materialize, mix64, partitions_of, text_batches, utf8
+from quire.llm.common import LARGE_ROWS, crc_mod, materialize, mix64, partitions_of, ship, shipped, text_batches, utf8
 
 ORDER = 5
 BASE = 1.5
@@ -56,9 +57,13 @@ END = b"\n"
 BLOCK_BYTES = 8 << 20
 #: What a task takes up at once: words whose n-grams are counted, tokens whose n-grams are counted, distinct words of parts
 #: that are summed, and bytes of texts.
-WORDS_AT_ONCE, TOKENS_AT_ONCE, WORDS_HELD, BYTES_AT_ONCE = 40_000, 1_500_000, 1_000_000, 1 << 20
+WORDS_AT_ONCE, TOKENS_AT_ONCE, WORDS_HELD, BYTES_AT_ONCE = 20_000, 1_000_000, 600_000, 1 << 20
+#: Words whose spelling is scored at once.
+SPELT_AT_ONCE = 5_000
 #: Bytes of training texts whose counts make one node of the merging tree: what a group of it has to hold.
 NODE_BYTES = 16 << 20
+#: Keys in one row of a slice's sums, and bytes of an Arrow batch: what an executor's JVM holds of a group at once.
+ROW_KEYS, BATCH_BYTES = 1 << 18, 4 << 20
 #: The most parts that one array is cut into, or merged from.
 MAX_FAN = 64
 #: The most words whose exact counts go to the workers.
@@ -223,17 +228,21 @@ _BLOB_SCHEMA = pa.schema([(c, pa.int32()) for c in _BLOB_NAMES[:4]] + [(c, pa.bi
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences, each byte place by itself: leading bytes are mostly zeros."""
-    d = np.diff(keys, prepend=_U(0)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    """Sorted distinct keys: the first, and the differences that follow, each byte place by itself, without those that are all zeros."""
+    d = np.diff(keys).astype(">u8").view(np.uint8).reshape(-1, 8)
     wide = 8 - int((~d.any(axis=0)).argmin()) if len(d) else 0
-    return bytes([wide]) + np.ascontiguousarray(d[:, 8 - wide :].T).tobytes()
+    return bytes([wide]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(d[:, 8 - wide :].T).tobytes()
 
 
 def unpack_keys(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, _U)
     wide = data[0]
     d = np.zeros((n, 8), dtype=np.uint8)
-    d[:, 8 - wide :] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(wide, n).T
-    return np.cumsum(d.view(">u8").ravel().astype(_U), dtype=_U)
+    d[1:, 8 - wide :] = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(wide, n - 1).T
+    d = d.view(">u8").ravel().astype(_U)
+    d[0] = np.frombuffer(data, dtype="<u8", count=1, offset=1)[0]
+    return np.cumsum(d, dtype=_U)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -351,24 +360,31 @@ def in_parts(texts: list[bytes]):
 _SUMMED = "kind int, slice int, n int, keys binary, counts binary, total double, values double, by_level array<long>"
 
 
-def _merge(table: pa.Table) -> tuple[int, int, np.ndarray, np.ndarray]:
+def _merge(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """The sums of the arrays of one group."""
-    n = table["n"].to_pylist()
-    keys = np.concatenate([unpack_keys(x, k) for x, k in zip(table["keys"].to_pylist(), n)])
-    counts = np.concatenate([unpack_counts(x) for x in table["counts"].to_pylist()])
-    return table["kind"][0].as_py(), table["slice"][0].as_py(), *_summed(keys, counts)
+    keys, counts = [], []
+    for b in batches:
+        for n, k, c in zip(*(b[x].to_pylist() for x in ("n", "keys", "counts"))):
+            keys.append(unpack_keys(k, n))
+            counts.append(unpack_counts(c))
+    return _summed(np.concatenate(keys), np.concatenate(counts))
 
 
 def summed_slices(counted: DataFrame, fan: int, levels: int, cutoff: int) -> DataFrame:
-    """The sums of each slice, and how many grams there are of each level; written.
+    """The sums of each slice in rows of ROW_KEYS, and how many grams there are of each level; written.
 
-    Word n-grams below the cutoff are left out here.
+    Word n-grams below the cutoff are left out here. A group comes to its worker and leaves it in small batches, as the
+    JVM holds a batch, and Parquet a row, outside its heap.
     """
+    most = ROW_KEYS
+    counted.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def pass_on(level: int):
-        def merge(table: pa.Table) -> pa.Table:
-            kind, _, keys, counts = _merge(table)
-            return pa.Table.from_batches([_blobs(kind, table["group"][0].as_py(), keys, counts, fan ** (level + 1))])
+        def merge(of: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind, _, group = (x.as_py() for x in of)
+            rows = _blobs(kind, group, *_merge(batches), fan ** (level + 1))
+            for i in range(rows.num_rows):
+                yield rows.slice(i, 1)
 
         return merge
 
@@ -377,21 +393,24 @@ def summed_slices(counted: DataFrame, fan: int, levels: int, cutoff: int) -> Dat
         grouped = counted.withColumn("group", F.floor(F.col("node") / fan).cast("int"))
         counted = grouped.groupBy("kind", "slice", "group").applyInArrow(pass_on(level), _BLOB)
 
-    def sums(table: pa.Table) -> pa.Table:
-        kind, part, keys, counts = _merge(table)
+    def sums(of: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, part = (x.as_py() for x in of)
+        every, sizes = _merge(batches)
         if kind == _NGRAM:
-            keys, counts = keys[counts >= cutoff], counts[counts >= cutoff]
-        q = quantised(counts)
-        by_level = np.bincount(q, minlength=MAX_LEVEL + 1)
-        return pa.table(
-            {
-                "kind": pa.array([kind], pa.int32()), "slice": pa.array([part], pa.int32()), "n": pa.array([len(keys)], pa.int32()),
-                "keys": [pack_keys(keys)], "counts": [pack_counts(counts)], "total": [float(counts.sum())],
-                "values": [float(middle(q).sum())], "by_level": pa.array([by_level.tolist()], pa.list_(pa.int64())),
-            }
-        )
-
-    return materialize(counted.groupBy("kind", "slice").applyInArrow(sums, _SUMMED), "counts")
+            every, sizes = every[sizes >= cutoff], sizes[sizes >= cutoff]
+        for low in range(0, len(every), most):
+            keys, counts = every[low : low + most], sizes[low : low + most]
+            q = quantised(counts)
+            by_level = np.bincount(q, minlength=MAX_LEVEL + 1)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "kind": pa.array([kind], pa.int32()), "slice": pa.array([part], pa.int32()), "n": pa.array([len(keys)], pa.int32()),
+                    "keys": [pack_keys(keys)], "counts": [pack_counts(counts)], "total": [float(counts.sum())],
+                    "values": [float(middle(q).sum())], "by_level": pa.array([by_level.tolist()], pa.list_(pa.int64())),
+                }
+            )
+
+    return materialize(counted.groupBy("kind", "slice").applyInArrow(sums, _SUMMED), "counts", LARGE_ROWS)
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -412,12 +431,21 @@ HIGHEST = np.array([0, *(math.ceil(BASE**q - 1e-6) - 1 for q in range(1, MAX_LEV
 
 @dataclass
 class LogFrequencyFilter:
-    """Bits in ``slices`` regions of ``width`` bits; ``hashes`` bits for each (gram, level)."""
+    """Bits in ``slices`` regions of ``width`` bits; ``hashes`` bits for each (gram, level). With ``file`` the bits were shipped by that name."""
 
     bits: np.ndarray
     slices: int
     width: int
     hashes: int
+    file: str = ""
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | ({"bits": None} if self.file else {})
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        if self.file:
+            self.bits = shipped(self.file)
 
     def probe(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
         """Whether each (gram, level) may have been put in; a bit that is 0 ends its probes."""
@@ -460,15 +488,21 @@ def nth_bit(a: np.ndarray, step: np.ndarray, i: int, width: int) -> np.ndarray:
     return (((h >> _U(32)) * _U(width)) >> _U(32)).astype(np.int64)
 
 
-def region(keys: np.ndarray, counts: np.ndarray, slices: int, width: int, hashes: int, first: int = 1) -> bytes:
-    """The bits of one slice of the filter, from level ``first`` on."""
-    own, q = np.zeros(width, dtype=bool), quantised(counts)
+def mark(own: np.ndarray, keys: np.ndarray, counts: np.ndarray, slices: int, width: int, hashes: int, first: int = 1) -> None:
+    """Put grams of one slice into its bits, from level ``first`` on."""
+    q = quantised(counts)
     for level in range(first, int(q.max(initial=0)) + 1):
         some = keys[q >= level]
         _, a = placed(some, np.full(len(some), level), slices, width)
         step = second_hash(a)
         for i in range(hashes):
             own[nth_bit(a, step, i, width)] = True
+
+
+def region(keys: np.ndarray, counts: np.ndarray, slices: int, width: int, hashes: int, first: int = 1) -> bytes:
+    """The bits of one slice of the filter, from level ``first`` on."""
+    own = np.zeros(width, dtype=bool)
+    mark(own, keys, counts, slices, width, hashes, first)
     return np.packbits(own, bitorder="little").tobytes()
 
 
@@ -486,10 +520,12 @@ class Shape:
     hashes: int
     least: int
 
-    def region(self, kind: int, n: int, keys: bytes, counts: bytes) -> np.ndarray:
-        """The bits of one row of ``summed_slices``."""
-        first = self.least if kind == _NGRAM else 1
-        return np.frombuffer(region(unpack_keys(keys, n), unpack_counts(counts), self.slices, self.width, self.hashes, first), np.uint8)
+    def region(self, rows) -> np.ndarray:
+        """The bits of rows (kind, n, keys, counts) of one slice of ``summed_slices``."""
+        own = np.zeros(self.width, dtype=bool)
+        for kind, n, keys, counts in rows:
+            mark(own, unpack_keys(keys, n), unpack_counts(counts), self.slices, self.width, self.hashes, self.least if kind == _NGRAM else 1)
+        return np.packbits(own, bitorder="little")
 
 
 def level_sums(sums: DataFrame) -> dict[int, np.ndarray]:
@@ -512,17 +548,18 @@ def build_filter(sums: DataFrame, shape: Shape) -> LogFrequencyFilter:
     """A filter of MAX_BITS bits at most, its regions collected from the slices."""
 
     def fill(batches):
-        for b in batches:
-            columns = (b[x].to_pylist() for x in ("kind", "n", "keys", "counts"))
-            out = [shape.region(*row).tobytes() for row in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([b["slice"], pa.array(out, pa.binary())], ["slice", "bits"])
+        rows = (row for b in batches for row in zip(*(b[x].to_pylist() for x in ("slice", "kind", "n", "keys", "counts"))))
+        # A slice's rows stand together, as a task wrote them.
+        for part, own in itertools.groupby(rows, lambda row: row[0]):
+            bits = shape.region(row[1:] for row in own).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.binary())], ["slice", "bits"])
 
     wide = shape.width // 8
     bits = np.zeros(shape.slices * wide, dtype=np.uint8)
     few = sums.select("kind", "slice", "n", "keys", "counts")
     for r in few.mapInArrow(fill, "slice int, bits binary").toLocalIterator():
         bits[r["slice"] * wide : (r["slice"] + 1) * wide] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return LogFrequencyFilter(bits, shape.slices, shape.width, shape.hashes)
+    return LogFrequencyFilter(bits, shape.slices, shape.width, shape.hashes, ship(sums.sparkSession, bits))
 
 
 def fill_of(bits: np.ndarray) -> float:
@@ -548,7 +585,7 @@ class Answers:
 
 @dataclass
 class Model:
-    """What is broadcast: the filter (None where it stays in slices), a few numbers, and exact counts of frequent words."""
+    """What is broadcast: the filter without its bits (None where it stays in slices), a few numbers, and exact counts of frequent words."""
 
     filter: LogFrequencyFilter | Answers | None
     cutoff: int
@@ -586,7 +623,7 @@ def unigrams(words: Words, keys: np.ndarray, m: Model) -> tuple[np.ndarray, np.n
     """The probability of each word or end, and its count at the upper end of its level."""
     levels = m.filter.levels(keys)
     spelt = np.concatenate(
-        [np.empty(0), *(spellings(words[low : low + WORDS_AT_ONCE], m.filter) for low in range(0, len(words), WORDS_AT_ONCE))]
+        [np.empty(0), *(spellings(words[low : low + SPELT_AT_ONCE], m.filter) for low in range(0, len(words), SPELT_AT_ONCE))]
     )
     spelt = (1 - m.stop) * 10.0 ** np.maximum(spelt, -290)
     spelt[keys == END_KEY] = m.stop
@@ -858,9 +895,7 @@ def sharded_scores(rows: DataFrame, sums: DataFrame, shape: Shape, m: Model, par
             yield requests(block, held)
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
-        bits = np.zeros(shape.width // 8, dtype=np.uint8)
-        for row in zip(*(own[x].to_pylist() for x in ("kind", "n", "keys", "counts"))):
-            bits |= shape.region(*row)
+        bits = shape.region(zip(*(own[x].to_pylist() for x in ("kind", "n", "keys", "counts"))))
         f = LogFrequencyFilter(bits, 1, shape.width, shape.hashes)
         levels = [
             zlib.compress(f.levels(unpack_keys(k.as_py(), n.as_py()), 1 if u.as_py() else shape.least).astype(np.uint8).tobytes(), 1)

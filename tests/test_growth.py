@@ -1,5 +1,6 @@
 """Steps whose cost must not grow faster than their input."""
 
+import pickle
 import uuid
 
 import numpy as np
@@ -94,3 +95,33 @@ def test_nearest_numbers_need_no_shuffle(spark):
     found = audits.amounts_in_words(spark.createDataFrame(rows, "doc int, idx int, text string"))
     assert "Exchange" not in plan_of(found) and "Window" not in plan_of(found)
     assert sorted(tuple(r)[1:5] for r in found.collect()) == [(1, "壹佰零伍", 105, 12.0), (2, "壹佰零伍", 105, 106.0)]
+
+
+def test_a_slice_is_summed_in_small_rows(spark, monkeypatch):
+    lm_scoring = pytest.importorskip("quire.llm.lm_scoring")
+    monkeypatch.setattr(lm_scoring, "ROW_KEYS", 100, raising=False)
+    texts = spark.range(1000).selectExpr("concat('w', id % 500, ' x') AS text").coalesce(1)
+    sums = lm_scoring.summed_slices(lm_scoring._counted(texts, 2), 2, 1, 1)
+    rows = sums.filter("kind = 0").collect()
+    assert max(r["n"] for r in rows) <= 100
+    assert sorted(c for r in rows for c in lm_scoring.unpack_counts(r["counts"]).tolist()) == [2] * 500 + [1000] * 2
+    model, counts, sums, shape = lm_scoring.train(texts, 1)
+    keys = np.concatenate([lm_scoring.unpack_keys(r["keys"], r["n"]) for r in sums.filter("kind = 0").collect()])
+    assert (model.filter.levels(keys) > 0).all() and counts.count() == 502
+
+
+def test_workers_map_one_filter(spark):
+    lm_scoring = pytest.importorskip("quire.llm.lm_scoring")
+    texts = spark.range(200).selectExpr("concat('w', id % 50, ' x') AS text").coalesce(1)
+    f = lm_scoring.train(texts, 1)[0].filter
+    shared = spark.sparkContext.broadcast(f)
+    # The bits are in a file, and not with each worker.
+    assert len(pickle.dumps(f)) < 1000 < len(f.bits)
+
+    def look(batches):
+        for b in batches:
+            mine = shared.value.bits
+            yield pa.RecordBatch.from_pydict({"same": [not mine.flags.owndata and not mine.flags.writeable], "sum": [int(mine.sum())]})
+
+    found = spark.range(1).coalesce(1).mapInArrow(look, "same boolean, sum long").collect()
+    assert [tuple(r) for r in found] == [(True, int(f.bits.sum()))]
