@@ -90,3 +90,74 @@ def test_a_restart_goes_on(spark, tmp_path, limit):
     assert got[0] == [("s", 1, "a", 4, 4 if limit else 0, first)]
     assert got[1] == [("s", 2, "b", 4, 4 if limit else 0, "refused")]
     assert plain(spark.read.parquet(out).filter("status = 'replayed'").collect()) == [("s", 1, "a", 4, 4 if limit else 0, "replayed")]
+
+
+class Store:
+    """State in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.now = 0, {}
+
+    def get_state(self, name, *schemas):
+        store = self
+
+        class State:
+            def __getattr__(self, call):
+                def run(*args):
+                    store.calls += 1
+                    held = store.now.setdefault(name, {} if len(schemas) > 1 else [])
+                    if call == "exists":
+                        return bool(held)
+                    if call == "get":
+                        return (held[0] if held else None) if name == "head" else iter(list(held))
+                    if call == "getValue":
+                        return held.get(args[0])
+                    if call == "updateValue":
+                        held[args[0]] = args[1]
+                    elif call == "removeKey":
+                        held.pop(args[0], None)
+                    elif call == "iterator":
+                        return iter(list(held.items()))
+                    elif call == "clear":
+                        held.clear()
+                    else:
+                        held[:] = held + args[0] if call == "appendList" else [args[0]] if call == "update" else args[0]
+
+                return run
+
+        return State()
+
+    getValueState = getListState = getMapState = get_state
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+    deleteTimer = registerTimer
+
+
+class Clock:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_calls_to_the_state_store_follow_batches_not_rows():
+    from pyspark.sql import Row
+
+    from quire.streaming.reservations import Reserver
+
+    rng, store = random.Random(7), Store()
+    reserver = Reserver(10_000, 1, 600_000, 86_400_000)
+    reserver.init(store)
+    rows = [Row(session="s", seq=n, request_id=f"r{n}", cost=1, ts=at(n)) for n in range(1, 801)]
+    rng.shuffle(rows)
+    got = [x for k in range(0, 800, 200) for x in reserver.handleInputRows(("s",), iter(rows[k : k + 200]), Clock())]
+    assert sorted((x.seq, x.running, x.status) for x in got) == [(n, n, "granted") for n in range(1, 801)]
+    assert store.calls <= 40
+    # Small batches of a long session: its log is moved once, and then each row is looked up.
+    for again in (rows[3:5], rows[90:91]):
+        got = list(reserver.handleInputRows(("s",), iter(again), Clock()))
+        assert sorted((x.seq, x.running, x.status) for x in got) == sorted((r.seq, r.seq, "replayed") for r in again)
+    assert store.calls <= 900
+    before = store.calls
+    list(reserver.handleInputRows(("s",), iter([Row(session="s", seq=801, request_id="r801", cost=1, ts=at(801))]), Clock()))
+    assert store.calls - before <= 8
