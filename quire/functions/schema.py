@@ -24,8 +24,13 @@ class SchemaError(ValueError):
     """A schema that isn't of the subset."""
 
 
-def _kind(v: Column, name: str) -> Column:
-    t = F.schema_of_variant(v)
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once for each row, however often it is used; Catalyst repeats it inside of conditions and lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _kind(v: Column, name: str, t: Column | None = None) -> Column:
+    t = F.schema_of_variant(v) if t is None else t
     number = t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
     if name == "integer":
         whole = F.try_variant_get(v, "$", "double")
@@ -38,15 +43,15 @@ def _kind(v: Column, name: str) -> Column:
     return simple[name]
 
 
-def _equals(v: Column, value) -> Column:
+def _equals(v: Column, value, t: Column) -> Column:
     if value is None:
-        return _kind(v, "null")
+        return _kind(v, "null", t)
     if isinstance(value, bool):
-        return _kind(v, "boolean") & (F.try_variant_get(v, "$", "boolean") == value)
+        return _kind(v, "boolean", t) & (F.try_variant_get(v, "$", "boolean") == value)
     if isinstance(value, str):
-        return _kind(v, "string") & (F.try_variant_get(v, "$", "string") == value)
+        return _kind(v, "string", t) & (F.try_variant_get(v, "$", "string") == value)
     if isinstance(value, (int, float)):
-        return _kind(v, "number") & (F.try_variant_get(v, "$", "double") == float(value))
+        return _kind(v, "number", t) & (F.try_variant_get(v, "$", "double") == float(value))
     raise SchemaError("const and enum of objects and arrays")
 
 
@@ -83,6 +88,10 @@ class _Compiler:
             return F.array().cast(_NONE)
         if schema is False:
             return self._when(F.lit(True), path, "NOT_ALLOWED")
+        return _bound(v, lambda x: _bound(F.schema_of_variant(x), lambda t: self._problems(x, t, schema, path, depth)))
+
+    def _problems(self, v: Column, t: Column, schema: dict, path: Column, depth: int) -> Column:
+        """``problems`` of a value of type ``t``."""
         found: list[Column] = []
         rest = dict(schema)
         take = lambda k: rest.pop(k, None)
@@ -93,20 +102,20 @@ class _Compiler:
             found.append(below(self.resolve(take("$ref"))))
         if "type" in rest:
             names = take("type")
-            wrong(~_any([_kind(v, n) for n in ([names] if isinstance(names, str) else names)]), "TYPE_MISMATCH")
+            wrong(~_any([_kind(v, n, t) for n in ([names] if isinstance(names, str) else names)]), "TYPE_MISMATCH")
         if "const" in rest:
-            wrong(~_equals(v, take("const")), "CONST_MISMATCH")
+            wrong(~_equals(v, take("const"), t), "CONST_MISMATCH")
         if "enum" in rest:
-            wrong(~_any([_equals(v, x) for x in take("enum")]), "ENUM_MISMATCH")
+            wrong(~_any([_equals(v, x, t) for x in take("enum")]), "ENUM_MISMATCH")
 
-        number, value = _kind(v, "number"), F.try_variant_get(v, "$", "double")
+        number, value = _kind(v, "number", t), F.try_variant_get(v, "$", "double")
         for key, bad, code in (
             ("minimum", lambda n: value < n, "BELOW_MINIMUM"), ("maximum", lambda n: value > n, "ABOVE_MAXIMUM"),
             ("exclusiveMinimum", lambda n: value <= n, "BELOW_MINIMUM"), ("exclusiveMaximum", lambda n: value >= n, "ABOVE_MAXIMUM"),
         ):
             if key in rest:
                 wrong(number & bad(float(take(key))), code)
-        string, text = _kind(v, "string"), F.try_variant_get(v, "$", "string")
+        string, text = _kind(v, "string", t), F.try_variant_get(v, "$", "string")
         for key, bad, code in (("minLength", lambda n: F.char_length(text) < n, "TOO_SHORT"), ("maxLength", lambda n: F.char_length(text) > n, "TOO_LONG")):
             if key in rest:
                 wrong(string & bad(take(key)), code)
@@ -116,8 +125,8 @@ class _Compiler:
                 pattern = pattern[:-1] + "\\z"  # Java's $ lets a last line end pass
             wrong(string & ~F.rlike(text, F.lit(pattern)), "PATTERN_MISMATCH")
 
-        self._array(v, rest, path, depth, found, wrong)
-        self._object(v, rest, path, depth, found)
+        self._array(v, t, rest, path, depth, found)
+        self._object(v, t, rest, path, depth, found)
         for inner in take("allOf") or ():
             found.append(below(inner))
         fits = lambda inner: F.size(below(inner)) == 0
@@ -134,37 +143,46 @@ class _Compiler:
             raise SchemaError(f"keywords {sorted(unknown)}")
         return F.concat(*found) if found else F.array().cast(_NONE)
 
-    def _array(self, v, rest, path, depth, found, wrong) -> None:
-        items = F.try_variant_get(v, "$", "array<variant>")
-        array = _kind(v, "array")
-        if "minItems" in rest:
-            wrong(array & (F.size(items) < rest.pop("minItems")), "TOO_FEW_ITEMS")
-        if "maxItems" in rest:
-            wrong(array & (F.size(items) > rest.pop("maxItems")), "TOO_MANY_ITEMS")
-        if rest.pop("uniqueItems", False):
-            wrong(array & (F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) < F.size(items)), "REPEATED_ITEM")
-        if "items" in rest:
-            inner = rest.pop("items")
-            each = F.flatten(F.transform(items, lambda x, i: self.problems(x, inner, _step(path, i.cast("string")), depth + 1)))
-            found.append(F.when(array, each).otherwise(F.array().cast(_NONE)))
-
-    def _object(self, v, rest, path, depth, found) -> None:
+    def _array(self, v, t, rest, path, depth, found) -> None:
+        mine = {k: rest.pop(k) for k in ("minItems", "maxItems", "uniqueItems", "items") if k in rest}
+
+        def check(items: Column) -> Column:
+            own = []
+            if "minItems" in mine:
+                own.append(self._when(F.size(items) < mine["minItems"], path, "TOO_FEW_ITEMS"))
+            if "maxItems" in mine:
+                own.append(self._when(F.size(items) > mine["maxItems"], path, "TOO_MANY_ITEMS"))
+            if mine.get("uniqueItems"):
+                own.append(self._when(F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) < F.size(items), path, "REPEATED_ITEM"))
+            if "items" in mine:
+                own.append(F.flatten(F.transform(items, lambda x, i: self.problems(x, mine["items"], _step(path, i.cast("string")), depth + 1))))
+            return F.concat(*own) if own else F.array().cast(_NONE)
+
+        if mine:
+            each = _bound(F.try_variant_get(v, "$", "array<variant>"), check)
+            found.append(F.when(_kind(v, "array", t), each).otherwise(F.array().cast(_NONE)))
+
+    def _object(self, v, t, rest, path, depth, found) -> None:
         properties, required = rest.pop("properties", {}), rest.pop("required", [])
         more = rest.pop("additionalProperties", True)
         if not (properties or required or more is not True):
             return
-        fields, nothing = F.try_variant_get(v, "$", "map<string,variant>"), F.array().cast(_NONE)
-        own: list[Column] = [self._when(~F.map_contains_key(fields, name), _step(path, name), "REQUIRED_MISSING") for name in required]
-        for name, inner in properties.items():
-            there = F.map_contains_key(fields, name)
-            own.append(F.when(there, self.problems(F.element_at(fields, F.lit(name)), inner, _step(path, name), depth + 1)).otherwise(nothing))
-        named = list(properties)
-        other = F.map_filter(fields, lambda k, x: ~k.isin(*named) if named else F.lit(True))
-        if more is False:
-            own.append(F.transform(F.map_keys(other), lambda k: F.struct(_step(path, k).alias("path"), F.lit("ADDITIONAL_PROPERTY").alias("code"))))
-        elif more is not True:
-            own.append(F.flatten(F.transform(F.map_entries(other), lambda e: self.problems(e["value"], more, _step(path, e["key"]), depth + 1))))
-        found.append(F.when(_kind(v, "object"), F.concat(*own)).otherwise(nothing))
+        nothing = F.array().cast(_NONE)
+
+        def check(fields: Column) -> Column:
+            own: list[Column] = [self._when(~F.map_contains_key(fields, name), _step(path, name), "REQUIRED_MISSING") for name in required]
+            for name, inner in properties.items():
+                there = F.map_contains_key(fields, name)
+                own.append(F.when(there, self.problems(F.element_at(fields, F.lit(name)), inner, _step(path, name), depth + 1)).otherwise(nothing))
+            named = list(properties)
+            other = F.map_filter(fields, lambda k, x: ~k.isin(*named) if named else F.lit(True))
+            if more is False:
+                own.append(F.transform(F.map_keys(other), lambda k: F.struct(_step(path, k).alias("path"), F.lit("ADDITIONAL_PROPERTY").alias("code"))))
+            elif more is not True:
+                own.append(F.flatten(F.transform(F.map_entries(other), lambda e: self.problems(e["value"], more, _step(path, e["key"]), depth + 1))))
+            return F.concat(*own)
+
+        found.append(F.when(_kind(v, "object", t), _bound(F.try_variant_get(v, "$", "map<string,variant>"), check)).otherwise(nothing))
 
     @staticmethod
     def _when(condition: Column, path: Column, code: str) -> Column:

@@ -126,6 +126,18 @@ def test_a_plan_without_python(spark):
     assert "Python" not in plan.replace("Scan ExistingRDD", "") and "InArrow" not in plan
 
 
+def test_a_value_is_made_once_however_deep_it_lies(spark):
+    def casts(depth):
+        schema = {"type": "string", "minLength": 2}
+        for _ in range(depth):
+            schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": schema}}
+        found = schema_breaches(spark.createDataFrame([(1, "{}")], "i int, j string"), "j", schema)
+        return found._jdf.queryExecution().analyzed().toString().lower().count("variant_get(")
+
+    # Each level adds as much as the one before.
+    assert 0 < casts(3) - casts(2) == casts(2) - casts(1)
+
+
 # Template profiles
 
 UNITS = "doc string, idx int, kind string, style string, text string, n_rows int, n_cols int"
