@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.text import collapse, strip
 
@@ -51,34 +53,45 @@ def leaf_diff(before: DataFrame, after: DataFrame, key: list[str], mode: str = "
     return joined.withColumn("kind", kind).filter("kind is not null")
 
 
-def shred(value, path: str = "", depth: int = 0, keyed: dict[str, str] | None = None):
+def shred(value, path: str = "", depth: int = 0, keyed: dict[str, str] | None = None) -> list[tuple[str, str, str]]:
     """The leaves of a JSON value as (path, type, text); empty containers are leaves.
 
     ``keyed`` names, by path, the field that identifies the rows of an array.
     """
+    found: list[tuple[str, str, str]] = []
+    _shred(value, path, depth, keyed, found)
+    return found
+
+
+def _part(name) -> str:
+    text = str(name)
+    return text.replace("~", "~0").replace("/", "~1") if "~" in text or "/" in text else text
+
+
+def _shred(value, path: str, depth: int, keyed: dict[str, str] | None, found: list) -> None:
     if depth > MAX_DEPTH:
         raise ValueError("PROFILE_DEPTH_LIMIT")
-    part = lambda p: f"{path}/" + str(p).replace("~", "~0").replace("/", "~1")
     if isinstance(value, dict) and value:
         for k in value:
-            yield from shred(value[k], part(k), depth + 1, keyed)
+            _shred(value[k], f"{path}/{_part(k)}", depth + 1, keyed, found)
     elif isinstance(value, list) and (value or path in (keyed or {})):
         if len(value) > MAX_ARRAY:
             raise ValueError("PROFILE_ARRAY_LIMIT")
         name, seen = (keyed or {}).get(path), set()
         for i, item in enumerate(value):
             if name is None:
-                yield from shred(item, part(i), depth + 1, keyed)
+                _shred(item, f"{path}/{i}", depth + 1, keyed, found)
                 continue
             k = item.get(name) if isinstance(item, dict) else None
             if isinstance(k, bool) or not isinstance(k, (str, int)) or (type(k), k) in seen:
                 raise ValueError("PROFILE_ARRAY_KEY")
             seen.add((type(k), k))
-            yield from shred(item, part(f"@{k}"), depth + 1, keyed)
+            _shred(item, f"{path}/@{_part(k)}", depth + 1, keyed, found)
     else:
         if isinstance(value, str) and len(value) > MAX_STRING:
             raise ValueError("PROFILE_STRING_LIMIT")
-        yield path, type(value).__name__, json.dumps(value, ensure_ascii=False) if not isinstance(value, str) else value
+        kind = type(value)
+        found.append((path, kind.__name__, value if kind is str else str(value) if kind is int else json.dumps(value, ensure_ascii=False)))
 
 
 def resolves(value, path: str) -> bool:
@@ -121,21 +134,24 @@ def limited_changes(changes: DataFrame, key: list[str], limit: int = 500) -> Dat
 
 
 def shred_profiles(profiles: DataFrame, keyed: dict[str, str] | None = None) -> DataFrame:
-    """Leaves (id, path, type, value, error) of profiles (id, json), by an Arrow UDF and explode."""
-    kind = "struct<leaves:array<struct<path:string,type:string,value:string>>,error:string>"
-
-    @F.pandas_udf(kind)
-    def leaves(s: pd.Series) -> pd.DataFrame:
-        def one(text):
-            try:
-                found = list(shred(json.loads(text), "", 0, keyed))
-                return (found, None) if len(found) <= MAX_NODES else ([], "PROFILE_NODE_LIMIT")
-            except ValueError as e:
-                return [], str(e)[:60]
-
-        rows = [one(x) for x in s]
-        return pd.DataFrame({"leaves": [[dict(zip(("path", "type", "value"), l)) for l in r[0]] for r in rows], "error": [r[1] for r in rows]})
-
-    return profiles.select("id", leaves("json").alias("s")).select("id", F.explode_outer("s.leaves").alias("leaf"), "s.error").select(
-        "id", "leaf.*", "error"
-    )
+    """Leaves (id, path, type, value, error) of profiles (id, json), a row each as the worker makes them; a profile without leaves is a row with none."""
+
+    def leaves(batches):
+        for b in batches:
+            at, rows = [], []
+            for i, text in enumerate(b["json"].to_pylist()):
+                error, found = None, []
+                try:
+                    found = shred(json.loads(text), "", 0, keyed)
+                    if len(found) > MAX_NODES:
+                        error, found = "PROFILE_NODE_LIMIT", []
+                except ValueError as e:
+                    error = str(e)[:60]
+                rows += [(*leaf, None) for leaf in found] or [(None, None, None, error)]
+                at += [i] * max(1, len(found))
+            columns = [pa.array(c, pa.string()) for c in zip(*rows)] or [pa.array([], pa.string())] * 4
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(at, pa.int64())), *columns], ["id", "path", "type", "value", "error"])
+
+    rows = profiles.select("id", F.col("json").cast("string").alias("json"))
+    fields = [T.StructField(c, T.StringType()) for c in ("path", "type", "value", "error")]
+    return rows.mapInArrow(leaves, T.StructType([T.StructField("id", rows.schema["id"].dataType), *fields]))

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quire.operators import audits, templates
+from quire.operators import audits, profiles, templates
 from quire.plans import files
 from quire.sources import blocks, pixels
 from quire.sources.base import pieces
@@ -125,3 +125,12 @@ def test_workers_map_one_filter(spark):
 
     found = spark.range(1).coalesce(1).mapInArrow(look, "same boolean, sum long").collect()
     assert [tuple(r) for r in found] == [(True, int(f.bits.sum()))]
+
+
+def test_leaves_leave_the_worker_as_rows(spark):
+    found = profiles.shred_profiles(spark.createDataFrame([(1, '{"a": [], "b/c": [2, 0.5, "x"]}'), (2, "{")], "id int, json string"))
+    plan = plan_of(found)
+    assert "MapInArrow" in plan and "Generate" not in plan and "EvalPython" not in plan
+    rows = [tuple(r) for r in found.orderBy("id", "path").collect()]
+    assert rows[:4] == [(1, "/a", "list", "[]", None), (1, "/b~1c/0", "int", "2", None), (1, "/b~1c/1", "float", "0.5", None), (1, "/b~1c/2", "str", "x", None)]
+    assert rows[4][:4] == (2, None, None, None) and rows[4][4]
