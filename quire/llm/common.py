@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch of whole texts; bounds what a Python worker holds at once.
 TEXT_ROWS_PER_BATCH = 500
+#: Bytes of texts that ``gathered`` puts together.
+GATHERED_BYTES = 16 << 20
 #: What a word cache holds in words and values, besides some 150 bytes an entry, and from what length a word isn't kept.
 MEMO_BYTES, LONG_WORD = 64 << 20, 256
 
@@ -104,6 +106,19 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def gathered(batches, size: int = GATHERED_BYTES):
+    """Arrow batches put together until they hold ``size`` bytes: a word is then looked up once for more texts."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value's decimal text, modulo n."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)
@@ -141,22 +156,44 @@ class Memo(dict):
     def learn(self, words) -> None:
         alone(self)
         words = set(words)
-        for w in self.long:
-            self.pop(w, None)
+        self._forget_long()
         new = [w for w in words if w not in self]
-        self.long = [w for w in new if len(w) > LONG_WORD]
-        if not new:
-            return
-        size = sum(map(len, new))
-        if self and (len(self) + len(new) > self.limit or self.bytes + size > MEMO_BYTES):
+        if new and self._full(new):
             self.clear()
             new = list(words)
-            self.long = [w for w in new if len(w) > LONG_WORD]
-            size = sum(map(len, new))
+        if new:
+            self._take_up(new)
+
+    def values_of(self, words: list) -> list:
+        """The values of distinct words; those that aren't held are learned."""
+        alone(self)
+        self._forget_long()
+        values = list(map(self.get, words))
+        at = [k for k, v in enumerate(values) if v is None]
+        if at:
+            new = [words[k] for k in at]
+            if self._full(new):
+                self.clear()
+            for k, v in zip(at, self._take_up(new)):
+                values[k] = v
+        return values
+
+    def _forget_long(self) -> None:
+        for w in self.long:
+            self.pop(w, None)
+        self.long = []
+
+    def _full(self, new: list) -> bool:
+        return bool(self) and (len(self) + len(new) > self.limit or self.bytes + sum(map(len, new)) > MEMO_BYTES)
+
+    def _take_up(self, new: list) -> list:
+        size = sum(map(len, new))
+        self.long = [w for w in new if len(w) > LONG_WORD]
         values = self.fill(new)
         self.update(zip(new, values))
         self.bytes += size - sum(map(len, self.long))
-        self.bytes += sum(len(x) for w, x in zip(new, values) if len(w) <= LONG_WORD) if new and isinstance(values[0], bytes) else 0
+        self.bytes += sum(len(x) for w, x in zip(new, values) if len(w) <= LONG_WORD) if isinstance(values[0], bytes) else 0
+        return values
 
 
 def alone(cache: dict) -> None:

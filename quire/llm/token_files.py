@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import mix64, partitions_of, table_path, text_batches, utf8
+from quire.llm.common import gathered, mix64, partitions_of, table_path, text_batches
 from quire.llm.token_ids import encoder
 
 BLOCK_IDS = 1 << 20
@@ -76,12 +76,18 @@ class _Model:
         if 2 * vocab > self.one:
             raise ValueError(f"a block has more than {self.one // 2} distinct ids")
         self.mask = (1 << max(10, min(19, n_ids.bit_length()))) - 1
-        self.second = np.zeros(self.mask + 1, dtype=np.int64)  # check << 40 | id << 3 | confidence
-        self.first = np.zeros(vocab, dtype=np.int64)  # id << 3 | confidence
+        # The tables and the mixture take 32 bits where their numbers fit; the results don't depend on it.
+        id_bits = (vocab - 1).bit_length()
+        self.kind = np.uint32 if 14 + id_bits + 3 <= 32 else np.uint64
+        self.wide = np.int32 if _MIX_BITS + self.bits < 31 else np.int64
+        self.above, self.id_mask = self.kind(id_bits + 3), self.kind((1 << id_bits) - 1)
+        self.second = np.zeros(self.mask + 1, dtype=self.kind)  # check << above | id << 3 | confidence
+        self.first = np.zeros(vocab, dtype=np.uint32)  # id << 3 | confidence
         self.prior = [np.zeros(lanes, dtype=np.int64) for _ in range(2)]  # the last id, the one before
         self.shares = np.tile(np.array([2, 1, 16], dtype=np.int64) << 10, (128, 1))
         self.counts = np.zeros((_TABLES, vocab), dtype=np.int64)
         self.recent: list[np.ndarray] = []
+        self.lane_row, self.group_row = self.of * vocab, self.groups * vocab
         self.step, self.due = 0, 1
         self._weights()
         self._zero()
@@ -90,7 +96,8 @@ class _Model:
         total = self.shares.sum(axis=1, keepdims=True)
         f = 1 + self.shares * ((1 << _MIX_BITS) - 3) // total
         f[:, 2] += (1 << _MIX_BITS) - f.sum(axis=1)
-        self.w2, self.w1, self.w0 = (np.ascontiguousarray(f[:, k]) for k in range(3))
+        # Weights of the spikes are on the scale of the mixture's whole range.
+        self.w2, self.w1, self.w0 = ((f[:, k] << by).astype(self.wide) for k, by in enumerate((self.bits, self.bits, 0)))
 
     def _zero(self) -> None:
         every = self.counts.reshape(CLASSES, 2, self.vocab).sum(axis=0)
@@ -99,72 +106,78 @@ class _Model:
         own = np.maximum(1, self.counts.sum(axis=1, keepdims=True))
         f = 1 + general + self.counts * (room - (room >> 3)) // own
         f[np.arange(_TABLES), f.argmax(axis=1)] += self.one - f.sum(axis=1)
-        self.zero_freq = f.ravel()
-        self.zero_cum = (np.cumsum(f, axis=1) - f).ravel()
+        self.zero_freq = f.ravel().astype(self.wide)
+        self.zero_cum = (np.cumsum(f, axis=1) - f).ravel().astype(self.wide)
         self._slots = None
 
     @property
     def slots(self) -> np.ndarray:
         """The id of each value of each class's order-0 range."""
         if self._slots is None:
-            self._slots = np.repeat(np.tile(np.arange(self.vocab, dtype=np.int32), _TABLES), self.zero_freq)
+            kind = np.uint16 if self.vocab <= 1 << 16 else np.int32
+            self._slots = np.repeat(np.tile(np.arange(self.vocab, dtype=kind), _TABLES), self.zero_freq)
         return self._slots
 
     def predict(self, n: int) -> None:
         """For the first ``n`` lanes: both tables' entries and their places, and the weights."""
         a, b = self.prior[0][:n], self.prior[1][:n]
         h = a * 0x2F0B4F35 + b * 0x1B873593
-        self.at2, self.check = h >> 9 & self.mask, (h >> 29 & 0x3FFF) << 40
+        self.at2, self.check = h >> 9 & self.mask, (h >> 29 & 0x3FFF).astype(self.kind) << self.above
         self.at1 = a
-        self.e2, self.e1 = self.second[self.at2], self.first[a]
-        known = self.e2 >> 40 == self.check >> 40
-        self.sure2, self.sure1 = np.where(known, self.e2 & 7, 0), self.e1 & 7
-        self.p2, self.p1 = self.e2 >> 3 & 0xFFFFFFFF, self.e1 >> 3
-        self.base = (self.sure2 * 8 + self.sure1) * 2 + (self.p2 == self.p1)
-        # Weights of the spikes, on the scale of the mixture's whole range.
-        self.s2, self.s1, self.s0 = self.w2[self.base] << self.bits, self.w1[self.base] << self.bits, self.w0[self.base]
-        self.table = self.of[:n] + self.groups[a]
-        self.row = self.table * self.vocab
+        self.e2, self.e1 = self.second.take(self.at2), self.first.take(a)
+        known = (self.e2 ^ self.check) >> self.above == 0
+        self.held2 = self.e2 & self.kind(7)
+        self.sure2, self.sure1 = self.held2 * known, self.e1 & np.uint32(7)
+        self.p2, self.p1 = (self.e2 >> self.kind(3) & self.id_mask).astype(self.wide), (self.e1 >> np.uint32(3)).astype(self.wide)
+        self.base = (self.sure2.astype(np.uint8) * 8 + self.sure1.astype(np.uint8)) * 2 + (self.p2 == self.p1)
+        at = self.base.astype(np.intp)
+        self.s2, self.s1, self.s0 = self.w2.take(at), self.w1.take(at), self.w0.take(at)
+        self.row = self.lane_row[:n] + self.group_row.take(a)
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each id's part of the range begins, and its size."""
-        at = self.row + x
-        low = self.s0 * self.zero_cum[at] + (x > self.p2) * self.s2 + (x > self.p1) * self.s1
+        self.at = at = self.row + x
+        low = self.s0 * self.zero_cum.take(at) + (x > self.p2) * self.s2 + (x > self.p1) * self.s1
         self.hit2, self.hit1 = x == self.p2, x == self.p1
-        self.part0 = self.s0 * self.zero_freq[at]
+        self.part0 = self.s0 * self.zero_freq.take(at)
         return low, self.part0 + self.hit2 * self.s2 + self.hit1 * self.s1
 
     def find(self, v: np.ndarray) -> np.ndarray:
         """The ids in whose parts the values lie."""
         at2, at1 = self.row + self.p2, self.row + self.p1
-        low2, low1 = self.s0 * self.zero_cum[at2], self.s0 * self.zero_cum[at1]
+        low2, low1 = self.s0 * self.zero_cum.take(at2), self.s0 * self.zero_cum.take(at1)
         past2 = v >= low2 + (self.p2 > self.p1) * self.s1
         past1 = v >= low1 + (self.p1 > self.p2) * self.s2
         # Without the spikes that begin before it, a value lies in the order-0 range, or short of a spike's end.
         rest = v - past2 * self.s2 - past1 * self.s1
-        in2 = past2 & (rest < low2 + self.s0 * self.zero_freq[at2])
-        in1 = past1 & (rest < low1 + self.s0 * self.zero_freq[at1])
+        in2 = past2 & (rest < low2 + self.s0 * self.zero_freq.take(at2))
+        in1 = past1 & (rest < low1 + self.s0 * self.zero_freq.take(at1))
         spike = np.maximum(in2 * (self.p2 + 1), in1 * (self.p1 + 1)) - 1
         free = np.flatnonzero(spike < 0)
-        slot = np.minimum(rest[free].view(_U) // self.s0[free].view(_U), _U(self.one - 1)).view(np.int64)
-        spike[free] = self.slots[(self.table[free] << self.bits) + slot]
+        part = np.uint32 if self.wide is np.int32 else _U
+        slot = np.minimum(rest[free].view(part) // self.s0[free].view(part), part(self.one - 1)).astype(np.int64)
+        table = self.of[free] + self.groups.take(self.at1[free])
+        spike[free] = self.slots.take((table << self.bits) + slot)
         return spike
 
     def learn(self, x: np.ndarray) -> None:
         """Take up the ids for which ``interval`` was last called."""
         n = len(x)
-        fresh = x << 3 | 1
-        e2 = self.e2 + np.where(self.hit2, self.sure2 < _CONFIDENT, -1)
-        self.second[self.at2] = np.where(self.sure2 > 0, e2, np.where(self.e2 & 7 > 1, self.e2 - 1, self.check | fresh))
-        e1 = self.e1 + np.where(self.hit1, self.sure1 < _CONFIDENT, -1)
+        fresh = x.astype(np.uint32) << np.uint32(3) | np.uint32(1)
+        held = self.sure2 > 0
+        # A hit adds 1 up to the bound, a miss takes 1; an entry of other ids that has no more is replaced.
+        up = held & self.hit2
+        e2 = self.e2 - self.kind(1) + up + (up & (self.sure2 < _CONFIDENT))
+        self.second[self.at2] = np.where(held | (self.held2 > 1), e2, self.check | fresh)
+        e1 = self.e1 - np.uint32(1) + self.hit1 + (self.hit1 & (self.sure1 < _CONFIDENT))
         self.first[self.at1] = np.where(self.sure1 > 0, e1, fresh)
         if self.step < 32 or self.step & 3 == 0:
             # An id that no spike stands on is all order 0's; sums of small integers are exact in doubles.
             hit = self.hit2 | self.hit1
             some = np.flatnonzero(hit)
             self.shares[:, 2] += np.bincount(self.base[~hit], minlength=128) << 8
-            base, part0 = self.base[some], self.part0[some]
-            parts = self.hit2[some] * self.s2[some], self.hit1[some] * self.s1[some], part0
+            base, part0 = self.base[some], self.part0[some].astype(np.int64)
+            parts = self.hit2[some] * self.s2[some].astype(np.int64), self.hit1[some] * self.s1[some].astype(np.int64), part0
             whole = parts[0] + parts[1] + part0
             for k, part in enumerate(parts):
                 self.shares[:, k] += np.bincount(base, weights=(part << 8) // whole, minlength=128).astype(np.int64)
@@ -175,7 +188,7 @@ class _Model:
             self._weights()
         self.prior[1][:n] = self.prior[0][:n]
         self.prior[0][:n] = x
-        self.recent.append(self.row + x)
+        self.recent.append(self.at)
         self.step += 1
         if self.step == self.due:
             self.due += min(self.due, 64)
@@ -191,6 +204,23 @@ def _shape(n: int) -> tuple[int, int]:
     return -(-n // steps), steps
 
 
+def _shifts(low: np.ndarray, rng: np.ndarray):
+    """Shift 16 bits out of the coders that can't go on, until all can: the coders' places, and ``low`` before it, each time."""
+    a, b, idx = low, rng, None
+    while True:
+        settled = (a ^ (a + b)) < _TOP
+        need = np.flatnonzero(settled | (b < _BOT))
+        if not len(need):
+            return
+        a, b = a[need], b[need]
+        b = np.where(settled[need], b, (~a + _U(1)) & (_BOT - _U(1)))
+        idx = need if idx is None else idx[need]
+        yield idx, a
+        a, b = a << _W16, b << _W16
+        low[idx] = a
+        rng[idx] = b
+
+
 def encode_ids(ids: np.ndarray, vocab: int, groups: np.ndarray | None = None) -> bytes:
     """Code a block of ids below ``vocab``; ``groups`` marks the ids of the second group."""
     n = len(ids)
@@ -199,9 +229,9 @@ def encode_ids(ids: np.ndarray, vocab: int, groups: np.ndarray | None = None) ->
     occurs = np.bincount(ids, minlength=vocab) > 0
     present = np.flatnonzero(occurs)
     groups = np.zeros(len(present), dtype=bool) if groups is None else groups[present]
-    number = np.cumsum(occurs) - 1
+    number = (np.cumsum(occurs) - 1).astype(np.int32)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, dtype=np.int64)
+    grid = np.zeros(lanes * steps, dtype=np.int32)
     grid[:n] = number[ids]
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     of = lane_classes(grid)
@@ -217,24 +247,13 @@ def encode_ids(ids: np.ndarray, vocab: int, groups: np.ndarray | None = None) ->
         r = rng >> _U(_MIX_BITS + model.bits)
         low += begin.astype(_U) * r
         rng[:] = part.astype(_U) * r
-        idx = None
-        while True:
-            a, b = (low, rng) if idx is None else (low[idx], rng[idx])
-            settled = (a ^ (a + b)) < _TOP
-            need = np.flatnonzero(settled | (b < _BOT))
-            if not len(need):
-                break
-            a, b = a[need], b[need]
-            b = np.where(settled[need], b, (~a + _U(1)) & (_BOT - _U(1)))
-            idx = need if idx is None else idx[need]
-            out_lane.append(idx)
+        for idx, a in _shifts(low, rng):
+            out_lane.append(idx.astype(np.uint16))
             out_word.append((a >> _W48).astype("<u2"))
-            low[idx] = a << _W16
-            rng[idx] = b << _W16
         model.learn(x)
     last = (all_low + _U(0xFFFFFFFF)) >> _U(32)
     for word in (last >> _W16, last & _U(0xFFFF)):
-        out_lane.append(np.arange(lanes))
+        out_lane.append(np.arange(lanes, dtype=np.uint16))
         out_word.append(word.astype("<u2"))
     lane = np.concatenate(out_lane)
     words = np.concatenate(out_word)[np.argsort(lane, kind="stable")]
@@ -269,30 +288,19 @@ def decode_ids(coded: bytes, n: int, vocab: int) -> np.ndarray:
         all_code = all_code << _W16 | take(every)
     model = _Model(n, len(present), of, groups)
     all_low, all_range = np.zeros(lanes, dtype=_U), np.full(lanes, ~_U(0), dtype=_U)
-    grid = np.zeros((steps, lanes), dtype=np.int64)
+    grid = np.zeros((steps, lanes), dtype=np.int32)
     for t in range(steps):
         k = -(-(n - t) // steps)
         low, rng, code = all_low[:k], all_range[:k], all_code[:k]
         model.predict(k)
         r = rng >> _U(_MIX_BITS + model.bits)
-        v = np.minimum((code - low) // r, _U((1 << _MIX_BITS + model.bits) - 1)).astype(np.int64)
+        v = np.minimum((code - low) // r, _U((1 << _MIX_BITS + model.bits) - 1)).astype(model.wide)
         x = model.find(v)
         begin, part = model.interval(x)
         low += begin.astype(_U) * r
         rng[:] = part.astype(_U) * r
         grid[t, :k] = x
-        idx = None
-        while True:
-            a, b = (low, rng) if idx is None else (low[idx], rng[idx])
-            settled = (a ^ (a + b)) < _TOP
-            need = np.flatnonzero(settled | (b < _BOT))
-            if not len(need):
-                break
-            a, b = a[need], b[need]
-            b = np.where(settled[need], b, (~a + _U(1)) & (_BOT - _U(1)))
-            idx = need if idx is None else idx[need]
-            low[idx] = a << _W16
-            rng[idx] = b << _W16
+        for idx, _ in _shifts(low, rng):
             code[idx] = code[idx] << _W16 | take(idx)
         model.learn(x)
     return present[grid.T.reshape(-1)[:n]]
@@ -333,34 +341,34 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
     Null text is empty; null doc_ids come first; repeated rows are written once each. A block
     takes documents until ``block_ids`` ids, and a longer document is a block of its own, so a
-    task holds one batch of texts and one block.
+    task holds one batch of texts (some megabytes of them) and one block.
     """
     text_batches(docs.sparkSession)
 
     def code(batches):
         e = encoder(tokenizer)
         groups = e.ends | (np.arange(e.size) == end_id)
-        end = int(end_id).to_bytes(e.dtype.itemsize, "little")
         part = TaskContext.get().partitionId()
         held_docs, held_ids, held, before, block = [], [], 0, 0, 0
 
         def close():
             nonlocal held_docs, held_ids, held, before, block
-            counts = [len(x) // e.dtype.itemsize for x in held_ids]
-            ids = np.frombuffer(b"".join(held_ids), dtype=e.dtype)
+            counts = [len(x) for x in held_ids]
+            ids = np.concatenate(held_ids)
             row = [part, block, before, len(counts), len(ids), pack_block(held_docs, counts, ids, e.size, groups)]
             before, block = before + len(ids), block + 1
             held_docs, held_ids, held = [], [], 0
             return pa.RecordBatch.from_pylist([dict(zip(_NAMES, row))], schema=_SCHEMA)
 
-        for b in batches:
-            for doc, ids in zip(b["doc_id"].to_pylist(), e.encode(utf8(b["text"]))):
-                n = len(ids) // e.dtype.itemsize + 1
-                if held and held + n > block_ids:
+        for some in gathered(batches):
+            ids, at = e.encode_column(some["text"], end_id)
+            at = at.tolist()
+            for doc, a, z in zip(some["doc_id"].to_pylist(), at, at[1:]):
+                if held and held + z - a > block_ids:
                     yield close()
                 held_docs.append(doc)
-                held_ids.append(ids + end)
-                held += n
+                held_ids.append(ids[a:z])
+                held += z - a
         if held:
             yield close()
 

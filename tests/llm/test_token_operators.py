@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests_llm_data import ODD
@@ -41,6 +42,56 @@ def test_encoder_starts_anew_at_its_bound():
     assert e.encode(texts) == TextEncoder(WORDS).encode(texts)
 
 
+class CountedMemo(common.Memo):
+    """Counts the words that are looked up."""
+
+    looked = 0
+
+    def __getitem__(self, word):
+        self.looked += 1
+        return super().__getitem__(word)
+
+    def get(self, word, default=None):
+        self.looked += 1
+        return super().get(word, default)
+
+
+def test_encoder_looks_a_word_up_once_a_batch():
+    e = TextEncoder(WORDS)
+    e.memo = CountedMemo(e.memo.fill)
+    texts = [b"alpha beta, alpha " * 500, b"beta, gamma\t" * 500]
+    got = e.encode(texts)
+    assert [np.frombuffer(x, e.dtype).tolist() for x in got] == [ids_of(t.decode())[:-1] for t in texts]
+    # Three words, and their parts without marks; before, each of the 2500 occurrences.
+    assert e.memo.looked < 20
+
+
+@pytest.mark.parametrize("name", [WORD_TOKENIZER, "byte_bpe_50k.json"])
+def test_encoder_takes_columns(name):
+    e = TextEncoder(tokenizer_path(name))
+    texts = ["off", None, *TRICKY, None]
+    ids, at = e.encode_column(pa.array(texts).slice(1), 1)
+    want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts[1:]]
+    assert [ids[a:z].tolist() for a, z in zip(at.tolist(), at.tolist()[1:])] == want
+    assert [len(x) for x in e.encode_column(pa.array([], pa.string()), 1)] == [0, 1]
+
+
+def test_memo_bounds_hold_for_distinct_words():
+    m = common.Memo(lambda words: [w * 2 for w in words], limit=3)
+    long = b"x" * (common.LONG_WORD + 1)
+    assert m.values_of([b"a", long]) == [b"aa", long * 2] and long in m
+    assert m.values_of([b"b", b"a"]) == [b"bb", b"aa"] and long not in m
+    # A bound is met: the cache starts anew, and what it held before is still given.
+    assert m.values_of([b"a", b"c", b"d"]) == [b"aa", b"cc", b"dd"] and set(m) == {b"c", b"d"}
+
+
+def test_batches_are_gathered():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["x" * 100]}) for k in range(7)]
+    some = list(common.gathered(iter(batches), 250))
+    assert [b["doc_id"].to_pylist() for b in some] == [[0, 1, 2], [3, 4, 5], [6]]
+    assert list(common.gathered(iter([]))) == []
+
+
 def test_packing(spark, documents):
     docs = documents(ODD)
     rows = pack_documents(docs, WORDS, window=64).collect()
@@ -85,6 +136,25 @@ def test_coder_random_round_trip_and_size():
     assert len(token_files.encode_ids(ids, 49408)) < 1.35 * len(ids) * -(f[f > 0] * np.log2(f[f > 0])).sum() / 8
 
 
+@pytest.mark.parametrize("top,crc,narrow", [(900, 2373122456, True), (4000, 284185773, True), (49408, 644975131, True), (40_000, None, False)])
+def test_coder_tables_of_either_width_code_alike(top, crc, narrow):
+    ids = np.concatenate([np.arange(top), np.arange(top)[::-1]])
+    if crc:
+        rng = np.random.default_rng(5)
+        for t in (900, 4000, 49408):
+            ids = rng.zipf(1.2, 50_000) % t
+            if t == top:
+                break
+        ids[20_000:40_000] = ids[:20_000]
+    coded = token_files.encode_ids(ids, 49408, np.arange(49408) % 3 == 0)
+    # The sums are those of the coder whose numbers all had 64 bits: files written by it are still read.
+    assert crc is None or zlib.crc32(coded) == crc
+    assert (token_files.decode_ids(coded, len(ids), 49408) == ids).all()
+    distinct = len(np.unique(ids))
+    model = token_files._Model(len(ids), distinct, np.zeros(4, dtype=np.uint8), np.zeros(distinct, dtype=bool))
+    assert model.second.itemsize == model.w2.itemsize == model.zero_freq.itemsize == (4 if narrow else 8)
+
+
 def test_classes_and_contexts_are_used():
     rng = np.random.default_rng(4)
     # Stretches in one of three vocabularies, where an odd id is followed by an even one.
