@@ -21,8 +21,9 @@ import pyarrow.compute as pc
 from quire.llm.common import Memo
 
 #: Words of these letters, marks at their end aside, need no normalisation but lower case.
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = ".,;:!?$%&*#@+=~^|<>()[]{}\"/\\-_"
+_PLAIN = f"^(?P<core>[{_LATIN}]+)(?P<tail>[{re.escape(_MARKS)}]*)$"
 _WORDS_PER_CALL = 400
 
 
@@ -95,7 +96,7 @@ class TextEncoder:
             return np.frombuffer(b"".join(packed), dtype=self.dtype), np.array(at) // self.dtype.itemsize
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         numbered = split.flatten().dictionary_encode()
-        ids = self.memo.values_of(numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        ids = self.memo.values_of(_objects(numbered.dictionary))
         at = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         of = numbered.indices.to_numpy()
         if after:
@@ -119,34 +120,44 @@ class TextEncoder:
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         if not self.plain:
             return self._ids([w.decode() for w in words])
-        lower = b" ".join(words).decode().lower().split(" ")
-        cores = [w.rstrip(_MARKS) for w in lower]
-        tails = [w[len(c) :] for w, c in zip(lower, cores)]
-        plain = [c for c in set(cores) if c.isalpha() and (c.isascii() or _LATIN.fullmatch(c))]
-        held = dict(zip(plain, map(self.memo.get, map(str.encode, plain))))
-        self._encode_plain([c for c, ids in held.items() if ids is None], held)
-        marks = list(set(tails) - {""})
-        after = dict(zip(marks, self._ids(marks))) | {"": b""}
-        out = [held[c] + after[t] if c in held else None for c, t in zip(cores, tails)]
-        rest = [k for k, ids in enumerate(out) if ids is None]
+        column = pa.array(words, pa.binary()).cast(pa.string())
+        parts = pc.extract_regex(column, _PLAIN)
+        plain, parts = parts.is_valid(), parts.drop_null()
+        cores = pc.utf8_lower(parts.field("core")).dictionary_encode()
+        tails = parts.field("tail").dictionary_encode()
+        names = _objects(cores.dictionary)
+        held = list(map(self.memo.get, names))
+        new = [k for k, ids in enumerate(held) if ids is None]
+        for k, ids in zip(new, self._encode_plain([names[k] for k in new])):
+            held[k] = ids
+        before = pa.array(held, pa.binary()).take(cores.indices)
+        after = pa.array(self._ids(tails.dictionary.to_pylist()), pa.binary()).take(tails.indices)
+        out = np.empty(len(words), dtype=object)
+        plain = plain.to_numpy(zero_copy_only=False)
+        out[plain] = pc.binary_join_element_wise(before, after, b"").to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~plain).tolist()
         for k, ids in zip(rest, self._ids([words[k].decode() for k in rest])):
             out[k] = ids
-        return out
+        return out.tolist()
 
-    def _encode_plain(self, words: list[str], held: dict[str, bytes | None]) -> None:
-        """Many words as one text; the end-of-word tokens tell them apart."""
+    def _encode_plain(self, words: list[bytes]) -> list[bytes]:
+        """Many words as few texts; the end-of-word tokens tell them apart."""
         if not words:
-            return
-        joined = [" ".join(words[k : k + _WORDS_PER_CALL]) for k in range(0, len(words), _WORDS_PER_CALL)]
-        joined = [j if j.isascii() else j.encode().decode("latin-1").translate(self.alphabet) for j in joined]
+            return []
+        joined = [b" ".join(words[k : k + _WORDS_PER_CALL]) for k in range(0, len(words), _WORDS_PER_CALL)]
+        joined = [j.decode() if j.isascii() else j.decode("latin-1").translate(self.alphabet) for j in joined]
         found = self.plain.encode_batch_fast(joined, add_special_tokens=False)
         ids = np.concatenate([np.asarray(e.ids, dtype=self.dtype) for e in found])
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             raise ValueError("the vocabulary's word ends don't match the words")
         packed, at = ids.tobytes(), [0, *(cuts * self.dtype.itemsize).tolist()]
-        for w, a, b in zip(words, at, at[1:]):
-            held[w] = packed[a:b]
+        return [packed[a:b] for a, b in zip(at, at[1:])]
+
+
+def _objects(words: pa.Array) -> list[bytes]:
+    """A column's words as UTF-8."""
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 @lru_cache(maxsize=4)
