@@ -11,7 +11,6 @@ another row than its own, and only the last window is not full.
 from __future__ import annotations
 
 import zlib
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, text_batches, utf8
+from quire.llm.common import materialize, text_batches
 from quire.llm.token_ids import encoder
 
 TOKENS = "part long, local_start long, doc_id long, n_tokens long, wide int, ids binary"
@@ -40,22 +39,20 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     def encode(batches):
         e = encoder(tokenizer)
         wide = e.dtype.itemsize
-        end = int(end_id).to_bytes(wide, "little")
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = [x + end for x in e.encode(utf8(b["text"]))]
-            counts = [len(x) // wide for x in ids]
-            starts = list(accumulate(counts, initial=before))
-            before = starts.pop()
-            n = len(ids)
+            ids, at = e.encode_column(b["text"], end_id)
+            n, starts = b.num_rows, at[:-1] + before
+            before += int(at[-1])
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at * wide), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part] * n, pa.int64()),
                     pa.array(starts, pa.int64()),
                     b["doc_id"].cast(pa.int64()),
-                    pa.array(counts, pa.int64()),
+                    pa.array(np.diff(at), pa.int64()),
                     pa.array([wide] * n, pa.int32()),
-                    pa.array(ids, pa.binary()),
+                    packed.cast(pa.binary()),
                 ],
                 ["part", "local_start", "doc_id", "n_tokens", "wide", "ids"],
             )
