@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import LARGE_ROWS, crc_mod, materialize, mix64, partitions_of, ship, shipped, text_batches, utf8
+from quire.llm.words import Words, tokens_of
 
 ORDER = 5
 BASE = 1.5
@@ -62,6 +63,8 @@ WORDS_AT_ONCE, TOKENS_AT_ONCE, WORDS_HELD, BYTES_AT_ONCE = 20_000, 1_000_000, 60
 SPELT_AT_ONCE = 5_000
 #: Bytes of training texts whose counts make one node of the merging tree: what a group of it has to hold.
 NODE_BYTES = 16 << 20
+#: The largest count of which a key is repeated so often, in place of being sorted with its count.
+REPEATED = 3
 #: Keys in one row of a slice's sums, and bytes of an Arrow batch: what an executor's JVM holds of a group at once.
 ROW_KEYS, BATCH_BYTES = 1 << 18, 4 << 20
 #: The most parts that one array is cut into, or merged from.
@@ -74,56 +77,6 @@ _U = np.uint64
 BEGIN = _U(0x9D39247E33776D41)
 
 
-#: A value for each byte, and the base of the polynomial in a byte's place that makes a word's key.
-_BYTE, _BASE = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15)), _U(0xD1342543DE82EF95)
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: Tokens whose keys are made at once.
-_PART = 1 << 17
-_powers = np.cumprod(np.concatenate([[_U(1)], np.full(1023, _BASE)]), dtype=_U)
-
-
-def _power(place: np.ndarray) -> np.ndarray:
-    global _powers
-    need = int(place.max(initial=0)) + 1
-    if need > len(_powers):
-        # Only a very long word comes here, and its table isn't kept.
-        return np.cumprod(np.concatenate([[_U(1)], np.full(need - 1, _BASE)]), dtype=_U)[place]
-    return _powers[place]
-
-
-@dataclass
-class Words:
-    """Words as parts of an array of bytes."""
-
-    flat: np.ndarray
-    starts: np.ndarray
-    sizes: np.ndarray
-
-    @classmethod
-    def of(cls, words) -> Words:
-        words = list(words)
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        return cls(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
-
-    def __len__(self) -> int:
-        return len(self.starts)
-
-    def __getitem__(self, some) -> Words:
-        return Words(self.flat, self.starts[some], self.sizes[some])
-
-    def keys(self) -> np.ndarray:
-        """A 64-bit key of each word's bytes."""
-        keys = np.zeros(len(self), dtype=_U)
-        for low in range(0, len(self), _PART):
-            starts, sizes = self.starts[low : low + _PART], self.sizes[low : low + _PART]
-            first = np.cumsum(sizes) - sizes
-            place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-            values = _BYTE[self.flat[np.repeat(starts, sizes) + place]] * _power(place)
-            some = np.flatnonzero(sizes)
-            keys[low + some] = np.add.reduceat(values, first[some]) if len(some) else 0
-        return mix64(keys + self.sizes.astype(_U))
-
-
 def _word_keys(words) -> np.ndarray:
     return Words.of(words).keys()
 
@@ -131,20 +84,6 @@ def _word_keys(words) -> np.ndarray:
 END_KEY = _word_keys([END])[0]
 
 
-def tokens_of(texts: list[bytes]) -> tuple[Words, np.ndarray]:
-    """All tokens of the texts, each text's end after it; and the texts' sizes in tokens. A-Z are lower-cased."""
-    flat = np.frombuffer(b"\n".join([*texts, b""]).lower(), dtype=np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    inside = ~_SPACE[flat]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    first[ends] = inside[ends] = True
-    starts = np.flatnonzero(first)
-    # An end stands where a line feed is, right behind a word or not.
-    sizes = np.add.reduceat(inside, starts, dtype=np.int64)
-    return Words(flat, starts, sizes), np.diff(np.searchsorted(starts, ends), prepend=-1)
-
-
 def bigram_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return mix64(before * _U(0x9E3779B97F4A7C15) + keys + _U(0x2545F491))
 
@@ -201,6 +140,12 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[edges], np.add.reduceat(counts[order], edges) if len(keys) else counts
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order of their first occurrence, and the number of each key among them."""
+    encoded = pa.array(keys).dictionary_encode()
+    return encoded.dictionary.to_numpy(), encoded.indices.to_numpy()
+
+
 def count_grams(words: Words | dict[bytes, int], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of all orders with their counts, weighted by the words' own."""
     if isinstance(words, dict):
@@ -210,11 +155,10 @@ def count_grams(words: Words | dict[bytes, int], counts: np.ndarray | None = Non
         flat, place, owner = gram_positions(words[low : low + WORDS_AT_ONCE])
         weight = counts[low : low + WORDS_AT_ONCE].astype(np.float64)[owner]
         keys = gram_keys(flat, place)
-        # Most words occur once, and counts of equal weight need no order of their own.
-        once = weight == 1
-        found.append(np.unique(np.concatenate([keys[k][once & (place >= k)] for k in range(ORDER)]), return_counts=True))
-        more = [~once & (place >= k) for k in range(ORDER)]
-        found.append(_summed(np.concatenate([keys[k][x] for k, x in enumerate(more)]), np.concatenate([weight[x] for x in more])))
+        use = [place >= k for k in range(ORDER)]
+        # Many words share few grams.
+        grams, number = _distinct(np.concatenate([keys[k][x] for k, x in enumerate(use)]))
+        found.append((grams, np.bincount(number, weights=np.concatenate([weight[x] for x in use]), minlength=len(grams))))
         found.append((ALL, np.array([weight[place > 0].sum()])))
         found = [_summed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))]
     return found[0]
@@ -287,6 +231,9 @@ def _counted(texts: DataFrame, slices: int, nodes: int = (1 << 31) - 1, stride:
     """Sorted counts of blocks of training texts, cut by slices of the hash range and dealt to nodes in turn."""
 
     def count(batches):
+        # What a worker kept of an earlier model isn't needed any more.
+        _values.clear()
+        _latest.clear()
         first = TaskContext.get().partitionId() * stride
         of_grams, of_words = itertools.count(first), itertools.count(first)
         grams: list[np.ndarray] = []
@@ -306,12 +253,14 @@ def _counted(texts: DataFrame, slices: int, nodes: int = (1 << 31) - 1, stride:
                 np.concatenate([w.starts + z for (_, _, w), z in zip(found, shift)]),
                 np.concatenate([w.sizes for _, _, w in found]),
             )
-            unique, first = np.unique(keys, return_index=True)
-            _, counts = _summed(keys, counts)
+            order = np.argsort(keys)
+            keys = keys[order]
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            unique, counts = keys[edges], np.add.reduceat(counts[order], edges)
             node = next(of_words) % nodes
             yield _blobs(_WORD, node, unique, counts, slices)
             inner = unique != END_KEY
-            yield _blobs(_CHAR, node, *count_grams(words[first[inner]], counts[inner]), slices)
+            yield _blobs(_CHAR, node, *count_grams(words[order[edges[inner]]], counts[inner]), slices)
             found.clear()
 
         for b in batches:
@@ -323,7 +272,9 @@ def _counted(texts: DataFrame, slices: int, nodes: int = (1 << 31) - 1, stride:
                 inner = np.ones(len(keys), dtype=bool)
                 inner[starts] = False
                 grams += [pairs, trigram_keys(np.concatenate([pairs[:1], pairs[:-1]]), keys)[inner]]
-                unique, first, counts = np.unique(keys, return_index=True, return_counts=True)
+                unique, number = _distinct(keys)
+                counts, first = np.bincount(number), np.empty(len(unique), dtype=np.int64)
+                first[number[::-1]] = np.arange(len(keys))[::-1]
                 mine = words[first]
                 # The words' bytes alone, without the texts'.
                 at = np.cumsum(mine.sizes) - mine.sizes
@@ -362,12 +313,28 @@ _SUMMED = "kind int, slice int, n int, keys binary, counts binary, total double,
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """The sums of the arrays of one group."""
-    keys, counts = [], []
-    for b in batches:
-        for n, k, c in zip(*(b[x].to_pylist() for x in ("n", "keys", "counts"))):
-            keys.append(unpack_keys(k, n))
-            counts.append(unpack_counts(c))
-    return _summed(np.concatenate(keys), np.concatenate(counts))
+    rows = (row for b in batches for row in zip(*(b[x].to_pylist() for x in ("n", "keys", "counts"))))
+    return totals((unpack_keys(k, n), unpack_counts(c)) for n, k, c in rows)
+
+
+def totals(runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """``_summed`` for runs of keys and counts most of which are small: such keys are repeated and sorted alone, without their order."""
+    some, more, more_sums = [np.empty(0, _U)], [np.empty(0, _U)], [np.empty(0)]
+    for keys, counts in runs:
+        small = counts <= REPEATED
+        some.append(np.repeat(keys[small], counts[small].astype(np.int64)))
+        more.append(keys[~small])
+        more_sums.append(counts[~small])
+    some = np.concatenate(some)
+    some.sort()
+    edges = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]])[: len(some)])
+    sums, some = np.diff(edges, append=len(some)).astype(np.float64), some[edges]
+    more, more_sums = _summed(np.concatenate(more), np.concatenate(more_sums))
+    at = np.searchsorted(some, more)
+    there = at < len(some)
+    there[there] = some[at[there]] == more[there]
+    sums[at[there]] += more_sums[there]
+    return np.insert(some, at[~there], more[~there]), np.insert(sums, at[~there], more_sums[~there])
 
 
 def summed_slices(counted: DataFrame, fan: int, levels: int, cutoff: int) -> DataFrame:
@@ -449,28 +416,39 @@ class LogFrequencyFilter:
 
     def probe(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
         """Whether each (gram, level) may have been put in; a bit that is 0 ends its probes."""
-        base, a = placed(keys, levels, self.slices, self.width)
-        there, alive, at = np.zeros(len(keys), dtype=bool), np.arange(len(keys)), base + nth_bit(a, a, 0, self.width)
-        for i in range(1, self.hashes + 1):
-            held = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            alive, a, base = alive[held], a[held], base[held]
-            if i == self.hashes or not len(alive):
-                break
-            # Most grams that aren't there are gone by now, so the second hash is made for few.
-            step = second_hash(a) if i == 1 else step[held]
-            at = base + nth_bit(a, step, i, self.width)
-        there[alive] = True
+        base, h = placed(keys, levels, self.slices, self.width)
+        alive = np.flatnonzero(self._bit(base, h))
+        base, h = base.take(alive), h.take(alive)
+        # Most grams that aren't there are gone by now, so the second hash is made for few, and few go on in vain.
+        step, there = second_hash(h), np.zeros(len(keys), dtype=bool)
+        held = np.ones(len(h), dtype=np.uint8)
+        for i in range(1, self.hashes):
+            h += step
+            held &= self._bit(base, h)
+            if i == 2:
+                some = np.flatnonzero(held)
+                alive, base, h, step, held = alive.take(some), base.take(some), h.take(some), step.take(some), held.take(some)
+        there[alive] = held
         return there
 
-    def levels(self, keys: np.ndarray, first: int = 1) -> np.ndarray:
+    def _bit(self, base: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = _bit_of(h, self.width)
+        at += base
+        place = (at & 7).astype(np.uint8)
+        at >>= 3
+        return (self.bits.take(at) >> place) & np.uint8(1)
+
+    def levels(self, keys: np.ndarray, first: int = 1, known: np.ndarray | None = None) -> np.ndarray:
         """The level of each gram, by probes of level after level until one is missing: a false positive adds
-        the levels that follow without a gap, most often one alone. Grams below level ``first`` are known not to be in."""
-        out, alive = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
-        for level in range(first, MAX_LEVEL + 1):
-            alive = alive[self.probe(keys[alive], np.full(len(alive), level))]
-            if not len(alive):
-                break
+        the levels that follow without a gap, most often one alone. Grams below level ``first`` are known not to be in;
+        ``known`` are levels up to which each gram was put in, which need no probes."""
+        out = np.zeros(len(keys), dtype=np.int64) if known is None else known.astype(np.int64)
+        alive, level = np.arange(len(keys)), np.maximum(out + 1, first)
+        while len(alive):
+            there = np.flatnonzero(self.probe(keys, level) & (level <= MAX_LEVEL))
+            alive, keys, level = alive.take(there), keys.take(there), level.take(there)
             out[alive] = level
+            level += 1
         return out
 
 
@@ -483,9 +461,15 @@ def second_hash(a: np.ndarray) -> np.ndarray:
     return mix64(a + _U(0xA0761D6478BD642F)) | _U(1)
 
 
+def _bit_of(h: np.ndarray, width: int) -> np.ndarray:
+    at = h >> _U(32)
+    at *= _U(width)
+    at >>= _U(32)
+    return at.view(np.int64)
+
+
 def nth_bit(a: np.ndarray, step: np.ndarray, i: int, width: int) -> np.ndarray:
-    h = a + _U(i) * step if i else a
-    return (((h >> _U(32)) * _U(width)) >> _U(32)).astype(np.int64)
+    return _bit_of(a + _U(i) * step if i else a, width)
 
 
 def mark(own: np.ndarray, keys: np.ndarray, counts: np.ndarray, slices: int, width: int, hashes: int, first: int = 1) -> None:
@@ -576,7 +560,7 @@ class Answers:
         order = np.argsort(keys)
         self.keys, self.found, self.fill = keys[order], levels[order], fill
 
-    def levels(self, keys: np.ndarray, first: int = 1) -> np.ndarray:
+    def levels(self, keys: np.ndarray, first: int = 1, known: np.ndarray | None = None) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         if (self.keys[at] != keys).any():
             raise ValueError(UNSTABLE)
@@ -621,7 +605,8 @@ class Model:
 
 def unigrams(words: Words, keys: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """The probability of each word or end, and its count at the upper end of its level."""
-    levels = m.filter.levels(keys)
+    # A word whose count is held was put in up to that count's level.
+    levels = m.filter.levels(keys, known=quantised(np.maximum(m.exact(keys), 0)))
     spelt = np.concatenate(
         [np.empty(0), *(spellings(words[low : low + SPELT_AT_ONCE], m.filter) for low in range(0, len(words), SPELT_AT_ONCE))]
     )
@@ -632,45 +617,65 @@ def unigrams(words: Words, keys: np.ndarray, m: Model) -> tuple[np.ndarray, np.n
 
 
 class RecentLevels:
-    """A filter's levels of the grams that were last read, by a place for each hash: frequent grams come again and again."""
+    """A filter's levels of the grams that were read, by two places for each hash: frequent grams come again and again.
+
+    A gram takes a place from one of its own level or below, as those of high levels come most often and take most probes.
+    """
 
     SLOTS = 1 << 20
 
     def __init__(self, f: LogFrequencyFilter, first: int = 1):
         self.filter, self.first = f, first
-        # A key lies in the place of its own low bits alone, so no key is taken for held before it was read.
-        self.keys = np.arange(1, self.SLOTS + 1, dtype=_U)
+        # A key lies in the places of its own bits alone. Only key 0 would be taken for held before it was read: in its
+        # place lies one whose places are others.
+        self.keys = np.zeros(self.SLOTS, dtype=_U)
+        self.keys[0] = (1 << 20) + 1
         self.held = np.zeros(self.SLOTS, dtype=np.uint8)
 
     def levels(self, keys: np.ndarray, repeat: bool = False) -> np.ndarray:
         """The levels; ``repeat`` says that the same grams come often within ``keys``."""
-        at = (keys & _U(self.SLOTS - 1)).astype(np.int64)
-        out = self.held[at].astype(np.int64)
-        new = np.flatnonzero(self.keys[at] != keys)
-        some, at = keys[new], at[new]
+        at = self._place(keys, 0)
+        out = self.held.take(at).astype(np.int64)
+        new = np.flatnonzero(self.keys.take(at) != keys)
+        some = keys.take(new)
+        at = self._place(some, 1)
+        out[new] = self.held.take(at)
+        miss = np.flatnonzero(self.keys.take(at) != some)
+        new, some = new.take(miss), some.take(miss)
         if repeat:
-            some, first, inverse = np.unique(some, return_index=True, return_inverse=True)
-            found, at = self.filter.levels(some, self.first), at[first]
+            some, inverse = np.unique(some, return_inverse=True)
+            found = self.filter.levels(some, self.first)
             out[new] = found[inverse]
         else:
             found = out[new] = self.filter.levels(some, self.first)
-        self.keys[at] = some
-        # Of keys with one place the last is held.
-        last = self.keys[at] == some
-        self.held[at[last]] = found[last]
+        for i in range(2):
+            at = self._place(some, i)
+            fits = np.flatnonzero(self.held.take(at) <= found)
+            at, mine = at.take(fits), some.take(fits)
+            self.keys[at] = mine
+            # Of keys with one place the last is held.
+            last = np.flatnonzero(self.keys.take(at) == mine)
+            self.held[at.take(last)] = found.take(fits.take(last))
+            rest = np.ones(len(some), dtype=bool)
+            rest[fits.take(last)] = False
+            some, found = some[rest], found[rest]
         return out
 
+    def _place(self, keys: np.ndarray, i: int) -> np.ndarray:
+        at = (keys >> _U(20)) if i else keys
+        return (at & _U(self.SLOTS - 1)).view(np.int64)
+
 
 _latest: dict[int, RecentLevels] = {}
 
 
-def _recent(f: LogFrequencyFilter, first: int = 1) -> RecentLevels:
-    """The levels last read of words' characters, or of word n-grams from level ``first`` on; of one filter at a time."""
+def _recent(f: LogFrequencyFilter, order: int = 1, first: int = 1) -> RecentLevels:
+    """The levels last read of words' characters (order 1), or of word n-grams of an order from level ``first`` on; of one filter at a time."""
     if any(r.filter is not f for r in _latest.values()):
         _latest.clear()
-    if first not in _latest:
-        _latest[first] = RecentLevels(f, first)
-    return _latest[first]
+    if order not in _latest or _latest[order].first != first:
+        _latest[order] = RecentLevels(f, first)
+    return _latest[order]
 
 
 def spellings(words: Words | list[bytes], f: LogFrequencyFilter) -> np.ndarray:
@@ -680,7 +685,7 @@ def spellings(words: Words | list[bytes], f: LogFrequencyFilter) -> np.ndarray:
     levels = _recent(f).levels(np.concatenate(gram_keys(flat, place)), repeat=True).reshape(ORDER, len(flat))
     p = np.full(len(flat), 1 / 256)
     begun = place > 0
-    every = HIGHEST[f.levels(ALL)[0]]
+    every = HIGHEST[_recent(f).levels(ALL)[0]]
     for k in range(ORDER):
         # The context of order k is the gram of order k that ends one byte before; at order 0 it is all.
         seen, use = LOWEST[levels[k]], begun if k == 0 else place >= k
@@ -702,14 +707,14 @@ def probabilities(keys: np.ndarray, p1: np.ndarray, high: np.ndarray, starts: np
     # A bigram that is held has both its words held as often.
     level2 = np.zeros(len(keys), dtype=np.int64)
     some = np.flatnonzero((of2 >= m.cutoff) & (high >= m.cutoff))
-    level2[some] = _recent(m.filter, first).levels(pairs[some])
+    level2[some] = _recent(m.filter, 2, first).levels(pairs[some])
     begins = np.zeros(len(keys), dtype=bool)
     begins[starts] = True
     context = np.where(begins, 0, np.concatenate([[0], level2[:-1]]))
     # A trigram that is held has both its bigrams held.
     level3 = np.zeros(len(keys), dtype=np.int64)
     some = np.flatnonzero((context > 0) & (level2 > 0))
-    level3[some] = m.filter.levels(trigram_keys(pairs[some - 1], keys[some]), first)
+    level3[some] = _recent(m.filter, 3, first).levels(trigram_keys(pairs[some - 1], keys[some]))
     of3 = HIGHEST[context]
     w3 = np.where(of3 > 0, W3, 0.0)
     w2 = np.where(of2 > 0, W2 + W3 - w3, 0.0)
@@ -736,9 +741,9 @@ class WordValues:
 
     def __init__(self, model: Model, slots: int = SLOTS):
         self.model, self.mask = model, _U(slots - 1)
-        # As in RecentLevels no key is taken for held before it was met.
+        # A key lies in the place of its own low bits alone, so no key is taken for held before it was met.
         self.keys = np.arange(1, slots + 1, dtype=_U)
-        self.held = [np.zeros(slots, dtype=t) for t in ("f8", "f8", "i8", "f8")]
+        self.held = [np.full(slots, -1, dtype=t) for t in ("f8", "f8", "i8", "f8")]
 
     def of(self, words: Words, keys: np.ndarray) -> list[np.ndarray]:
         at = (keys & self.mask).astype(np.int64)
@@ -749,11 +754,13 @@ class WordValues:
             c = self.model.exact(some)
             values = [*unigrams(words[new[first]], some, self.model), c, np.log10(np.maximum(c, 0) + 1.0)]
             at = at[new[first]]
-            self.keys[at] = some
-            last = self.keys[at] == some
+            # A word takes the place of one that is no more frequent.
+            fits = np.flatnonzero(self.held[2].take(at) <= c)
+            self.keys[at.take(fits)] = some.take(fits)
+            last = fits.take(np.flatnonzero(self.keys.take(at.take(fits)) == some.take(fits)))
             for mine, held, v in zip(out, self.held, values):
-                mine[new] = v[inverse]
-                held[at[last]] = v[last]
+                mine[new] = v.take(inverse)
+                held[at.take(last)] = v.take(last)
         return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -55,13 +56,78 @@ def window_hashes(h: np.ndarray, k: int, seed: np.ndarray | int = 0) -> np.ndarr
     return total
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most ``CHUNK_BYTES`` together, or one that is longer."""
+def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most so many bytes together, or one that is longer."""
     begin = size = 0
     for i, t in enumerate(texts):
-        if i > begin and size + len(t) > CHUNK_BYTES:
+        if i > begin and size + len(t) > most:
             yield begin, i
             begin, size = i, 0
         size += len(t)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+_U = np.uint64
+#: A value for each byte, and the base of the polynomial in a byte's place that makes a word's key.
+_BYTE, _BASE = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15)), _U(0xD1342543DE82EF95)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Tokens whose keys are made at once.
+_PART = 1 << 17
+_powers = np.cumprod(np.concatenate([[_U(1)], np.full(1023, _BASE)]), dtype=_U)
+
+
+def _power(place: np.ndarray) -> np.ndarray:
+    global _powers
+    need = int(place.max(initial=0)) + 1
+    if need > len(_powers):
+        # Only a very long word comes here, and its table isn't kept.
+        return np.cumprod(np.concatenate([[_U(1)], np.full(need - 1, _BASE)]), dtype=_U)[place]
+    return _powers[place]
+
+
+@dataclass
+class Words:
+    """Words as parts of an array of bytes."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, words) -> Words:
+        words = list(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        return cls(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, some) -> Words:
+        return Words(self.flat, self.starts[some], self.sizes[some])
+
+    def keys(self) -> np.ndarray:
+        """A 64-bit key of each word's bytes."""
+        keys = np.zeros(len(self), dtype=_U)
+        for low in range(0, len(self), _PART):
+            starts, sizes = self.starts[low : low + _PART], self.sizes[low : low + _PART]
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+            values = _BYTE[self.flat[np.repeat(starts, sizes) + place]] * _power(place)
+            some = np.flatnonzero(sizes)
+            keys[low + some] = np.add.reduceat(values, first[some]) if len(some) else 0
+        return mix64(keys + self.sizes.astype(_U))
+
+
+def tokens_of(texts: list[bytes]) -> tuple[Words, np.ndarray]:
+    """All tokens of the texts, each text's end after it; and the texts' sizes in tokens. A-Z are lower-cased."""
+    flat = np.frombuffer(b"\n".join([*texts, b""]).lower(), dtype=np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    inside = ~_SPACE[flat]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[ends] = inside[ends] = True
+    starts = np.flatnonzero(first)
+    # An end stands where a line feed is, right behind a word or not.
+    sizes = np.add.reduceat(inside, starts, dtype=np.int64)
+    return Words(flat, starts, sizes), np.diff(np.searchsorted(starts, ends), prepend=-1)

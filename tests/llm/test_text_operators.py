@@ -653,3 +653,68 @@ def test_filter_reads_high_counts_level_by_level():
     assert n == 7 and (found >= q).all() and (found == q).mean() > 0.98
     # A false positive adds a level or two, never a jump to the next power of two.
     assert (found - q).max() <= 2
+
+
+def _some_filter():
+    rng = np.random.default_rng(9)
+    keys = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
+    counts = np.floor(np.exp(rng.uniform(0, 9, len(keys))))
+    width = -(-10 * int(lm_scoring.quantised(counts).sum()) // 64) * 64
+    return keys, counts, lm_scoring.LogFrequencyFilter(np.frombuffer(lm_scoring.region(keys, counts, 1, width, 7), np.uint8), 1, width, 7)
+
+
+def test_grams_that_were_read_are_not_probed_again(monkeypatch):
+    """Neither word n-grams, nor grams whose own bits lead to one place of the cache; the levels stay those of the filter."""
+    keys, counts, f = _some_filter()
+    probed, levels = [], lm_scoring.LogFrequencyFilter.levels
+    monkeypatch.setattr(lm_scoring.LogFrequencyFilter, "levels", lambda f, keys, *a, **k: probed.append(len(keys)) or levels(f, keys, *a, **k))
+    m = lm_scoring.Model(f, 2, 1e5, 4000, 1e5, 10.0)
+    words = np.tile(keys[:500], 2)
+    one = lm_scoring.probabilities(words, np.full(1000, 1e-3), np.full(1000, 9.0), np.array([0]), m)
+    del probed[:]
+    assert (lm_scoring.probabilities(words, np.full(1000, 1e-3), np.full(1000, 9.0), np.array([0]), m) == one).all() and sum(probed) == 0
+    recent = lm_scoring.RecentLevels(f)
+    place = np.uint64(recent.SLOTS - 1)
+    same = keys[np.argsort(keys & place)]
+    pair = (same[0] & ~place) | (same[1] & place)
+    odd = np.array([0, 1, recent.SLOTS, recent.SLOTS + 1, same[1], pair], dtype=np.uint64)
+    for _ in range(2):
+        assert (recent.levels(odd) == levels(f, odd)).all() and (recent.levels(keys, True) == levels(f, keys)).all()
+    del probed[:]
+    assert (recent.levels(np.array([same[1], pair])) == levels(f, np.array([same[1], pair]))).all() and sum(probed) <= 1
+
+
+def test_known_levels_are_not_probed(monkeypatch):
+    keys, counts, f = _some_filter()
+    want, probed, probe = f.levels(keys), [], lm_scoring.LogFrequencyFilter.probe
+    monkeypatch.setattr(lm_scoring.LogFrequencyFilter, "probe", lambda f, keys, levels: probed.append(len(keys)) or probe(f, keys, levels))
+    assert (f.levels(keys, known=lm_scoring.quantised(counts)) == want).all()
+    assert sum(probed) < 1.1 * len(keys)
+
+
+def test_totals_of_sorted_runs_are_sums():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 3000):
+        keys = rng.integers(0, 800, n).astype(np.uint64)
+        for counts in (np.ones(n), rng.integers(1, 9, n).astype(np.float64), np.full(n, 70000.0)):
+            got, want = lm_scoring.totals(zip(np.split(keys, [n // 3]), np.split(counts, [n // 3]))), lm_scoring._summed(keys, counts)
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and got[1].dtype == np.float64
+
+
+def test_words_values_keep_the_frequent(monkeypatch):
+    """Of two words of one place the more frequent stays; values are the same whichever does."""
+    keys, counts, f = _some_filter()
+    words = [b"a%d" % i for i in range(300)]
+    of = lm_scoring.Words.of(words)
+    own = of.keys()
+    order = np.argsort(own)
+    m = lm_scoring.Model(f, 2, 1e5, 4000, 1e5, 10.0, own[order], np.arange(1, 301)[order])
+    few, many = lm_scoring.WordValues(m, 64), lm_scoring.WordValues(m, 1 << 16)
+    for _ in range(2):
+        assert all((a == b).all() for a, b in zip(few.of(of, own), many.of(of, own)))
+    for i in range(300):
+        few.of(of[i : i + 1], own[i : i + 1])
+    best = {}
+    for k, c in zip((own & np.uint64(63)).tolist(), range(1, 301)):
+        best[k] = max(best.get(k, 0), c)
+    assert {k: int(few.held[2][k]) for k in best} == best
