@@ -30,8 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, materialize, mix64, partitions_of, text_batches, utf8
+from quire.llm.common import LONG_WORD, materialize, mix64, partitions_of, text_batches, utf8
 from quire.llm.components import components
+from quire.llm.words import Words, chunks, tokens_of
 
 
 @dataclass(frozen=True)
@@ -55,9 +56,17 @@ class NearParams:
 FIVE_WORDS = NearParams(words=5, percent=80, bands=44, rows=6)
 
 
-@lru_cache(maxsize=1)
-def _word_hashes() -> Memo:
-    return Memo(lambda words: [xxhash.xxh3_64_digest(w) for w in words])
+#: Bytes of texts whose words are hashed at once.
+_TEXT_BYTES = 1 << 20
+
+
+def _keys(words: Words) -> np.ndarray:
+    keys = words.keys()
+    # Long words of a made-up kind can share a polynomial.
+    for i in np.flatnonzero(words.sizes > LONG_WORD).tolist():
+        at = int(words.starts[i])
+        keys[i] = xxhash.xxh3_64_intdigest(words.flat[at : at + int(words.sizes[i])].tobytes())
+    return keys
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -66,49 +75,64 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     A-Z are lower-cased and words are [^\\x20\\x09-\\x0D]+; a text with fewer words than a
     shingle has its whole sequence as its one shingle.
     """
-    memo = _word_hashes()
-    split = [t.lower().split() for t in texts]
-    memo.learn(w for s in split for w in s)
-    get, out = memo.__getitem__, []
-    for s in split:
-        h = np.frombuffer(b"".join(map(get, s)), dtype="<u8")
-        k = min(words, len(h))
-        if not k:
-            out.append(h)
-            continue
-        n = len(h) - k + 1
-        total = np.full(n, k, dtype=np.uint64)
-        for i in range(k):
-            total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-        out.append(np.unique(total))
+    out = []
+    for low, high in chunks(texts, _TEXT_BYTES):
+        tokens, sizes = tokens_of(texts[low:high])
+        h = _keys(tokens)
+        every = _rolled(h, words)
+        ends = np.cumsum(sizes) - 1  # where each text's end stands, which is no word
+        for end, n in zip(ends.tolist(), (sizes - 1).tolist()):
+            # Windows of this text's words alone, none over its end.
+            own = every[end - n : end - words + 1] if n >= words else _rolled(h[end - n : end], n)
+            own = np.sort(own)
+            out.append(own[np.diff(own, prepend=~own[:1]) != 0])
     return out
 
 
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every k consecutive words; none without words."""
+    n = max(0, len(h) - k + 1) if k else 0
+    total = np.full(n, k, dtype=np.uint64)
+    for i in range(k):
+        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+    return total
+
+
 @lru_cache(maxsize=4)
 def _tables(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each bin's rank of every other bin in its probe order, and the factors of a band's hash."""
+    """The order in which each bin probes all bins, and the factors of a band's hash."""
     bins = bands * rows
     at = np.arange(bins * bins, dtype=np.uint64)
     probe = (mix64(at + np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32).reshape(bins, bins)
     factors = mix64(np.arange(1, bins + 1, dtype=np.uint64)) | np.uint64(1)
-    return probe, factors.reshape(bands, rows)
+    return probe.argsort(axis=1, kind="stable"), factors.reshape(bands, rows)
 
 
 def band_hashes(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """The bucket of each band for a sorted set of hashes."""
-    probe, factors = _tables(bands, rows)
+    return all_band_hashes([shingles], bands, rows)[0]
+
+
+def all_band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """A row of the buckets of each band for each sorted set of hashes, none of them empty."""
+    order, factors = _tables(bands, rows)
     bins = bands * rows
+    shingles = np.concatenate([np.empty(0, np.uint64), *sets])
     of = (((shingles >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    of += np.repeat(np.arange(len(sets)) * bins, np.array([len(s) for s in sets], dtype=np.int64))
     first = np.flatnonzero(np.diff(of, prepend=-1))
-    filled = of[first]
-    values = np.zeros(bins, dtype=np.uint64)
-    values[filled] = shingles[first]
-    if len(filled) < bins:
-        empty = np.ones(bins, dtype=bool)
-        empty[filled] = False
-        rest = np.flatnonzero(empty)
-        values[rest] = values[filled[probe[np.ix_(rest, filled)].argmin(axis=1)]]
-    return mix64((values.reshape(bands, rows) * factors).sum(axis=1, dtype=np.uint64) + factors[:, 0])
+    values, filled = np.zeros((len(sets), bins), dtype=np.uint64), np.zeros((len(sets), bins), dtype=bool)
+    values.ravel()[of[first]] = shingles[first]
+    filled.ravel()[of[first]] = True
+    doc, empty = np.nonzero(~filled)
+    for turn in range(bins):
+        if not len(doc):
+            break
+        lender = order[empty, turn]
+        lends = filled[doc, lender]
+        values[doc[lends], empty[lends]] = values[doc[lends], lender[lends]]
+        doc, empty = doc[~lends], empty[~lends]
+    return mix64((values.reshape(-1, bands, rows) * factors).sum(axis=2, dtype=np.uint64) + factors[:, 0])
 
 
 _SIGNED = "doc_id long, n_shingles long, sig binary, bands array<long>"
@@ -121,16 +145,18 @@ def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
     def sign(batches):
         part, row = TaskContext.get().partitionId(), 0
         for b in batches:
-            sizes, sigs, bands = [], [], []
-            for s in shingle_sets(utf8(b["text"]), p.words):
+            sizes, sigs = [], []
+            sets = shingle_sets(utf8(b["text"]), p.words)
+            for s in sets:
                 row += 1
                 sizes.append(len(s))
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes() if len(s) else b"empty %d %d" % (part, row)))
-                bands.append(band_hashes(s, p.bands, p.rows).view(np.int64) if len(s) else np.empty(0, np.int64))
+            bands = all_band_hashes([s for s in sets if len(s)], p.bands, p.rows).view(np.int64).ravel()
+            ends = np.cumsum([0, *(p.bands if n else 0 for n in sizes)])
             yield pa.RecordBatch.from_arrays(
                 [
                     b["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands, pa.int64())),
                 ],
                 ["doc_id", "n_shingles", "sig", "bands"],
             )

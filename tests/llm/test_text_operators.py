@@ -297,6 +297,36 @@ def test_signature_estimates_similarity():
     assert abs(np.mean(hits) - 200 / 230) < 0.02
 
 
+def test_shingle_sets_hash_words_by_columns(monkeypatch):
+    """No word is hashed by itself, and sets are those of the texts' own words, wherever parts of texts end."""
+    texts = ["", " \n", "a", "A b", "a b c a B c a\tb", "b a", "x" * 3000 + " y z w", *(f"w{i % 5} w{i % 3} w{i % 7} w{i}" for i in range(40))]
+    for size in (1, 60, 1 << 20):
+        monkeypatch.setattr(near_dedup, "_TEXT_BYTES", size)
+        with monkeypatch.context() as m:
+            m.setattr(near_dedup.xxhash, "xxh3_64_digest", None)
+            got = near_dedup.shingle_sets([t.encode() for t in texts], 3)
+        for text, own in zip(texts, got):
+            w = text.lower().split()
+            want = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+            assert len(own) == len(want) and (np.sort(own) == own).all()
+        assert set(near_dedup.shingle_sets([b"a b c"], 3)[0].tolist()) < set(got[4].tolist())
+
+
+def test_empty_bins_borrow_along_their_own_order():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (1, 2, 30, 5000)]
+    at = np.arange(280 * 280, dtype=np.uint64)
+    probe = (near_dedup.mix64(at + np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).reshape(280, 280)
+    for s, got in zip(sets, near_dedup.all_band_hashes(sets, 280, 1)):
+        least = {}
+        for x in s.tolist():
+            least.setdefault(((x >> 32) * 280) >> 32, x)
+        values = [least[b] if b in least else least[min(least, key=probe[b].tolist().__getitem__)] for b in range(280)]
+        factor = near_dedup._tables(280, 1)[1][:, 0]
+        assert (got == near_dedup.mix64(np.array(values, dtype=np.uint64) * factor + factor)).all()
+    assert near_dedup.all_band_hashes([], 40, 7).shape == (0, 40)
+
+
 # Operator 7
 
 
