@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -60,13 +61,24 @@ def materialize(df: DataFrame, name: str, options: dict = {}) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession, data: np.ndarray) -> str:
-    """Send bytes to the executors as a file for ``shipped``; returns its name."""
+def ship(spark: SparkSession, size: int, fill) -> tuple[str, np.ndarray]:
+    """Send ``size`` bytes, which ``fill`` puts into a mapped file, to the executors as a file for ``shipped``; returns its name and the bytes."""
     folder, name = tempfile.mkdtemp(prefix="quire-shipped-"), f"quire-{uuid.uuid4().hex}"
-    data.tofile(os.path.join(folder, name))
+    data = np.memmap(os.path.join(folder, name), dtype=np.uint8, mode="w+", shape=(size,))
+    fill(data)
+    data.flush()
     spark.sparkContext.addFile(os.path.join(folder, name))
     _written.append((spark, f"file://{folder}"))
-    return name
+    return name, np.asarray(data)
+
+
+def executor_gb(spark: SparkSession) -> float:
+    """The memory of an executor as configured, and 1 where none is; on one machine the driver's."""
+    conf = spark.sparkContext.getConf()
+    size = conf.get("spark.driver.memory" if spark.sparkContext.master.startswith("local[") else "spark.executor.memory", "1g").strip().lower()
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", size).groups()
+    # A number alone counts MiB.
+    return int(number) * 1024.0 ** ("kmgt".index(unit or "m") - 2)
 
 
 def shipped(name: str) -> np.ndarray:

@@ -8,8 +8,8 @@ with the input alone, and the last level holds each slice's sums.
 
 A count c is quantised to q = 1 + floor(log(c) / log(BASE)), and (gram, 1) to (gram, q) go into a Bloom
 filter of BITS bits an entry. A count is read by probing levels until one is missing. Word n-grams go in
-from the count ``cutoff`` on, the same at every size. A filter of MAX_BITS bits at most goes to the workers
-as a file that they map. A larger one stays cut in slices: each block of texts sends its distinct grams, sorted and
+from the count ``cutoff`` on, the same at every size. A filter of MAX_BITS bits at most for each GB of an
+executor's memory goes to the workers as a file that they map. A larger one stays cut in slices: each block of texts sends its distinct grams, sorted and
 packed, to their slices, whose tasks build their part of the filter, probe it and send the levels back
 (``sharded_scores``); the levels are those that a broadcast filter would give.
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -40,14 +41,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import LARGE_ROWS, crc_mod, materialize, mix64, partitions_of, ship, shipped, text_batches, utf8
+from quire.llm.common import LARGE_ROWS, crc_mod, executor_gb, materialize, mix64, partitions_of, ship, shipped, text_batches, utf8
 from quire.llm.words import Words, tokens_of
 
 ORDER = 5
 BASE = 1.5
+#: MAX_BITS are for each GB of an executor's memory: an eighth of it.
 BITS, HASHES, MAX_BITS, MAX_LEVEL = 10, 7, 1 << 30, 80
 #: The least count with which a word n-gram is held.
 CUTOFF = 2
@@ -146,6 +148,12 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return encoded.dictionary.to_numpy(), encoded.indices.to_numpy()
 
 
+def _sorted_distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys, by sorting alone: numpy's ``unique`` hashes them, which takes many times as long where most differ."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
+
+
 def count_grams(words: Words | dict[bytes, int], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of all orders with their counts, weighted by the words' own."""
     if isinstance(words, dict):
@@ -232,8 +240,7 @@ def _counted(texts: DataFrame, slices: int, nodes: int = (1 << 31) - 1, stride:
 
     def count(batches):
         # What a worker kept of an earlier model isn't needed any more.
-        _values.clear()
-        _latest.clear()
+        forget()
         first = TaskContext.get().partitionId() * stride
         of_grams, of_words = itertools.count(first), itertools.count(first)
         grams: list[np.ndarray] = []
@@ -528,8 +535,14 @@ def filter_shape(grams: dict[int, np.ndarray], slices: int, cutoff: int) -> Shap
     return Shape(slices, width, max(1, min(HASHES, round(0.693 * width * slices / max(1, entries)))), least)
 
 
+def most_bits(spark: SparkSession) -> int:
+    """The bits of the largest filter that workers map: more where executors have more memory, so that less is sent to slices."""
+    return int(MAX_BITS * max(1.0, executor_gb(spark)))
+
+
 def build_filter(sums: DataFrame, shape: Shape) -> LogFrequencyFilter:
-    """A filter of MAX_BITS bits at most, its regions collected from the slices."""
+    """A filter that fits ``most_bits``, its regions collected from the slices. They are made by all tasks at once and
+    written, as the driver takes up one partition after the other."""
 
     def fill(batches):
         rows = (row for b in batches for row in zip(*(b[x].to_pylist() for x in ("slice", "kind", "n", "keys", "counts"))))
@@ -539,11 +552,14 @@ def build_filter(sums: DataFrame, shape: Shape) -> LogFrequencyFilter:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.binary())], ["slice", "bits"])
 
     wide = shape.width // 8
-    bits = np.zeros(shape.slices * wide, dtype=np.uint8)
-    few = sums.select("kind", "slice", "n", "keys", "counts")
-    for r in few.mapInArrow(fill, "slice int, bits binary").toLocalIterator():
-        bits[r["slice"] * wide : (r["slice"] + 1) * wide] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return LogFrequencyFilter(bits, shape.slices, shape.width, shape.hashes, ship(sums.sparkSession, bits))
+    regions = materialize(sums.select("kind", "slice", "n", "keys", "counts").mapInArrow(fill, "slice int, bits binary"), "regions", LARGE_ROWS)
+
+    def collect(bits: np.ndarray) -> None:
+        for r in regions.toLocalIterator():
+            bits[r["slice"] * wide : (r["slice"] + 1) * wide] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+
+    name, bits = ship(sums.sparkSession, shape.slices * wide, collect)
+    return LogFrequencyFilter(bits, shape.slices, shape.width, shape.hashes, name)
 
 
 def fill_of(bits: np.ndarray) -> float:
@@ -556,15 +572,24 @@ def fill_of(bits: np.ndarray) -> float:
 class Answers:
     """The levels that a filter in slices gave for a block's grams; stands in for the filter there."""
 
-    def __init__(self, keys: np.ndarray, levels: np.ndarray, fill: float):
+    def __init__(self):
+        self.keys, self.found = np.empty(0, _U), np.empty(0, np.uint8)
+
+    def take_up(self, keys: np.ndarray, levels: np.ndarray) -> None:
+        """Answer for another block from now on."""
         order = np.argsort(keys)
-        self.keys, self.found, self.fill = keys[order], levels[order], fill
+        self.keys, self.found = keys[order], levels[order]
 
     def levels(self, keys: np.ndarray, first: int = 1, known: np.ndarray | None = None) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        if (self.keys[at] != keys).any():
+        # Sorted keys are found in memory that lies side by side.
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.searchsorted(self.keys, keys)
+        if (at == len(self.keys)).any() or (self.keys[at] != keys).any():
             raise ValueError(UNSTABLE)
-        return self.found[at].astype(np.int64)
+        out = np.empty(len(keys), dtype=np.int64)
+        out[order] = self.found[at]
+        return out
 
 
 @dataclass
@@ -775,6 +800,28 @@ def _values_of(m: Model) -> WordValues:
     return _values[m.digest]
 
 
+_sharded: dict[str, Model] = {}
+
+
+def forget() -> None:
+    """Drop what this worker keeps of models. A function's own reference to these would be a copy, as it goes to workers by value."""
+    for kept in (_values, _latest, _sharded):
+        kept.clear()
+
+
+def with_answers(m: Model, keys: np.ndarray, levels: np.ndarray, fill: float) -> Model:
+    """The model with a block's levels in place of its filter. A worker has one for all blocks: what it read of words and
+    grams in blocks before holds for this one too."""
+    if m.digest not in _sharded:
+        _sharded.clear()
+        _sharded[m.digest] = replace(m, filter=Answers())
+        _sharded[m.digest].digest = m.digest
+    own = _sharded[m.digest]
+    own.filter.take_up(keys, levels)
+    own.fill = fill
+    return own
+
+
 def train(texts: DataFrame, cutoff: int = CUTOFF) -> tuple[Model, DataFrame, DataFrame, Shape]:
     """The model of all training texts, the exact counts of words (key, c), the sums of slices and the filter's shape."""
     nodes, stride = nodes_of(texts)
@@ -786,7 +833,7 @@ def train(texts: DataFrame, cutoff: int = CUTOFF) -> tuple[Model, DataFrame, Dat
     distinct, tokens, values = words.agg(F.sum("n"), F.sum("total"), F.sum("values")).first()
     grams = level_sums(sums)
     shape = filter_shape(grams, slices, cutoff)
-    f = build_filter(sums, shape) if shape.width * slices <= MAX_BITS else None
+    f = build_filter(sums, shape) if shape.width * slices <= most_bits(texts.sparkSession) else None
     # The least level from which on at most HELD_WORDS words lie.
     frequent = int((np.cumsum(grams[_WORD][::-1])[::-1] > HELD_WORDS).sum())
 
@@ -856,18 +903,15 @@ def blocked(rows: DataFrame) -> DataFrame:
 
 def block_grams(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct keys of a block: words and their characters, and word n-grams."""
-    upper, found = [ALL], []
-    for some in in_parts(texts):
-        words, sizes = tokens_of(some)
-        keys = words.keys()
-        pairs = bigram_keys(preceding(keys, np.cumsum(sizes) - sizes), keys)
-        found += [pairs, trigram_keys(pairs[:-1], keys[1:])]
-        unique, first = np.unique(keys, return_index=True)
-        upper.append(unique)
-        for low in range(0, len(first), WORDS_AT_ONCE):
-            flat, place, _ = gram_positions(words[first[low : low + WORDS_AT_ONCE]])
-            upper.append(np.unique(np.concatenate(gram_keys(flat, place))))
-    return [np.unique(np.concatenate(upper)), np.unique(np.concatenate(found))]
+    words, sizes = tokens_of(texts)
+    keys = words.keys()
+    pairs = bigram_keys(preceding(keys, np.cumsum(sizes) - sizes), keys)
+    unique, first = np.unique(keys, return_index=True)
+    upper = [ALL, unique]
+    for low in range(0, len(first), WORDS_AT_ONCE):
+        flat, place, _ = gram_positions(words[first[low : low + WORDS_AT_ONCE]])
+        upper.append(_sorted_distinct(np.concatenate(gram_keys(flat, place))))
+    return [_sorted_distinct(np.concatenate(upper)), _sorted_distinct(np.concatenate([pairs, trigram_keys(pairs[:-1], keys[1:])]))]
 
 
 _ASKED = "block long, slice int, upper boolean, n int, keys binary"
@@ -911,6 +955,7 @@ def sharded_scores(rows: DataFrame, sums: DataFrame, shape: Shape, m: Model, par
         columns = [asked["block"], asked["slice"], asked["upper"], asked["n"], pa.array(levels, pa.binary()), pa.array([fill_of(bits)] * len(levels), pa.float64())]
         return pa.table(columns, [c.split()[0] for c in _ANSWERED.split(", ")])
 
+    m.digest = uuid.uuid4().hex
     shared = rows.sparkSession.sparkContext.broadcast(m)
 
     def score(some: pa.Table, answers: pa.Table) -> pa.Table:
@@ -922,9 +967,8 @@ def sharded_scores(rows: DataFrame, sums: DataFrame, shape: Shape, m: Model, par
             levels.append(np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in own["levels"].to_pylist()] or [np.empty(0, np.uint8)]))
             if len(levels[-1]) != len(keys):
                 raise ValueError(UNSTABLE)
-        found = Answers(np.concatenate(grams), np.concatenate(levels), float(pc.mean(answers["fill"]).as_py()))
-        own = replace(shared.value, filter=found)
-        return pa.Table.from_batches(scored(some, WordValues(own, 1 << 17), own), _SCORED_SCHEMA)
+        own = with_answers(shared.value, np.concatenate(grams), np.concatenate(levels), float(pc.mean(answers["fill"]).as_py()))
+        return pa.Table.from_batches(scored(some, _values_of(own), own), _SCORED_SCHEMA)
 
     texts = blocked(rows)
     asked = texts.select("block", "text").mapInArrow(ask, _ASKED).repartition(parts, "slice").groupBy("slice")

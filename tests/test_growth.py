@@ -134,3 +134,46 @@ def test_leaves_leave_the_worker_as_rows(spark):
     rows = [tuple(r) for r in found.orderBy("id", "path").collect()]
     assert rows[:4] == [(1, "/a", "list", "[]", None), (1, "/b~1c/0", "int", "2", None), (1, "/b~1c/1", "float", "0.5", None), (1, "/b~1c/2", "str", "x", None)]
     assert rows[4][:4] == (2, None, None, None) and rows[4][4]
+
+
+def test_words_of_a_block_are_taken_apart_once(monkeypatch):
+    lm_scoring = pytest.importorskip("quire.llm.lm_scoring")
+    monkeypatch.setattr(lm_scoring, "BYTES_AT_ONCE", 10)
+    seen, real = [], lm_scoring.gram_positions
+    monkeypatch.setattr(lm_scoring, "gram_positions", lambda words: seen.append(len(words)) or real(words))
+    upper, grams = lm_scoring.block_grams([b"one two three one"] * 50)
+    assert sum(seen) == 4 and (np.diff(upper) > 0).all() and (np.diff(grams) > 0).all()
+
+
+def test_a_worker_keeps_levels_of_blocks_before():
+    lm_scoring = pytest.importorskip("quire.llm.lm_scoring")
+    m = lm_scoring.Model(None, 2, 100.0, 10, 100.0, 5)
+    m.digest = uuid.uuid4().hex
+    texts = [b"one two three one"]
+    words, _ = lm_scoring.tokens_of(texts)
+    keys = np.concatenate(lm_scoring.block_grams(texts))
+    own = lm_scoring.with_answers(m, keys, np.ones(len(keys), np.uint8), 0.5)
+    first = lm_scoring._values_of(own).of(words, words.keys())
+    # The next block's answers hold none of these words.
+    own = lm_scoring.with_answers(m, keys[:0], np.empty(0, np.uint8), 0.25)
+    again = lm_scoring._values_of(own).of(words, words.keys())
+    assert own.fill == 0.25 and all((a == b).all() for a, b in zip(first, again))
+    with pytest.raises(ValueError, match="stable scan"):
+        own.filter.levels(keys[:1])
+    # Another model begins anew.
+    m.digest = uuid.uuid4().hex
+    with pytest.raises(ValueError, match="stable scan"):
+        lm_scoring._values_of(lm_scoring.with_answers(m, keys[:0], np.empty(0, np.uint8), 0.5)).of(words, words.keys())
+    lm_scoring.forget()
+
+
+def test_a_mapped_filter_follows_the_memory_of_executors(spark, monkeypatch):
+    lm_scoring = pytest.importorskip("quire.llm.lm_scoring")
+    texts = spark.range(200).selectExpr("concat('w', id % 50, ' x') AS text").coalesce(1)
+    wanted = lm_scoring.train(texts, 1)[0].filter
+    size = 8 * len(wanted.bits)
+    monkeypatch.setattr(lm_scoring, "MAX_BITS", size // 2)
+    monkeypatch.setattr(lm_scoring, "executor_gb", lambda _: 1.0, raising=False)
+    assert lm_scoring.train(texts, 1)[0].filter is None
+    monkeypatch.setattr(lm_scoring, "executor_gb", lambda _: 2.1, raising=False)
+    assert (lm_scoring.train(texts, 1)[0].filter.bits == wanted.bits).all()
