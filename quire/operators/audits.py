@@ -1,10 +1,15 @@
 """Audits of numbers, dates and placeholders; findings are rows."""
 
+import re
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from quire.functions import text as T
-from quire.functions.python import cn_number
+from quire.functions.python import numeral_value
 
 # Numerals in words, hints of money, and plain numbers.
 NUMERALS = r"[零〇一壹二貳兩两三參叁四肆五伍六陸七柒八捌九玖十拾百佰千仟萬万億亿]{2,}"
@@ -37,6 +42,37 @@ def table_totals(cells: DataFrame) -> DataFrame:
     return summed.filter((F.col("n") >= 2) & off).withColumn("diff", F.col("total") - F.col("sum"))
 
 
+@F.arrow_udf(ArrayType(StructType().add("words", StringType()).add("words_value", LongType()).add("number", StringType())))
+def _nearest_numbers(texts: pa.Array) -> pa.Array:
+    """A text's numerals in words in order, their values, and the number that begins nearest to each, the earlier of two;
+    none without a hint of money.
+
+    A text that repeats in a batch is looked at once. Hints and numerals are looked for here, as Java tries the characters
+    of such a class one after the other.
+    """
+
+    def found(text: str | None) -> list[dict]:
+        if text is None or not _CURRENCY.search(text):
+            return []
+        numbers = [(m.start(), m[0]) for m in _ARABIC.finditer(text)]
+        out = []
+        for m in _NUMERALS.finditer(text) if numbers else ():
+            # Of the numbers on either side one is the nearest.
+            k = bisect_left(numbers, (m.start(),))
+            near = min(numbers[max(0, k - 1) : k + 1], key=lambda n: abs(n[0] - m.start()))
+            out.append({"words": m[0], "words_value": numeral_value(m[0]), "number": near[1]})
+        return out
+
+    encoded = texts.dictionary_encode()
+    each = pa.array([found(x) for x in encoded.dictionary.to_pylist()], _FOUND)
+    return each.take(encoded.indices)
+
+
+#: Digits are ASCII's, as they are for Java.
+_ARABIC, _NUMERALS, _CURRENCY = re.compile(ARABIC, re.ASCII), re.compile(NUMERALS), re.compile(CURRENCY)
+_FOUND = pa.list_(pa.struct([("words", pa.string()), ("words_value", pa.int64()), ("number", pa.string())]))
+
+
 def amounts_in_words(paragraphs: DataFrame) -> DataFrame:
     """Numerals in words against the nearest number of their paragraph (doc, idx, text).
 
@@ -44,24 +80,11 @@ def amounts_in_words(paragraphs: DataFrame) -> DataFrame:
     hint of money count. Values that differ by more than a half are findings.
     """
 
-    def spans(pattern: str):
-        found = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
-        gaps = F.split("text", pattern, -1)
-        at = F.transform(
-            F.sequence(F.lit(1), F.size(found)),
-            lambda k: F.aggregate(F.slice(gaps, F.lit(1), k), F.lit(0), lambda a, g: a + F.length(g))
-            + F.aggregate(F.slice(found, F.lit(1), k - 1), F.lit(0), lambda a, h: a + F.length(h)),
-        )
-        return F.when(F.size(found) > 0, F.arrays_zip(found.alias("hit"), at.alias("at"))).otherwise(F.array())
-
-    hinted = paragraphs.filter(F.col("text").rlike(CURRENCY) & F.col("text").rlike(NUMERALS) & F.col("text").rlike(ARABIC))
     # A paragraph's numbers stay in its row: no shuffle, and nothing sorted.
-    words = hinted.select("doc", "idx", "text", spans(ARABIC).alias("nums"), F.explode(spans(NUMERALS)).alias("word"))
-    gap = lambda n: F.struct(F.abs(n["at"] - F.col("word.at")).alias("gap"), n["at"].alias("at"), n["hit"].alias("hit"))
-    nearest = words.select("doc", "idx", "text", "word", F.array_min(F.transform("nums", gap)).alias("num"))
-    valued = nearest.select(
-        "doc", "idx", F.col("word.hit").alias("words"), cn_number(F.col("word.hit")).alias("words_value"),
-        T.to_number(F.col("num.hit")).alias("number_value"), F.substring(T.strip(F.col("text")), 1, 40).alias("snippet"),
+    words = paragraphs.select("doc", "idx", "text", F.explode(_nearest_numbers("text")).alias("word"))
+    valued = words.select(
+        "doc", "idx", "word.words", "word.words_value", F.translate("word.number", ",", "").cast("double").alias("number_value"),
+        F.substring(T.strip(F.col("text")), 1, 40).alias("snippet"),
     )
     return valued.filter("words_value <> 0 and number_value is not null and abs(words_value - number_value) > 0.5")
 

@@ -97,6 +97,17 @@ def test_nearest_numbers_need_no_shuffle(spark):
     assert sorted(tuple(r)[1:5] for r in found.collect()) == [(1, "壹佰零伍", 105, 12.0), (2, "壹佰零伍", 105, 106.0)]
 
 
+def test_a_repeated_paragraph_is_looked_at_once(spark, monkeypatch):
+    seen, real = [], audits.numeral_value
+    monkeypatch.setattr(audits, "numeral_value", lambda text: seen.append(text) or real(text))
+    found = audits._nearest_numbers.func(pa.array(["價 12 九十九 and 98 ٣", "九十九 98", None] * 1000)).to_pylist()
+    assert found[:3] == [[{"words": "九十九", "words_value": 99, "number": "12"}], [], None] and len(found) == 3000
+    assert seen == ["九十九"]
+    rows = spark.createDataFrame([(1, 1, "價 1,200.5 九十九")], "doc int, idx int, text string")
+    # Java's matcher goes through a class of many characters one by one.
+    assert "RLIKE" not in plan_of(audits.amounts_in_words(rows).drop("snippet"))
+
+
 def test_a_slice_is_summed_in_small_rows(spark, monkeypatch):
     lm_scoring = pytest.importorskip("quire.llm.lm_scoring")
     monkeypatch.setattr(lm_scoring, "ROW_KEYS", 100, raising=False)
